@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,8 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: its lineage ends at files every executor can read."""
+    """df written to the shared folder as Parquet and read again: its lineage ends at files every executor can read.
+
+    Spark removes shuffle files once the driver has dropped the plans that made them, which a
+    collection of its garbage brings about; so earlier steps' files are gone before this one writes.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/tidegauge-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,39 +143,27 @@ def anchor_positions(docs: DataFrame, length: int) -> DataFrame:
 
 
 def contexts(found: DataFrame, length: int) -> DataFrame:
-    """From (text, doc_id, rk, pks): one row for each anchor with its context's bytes and their digest."""
+    """From (text, doc_id, rk, pks): one row for each anchor with its context's bytes; the anchor is `hi` bytes into them."""
+    kinds = {"doc_id": pa.int64(), "rk": pa.int64(), "start": pa.int64(), "lo": pa.int8(), "hi": pa.int8(), "ctx": pa.binary()}
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out) if out else [()] * len(kinds), kinds.values())], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {k: [] for k in ("h", "cid", "doc_id", "rk", "start", "lo", "hi", "ctx")}
+            out = []
             for text, doc, rk, pks in zip(*(b.column(i) for i in range(4))):
                 raw, doc, rk = (text.as_py() or "").encode("utf-8", "surrogatepass"), doc.as_py(), rk.as_py()
-                for pk in pks.values.to_numpy().tolist():
+                for pk in np.sort(pks.values.to_numpy()).tolist():
                     at, lo, hi = pk >> 12, (pk >> 6) & 63, pk & 63
-                    if at - hi < 0 or at - lo + length > len(raw):
-                        continue
-                    ctx = raw[at - hi : at - lo + length]
-                    out["h"].append(xxhash.xxh3_64_intdigest(raw[at : at + GRAM]) - (1 << 63))
-                    out["cid"].append(xxhash.xxh3_128_digest(b"%d,%d," % (lo, hi) + ctx))
-                    out["doc_id"].append(doc)
-                    out["rk"].append(rk)
-                    out["start"].append(at - hi)
-                    out["lo"].append(lo)
-                    out["hi"].append(hi)
-                    out["ctx"].append(ctx)
-                    if len(out["h"]) >= 20_000:
-                        yield _context_batch(out)
-                        out = {k: [] for k in out}
-            yield _context_batch(out)
-
-    return found.select("text", "doc_id", "rk", "pks").mapInArrow(
-        run, "h long, cid binary, doc_id long, rk long, start long, lo byte, hi byte, ctx binary"
-    )
-
+                    if at >= hi and at - lo + length <= len(raw):
+                        out.append((doc, rk, at - hi, lo, hi, raw[at - hi : at - lo + length]))
+                if len(out) >= 20_000:
+                    yield batch(out)
+                    out = []
+            yield batch(out)
 
-def _context_batch(out: dict) -> pa.RecordBatch:
-    kinds = {"cid": pa.binary(), "ctx": pa.binary(), "lo": pa.int8(), "hi": pa.int8()}
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
+    return found.select("text", "doc_id", "rk", "pks").mapInArrow(run, "doc_id long, rk long, start long, lo byte, hi byte, ctx binary")
 
 
 def repeated_offsets(h, first, lo, hi, ctx: list[bytes], length: int) -> np.ndarray:
@@ -222,53 +209,84 @@ def repeated_offsets(h, first, lo, hi, ctx: list[bytes], length: int) -> np.ndar
 
 
 def _bucketed(distinct: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(cid, first, mask) of contexts (h, cid, first, lo, hi, ctx, n) that another document shares in whole or in part."""
+    """(c1, c2, first, mask) of contexts (h, c1, c2, first, n, lo, hi, ctx) that another document shares in whole or in part."""
 
     def run(t: pa.Table) -> pa.Table:
         get = lambda k: t.column(k).to_numpy()
         mask = repeated_offsets(get("h"), get("first"), get("lo").astype(np.int64), get("hi").astype(np.int64), t.column("ctx").to_pylist(), length)
         keep = pa.array((mask != 0) | (get("n") > 1))
-        return pa.table({"cid": t.column("cid"), "first": t.column("first"), "mask": pa.array(mask)}).filter(keep)
+        return pa.table({**{k: t.column(k) for k in ("c1", "c2", "first")}, "mask": pa.array(mask)}).filter(keep)
 
     dealt = distinct.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(run, "cid binary, first long, mask long")
+    return dealt.groupBy("bucket").applyInArrow(run, "c1 long, c2 long, first long, mask long")
 
 
 def _by_window(hot: DataFrame, length: int) -> DataFrame:
     """As _bucketed, for anchors of very many contexts: each window is a row, grouped by its own bytes."""
     at = F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int")))
-    rows = hot.select("cid", "first", "n", "hi", "ctx", at.alias("o"))
-    rows = rows.select("cid", "first", "n", "o", F.md5(F.substr("ctx", F.col("hi") - F.col("o") + 1, F.lit(length))).alias("w"))
+    rows = hot.select("c1", "c2", "first", "n", "hi", "ctx", at.alias("o"))
+    rows = rows.select("c1", "c2", "first", "n", "o", F.md5(F.substr("ctx", F.col("hi") - F.col("o") + 1, F.lit(length))).alias("w"))
     least = rows.groupBy("o", "w").agg(F.min("first").alias("least"))
     bit = F.when(F.col("least") < F.col("first"), F.expr("shiftleft(1L, o)")).otherwise(F.lit(0).cast("long"))
-    return rows.join(least, ["o", "w"]).groupBy("cid", "first").agg(F.bit_or(bit).alias("mask"), F.max("n").alias("n")).where("mask <> 0 or n > 1").drop("n")
+    masks = rows.join(least, ["o", "w"]).groupBy("c1", "c2", "first").agg(F.bit_or(bit).alias("mask"), F.max("n").alias("n"))
+    return masks.where("mask <> 0 or n > 1").drop("n")
 
 
-def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
-    """(rk, hits): for documents (doc_id, text, rk), the window starts that repeat an earlier document, as (start, bits) pairs."""
-    kept = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+def copies(keyed: DataFrame, length: int) -> DataFrame:
+    """rk of documents that are whole copies of a document of smaller doc_id."""
+    texts = keyed.where(F.octet_length("text") >= length).select("doc_id", "rk", F.md5("text").alias("digest"))
+    first = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return texts.join(first, "digest").where("doc_id > first").select("rk").distinct()
+
+
+def _placed(kept: DataFrame, whole: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """(rk, pks) of repeated anchors outside whole copies, and how many documents' anchors are repeated."""
     counts = written(anchor_counts(kept, length).where("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     positions = anchor_positions(kept, length).join(counts.select("h"), "h", "left_semi")
-    placed = written(positions.groupBy("rk").agg(F.collect_list("pk").alias("pks")))
-    met = written(contexts(kept.join(placed, "rk"), length))
-    several = (F.max("doc_id") > F.min("doc_id")).cast("int") + 1
-    distinct = met.groupBy("h", "cid", "lo", "hi", "ctx").agg(F.min("doc_id").alias("first"), several.alias("n"))
-    hot = distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("h")
-    hot = written(hot)
-    buckets = max(1, math.ceil(total / IN_BUCKET))
-    shared = _bucketed(distinct.join(hot, "h", "left_anti"), buckets, length).union(_by_window(distinct.join(hot, "h", "left_semi"), length))
-    hits = met.select("cid", "doc_id", "rk", "start", "lo", "hi").join(shared, "cid")
-    every = F.expr("shiftleft(1L, hi - lo + 1) - 1L")
-    own = F.expr("shiftright(mask, lo)")
-    # bit j of `offsets` is offset lo + j, the window that starts at start + (hi - lo) - j
+    return written(positions.groupBy("rk").agg(F.collect_list("pk").alias("pks")).join(whole, "rk", "left_anti")), total
+
+
+def _distinct(met: DataFrame) -> DataFrame:
+    """Contexts once each: h is their anchor's hash, (c1, c2) their own, first their smallest document, n 2 if there are others."""
+    one = met.groupBy("ctx", "lo", "hi").agg(F.min("doc_id").alias("first"), ((F.max("doc_id") > F.min("doc_id")).cast("int") + 1).alias("n"))
+    h = F.xxhash64(F.substr("ctx", F.col("hi") + 1, F.lit(GRAM)))
+    return one.select(h.alias("h"), F.xxhash64("ctx", "lo", "hi").alias("c1"), F.xxhash64("hi", "lo", "ctx").alias("c2"), "first", "n", "lo", "hi", "ctx")
+
+
+def _shared(distinct: DataFrame, buckets: int, length: int) -> DataFrame:
+    hot = written(distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("h"))
+    rest, many = distinct.join(hot, "h", "left_anti"), distinct.join(hot, "h", "left_semi")
+    return written(_bucketed(rest, buckets, length).union(_by_window(many, length)))
+
+
+def _hits(met: DataFrame, shared: DataFrame) -> DataFrame:
+    """(rk, hits): bit j of a hit's offsets is the window that starts at start + last - j."""
+    hits = met.select("doc_id", "rk", "start", "lo", "hi", F.xxhash64("ctx", "lo", "hi").alias("c1"), F.xxhash64("hi", "lo", "ctx").alias("c2"))
+    every, own = F.expr("shiftleft(1L, hi - lo + 1) - 1L"), F.expr("shiftright(mask, lo)")
     offsets = F.when(F.col("doc_id") > F.col("first"), every).otherwise(own)
-    hits = hits.select("rk", F.struct(F.col("start"), (F.col("hi") - F.col("lo")).cast("long").alias("last"), offsets.alias("offsets")).alias("hit"))
+    last = (F.col("hi") - F.col("lo")).cast("long").alias("last")
+    hits = hits.join(shared, ["c1", "c2"]).select("rk", F.struct("start", last, offsets.alias("offsets")).alias("hit"))
     return hits.where("hit.offsets <> 0").groupBy("rk").agg(F.collect_list("hit").alias("hits"))
 
 
+def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
+    """(rk, hits): for documents (doc_id, text, rk), the window starts that repeat an earlier document; of whole copies a hit with last -1."""
+    kept = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    whole = written(copies(kept, length))
+    placed, total = _placed(kept, whole, length)
+    met = written(contexts(kept.join(placed, "rk"), length))
+    distinct = written(_distinct(met))
+    shared = _shared(distinct, max(1, math.ceil(total / IN_BUCKET)), length)
+    zero = F.lit(0).cast("long")
+    all_of = F.array(F.struct(zero.alias("start"), F.lit(-1).cast("long").alias("last"), zero.alias("offsets")))
+    return written(_hits(met, shared).union(whole.select("rk", all_of)))
+
+
 def removed_bytes(size: int, hits: list[tuple[int, int, int]], length: int) -> np.ndarray:
     """True for each byte covered by a repeated window."""
+    if any(last < 0 for _, last, _ in hits):
+        return np.ones(size, bool)
     step = np.zeros(size + 1, np.int32)
     for start, last, offsets in hits:
         for j in range(last + 1):
