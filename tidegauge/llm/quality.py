@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .langid import crc_fold
+from .langid import crc_fold, least_hashes
 
 #: Features: hashed words, then structure and metadata bins.
 WORDS, BINS, FACTORS = 1 << 14, 1 << 10, 8
-#: Labelled rows that are fitted at most; those of least hash.
+#: Labelled rows that are fitted, about; those of least hash.
 TRAIN_ROWS = 8_000
 _SYMBOL = re.compile(r"[^\w\s.,;:'’\"()!?-]")
 
@@ -126,8 +126,8 @@ def _rows(b: pa.RecordBatch, metadata: tuple[str, ...]):
 
 
 def train(labelled: DataFrame, label: str, metadata: tuple[str, ...], rows: int = TRAIN_ROWS) -> FactorisationMachine | None:
-    """Fitted on at most `rows` rows of labelled (text, label and metadata columns), those of least text hash; None without a labelled row."""
-    sample = labelled.where(F.col(label).isNotNull()).orderBy(F.xxhash64("text", label)).limit(rows)
+    """Fitted on about `rows` rows of labelled (text, label, metadata and any other columns), those of least hash; None without a labelled row."""
+    sample = least_hashes(labelled.where(F.col(label).isNotNull()), rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +170,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, metadata:
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
     """score_quality of docs under a model trained on the rows of docs that `labels` (doc_id, label) marks and where `learn` holds."""
     marked = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
-    labelled = docs.where(learn).join(marked, "doc_id").select("text", *metadata, "_label")
+    labelled = docs.where(learn).join(marked, "doc_id").select("doc_id", "text", *metadata, "_label")
     return score_quality(docs, train(labelled, "_label", metadata), metadata)
 
 

@@ -166,18 +166,19 @@ def contexts(found: DataFrame, length: int) -> DataFrame:
     return found.select("text", "doc_id", "rk", "pks").mapInArrow(run, "doc_id long, rk long, start long, lo byte, hi byte, ctx binary")
 
 
-def repeated_offsets(h, first, lo, hi, ctx: list[bytes], length: int) -> np.ndarray:
+def repeated_offsets(first, lo, hi, ctx: list[bytes], length: int) -> np.ndarray:
     """A bit mask for each context: of which offsets o the window also starts in a document smaller than `first`.
 
-    Contexts are put in order of `first`, so in a run of equal suffixes the first stands at its head.
+    Contexts are put in order of `first`, so in a run of equal suffixes the first stands at its head. Equal windows hold
+    equal anchors at equal offsets, so offsets are taken one after another.
     """
-    n, left = len(h), length - GRAM
+    n, left = len(first), length - GRAM
     width = left + length
     order = np.argsort(first, kind="stable")
     text = np.zeros((n, width), np.uint8)
     for r, i in enumerate(order.tolist()):
         text[r, left - hi[i] : left - hi[i] + len(ctx[i])] = np.frombuffer(ctx[i], np.uint8)
-    h, first, lo, hi = h[order].view(np.uint64), first[order], lo[order], hi[order]
+    first, lo, hi = first[order], lo[order], hi[order]
     prefix, base = [np.zeros(n, np.uint64)], _M1
     for c in np.ascontiguousarray(text.T):
         prefix.append(prefix[-1] * base + c + np.uint64(1))
@@ -188,13 +189,13 @@ def repeated_offsets(h, first, lo, hi, ctx: list[bytes], length: int) -> np.ndar
         if len(rows) < 2:
             continue
         s = left - o
-        key = _mixed((prefix[s + length][rows] - prefix[s][rows] * power) ^ _mixed(h[rows]))
+        key = _mixed(prefix[s + length][rows] - prefix[s][rows] * power)
         suffixes = np.argsort(key, kind="stable")
         sorted_key, rows = key[suffixes], rows[suffixes]
         head = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
         heads = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
         tied = np.flatnonzero(~head)
-        same = (text[rows[tied], s : s + length] == text[heads[tied], s : s + length]).all(axis=1) & (h[rows[tied]] == h[heads[tied]])
+        same = (text[rows[tied], s : s + length] == text[heads[tied], s : s + length]).all(axis=1)
         if same.all():
             hit = tied[first[rows[tied]] > first[heads[tied]]]
         else:  # two suffixes share a hash: sort their bytes
@@ -208,23 +209,33 @@ def repeated_offsets(h, first, lo, hi, ctx: list[bytes], length: int) -> np.ndar
     return out
 
 
+def _keys() -> list:
+    """A context's own 128-bit hash."""
+    return [F.xxhash64("ctx", "lo", "hi").alias("c1"), F.xxhash64("hi", "lo", "ctx").alias("c2")]
+
+
+def _anchor():
+    return F.xxhash64(F.substr("ctx", F.col("hi") + 1, F.lit(GRAM)))
+
+
 def _bucketed(distinct: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(c1, c2, first, mask) of contexts (h, c1, c2, first, n, lo, hi, ctx) that another document shares in whole or in part."""
+    """(c1, c2, first, mask) of contexts (first, n, lo, hi, ctx) that another document shares in whole or in part."""
 
     def run(t: pa.Table) -> pa.Table:
         get = lambda k: t.column(k).to_numpy()
-        mask = repeated_offsets(get("h"), get("first"), get("lo").astype(np.int64), get("hi").astype(np.int64), t.column("ctx").to_pylist(), length)
+        mask = repeated_offsets(get("first"), get("lo").astype(np.int64), get("hi").astype(np.int64), t.column("ctx").to_pylist(), length)
         keep = pa.array((mask != 0) | (get("n") > 1))
-        return pa.table({**{k: t.column(k) for k in ("c1", "c2", "first")}, "mask": pa.array(mask)}).filter(keep)
+        return t.select(["ctx", "lo", "hi", "first"]).append_column("mask", pa.array(mask)).filter(keep)
 
-    dealt = distinct.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(run, "c1 long, c2 long, first long, mask long")
+    dealt = distinct.withColumn("bucket", F.pmod(_anchor(), F.lit(buckets)))
+    met = dealt.groupBy("bucket").applyInArrow(run, "ctx binary, lo byte, hi byte, first long, mask long")
+    return met.select(*_keys(), "first", "mask")
 
 
 def _by_window(hot: DataFrame, length: int) -> DataFrame:
     """As _bucketed, for anchors of very many contexts: each window is a row, grouped by its own bytes."""
     at = F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int")))
-    rows = hot.select("c1", "c2", "first", "n", "hi", "ctx", at.alias("o"))
+    rows = hot.select(*_keys(), "first", "n", "hi", "ctx", at.alias("o"))
     rows = rows.select("c1", "c2", "first", "n", "o", F.md5(F.substr("ctx", F.col("hi") - F.col("o") + 1, F.lit(length))).alias("w"))
     least = rows.groupBy("o", "w").agg(F.min("first").alias("least"))
     bit = F.when(F.col("least") < F.col("first"), F.expr("shiftleft(1L, o)")).otherwise(F.lit(0).cast("long"))
@@ -248,21 +259,22 @@ def _placed(kept: DataFrame, whole: DataFrame, length: int) -> tuple[DataFrame,
 
 
 def _distinct(met: DataFrame) -> DataFrame:
-    """Contexts once each: h is their anchor's hash, (c1, c2) their own, first their smallest document, n 2 if there are others."""
-    one = met.groupBy("ctx", "lo", "hi").agg(F.min("doc_id").alias("first"), ((F.max("doc_id") > F.min("doc_id")).cast("int") + 1).alias("n"))
-    h = F.xxhash64(F.substr("ctx", F.col("hi") + 1, F.lit(GRAM)))
-    return one.select(h.alias("h"), F.xxhash64("ctx", "lo", "hi").alias("c1"), F.xxhash64("hi", "lo", "ctx").alias("c2"), "first", "n", "lo", "hi", "ctx")
+    """Contexts once each: first is their smallest document, n 2 if there are others."""
+    several = (F.max("doc_id") > F.min("doc_id")).cast("int") + 1
+    return met.groupBy("ctx", "lo", "hi").agg(F.min("doc_id").alias("first"), several.alias("n"))
 
 
 def _shared(distinct: DataFrame, buckets: int, length: int) -> DataFrame:
-    hot = written(distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("h"))
-    rest, many = distinct.join(hot, "h", "left_anti"), distinct.join(hot, "h", "left_semi")
+    """(c1, c2, first, mask) of all contexts that are shared."""
+    anchored = distinct.withColumn("h", _anchor())
+    hot = written(anchored.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("h"))
+    rest, many = anchored.join(hot, "h", "left_anti").drop("h"), anchored.join(hot, "h", "left_semi").drop("h")
     return written(_bucketed(rest, buckets, length).union(_by_window(many, length)))
 
 
 def _hits(met: DataFrame, shared: DataFrame) -> DataFrame:
     """(rk, hits): bit j of a hit's offsets is the window that starts at start + last - j."""
-    hits = met.select("doc_id", "rk", "start", "lo", "hi", F.xxhash64("ctx", "lo", "hi").alias("c1"), F.xxhash64("hi", "lo", "ctx").alias("c2"))
+    hits = met.select("doc_id", "rk", "start", "lo", "hi", *_keys())
     every, own = F.expr("shiftleft(1L, hi - lo + 1) - 1L"), F.expr("shiftright(mask, lo)")
     offsets = F.when(F.col("doc_id") > F.col("first"), every).otherwise(own)
     last = (F.col("hi") - F.col("lo")).cast("long").alias("last")
