@@ -1,4 +1,8 @@
-"""Queries of the catalogue, each with its SQL."""
+"""Every query of the catalogue with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import demand_queries, stock_queries
+
+QUERIES = {**demand_queries.QUERIES, **stock_queries.QUERIES}
+ORACLES = {**demand_queries.ORACLES, **stock_queries.ORACLES}
