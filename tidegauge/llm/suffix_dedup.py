@@ -308,14 +308,20 @@ def removed_bytes(size: int, hits: list[tuple[int, int, int]], length: int) -> n
     return np.cumsum(step[:-1]) > 0
 
 
-def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
+def to_characters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """off, widened over UTF-8 bytes `data` to whole characters, so that what is left is UTF-8 again."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(np.logical_or.reduceat(off, starts), np.diff(np.r_[starts, len(data)])) if len(data) else off
+
+
+def dedup_substrings(docs: DataFrame, length: int = 50, characters: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 in place of columns of those names.
 
     Texts are UTF-8 bytes, null as empty. A byte is removed if a `length`-byte string of the input
     that covers it also starts in a document of smaller doc_id; the earliest copy stays whole.
     Rows of a null doc_id neither lose bytes nor take them; rows that repeat a doc_id don't affect
     each other. Texts under `length` bytes stay. An empty table stays empty. doc_id is an integer;
-    length is 17 to 50.
+    length is 17 to 50. With `characters`, a character goes with any of its bytes, so kept stays UTF-8.
     """
     if not GRAM < length <= 50:
         raise ValueError("length must be 17 to 50")
@@ -336,9 +342,11 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
                 kept, gone, spans = raw, 0, 0
                 if found.is_valid:
                     rows = found.values
+                    data = np.frombuffer(raw, np.uint8)
                     off = removed_bytes(len(raw), list(zip(*(rows.field(k).to_pylist() for k in ("start", "last", "offsets")))), length)
+                    off = to_characters(data, off) if characters else off
                     gone, spans = int(off.sum()), int(np.count_nonzero(np.diff(off.astype(np.int8), prepend=0) == 1))
-                    kept = np.frombuffer(raw, np.uint8)[~off].tobytes()
+                    kept = data[~off].tobytes()
                 for k, v in zip(new, (len(raw), gone, spans, kept, hashlib.sha256(kept).hexdigest())):
                     new[k].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
