@@ -15,8 +15,8 @@ from .common import table, written
 from .components import components
 
 BITS = 64
-#: Buckets above this size are linked through shared neighbours in place of pairs.
-BUCKET = 64
+#: Buckets of more fingerprints than the first are linked as a forest, in one task each; those that more than the second probe, through shared neighbours.
+BUCKET, GROUP = 64, 20_000
 
 
 def simhash(text: str | None, width: int, seed: int = 42) -> int:
@@ -144,13 +144,50 @@ def _ball(bits, radius: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for d in range(radius + 1) for c in itertools.combinations(bits, d)]
 
 
-def near_links(fps: DataFrame, tau: int, bucket: int = BUCKET) -> DataFrame:
+def forest(fps: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) links, fewer than the distinct fingerprints (as uint64), that connect all that are within tau bits of each other."""
+    left, out = np.arange(len(fps)), []
+    while len(left):
+        edge, left = left[:1], left[1:]
+        while len(edge) and len(left):
+            by = np.full(len(left), -1)
+            for at in range(0, len(edge), 256):
+                part, free = edge[at : at + 256], np.flatnonzero(by < 0)
+                near = np.bitwise_count(fps[left[free]] ^ fps[part][:, None]) <= tau
+                hit = near.any(axis=0)
+                by[free[hit]] = part[near[:, hit].argmax(axis=0)]
+            edge = left[by >= 0]
+            out.append((edge, by[by >= 0]))
+            left = left[by < 0]
+    a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+    return fps[a], fps[b]
+
+
+def _grouped_links(met: DataFrame, tau: int) -> DataFrame:
+    """(a, b) from (part, key, fp): each bucket's forest."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = forest(np.unique(t.column("fp").to_numpy().view(np.uint64)), tau)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    return met.groupBy("part", "key").applyInArrow(run, "a long, b long")
+
+
+def _neighbour_links(fps: DataFrame, tau: int) -> DataFrame:
+    """(a, b): fingerprints within tau bits share a value within tau / 2 of both, and two that share one are within tau."""
+    around = F.array(*[F.lit(f) for f in _ball(range(BITS), tau // 2)])
+    values = fps.select("fp", F.explode(around).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
+    first = values.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("value", "b")
+    return values.join(first, "value").where("fp <> b").select("fp", "b")
+
+
+def near_links(fps: DataFrame, tau: int, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
     """(a, b) links that connect exactly the distinct fingerprints (column fp) within tau bits of each other; tau is even.
 
-    Probing a bucket of at most `bucket` fingerprints and verifying gives its links themselves.
-    Fingerprints that meet in larger buckets are linked through every value within tau/2 bits of
-    them: two within tau share such a value, and two that share one are within tau. So no bucket is
-    paired with itself in full and no link is lost.
+    Probing a bucket of at most `bucket` fingerprints and verifying gives its links themselves. A
+    larger bucket that at most `group` fingerprints probe is linked in one task as a forest of verified
+    links; beyond that, fingerprints are linked through the values around them. So no bucket
+    is paired with itself in full and no link is lost.
     """
     if tau % 2:
         raise ValueError("tau must be even")
@@ -158,8 +195,7 @@ def near_links(fps: DataFrame, tau: int, bucket: int = BUCKET) -> DataFrame:
     plan = [(k, bits, t) for k, (bits, t) in enumerate(allocate(n, both, tau)) if t >= 0]
     masks = F.array(*[F.struct(F.lit(k).alias("part"), F.lit(_signed(sum(1 << b for b in bits))).alias("mask")) for k, bits, _ in plan])
     index = fps.select("fp", F.explode(masks).alias("m")).select("m.part", F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp")
-    sizes = index.groupBy("part", "key").agg(F.count("*").alias("n"))
-    full = written(sizes.where(F.col("n") > bucket).select("part", "key"))
+    full = written(index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("part", "key"))
     flips = [(k, f) for k, bits, t in plan for f in _ball(bits, t)]
     if len(flips) > len(plan):
         steps = F.array(*[F.struct(F.lit(k).alias("part"), F.lit(f).alias("flip")) for k, f in flips])
@@ -174,11 +210,10 @@ def near_links(fps: DataFrame, tau: int, bucket: int = BUCKET) -> DataFrame:
     links = a.join(b, (F.col("p.part") == F.col("s.part")) & (F.col("p.key") == F.col("s.key")) & apart & near).select(
         F.col("fp").alias("a"), F.col("other").alias("b")
     )
-    met = probe.join(full, ["part", "key"], "left_semi").select("fp").distinct()
-    around = F.array(*[F.lit(f) for f in _ball(range(BITS), tau // 2)])
-    values = met.select("fp", F.explode(around).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
-    first = values.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("value", "b")
-    return links.union(values.join(first, "value").where("fp <> b").select("fp", "b"))
+    met = written(probe.join(full, ["part", "key"], "left_semi"))
+    huge = written(met.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("part", "key"))
+    grouped = _grouped_links(met.join(huge, ["part", "key"], "left_anti"), tau)
+    return links.union(grouped).union(_neighbour_links(met.join(huge, ["part", "key"], "left_semi").select("fp").distinct(), tau))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 2, seed: int = 42) -> DataFrame:
