@@ -15,26 +15,26 @@ from ..functions.clean import flag, safe_float, safe_int, safe_str
 
 STAMP = r"(\d{8}_\d{6})_inventory_snapshot\.csv$"
 
-SNAPSHOT = T.StructType.fromDDL(
+SNAPSHOT = (
     "station_short_name string, station_name string, gbfs_station_id string, capacity string, num_bikes_available string, "
     "num_docks_available string, current_bike_shortage string, current_dock_shortage string, inventory_pressure string"
 )
-TRIPS = T.StructType.fromDDL(
+TRIPS = (
     "ride_id string, started_at string, ended_at string, start_station_name string, start_station_id string, end_station_name string, "
     "end_station_id string, start_lat double, start_lng double, end_lat double, end_lng double, member_casual string"
 )
-CITY = T.StructType.fromDDL(
+CITY = (
     "rentBikeStatus struct<list_total_count:int, RESULT:struct<CODE:string,MESSAGE:string>, row:array<struct<rackTotCnt:string,"
     "stationName:string,parkingBikeTotCnt:string,shared:string,stationLatitude:string,stationLongitude:string,stationId:string>>>"
 )
-STATIONS = T.StructType.fromDDL("data struct<stations:array<struct<station_id:string,short_name:string,name:string,lat:double,lon:double,capacity:int>>>")
-STATUS = T.StructType.fromDDL(
+STATIONS = ("data struct<stations:array<struct<station_id:string,short_name:string,name:string,lat:double,lon:double,capacity:int>>>")
+STATUS = (
     "data struct<stations:array<struct<station_id:string,num_bikes_available:int,num_docks_available:int,is_installed:int,is_renting:int,is_returning:int,last_reported:bigint>>>"
 )
-WEATHER = T.StructType.fromDDL("hourly struct<time:array<string>,temperature_2m:array<double>,relative_humidity_2m:array<double>,precipitation:array<double>,wind_speed_10m:array<double>>")
+WEATHER = ("hourly struct<time:array<string>,temperature_2m:array<double>,relative_humidity_2m:array<double>,precipitation:array<double>,wind_speed_10m:array<double>>")
 
 
-def snapshot_log(spark: SparkSession, folder: str, schema: T.StructType = SNAPSHOT, until: str | None = None, stamp: str = STAMP) -> DataFrame:
+def snapshot_log(spark: SparkSession, folder: str, schema: str | T.StructType = SNAPSHOT, until: str | None = None, stamp: str = STAMP) -> DataFrame:
     """All snapshot files of a folder, with captured_at read from each file's name.
 
     Files whose name has no stamp, and those after `until` (yyyyMMdd_HHmmss, included), are not opened: the filter is
@@ -104,7 +104,7 @@ def trips(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns(times).dropna(subset=["started_at", "ended_at"])
 
 
-def label_panel(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def label_panel(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A label panel saved as CSV, ids as text by the schema; an empty frame if nothing is there."""
     try:
         return spark.read.schema(schema).csv(path, header=True)
