@@ -168,9 +168,14 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, metadata:
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
-    """score_quality of docs under a model trained on the rows of docs that `labels` (doc_id, label) marks and where `learn` holds."""
+    """score_quality of docs under a model trained on the rows of docs that `labels` (doc_id, label) marks and where `learn` holds.
+
+    Labelled ids are joined and sampled without their texts; the sample, of 2 x TRAIN_ROWS ids at most, is
+    broadcast to fetch them.
+    """
     marked = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
-    labelled = docs.where(learn).join(marked, "doc_id").select("doc_id", "text", *metadata, "_label")
+    ids = least_hashes(docs.where(learn).select("doc_id").distinct().join(marked, "doc_id"), TRAIN_ROWS)
+    labelled = docs.where(learn).join(F.broadcast(ids), "doc_id").select("doc_id", "text", *metadata, "_label")
     return score_quality(docs, train(labelled, "_label", metadata), metadata)
 
 
