@@ -37,7 +37,16 @@ def written(df: DataFrame) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/tidegauge-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that `written` returned, once all that was made from it is written."""
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ascii_lower(col):

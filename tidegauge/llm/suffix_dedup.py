@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 GRAM = 16
 #: Window starts of a slice; their number must fit in the low 20 bits of a key.
@@ -255,7 +255,9 @@ def _placed(kept: DataFrame, whole: DataFrame, length: int) -> tuple[DataFrame,
     counts = written(anchor_counts(kept, length).where("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     positions = anchor_positions(kept, length).join(counts.select("h"), "h", "left_semi")
-    return written(positions.groupBy("rk").agg(F.collect_list("pk").alias("pks")).join(whole, "rk", "left_anti")), total
+    placed = written(positions.groupBy("rk").agg(F.collect_list("pk").alias("pks")).join(whole, "rk", "left_anti"))
+    discard(counts)
+    return placed, total
 
 
 def _distinct(met: DataFrame) -> DataFrame:
@@ -288,11 +290,16 @@ def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
     whole = written(copies(kept, length))
     placed, total = _placed(kept, whole, length)
     met = written(contexts(kept.join(placed, "rk"), length))
+    discard(placed)
     distinct = written(_distinct(met))
     shared = _shared(distinct, max(1, math.ceil(total / IN_BUCKET)), length)
+    discard(distinct)
     zero = F.lit(0).cast("long")
     all_of = F.array(F.struct(zero.alias("start"), F.lit(-1).cast("long").alias("last"), zero.alias("offsets")))
-    return written(_hits(met, shared).union(whole.select("rk", all_of)))
+    hits = written(_hits(met, shared).union(whole.select("rk", all_of)))
+    for step in (met, shared, whole):
+        discard(step)
+    return hits
 
 
 def removed_bytes(size: int, hits: list[tuple[int, int, int]], length: int) -> np.ndarray:
