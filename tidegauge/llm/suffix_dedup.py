@@ -302,16 +302,15 @@ def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
     return hits
 
 
-def removed_bytes(size: int, hits: list[tuple[int, int, int]], length: int) -> np.ndarray:
-    """True for each byte covered by a repeated window."""
-    if any(last < 0 for _, last, _ in hits):
+def removed_bytes(size: int, start: np.ndarray, last: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """True for each byte covered by a repeated window, for hits of these starts, lasts and offsets."""
+    if (last < 0).any():
         return np.ones(size, bool)
     step = np.zeros(size + 1, np.int32)
-    for start, last, offsets in hits:
-        for j in range(last + 1):
-            if offsets >> j & 1:
-                step[start + last - j] += 1
-                step[start + last - j + length] -= 1
+    for j in range(int(last.max(initial=-1)) + 1):
+        at = (start + last - j)[(last >= j) & (offsets >> j & 1 > 0)]
+        np.add.at(step, at, 1)
+        np.add.at(step, at + length, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -350,7 +349,7 @@ def dedup_substrings(docs: DataFrame, length: int = 50, characters: bool = False
                 if found.is_valid:
                     rows = found.values
                     data = np.frombuffer(raw, np.uint8)
-                    off = removed_bytes(len(raw), list(zip(*(rows.field(k).to_pylist() for k in ("start", "last", "offsets")))), length)
+                    off = removed_bytes(len(raw), *(rows.field(k).to_numpy(zero_copy_only=False) for k in ("start", "last", "offsets")), length)
                     off = to_characters(data, off) if characters else off
                     gone, spans = int(off.sum()), int(np.count_nonzero(np.diff(off.astype(np.int8), prepend=0) == 1))
                     kept = data[~off].tobytes()
