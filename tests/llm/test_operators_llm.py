@@ -177,3 +177,13 @@ def test_backoff_of_higher_order_sums_to_the_same_words(spark):
     docs = spark.createDataFrame([(1, "a b a b a b c"), (2, "a b c d")], "doc_id long, text string")
     got = {r.doc_id: r.n_words for r in lm_scoring.stupid_backoff(docs, order=3).collect()}
     assert got == {1: 7, 2: 4}
+
+
+def test_mixing_joins_large_rates_in_parts(spark, monkeypatch):
+    from tidegauge.llm import mixing
+
+    rows = [(i if i % 7 else None, None if i % 5 == 0 else "hot" if i % 3 else "cold", f"t{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    by_broadcast = sorted(map(str, mixing.poisson_mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_VALUES", -1)
+    assert by_broadcast and sorted(map(str, mixing.poisson_mix(docs).collect())) == by_broadcast

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Values of all sources' distributions up to which they are broadcast (32 MB); beyond that each source is joined in this many parts.
+BROADCAST_VALUES, SALTS = 4_000_000, 64
+
 
 def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7) -> DataFrame:
     """Each document repeated by a Poisson count whose mean is its source's repetition rate, shuffled globally.
@@ -18,7 +21,7 @@ def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, epochs
     Adds rate, copies, replica (1..copies) and shuffle_key, in place of columns of those names; rows
     are dealt out by, and ordered within partitions by, shuffle_key.
     """
-    docs = docs.drop("rate", "copies", "replica", "shuffle_key", "_cdf", "_source")
+    docs = docs.drop("rate", "copies", "replica", "shuffle_key", "_cdf", "_source", "_salt")
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     sizes = docs.groupBy(source.alias("_source")).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("total"), F.count("*").alias("sources"))
@@ -32,8 +35,7 @@ def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, epochs
     rates = rates.withColumn("_cdf", _poisson_cdf(F.col("rate")))
     uniform = F.conv(F.substring(F.md5(_id(seed)), 1, 13), 16, 10).cast("double") / float(2**52)
     counted = (
-        docs.withColumn("_source", source)
-        .join(rates, "_source")
+        _with_rates(docs.withColumn("_source", source), rates)
         .withColumn("copies", F.size(F.filter("_cdf", lambda c: c <= uniform)))
         .drop("_source", "_cdf")
         .where("copies > 0")
@@ -43,6 +45,15 @@ def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, epochs
     return spread.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def _with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
+    """docs joined to rates by _source: by broadcast where the rates are small, else with each source dealt out over SALTS parts."""
+    if (rates.agg(F.sum(F.size("_cdf"))).first()[0] or 0) <= BROADCAST_VALUES:
+        return docs.join(F.broadcast(rates), "_source")
+    salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    parts = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(parts, ["_source", "_salt"]).drop("_salt")
+
+
 def _id(seed: int):
     return F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
