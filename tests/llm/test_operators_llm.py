@@ -62,6 +62,31 @@ def test_decontaminate_finds_edited_copies_and_nothing_else(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 7), (1, 7)]
 
 
+def test_decontaminate_loses_no_alignment_whatever_is_common(spark):
+    draw = np.random.default_rng(9)
+    items = [[f"w{k}" for k in draw.integers(0, 400, n)] for n in (5, 15, 15, 25, 37)]
+    docs = []
+    for ws in items * 20:  # a fifth of the words edited, in runs or spread, words added; the first half is in all
+        half = len(ws) // 2
+        new = list(ws)
+        at = draw.choice(range(half, len(ws)), len(ws) // 5, replace=False) if len(docs) % 2 else np.arange(len(ws) // 5) * 5 + 4
+        for k in at:
+            new[k] = "odd"
+        if len(docs) % 3 == 0:
+            new = [x for w in new for x in (w, "added")]
+        docs.append(" ".join([*(f"w{k}" for k in draw.integers(0, 400, 30)), *new, "end"]))
+    docs += [" ".join(ws[: len(ws) // 2]) for ws in items for _ in range(150)]
+    numbers = {}
+    ids = lambda ws: np.array([numbers.setdefault(w, len(numbers) + 1) for w in ws])
+    score = {(d, i): decontaminate.aligned(ids(ws), ids(t.split())) for d, t in enumerate(docs) for i, ws in enumerate(items)}
+    want = {k for k, s in score.items() if s >= 0.8}
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(rows, tests).collect()}
+    assert len(want) > 60 and want <= set(got) and all(s >= 0.8 for s in got.values())
+    assert set(got) == want
+
+
 @pytest.mark.parametrize(("bucket", "group"), [(64, 20_000), (1, 20_000), (1, 1)])
 @pytest.mark.parametrize("tau", [0, 2, 4])
 def test_links_connect_all_near_fingerprints(spark, tau, bucket, group):

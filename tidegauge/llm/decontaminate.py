@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -12,13 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-GRAM = 5
 #: Test items whose seeds are held in memory at once; more are handled in blocks.
 BLOCK = 20_000
-#: An n-gram seeds if no more documents have it than this, or than the median of its own item's n-grams.
-RARE = 100
 _WORD = re.compile(r"\w+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Smith-Waterman: a matched word, and a changed, missing or added one.
 MATCH, EDIT = 4, -1
 
@@ -27,65 +23,56 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n numbers at each place; numbers are from 0."""
-    if len(ids) < n:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        h = (h + ids[k : len(ids) - n + 1 + k].astype(np.uint64)) * _BASE
-        h ^= h >> np.uint64(29)
-    return h
-
-
 class Seeds:
-    """A block of test items: their words by number, and every n-gram with the items and places that have it."""
+    """A block of test items: their words by number, the matches that `least` asks for, and the words that seed.
+
+    An item of m words needs `need` matched places, so any m - need + 1 of its places hold a matched
+    one: the places of the item's rarest words seed, and no document that matches is without a seed.
+    """
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    def __init__(self, items: list[tuple[int, list[str]]], least: float):
         self.names = [i for i, _ in items]
         self.numbers: dict[str, int] = {}
         self.items = [np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in ws], np.int64) for _, ws in items]
-        grams = [(h, i, k, n) for i, ids in enumerate(self.items) for n in [min(GRAM, len(ids))] for k, h in enumerate(_gram_hashes(ids, n).tolist())]
-        grams.sort()
-        self.hash = np.array([g[0] for g in grams], np.uint64)
-        self.item, self.place, self.size = (np.array([g[k] for g in grams], np.int64) for k in (1, 2, 3))
-        self.sizes = sorted(set(self.size.tolist()))
-        self.rare = np.ones(len(grams), bool)
+        self.need = np.array([next(k for k in range(1, len(ids) + 2) if k / len(ids) >= least or k > len(ids)) for ids in self.items])
+        self.words, self.many = zip(*(np.unique(ids, return_counts=True) for ids in self.items))
+        self.flat, self.count = np.concatenate(self.words), np.concatenate(self.many)
+        self.size = np.array([len(w) for w in self.words])
+        self.start = np.cumsum(self.size) - self.size
+        self.restrict(np.zeros(len(self.numbers) + 1, np.int64))
 
     def restrict(self, df: np.ndarray) -> None:
-        """Keep as seeds what few documents have, and of each item at least the rarer half."""
-        for i in range(len(self.items)):
-            own = np.flatnonzero(self.item == i) if len(self.items) < 500 else self._own(i)
-            self.rare[own] = df[own] <= max(RARE, float(np.median(df[own])))
-
-    def _own(self, i: int) -> np.ndarray:
-        if not hasattr(self, "_order"):
-            self._order = np.argsort(self.item, kind="stable")
-            self._cuts = np.searchsorted(self.item[self._order], np.arange(len(self.items) + 1))
-        return self._order[self._cuts[i] : self._cuts[i + 1]]
+        """Choose each item's seeds by the number of documents that have each word; any choice finds the same."""
+        self.seeds = []
+        for ids, words, need in zip(self.items, self.words, self.need):
+            order = ids[np.lexsort((ids, df[ids]))]
+            self.seeds.append(np.unique(order[: max(1, len(ids) - need + 1)]))
+        word = np.concatenate(self.seeds)
+        order = np.argsort(word, kind="stable")
+        self.seeded = np.repeat(np.arange(len(self.seeds)), [len(x) for x in self.seeds])[order]
+        self.cuts = np.searchsorted(word[order], np.arange(len(self.numbers) + 2))
 
     def ids(self, text: str | None) -> np.ndarray:
         get = self.numbers.get
         return np.array([get(w, 0) for w in words(text)], np.int64)
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the document, number of the n-gram), over all n-grams met."""
-        at, which = [], []
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for n in (n for n in self.sizes if n <= len(ids)):
-            places = np.flatnonzero(known[n:] - known[: len(known) - n] == n)
-            if not len(places):
-                continue
-            h = _gram_hashes(ids, n)[places]
-            lo, hi = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
-            met = np.flatnonzero(hi > lo)
-            many = (hi - lo)[met]
-            each = np.repeat(lo[met], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            places = np.repeat(places[met], many)
-            own = self.size[each] == n
-            at.append(places[own])
-            which.append(each[own])
-        return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, np.int64),) * 2
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """Items with a seed in the document, and with enough of their words in it."""
+        count = np.bincount(ids, minlength=len(self.numbers) + 1)
+        count[0] = 0
+        own = np.flatnonzero(count)
+        own = own[self.cuts[own + 1] > self.cuts[own]]
+        if not len(own):
+            return own
+        items = np.unique(self.seeded[_ranges(self.cuts[own], self.cuts[own + 1] - self.cuts[own])])
+        at = _ranges(self.start[items], self.size[items])
+        held = np.minimum(count[self.flat[at]], self.count[at])
+        return items[np.add.reduceat(held, np.cumsum(self.size[items]) - self.size[items]) >= self.need[items]]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The whole numbers of each start and size, one range after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def aligned(item: np.ndarray, passage: np.ndarray) -> float:
@@ -107,49 +94,66 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> float:
     return (top & (unit - 1)) / max(1, len(item))
 
 
+def _passages(seeds: Seeds, i: int, ids: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
+    """Pieces of the document that hold every alignment with item i that can match enough; places are those of known words.
+
+    An alignment of positive score has fewer than MATCH steps that don't match for each that does, so
+    it spans at most `reach` words, and one of them is at a seed. Seeds are taken together over the item's length.
+    """
+    m, known = len(seeds.items[i]), ids[places]
+    reach, kept = (1 + MATCH) * m, []
+    for g in np.unique(places[np.isin(known, seeds.seeds[i])] // m).tolist():
+        lo, hi = max(0, g * m - reach), (g + 1) * m + reach
+        near = known[np.searchsorted(places, lo) : np.searchsorted(places, hi)]
+        near = np.sort(near)
+        held = np.searchsorted(near, seeds.words[i], "right") - np.searchsorted(near, seeds.words[i])
+        if np.minimum(held, seeds.many[i]).sum() < seeds.need[i]:
+            continue
+        if kept and lo <= kept[-1][1]:
+            kept[-1][1] = hi
+        else:
+            kept.append([lo, hi])
+    for lo, hi in kept:
+        for a in range(lo, min(hi, len(ids)), 1 << 16):  # long runs in overlapping pieces
+            yield ids[a : min(hi, a + (1 << 16) + reach)]
+
+
 def _matches(seeds: Seeds, text: str | None, least: float) -> Iterator[tuple[int, float]]:
     ids = seeds.ids(text)
-    at, which = seeds.hits(ids)
-    rare = seeds.rare[which]
-    at, which = at[rare], which[rare]
-    items = seeds.item[which]
-    for i in np.unique(items):
-        item, own = seeds.items[i], np.sort(at[items == i])
-        m, best = len(item), 0.0
-        cuts = np.flatnonzero(np.diff(own) > 4 * m) + 1
-        for part in np.split(own, cuts):
-            for a in range(int(part[0]), int(part[-1]) + 1, 1 << 16):  # long runs in overlapping pieces
-                b = min(int(part[-1]), a + (1 << 16))
-                best = max(best, aligned(item, ids[max(0, a - 2 * m) : b + 2 * m]))
+    items = seeds.candidates(ids)
+    places = np.flatnonzero(ids) if len(items) else items
+    for i in items.tolist():
+        best = max((aligned(seeds.items[i], p) for p in _passages(seeds, i, ids, places)), default=0.0)
         if best >= least:
-            yield int(i), best
+            yield i, best
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Seeds]:
+def _blocks(benchmark: DataFrame, least: float) -> Iterator[Seeds]:
     held = []
     for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
         if ws := words(r.text):
             held.append((r.item_id, ws))
         if len(held) >= BLOCK:
-            yield Seeds(held)
+            yield Seeds(held, least)
             held = []
     if held:
-        yield Seeds(held)
+        yield Seeds(held, least)
 
 
 def _document_frequency(docs: DataFrame, seeds: Seeds) -> np.ndarray:
+    """The number of documents that have each word of the items."""
     shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = shared.value
-        df = np.zeros(len(seeds.hash), np.int64)
+        df = np.zeros(len(seeds.numbers) + 1, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                df[np.unique(seeds.hits(seeds.ids(t))[1])] += 1
+                df[np.unique(seeds.ids(t))] += 1
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(df[met])], ["k", "n"])
 
-    df = np.zeros(len(seeds.hash), np.int64)
+    df = np.zeros(len(seeds.numbers) + 1, np.int64)
     for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         df[r.k] = r.n
     return df
@@ -158,14 +162,14 @@ def _document_frequency(docs: DataFrame, seeds: Seeds) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id, similarity): documents whose best alignment matches at least `least` of an item's words.
 
-    Every n-gram of GRAM words of an item (all its words, if fewer) is counted over all documents;
-    the rare ones seed, at least the rarer half of each item's. Where a document holds a seed, the
-    words around it are aligned with the item. Null or wordless texts and items match nothing. Each row of
+    An item's words are counted over all documents, and its rarest seed: as many as a match at `least`
+    can't do without (see Seeds). Where a document holds a seed and, around it, enough of the item's
+    words, these are aligned with the item, so no match is lost at any size of the input. Null or wordless texts and items match nothing. Each row of
     docs gives its own rows, repeated rows equal ones; items that repeat each give theirs. Empty tables give no rows. Items
     are read in blocks of BLOCK, each against all documents.
     """
     out, schema = None, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, similarity double"
-    for seeds in _blocks(benchmark):
+    for seeds in _blocks(benchmark, least):
         seeds.restrict(_document_frequency(docs, seeds))
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
