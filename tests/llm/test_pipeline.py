@@ -9,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 from test_queries_llm import brute_dedup
 
+from tidegauge.llm import shingles as shingles_module
 from tidegauge.llm.simhash import simhash
 
 VOWELS, HARD = "aeiou", "bcdfglmnprst"
@@ -87,3 +88,33 @@ def test_stages_match_plain_python(spark, tmp_path):
     assert sorted((r.doc_id, r.replica) for r in mixed.collect()) == sorted(want)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.replica, r.text) for r in whole.collect()) == sorted((r.doc_id, r.replica, r.text) for r in mixed.collect())
+
+
+def test_near_duplicates_are_those_of_true_similarity(spark, monkeypatch):
+    draw = np.random.default_rng(17)
+    texts = {0: "one two three", 1: "One  two three", 2: None, 3: " ", 4: "one two"}
+    footer = " ".join(prose(draw, 30))  # common shingles, in short texts most of them
+    for _ in range(40):
+        ws, at = prose(draw, int(draw.integers(20, 90))), len(texts)
+        texts[at] = " ".join(ws) + (" " + footer if at % 3 else "")
+        for edits in (1, 1, 2, 3, 4):
+            new = list(ws)
+            for k in draw.choice(len(ws), edits, replace=False):
+                new[k] = "edited" + str(len(texts))
+            texts[len(texts)] = " ".join(new) + (" " + footer if at % 3 else "")
+
+    def shingles(t):
+        ws = (t or "").lower().split()
+        return {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+
+    sets, root = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b])]
+    assert sum(((simhash(texts[a], 5) ^ simhash(texts[b], 5)) & (2**64 - 1)).bit_count() > 4 for a, b in links) > 5
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for common in (8, 0):
+        monkeypatch.setattr(shingles_module, "COMMON", common)
+        kept = corpus_pipeline.near_duplicate(spark, docs, "").collect()
+        assert sorted(r.doc_id for r in kept) == sorted(d for d in texts if root[d] == d)
