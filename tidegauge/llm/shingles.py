@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-#: One text in SAMPLE tells which shingles are common: those that more than COMMON of these have. They come last in every prefix.
-SAMPLE, COMMON = 8, 8
+#: One shingle set in SAMPLE tells which shingles are common: those that more than COMMON of these have, the
+#: MOST most common at most. They come last in every prefix; which they are changes the cost, never the result.
+SAMPLE, COMMON, MOST = 8, 1, 2_000_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -54,8 +55,9 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             h = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in b.column(0)] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
 
-    some = sets.where(F.pmod("key", F.lit(SAMPLE)) == 0).select("hashes")
-    t = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).toArrow()
+    some = sets.where(F.pmod("key", F.lit(SAMPLE)) == 0).dropDuplicates(["key"]).select("hashes")
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
+    t = counts.orderBy(F.desc("n"), "h").limit(MOST).toArrow()
     h, n = t.column("h").to_numpy().view(np.uint64), t.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -70,7 +72,7 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: Fraction
 
 
 def _postings(sets: DataFrame, least: Fraction) -> DataFrame:
-    """(h, key, size) for each shingle of each prefix."""
+    """(h, key, size, rest) for each shingle of each prefix; rest is how many shingles of the set are left with it."""
     shared = sets.sparkSession.sparkContext.broadcast(_common(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,28 +82,34 @@ def _postings(sets: DataFrame, least: Fraction) -> DataFrame:
             many = [len(x) for x in heads]
             h = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
             key, size = np.repeat(b.column(0).to_numpy(), many), np.repeat([len(s) for s in held], many).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(size, pa.int32())], ["h", "key", "size"])
+            rest = size - np.concatenate([*map(np.arange, many), np.zeros(0, np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(size, pa.int32()), pa.array(rest, pa.int32())], ["h", "key", "size", "rest"])
 
-    return sets.select("key", "hashes").mapInArrow(run, "h long, key long, size int")
+    return sets.select("key", "hashes").mapInArrow(run, "h long, key long, size int, rest int")
 
 
 def _pairs(postings: DataFrame, least: Fraction) -> DataFrame:
-    """Distinct (a, b), a < b: keys that share a shingle of both prefixes and whose sizes allow the similarity."""
+    """Distinct (a, b), a < b: keys that share a shingle of both prefixes, if what is left of both from it on allows the similarity.
 
-    def met(h: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    Each pair that has the similarity passes at the first shingle that it shares, which has all others behind it.
+    """
+    num, all_ = least.numerator, least.numerator + least.denominator
+
+    def met(h: np.ndarray, key: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])][: len(h)]
-        h, key, size = h[new], key[new], size[new]
+        h, key, size, rest = h[new], key[new], size[new], rest[new]
         left, d = np.arange(len(h)), 0
         while len(left):
             d += 1
             left = left[left + d < len(h)]
             left = left[(h[left] == h[left + d]) & (size[left] * least.denominator >= size[left + d] * least.numerator)]
-            if len(left):
-                a, b = key[left], key[left + d]
+            both = left[np.minimum(rest[left], rest[left + d]) * all_ >= (size[left] + size[left + d]) * num]
+            if len(both):
+                a, b = key[both], key[both + d]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         for b in batches:  # in order of h, then from the largest set
             held = [np.concatenate([x, y.to_numpy().astype(np.int64)]) for x, y in zip(held, b.columns)]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
