@@ -182,6 +182,19 @@ def test_language_rejects_noise_and_keeps_prose(spark):
     assert not any(got[k].rejected for k in range(40))
 
 
+def test_rare_languages_have_rejection_limits(spark):
+    draw = np.random.default_rng(2)
+    prose = lambda letters: " ".join("".join(draw.choice(list(letters), 5)) for _ in range(20))
+    rows = [(k, prose("abcdefgh"), "en") for k in range(3_000)] + [(5_000 + k, prose("ijklmnop"), "rare") for k in range(30)] + [(6_000 + k, prose("qrstu"), "two") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = docs.select("text", "lang", "doc_id")
+    model = langid.fit(learn)
+    assert np.isfinite(langid.limits(model, learn, 60)).all()
+    noise = spark.createDataFrame([(9_000, "iiii pppp ijij oooo " * 10 + "zxzx yvyv wzwz vxyz yxzw zzvv xwyx " * 20, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs.union(noise)).collect()}
+    assert got[9_000].rejected and not any(got[5_000 + k].rejected for k in range(30))
+
+
 def test_machine_scores_pairs_as_written_out():
     m = quality.FactorisationMachine(size=12, factors=3, seed=1)
     m.w, m.b = np.arange(12) / 10, 0.2
