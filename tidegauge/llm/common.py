@@ -1,15 +1,23 @@
-"""What the operators of this subpackage share: scans, and written cuts of a plan's lineage."""
+"""What the operators of this subpackage share: scans, written cuts of a plan's lineage, and models sent to tasks."""
 
 from __future__ import annotations
 
-import gc
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _OWN: list[str] = []
+_MADE: list[DataFrame] = []
+#: Removes a query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,38 +25,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. A temporary one only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tidegauge-"))
     return _OWN[0]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: its lineage ends at files every executor can read.
-
-    Spark removes shuffle files once the driver has dropped the plans that made them, which a
-    collection of its garbage brings about; so earlier steps' files are gone before this one writes.
-    """
+    """df written to the shared folder as Parquet and read again: its lineage ends at files every executor can read, and its shuffles are dropped."""
     spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/tidegauge-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
+    _MADE.append(out)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that `written` returned, once all that was made from it is written."""
-    spark = df.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that `written` returned, once all that was made from them is written."""
+    for df in frames:
+        _MADE[:] = [x for x in _MADE if x is not df]
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the files of what `written` returned inside it, but for the frames that are put into the list it gives."""
+    before, keep = list(_MADE), []
+    yield keep
+    discard(*[x for x in _MADE if not any(x is y for y in (*before, *keep))])
 
 
-def ascii_lower(col):
+def shared(spark: SparkSession, value: T) -> Callable[[], T]:
+    """A function that gives `value` inside tasks. Its classes travel by value, so executors need no package of ours; each task reads it once."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
+def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
