@@ -1,18 +1,19 @@
-"""Exact substring dedup by thresholded longest-previous-factor arrays over partitioned suffixes.
+"""Exact substring dedup by longest-previous-factor arrays, cut at a threshold, over partitioned suffixes.
 
 A byte goes if a `length`-byte string that covers it also starts in a document of smaller
-doc_id. For that, a position's longest previous factor only counts as reaching `length` or not:
-in suffix order, positions that share their first `length` bytes stand together, and the previous
-and next smaller documents of a position in such a run exist exactly if it isn't the run's
-smallest. So each run keeps its smallest document, found in one sort.
+doc_id: that is, if the longest previous factor at that string's start reaches `length`. In suffix order,
+suffixes that share their first `length` bytes stand together, tied by longest common prefixes of `length` or more; the
+previous or the next smaller document of a suffix inside such a run is an earlier match, and if there is neither, its
+longest previous factor is shorter. So the first copy keeps its bytes.
 
-Suffixes are cut down before they are sorted. Every window of `length` bytes has an anchor, its
+Suffixes are cut down and dealt out before they are sorted. Every window of `length` bytes has an anchor, its
 smallest `gram`-byte hash (leftmost if tied); equal windows have equal anchors at equal offsets.
   1. Anchor hashes are counted over all documents; those met once cannot repeat.
   2. Repeated anchors are joined back to their documents, as packed positions.
   3. Each such anchor's context (the windows that have it as their anchor) is cut from the text;
-     equal contexts collapse to their smallest document before the shuffle, then buckets of anchors
-     put their suffixes in order, one offset after another. Anchors with very many different
+     equal contexts collapse to their smallest document before the shuffle, then each bucket of anchors
+     puts its suffixes in order: those from the anchors on by their bytes, and those that start one byte further to the left
+     by that byte and the order before, which a stable sort of one byte gives. Anchors with very many different
      contexts are dealt out by window in place of by anchor.
   4. What repeats goes back to its document as positions, and its bytes are removed.
 """
@@ -35,7 +36,9 @@ GRAM = 16
 #: Window starts of a slice; their number must fit in the low 20 bits of a key.
 SLICE = 1 << 20
 #: Contexts in a bucket, and different contexts of one anchor beyond which it is dealt out by window.
-IN_BUCKET, HOT = 200_000, 50_000
+IN_BUCKET, HOT = 25_000, 50_000
+#: Parts that the copies of one text are dealt into.
+SALTS = 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -166,47 +169,48 @@ def contexts(found: DataFrame, length: int) -> DataFrame:
     return found.select("text", "doc_id", "rk", "pks").mapInArrow(run, "doc_id long, rk long, start long, lo byte, hi byte, ctx binary")
 
 
-def repeated_offsets(first, lo, hi, ctx: list[bytes], length: int) -> np.ndarray:
+def by_bytes(rows: np.ndarray) -> np.ndarray:
+    """The order of rows of bytes."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return np.lexsort(wide.view(">u8").astype(np.uint64).T[::-1])
+
+
+def earlier(rank: np.ndarray, tied: np.ndarray, far: int) -> np.ndarray:
+    """Of suffixes in order, given their documents' ranks (below far) and whether each is tied to the one before: whether its longest previous factor reaches the tie's length.
+
+    It does if a smaller document stands before it or after it in its run of ties: the previous and next smaller
+    values are running minima, which start anew in each run because runs are set apart by more than any document.
+    """
+    run = np.cumsum(~tied)
+    down, up = rank - run * far, rank + run * far
+    before = np.r_[np.iinfo(np.int64).max, np.minimum.accumulate(down)[:-1]]
+    after = np.r_[np.minimum.accumulate(up[::-1])[::-1][1:], np.iinfo(np.int64).max]
+    return (before < down) | (after < up)
+
+
+def repeated_offsets(first: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx: list[bytes], length: int) -> np.ndarray:
     """A bit mask for each context: of which offsets o the window also starts in a document smaller than `first`.
 
-    Contexts are put in order of `first`, so in a run of equal suffixes the first stands at its head. Equal windows hold
-    equal anchors at equal offsets, so offsets are taken one after another.
+    The window at offset o starts o bytes before the anchor. Suffixes are ordered from offset 0 up, each offset's from the one's before.
     """
-    n, left = len(first), length - GRAM
+    left, blank = length - GRAM, bytes(length)
     width = left + length
-    order = np.argsort(first, kind="stable")
-    text = np.zeros((n, width), np.uint8)
-    for r, i in enumerate(order.tolist()):
-        text[r, left - hi[i] : left - hi[i] + len(ctx[i])] = np.frombuffer(ctx[i], np.uint8)
-    first, lo, hi = first[order], lo[order], hi[order]
-    prefix, base = [np.zeros(n, np.uint64)], _M1
-    for c in np.ascontiguousarray(text.T):
-        prefix.append(prefix[-1] * base + c + np.uint64(1))
-    power = np.uint64(pow(int(base), length, 1 << 64))
-    mask = np.zeros(n, np.int64)
+    rows = b"".join([blank[: left - h] + c + blank[: length + h - len(c)] for h, c in zip(hi.tolist(), ctx)])
+    text = np.frombuffer(rows, np.uint8).reshape(-1, width)
+    mask, rank = np.zeros(len(text), np.int64), np.unique(first, return_inverse=True)[1].astype(np.int64)
+    order = by_bytes(text[:, left:])
     for o in range(left + 1):
-        rows = np.flatnonzero((lo <= o) & (hi >= o))
-        if len(rows) < 2:
+        if o:
+            order = order[hi[order] >= o]
+            order = order[np.argsort(text[order, left - o], kind="stable")]
+        own = order[lo[order] <= o]
+        if len(own) < 2:
             continue
-        s = left - o
-        key = _mixed(prefix[s + length][rows] - prefix[s][rows] * power)
-        suffixes = np.argsort(key, kind="stable")
-        sorted_key, rows = key[suffixes], rows[suffixes]
-        head = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-        heads = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
-        tied = np.flatnonzero(~head)
-        same = (text[rows[tied], s : s + length] == text[heads[tied], s : s + length]).all(axis=1)
-        if same.all():
-            hit = tied[first[rows[tied]] > first[heads[tied]]]
-        else:  # two suffixes share a hash: sort their bytes
-            cut = np.ascontiguousarray(text[rows, s : s + length]).view(f"V{length}").ravel()
-            by_rank = np.argsort(rows, kind="stable")
-            _, where, group = np.unique(cut[by_rank], return_index=True, return_inverse=True)
-            hit = by_rank[first[rows[by_rank]] > first[rows[by_rank]][where][group]]
-        mask[rows[hit]] |= np.int64(1) << np.int64(o)
-    out = np.zeros(n, np.int64)
-    out[order] = mask
-    return out
+        window = np.ascontiguousarray(text[own, left - o : left - o + length]).view(f"V{length}").ravel()
+        tied = np.r_[False, window[1:] == window[:-1]]
+        mask[own[earlier(rank[own], tied, len(text))]] |= np.int64(1) << np.int64(o)
+    return mask
 
 
 def _keys() -> list:
@@ -244,10 +248,12 @@ def _by_window(hot: DataFrame, length: int) -> DataFrame:
 
 
 def copies(keyed: DataFrame, length: int) -> DataFrame:
-    """rk of documents that are whole copies of a document of smaller doc_id."""
-    texts = keyed.where(F.octet_length("text") >= length).select("doc_id", "rk", F.md5("text").alias("digest"))
+    """(doc_id, rk) of documents that are whole copies of a document of smaller doc_id; the copies of one text are joined in SALTS parts."""
+    salt = F.pmod(F.xxhash64("rk"), F.lit(SALTS)).cast("int")
+    texts = keyed.where(F.octet_length("text") >= length).select("doc_id", "rk", F.md5("text").alias("digest"), salt.alias("salt"))
     first = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return texts.join(first, "digest").where("doc_id > first").select("rk").distinct()
+    parts = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return texts.join(parts, ["digest", "salt"]).where("doc_id > first").select("doc_id", "rk").distinct()
 
 
 def _placed(kept: DataFrame, whole: DataFrame, length: int) -> tuple[DataFrame, int]:
@@ -255,7 +261,7 @@ def _placed(kept: DataFrame, whole: DataFrame, length: int) -> tuple[DataFrame,
     counts = written(anchor_counts(kept, length).where("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     positions = anchor_positions(kept, length).join(counts.select("h"), "h", "left_semi")
-    placed = written(positions.groupBy("rk").agg(F.collect_list("pk").alias("pks")).join(whole, "rk", "left_anti"))
+    placed = written(positions.groupBy("rk").agg(F.collect_list("pk").alias("pks")).join(whole.select("rk"), "rk", "left_anti"))
     discard(counts)
     return placed, total
 
@@ -275,17 +281,17 @@ def _shared(distinct: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _hits(met: DataFrame, shared: DataFrame) -> DataFrame:
-    """(rk, hits): bit j of a hit's offsets is the window that starts at start + last - j."""
+    """(doc_id, rk, hits): bit j of a hit's offsets is the window that starts at start + last - j."""
     hits = met.select("doc_id", "rk", "start", "lo", "hi", *_keys())
     every, own = F.expr("shiftleft(1L, hi - lo + 1) - 1L"), F.expr("shiftright(mask, lo)")
     offsets = F.when(F.col("doc_id") > F.col("first"), every).otherwise(own)
     last = (F.col("hi") - F.col("lo")).cast("long").alias("last")
-    hits = hits.join(shared, ["c1", "c2"]).select("rk", F.struct("start", last, offsets.alias("offsets")).alias("hit"))
-    return hits.where("hit.offsets <> 0").groupBy("rk").agg(F.collect_list("hit").alias("hits"))
+    hits = hits.join(shared, ["c1", "c2"]).select("doc_id", "rk", F.struct("start", last, offsets.alias("offsets")).alias("hit"))
+    return hits.where("hit.offsets <> 0").groupBy("doc_id", "rk").agg(F.collect_list("hit").alias("hits"))
 
 
 def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
-    """(rk, hits): for documents (doc_id, text, rk), the window starts that repeat an earlier document; of whole copies a hit with last -1."""
+    """(doc_id, rk, hits): for documents (doc_id, text, rk), the window starts that repeat an earlier document; of whole copies a hit with last -1."""
     kept = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     whole = written(copies(kept, length))
     placed, total = _placed(kept, whole, length)
@@ -296,9 +302,8 @@ def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
     discard(distinct)
     zero = F.lit(0).cast("long")
     all_of = F.array(F.struct(zero.alias("start"), F.lit(-1).cast("long").alias("last"), zero.alias("offsets")))
-    hits = written(_hits(met, shared).union(whole.select("rk", all_of)))
-    for step in (met, shared, whole):
-        discard(step)
+    hits = written(_hits(met, shared).union(whole.select("doc_id", "rk", all_of)))
+    discard(met, shared, whole)
     return hits
 
 
@@ -331,11 +336,11 @@ def dedup_substrings(docs: DataFrame, length: int = 50, characters: bool = False
     """
     if not GRAM < length <= 50:
         raise ValueError("length must be 17 to 50")
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "_rk", "_hits")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "_id", "_rk", "_hits")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("rk"))
-    found = repeated_windows(keyed, length).select(F.col("rk").alias("_rk"), F.col("hits").alias("_hits"))
-    joined = docs.withColumn("_rk", key).join(found, "_rk", "left").drop("_rk")
+    found = repeated_windows(keyed, length).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), F.col("hits").alias("_hits"))
+    joined = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_rk": key}).join(found, ["_id", "_rk"], "left").drop("_id", "_rk")
     names = [c for c in joined.columns if c != "_hits"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
