@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared, table
 from .langid import crc_fold, least_hashes
 
 #: Features: hashed words, then structure and metadata bins.
@@ -151,16 +151,17 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, metadata:
     repeat are each scored, to equal scores; an empty table stays empty.
     """
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent()
         for b in batches:
             p = []
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                p.append(np.full(part.num_rows, 0.5) if shared.value is None else shared.value.score(list(_rows(part, metadata))))
+                p.append(np.full(part.num_rows, 0.5) if model is None else model.score(list(_rows(part, metadata))))
             p = np.concatenate(p) if p else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= cut).astype(np.int32))], [*names, "score", "predicted"])
 
@@ -171,11 +172,11 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "qu
     """score_quality of docs under a model trained on the rows of docs that `labels` (doc_id, label) marks and where `learn` holds.
 
     Labelled ids are joined and sampled without their texts; the sample, of 2 x TRAIN_ROWS ids at most, is
-    broadcast to fetch them.
+    broadcast to fetch them. A null doc_id is never labelled; of a doc_id that is labelled several times the greatest label counts.
     """
     marked = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
     ids = least_hashes(docs.where(learn).select("doc_id").distinct().join(marked, "doc_id"), TRAIN_ROWS)
-    labelled = docs.where(learn).join(F.broadcast(ids), "doc_id").select("doc_id", "text", *metadata, "_label")
+    labelled = docs.where(learn).select("doc_id", "text", *metadata).join(F.broadcast(ids), "doc_id")
     return score_quality(docs, train(labelled, "_label", metadata), metadata)
 
 
