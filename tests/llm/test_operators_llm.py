@@ -117,7 +117,7 @@ def test_thresholds_cover_the_radius():
     both = np.full((64, 64), 25.0)
     np.fill_diagonal(both, 50.0)
     for tau in (0, 2, 4, 6):
-        assert sum(t + 1 for _, t in simhash.allocate(100, both, tau)) == tau + 1
+        assert sum(t + 1 for _, t in simhash.allocate(100, both, np.arange(5000, dtype=np.uint64) ** np.uint64(4), tau)) == tau + 1
 
 
 @pytest.mark.parametrize("length", [50, 20])
@@ -223,5 +223,5 @@ def test_mixing_joins_large_rates_in_parts(spark, monkeypatch):
     rows = [(i if i % 7 else None, None if i % 5 == 0 else "hot" if i % 3 else "cold", f"t{i}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     by_broadcast = sorted(map(str, mixing.poisson_mix(docs).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_VALUES", -1)
+    monkeypatch.setattr(mixing, "SOURCES", -1)
     assert by_broadcast and sorted(map(str, mixing.poisson_mix(docs).collect())) == by_broadcast

@@ -20,6 +20,21 @@ def prose(draw, n):
     return [word() for _ in range(n)]
 
 
+def groups(texts):
+    """doc_id -> the smallest doc_id reachable over links of Jaccard similarity 0.8 or more on five-word shingles."""
+
+    def shingles(t):
+        ws = (t or "").lower().split()
+        return {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+
+    sets, root = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def test_stages_match_plain_python(spark, tmp_path):
     draw = np.random.default_rng(11)
     base = [prose(draw, int(n)) for n in draw.integers(80, 160, 60)]
@@ -48,12 +63,7 @@ def test_stages_match_plain_python(spark, tmp_path):
     assert now(docs) == left
 
     docs = step("near_duplicate", docs)
-    fps, root = {d: simhash(t, 5) for d, t in left.items()}, {d: d for d in left}
-    for _ in left:  # smallest ids spread over links
-        for a in left:
-            for b in left:
-                if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 4:
-                    root[a] = min(root[a], root[b])
+    root = groups(left)
     left = {d: t for d, t in left.items() if root[d] == d}
     assert now(docs) == left and 100 not in left and 101 not in left and len(left) == 60
 
@@ -77,7 +87,7 @@ def test_stages_match_plain_python(spark, tmp_path):
     sizes = {s: sum(source[d] == s for d in cut) for s in ("big", "rare")}
     want = []
     for d in cut:
-        u, rate, k = int(hashlib.md5(f"7:{d}".encode()).hexdigest()[:13], 16) / 2**52, 0.5 * len(cut) / sizes[source[d]], 0
+        u, rate, k = int(hashlib.md5(f"7:{d}:{cut[d]}".encode()).hexdigest()[:13], 16) / 2**52, 0.5 * len(cut) / sizes[source[d]], 0
         p = total = math.exp(-rate)
         while total <= u:
             k += 1
@@ -103,18 +113,41 @@ def test_near_duplicates_are_those_of_true_similarity(spark, monkeypatch):
                 new[k] = "edited" + str(len(texts))
             texts[len(texts)] = " ".join(new) + (" " + footer if at % 3 else "")
 
-    def shingles(t):
-        ws = (t or "").lower().split()
-        return {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
-
-    sets, root = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
-    links = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b])]
-    assert sum(((simhash(texts[a], 5) ^ simhash(texts[b], 5)) & (2**64 - 1)).bit_count() > 4 for a, b in links) > 5
-    for _ in texts:
-        for a, b in links:
-            root[a] = root[b] = min(root[a], root[b])
+    root = groups(texts)
+    far = [d for d in texts if root[d] != d and ((simhash(texts[d], 5) ^ simhash(texts[root[d]], 5)) & (2**64 - 1)).bit_count() > 4]
+    assert len(far) > 5
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for common in (8, 0):
+    for common, paired in ((8, 64), (0, 1)):  # the second links nearly all through pivots
         monkeypatch.setattr(shingles_module, "COMMON", common)
+        monkeypatch.setattr(shingles_module, "PAIRED", paired)
         kept = corpus_pipeline.near_duplicate(spark, docs, "").collect()
         assert sorted(r.doc_id for r in kept) == sorted(d for d in texts if root[d] == d)
+
+
+def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and ids, clashing columns, and an empty table."""
+    draw = np.random.default_rng(4)
+    text = [" ".join(prose(draw, 60)) for _ in range(14)]
+    item = " ".join(prose(draw, 20))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, kept string, hashes string, none string, tests string"
+    tail = (0.5, "r", "k", "h", "n", "t")
+    rows = [(k, t, "en", "web", len(t), *tail) for k, t in enumerate(text[:10])]
+    rows += [rows[1], (1, text[10], "en", None, None, *tail), (None, text[11], None, "web", 1, *tail), (None, text[12], None, "web", 1, *tail), (None, text[2], "en", "web", 1, *tail)]
+    rows += [(20, None, None, None, None, *[None] * 6), (21, "", "en", "web", 0, *tail), (22, " \n", "en", "web", 2, *tail), (2, text[13] + " " + item, "en", "web", 9, *tail)]
+    spark.createDataFrame([("a", item), (None, item), ("b", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    step = lambda name, df: corpus_pipeline.written(stages[name](spark, df, str(tmp_path)))
+    bag = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    want = lambda keep: sorted((str(r[0]), str(r[1])) for r in rows if keep(r))
+    lettered = lambda r: bool((r[1] or "").strip())
+    out = {name: step(name, docs) for name in stages}
+    assert bag(out["language"]) == want(lettered)
+    # of the texts without words the smallest id stays; the copy without an id goes
+    assert bag(out["near_duplicate"]) == want(lambda r: (lettered(r) or r[0] == 20) and not (r[0] is None and r[1] == text[2]))
+    assert bag(out["repeated_passages"]) == want(lambda r: True)  # only equal ids and null ids repeat each other
+    assert bag(out["decontaminated"]) == want(lambda r: not (r[1] or "").endswith(item))
+    assert {"rate", "copies", "replica", "shuffle_key"} <= set(out.pop("mixed").columns)
+    for df in out.values():
+        assert df.columns == docs.columns and [f.dataType for f in df.schema] == [f.dataType for f in docs.schema]
+    assert all(stage(spark, docs.where("false"), str(tmp_path)).isEmpty() for stage in stages.values())

@@ -1,4 +1,10 @@
-"""Near-duplicates by the true Jaccard similarity of word shingles: prefix filter, then a check of each pair."""
+"""SimHash near-duplicates held to a true Jaccard similarity of word shingles, and completed to all pairs that have it.
+
+Sixty-four bits can't tell a similarity of 0.8: fingerprints of such texts differ by ten bits or so, which no
+partition of 64 bits can be probed for. So fingerprints within a few bits, which link most near copies at
+little cost, are candidates whose shingles are compared; what they leave apart is searched for by the
+shingles themselves. Two sets of the similarity share a shingle among the first of either, in one order of all shingles.
+"""
 
 from __future__ import annotations
 
@@ -11,40 +17,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, shared, written
 from .components import components
+from .simhash import fingerprint, near_links, shingle_hashes
 
 #: One shingle set in SAMPLE tells which shingles are common: those that more than COMMON of these have, the
 #: MOST most common at most. They come last in every prefix; which they are changes the cost, never the result.
 SAMPLE, COMMON, MOST = 8, 1, 2_000_000
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct XXH64 values of the `width`-word shingles, of all words if there are fewer; empty without words.
-
-    A-Z are lower-cased and words split at ASCII white space, as for fingerprints.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - width + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist())], np.uint64))
+#: Sets that share a leading shingle are paired with each other up to this many; more are linked through pivots, in so many rounds, before pairs are made.
+PAIRED, ROUNDS = 64, 4
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, hashes): the shingle set's bytes, and a hash that names it."""
+    """(doc_id, key, fp, hashes): the shingle set's bytes, a 128-bit hash that names it, and its text's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), width).tobytes() for t in b.column(1)]
-            key = np.array([xxhash.xxh64_intdigest(s, 1) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array(sets, pa.binary())], ["doc_id", "key", "hashes"])
+            every = [shingle_hashes(t.as_py(), width) for t in b.column(1)]
+            sets = [np.unique(h).tobytes() for h in every]
+            columns = [b.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(map(fingerprint, every), pa.int64()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, hashes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, fp long, hashes binary")
 
 
 def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +49,7 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             h = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in b.column(0)] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
 
-    some = sets.where(F.pmod("key", F.lit(SAMPLE)) == 0).dropDuplicates(["key"]).select("hashes")
+    some = sets.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).dropDuplicates(["key"]).select("hashes")
     counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
     t = counts.orderBy(F.desc("n"), "h").limit(MOST).toArrow()
     h, n = t.column("h").to_numpy().view(np.uint64), t.column("n").to_numpy()
@@ -73,56 +67,39 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: Fraction
 
 def _postings(sets: DataFrame, least: Fraction) -> DataFrame:
     """(h, key, size, rest) for each shingle of each prefix; rest is how many shingles of the set are left with it."""
-    shared = sets.sparkSession.sparkContext.broadcast(_common(sets))
+    sent = shared(sets.sparkSession, _common(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent()
         for b in batches:
             held = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(1)]
-            heads = [prefix(s, shared.value, least) for s in held]
+            heads = [prefix(s, common, least) for s in held]
             many = [len(x) for x in heads]
             h = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
-            key, size = np.repeat(b.column(0).to_numpy(), many), np.repeat([len(s) for s in held], many).astype(np.int32)
+            at = np.repeat(np.arange(len(held)), many)
+            size = np.array([len(s) for s in held], np.int32)[at] if len(held) else np.zeros(0, np.int32)
             rest = size - np.concatenate([*map(np.arange, many), np.zeros(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(size, pa.int32()), pa.array(rest, pa.int32())], ["h", "key", "size", "rest"])
-
-    return sets.select("key", "hashes").mapInArrow(run, "h long, key long, size int, rest int")
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(at)), pa.array(size, pa.int32()), pa.array(rest, pa.int32())], ["h", "key", "size", "rest"])
 
+    return sets.select("key", "hashes").mapInArrow(run, "h long, key binary, size int, rest int").distinct()
 
-def _pairs(postings: DataFrame, least: Fraction) -> DataFrame:
-    """Distinct (a, b), a < b: keys that share a shingle of both prefixes, if what is left of both from it on allows the similarity.
 
-    Each pair that has the similarity passes at the first shingle that it shares, which has all others behind it.
-    """
-    num, all_ = least.numerator, least.numerator + least.denominator
-
-    def met(h: np.ndarray, key: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])][: len(h)]
-        h, key, size, rest = h[new], key[new], size[new], rest[new]
-        left, d = np.arange(len(h)), 0
-        while len(left):
-            d += 1
-            left = left[left + d < len(h)]
-            left = left[(h[left] == h[left + d]) & (size[left] * least.denominator >= size[left + d] * least.numerator)]
-            both = left[np.minimum(rest[left], rest[left + d]) * all_ >= (size[left] + size[left + d]) * num]
-            if len(both):
-                a, b = key[both], key[both + d]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _allowed(least: Fraction):
+    """Whether rows x and y of one shingle can have the similarity by their sizes, and by what is left of both from it on; all that have it pass at the first shingle they share."""
+    num, den = least.numerator, least.denominator
+    a, b, left = F.col("x.size"), F.col("y.size"), F.least("x.rest", "y.rest")
+    return (F.least(a, b) * den >= F.greatest(a, b) * num) & (left * (num + den) >= (a + b) * num)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-        for b in batches:  # in order of h, then from the largest set
-            held = [np.concatenate([x, y.to_numpy().astype(np.int64)]) for x, y in zip(held, b.columns)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            yield from met(*(x[:cut] for x in held))
-            held = [x[cut:] for x in held]
-        yield from met(*held)
 
-    dealt = postings.repartition("h").sortWithinPartitions("h", F.desc("size"), "key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _met(x: DataFrame, y: DataFrame, least: Fraction, and_also: str) -> DataFrame:
+    """Distinct (a, b), a < b, of rows x and y that share a shingle and can have the similarity."""
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & _allowed(least) & F.expr(and_also))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs whose sets have the similarity."""
+def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, written."""
+    pairs = written(pairs)
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     own = written(sets.join(keys, "key", "left_semi").select("key", "hashes").dropDuplicates(["key"]))
     first = own.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
@@ -137,24 +114,77 @@ def _links(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
                 ok[k] = both * least.denominator >= (len(x) + len(y) - both) * least.numerator
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in r.columns[:2]], ["a", "b"])
 
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = written(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"))
+    discard(pairs, own)
+    return out
+
+
+def _by_fingerprint(rows: DataFrame, tau: int) -> DataFrame:
+    """(a, b): keys of one fingerprint, each with the least of them, and those least keys where fingerprints are within tau bits."""
+    keys = rows.where(F.length("hashes") > 0).select("key", "fp").distinct()
+    fps = written(keys.groupBy("fp").agg(F.min("key").alias("head")))
+    same = keys.join(fps, "fp").where("key <> head").select("head", "key")
+    near = near_links(fps.select("fp"), tau)
+    near = near.join(fps.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    both = same.union(near.select("x", "y")).toDF("x", "y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
 
+def _grouped(heavy: DataFrame, links: DataFrame) -> DataFrame:
+    """heavy with each key's component over the links so far (itself without one), but for shingles all of whose keys are in one."""
+    found = components(links).withColumnRenamed("node", "key")
+    named = heavy.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    apart = named.groupBy("h").agg((F.min("component") < F.max("component")).alias("apart")).where("apart").select("h")
+    return written(named.join(apart, "h"))
 
-def similar_groups(docs: DataFrame, width: int = 5, least: str = "0.8") -> DataFrame:
-    """(doc_id, component_id) for each row of docs (doc_id, text): the smallest doc_id reachable over links.
+
+def _completed(links: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """links and more, so that all pairs of sets that have the similarity are connected.
+
+    Shingles that lead up to PAIRED sets give their pairs. Of those that lead more, each round compares one set, chosen
+    by hash, with all others, which links most of a group of near copies; then only sets that are still in different components are paired.
+    """
+    postings = written(_postings(sets, least))
+    hot = written(postings.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("h"))
+    light = postings.join(hot, "h", "left_anti")
+    links = written(links.union(_verified(_met(light, light, least, "x.key < y.key"), sets, least)))
+    heavy = written(postings.join(hot, "h", "left_semi"))
+    discard(postings, hot)
+    if heavy.isEmpty():
+        return links
+    for k in range(ROUNDS):
+        now = _grouped(heavy, links)
+        if now.isEmpty():
+            return links
+        pivot = now.groupBy("h").agg(F.min_by(F.struct("key", "size", "rest", "component"), F.xxhash64(F.lit(k), "key")).alias("p")).select("h", "p.*")
+        more = _verified(_met(now, pivot, least, "x.component <> y.component"), sets, least)
+        links = written(links.union(more))
+        discard(now, more)
+    now = _grouped(heavy, links)
+    sizes = now.groupBy("h", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("h").agg(F.max_by("component", "n").alias("largest"))
+    marked = written(now.join(largest, "h").withColumn("minor", F.col("component") != F.col("largest")).drop("largest"))
+    rest = _met(marked.where("minor"), marked, least, "x.component <> y.component and (not y.minor or x.key < y.key)")
+    links = written(links.union(_verified(rest, sets, least)))
+    discard(heavy, now, marked)
+    return links
+
+
+def similar_groups(docs: DataFrame, width: int = 5, least: str = "0.8", tau: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs (doc_id, text): the smallest doc_id reachable over links.
 
     Texts link where the Jaccard similarity of their `width`-word shingles is `least` (a decimal number
-    above 0) or more: all such pairs and no others. Texts of one shingle set, or without words, are one. A
-    null doc_id gets a component but never names one while it has another id. The pairs to check
-    share a shingle of both prefixes, so many near copies of one text cost the square of their number.
+    above 0) or more; all such pairs are connected and no others are links. Fingerprints within tau bits (an even number) are compared
+    first. Texts of one shingle set, or without words, are one. A null doc_id gets a component but never names one while it has
+    another id; an empty table gives an empty result.
     """
     part = Fraction(least)
     rows = written(_sets(docs, width))
     keys = written(rows.groupBy("key").agg(F.min("doc_id").alias("least")))
     sets = rows.where(F.length("hashes") > 0)
-    pairs = written(_pairs(_postings(sets, part), part))
-    groups = components(written(_links(pairs, sets, part)))
+    links = _completed(_verified(_by_fingerprint(rows, tau), sets, part), sets, part)
+    groups = components(links)
     named = keys.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = named.select("key", "component").join(ids, "component").select("key", "component_id")
-    return rows.select("doc_id", "key").join(by_key, "key").select("doc_id", "component_id")
+    return rows.select("doc_id", "key", "fp").join(by_key, "key").select("doc_id", "fp", "component_id")

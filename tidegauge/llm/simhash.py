@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,30 +16,40 @@ from .common import table, written
 from .components import components
 
 BITS = 64
+#: Fingerprints, about, of which pairs are sampled to estimate candidates.
+SAMPLE = 1_500
 #: Buckets of more fingerprints than the first are linked as a forest, in one task each; those that more than the second probe, through shared neighbours.
 BUCKET, GROUP = 64, 20_000
 
 
-def simhash(text: str | None, width: int, seed: int = 42) -> int:
-    """64-bit fingerprint of the `width`-word shingles, repeats included; as a signed integer.
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 values of the `width`-word shingles, repeats included.
 
     A-Z are lower-cased and words split at ASCII white space. Fewer words than `width` make one
-    shingle of them all; no words (or null) make fingerprint zero. A bit is set if over half of
-    the shingles' XXH64 values have it.
+    shingle of them all; no words (or null) make none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
-    lo, hi = starts[:n].tolist(), ends[len(words) - n :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(lo[at : at + (1 << 16)], hi[at : at + (1 << 16)])], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist())), np.uint64, n)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is set if over half of the hashes have it; zero for none. As a signed integer."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def simhash(text: str | None, width: int, seed: int = 42) -> int:
+    return fingerprint(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
@@ -98,35 +109,40 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def estimated_cost(n: int, p: np.ndarray, bits: list[int], radius: int) -> float:
-    """Rows that a partition costs if probed within `radius`: probes, and candidate pairs estimated from its bits' marginals."""
-    if radius < 0:
-        return 0.0
-    at = np.zeros(radius + 1)  # probability of each distance
-    at[0] = 1
-    for b in bits:
-        r = 2 * p[b] * (1 - p[b])
-        at[1:] = at[1:] * (1 - r) + at[:-1] * r
-        at[0] *= 1 - r
-    ball = sum(len(list(itertools.combinations(bits, d))) for d in range(radius + 1))
-    return n * ball + n * n * float(at.sum())
+def sampled_pairs(fps: DataFrame, n: int) -> np.ndarray:
+    """The differing bits of each two of a sample of about SAMPLE fingerprints, those of least hash, twice as many at most. It steers cost, never the result."""
+    share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 40))
+    some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < share).limit(2 * SAMPLE).toArrow()
+    x = some.column("fp").to_numpy().view(np.uint64)
+    i, j = np.triu_indices(len(x), 1)
+    return x[i] ^ x[j]
+
 
+def estimated_costs(n: int, apart: np.ndarray, bits: list[int], most: int) -> dict[int, float]:
+    """For each radius from -1 (not probed) to `most`, the rows that a partition costs: probes, and candidate pairs estimated from how sampled pairs differ in its bits."""
+    differ = np.bitwise_count(apart & np.uint64(sum(1 << b for b in bits)))
+    near = np.cumsum(np.bincount(differ, minlength=most + 1))
+    balls = itertools.accumulate(math.comb(len(bits), d) for d in range(most + 1))
+    n = max(n, 1)
+    return {-1: 0.0} | {r: n * ball + n * n * (int(near[r]) + 1) / (len(apart) + 1) for r, ball in enumerate(balls)}
 
-def allocate(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
+
+def allocate(n: int, both: np.ndarray, apart: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
     """Partitions and their thresholds t >= -1 with sum(t + 1) = tau + 1, of least estimated cost.
 
     Two fingerprints within tau bits differ by at most t in some partition. Thresholds come from
     dynamic programming over partitions; the number of partitions is the cheapest of 2 to tau + 1.
     """
-    p, best = np.diag(both) / max(n, 1), None
+    best = None
     for parts in range(2 if tau else 1, tau + 2):
         groups = group_bits(n, both, parts)
         plans: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
+            costs = estimated_costs(n, apart, g, tau)
             grown: dict[int, tuple[float, list[int]]] = {}
             for used, (cost, ts) in plans.items():
                 for t in range(-1, tau - used + 1):
-                    c = cost + estimated_cost(n, p, g, t)
+                    c = cost + costs[t]
                     if used + t + 1 not in grown or c < grown[used + t + 1][0]:
                         grown[used + t + 1] = (c, [*ts, t])
             plans = grown
@@ -192,7 +208,7 @@ def near_links(fps: DataFrame, tau: int, bucket: int = BUCKET, group: int = GROU
     if tau % 2:
         raise ValueError("tau must be even")
     n, both = bit_statistics(fps)
-    plan = [(k, bits, t) for k, (bits, t) in enumerate(allocate(n, both, tau)) if t >= 0]
+    plan = [(k, bits, t) for k, (bits, t) in enumerate(allocate(n, both, sampled_pairs(fps, n), tau)) if t >= 0]
     masks = F.array(*[F.struct(F.lit(k).alias("part"), F.lit(_signed(sum(1 << b for b in bits))).alias("mask")) for k, bits, _ in plan])
     index = fps.select("fp", F.explode(masks).alias("m")).select("m.part", F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp")
     full = written(index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("part", "key"))
@@ -216,17 +232,23 @@ def near_links(fps: DataFrame, tau: int, bucket: int = BUCKET, group: int = GROU
     return links.union(grouped).union(_neighbour_links(met.join(huge, ["part", "key"], "left_semi").select("fp").distinct(), tau))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 2, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 2, seed: int = 42, least: str | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs, of columns doc_id and text.
 
-    Documents link where fingerprints of `width`-word shingles differ by at most tau bits;
+    Documents link where fingerprints of `width`-word shingles differ by at most tau bits (an even number);
     component_id is the smallest doc_id reachable over links. Equal fingerprints (copies, ties, repeated rows, all
     texts without words) are collapsed to one first. A null doc_id gets a component but never names one
-    while the component has another id. An empty table gives an empty result.
+    while the component has another id. An empty table gives an empty result. With `least` (a decimal number, and seed 42), texts
+    link where the Jaccard similarity of their shingles is that or more, all of them: see shingles.similar_groups.
     """
+    if least is not None:
+        from .shingles import similar_groups
+
+        return similar_groups(docs, width, least, tau)
     rows = written(fingerprints(docs, width, seed))
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(written(near_links(fps.select("fp"), tau)))
+    links = written(near_links(fps.select("fp"), tau))
+    groups = components(links)
     named = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "component").join(least, "component").select("fp", "component_id")
