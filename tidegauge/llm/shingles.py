@@ -26,13 +26,19 @@ from .simhash import fingerprint, near_links, shingle_hashes
 SAMPLE, COMMON, MOST = 8, 1, 2_000_000
 #: Sets that share a leading shingle are paired with each other up to this many; more are linked through pivots, in so many rounds, before pairs are made.
 PAIRED, ROUNDS = 64, 4
+#: Rows whose shingles a task holds at once.
+ROWS = 1_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, key, fp, hashes): the shingle set's bytes, a 128-bit hash that names it, and its text's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             every = [shingle_hashes(t.as_py(), width) for t in b.column(1)]
             sets = [np.unique(h).tobytes() for h in every]
             columns = [b.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(map(fingerprint, every), pa.int64()), pa.array(sets, pa.binary())]
@@ -45,11 +51,11 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of common shingles, and how many sampled sets have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             h = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in b.column(0)] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
 
-    some = sets.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).dropDuplicates(["key"]).select("hashes")
+    some = sets.where(F.pmod("k", F.lit(SAMPLE)) == 0).dropDuplicates(["key"]).select("hashes")
     counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
     t = counts.orderBy(F.desc("n"), "h").limit(MOST).toArrow()
     h, n = t.column("h").to_numpy().view(np.uint64), t.column("n").to_numpy()
@@ -66,22 +72,21 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: Fraction
 
 
 def _postings(sets: DataFrame, least: Fraction) -> DataFrame:
-    """(h, key, size, rest) for each shingle of each prefix; rest is how many shingles of the set are left with it."""
+    """(h, k, size, rest) for each shingle of each prefix; rest is how many shingles of the set are left with it."""
     sent = shared(sets.sparkSession, _common(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent()
-        for b in batches:
+        for b in _slices(batches):
             held = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(1)]
             heads = [prefix(s, common, least) for s in held]
             many = [len(x) for x in heads]
-            h = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
-            at = np.repeat(np.arange(len(held)), many)
-            size = np.array([len(s) for s in held], np.int32)[at] if len(held) else np.zeros(0, np.int32)
-            rest = size - np.concatenate([*map(np.arange, many), np.zeros(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(at)), pa.array(size, pa.int32()), pa.array(rest, pa.int32())], ["h", "key", "size", "rest"])
+            size = np.repeat([len(s) for s in held], many).astype(np.int32)
+            rest = size - np.concatenate([np.arange(n) for n in many]).astype(np.int32)
+            columns = [np.concatenate(heads).view(np.int64), np.repeat(b.column(0).to_numpy(), many), size, rest]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "k", "size", "rest"])
 
-    return sets.select("key", "hashes").mapInArrow(run, "h long, key binary, size int, rest int").distinct()
+    return sets.select("k", "hashes").mapInArrow(run, "h long, k long, size int, rest int")
 
 
 def _allowed(least: Fraction):
@@ -94,36 +99,36 @@ def _allowed(least: Fraction):
 def _met(x: DataFrame, y: DataFrame, least: Fraction, and_also: str) -> DataFrame:
     """Distinct (a, b), a < b, of rows x and y that share a shingle and can have the similarity."""
     pairs = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & _allowed(least) & F.expr(and_also))
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    return pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).where("a < b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, written."""
+    """(a, b): keys of the sets of pairs (a, b) of k that have the similarity, written. Sets that share a k are each compared."""
     pairs = written(pairs)
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    own = written(sets.join(keys, "key", "left_semi").select("key", "hashes").dropDuplicates(["key"]))
-    first = own.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
-    second = own.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
+    ks = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    own = written(sets.join(ks, "k", "left_semi").select("k", "key", "hashes").dropDuplicates(["key"]))
+    first = own.select(F.col("k").alias("a"), F.col("key").alias("key_a"), F.col("hashes").alias("x"))
+    second = own.select(F.col("k").alias("b"), F.col("key").alias("key_b"), F.col("hashes").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
+        for r in _slices(batches):
             ok = np.zeros(r.num_rows, bool)
-            for k, (x, y) in enumerate(zip(r.column(2), r.column(3))):
+            for i, (x, y) in enumerate(zip(r.column(2), r.column(3))):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = both * least.denominator >= (len(x) + len(y) - both) * least.numerator
+                ok[i] = both * least.denominator >= (len(x) + len(y) - both) * least.numerator
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in r.columns[:2]], ["a", "b"])
 
-    out = written(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"))
+    out = written(pairs.join(first, "a").join(second, "b").select("key_a", "key_b", "x", "y").mapInArrow(run, "a binary, b binary"))
     discard(pairs, own)
     return out
 
 
-def _by_fingerprint(rows: DataFrame, tau: int) -> DataFrame:
-    """(a, b): keys of one fingerprint, each with the least of them, and those least keys where fingerprints are within tau bits."""
-    keys = rows.where(F.length("hashes") > 0).select("key", "fp").distinct()
-    fps = written(keys.groupBy("fp").agg(F.min("key").alias("head")))
-    same = keys.join(fps, "fp").where("key <> head").select("head", "key")
+def _by_fingerprint(sets: DataFrame, tau: int) -> DataFrame:
+    """(a, b): k of one fingerprint, each with the least of them, and those least ones where fingerprints are within tau bits."""
+    ks = sets.select("k", "fp").distinct()
+    fps = written(ks.groupBy("fp").agg(F.min("k").alias("head")))
+    same = ks.join(fps, "fp").where("k <> head").select("head", "k")
     near = near_links(fps.select("fp"), tau)
     near = near.join(fps.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     both = same.union(near.select("x", "y")).toDF("x", "y")
@@ -131,9 +136,9 @@ def _by_fingerprint(rows: DataFrame, tau: int) -> DataFrame:
 
 
 def _grouped(heavy: DataFrame, links: DataFrame) -> DataFrame:
-    """heavy with each key's component over the links so far (itself without one), but for shingles all of whose keys are in one."""
-    found = components(links).withColumnRenamed("node", "key")
-    named = heavy.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    """heavy with each k's component over the links so far (its own without one), but for shingles all of whose sets are in one."""
+    found = components(links).select(F.xxhash64("node").alias("k"), F.xxhash64("component").alias("component"))
+    named = heavy.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
     apart = named.groupBy("h").agg((F.min("component") < F.max("component")).alias("apart")).where("apart").select("h")
     return written(named.join(apart, "h"))
 
@@ -145,18 +150,18 @@ def _completed(links: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     by hash, with all others, which links most of a group of near copies; then only sets that are still in different components are paired.
     """
     postings = written(_postings(sets, least))
-    hot = written(postings.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("h"))
-    light = postings.join(hot, "h", "left_anti")
-    links = written(links.union(_verified(_met(light, light, least, "x.key < y.key"), sets, least)))
-    heavy = written(postings.join(hot, "h", "left_semi"))
-    discard(postings, hot)
+    many = postings.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(postings.join(many, "h").distinct())
+    discard(postings)
+    light, heavy = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
+    links = written(links.union(_verified(_met(light, light, least, "x.k < y.k"), sets, least)))
     if heavy.isEmpty():
         return links
     for k in range(ROUNDS):
         now = _grouped(heavy, links)
         if now.isEmpty():
             return links
-        pivot = now.groupBy("h").agg(F.min_by(F.struct("key", "size", "rest", "component"), F.xxhash64(F.lit(k), "key")).alias("p")).select("h", "p.*")
+        pivot = now.groupBy("h").agg(F.min_by(F.struct("k", "size", "rest", "component"), F.xxhash64(F.lit(k), "k")).alias("p")).select("h", "p.*")
         more = _verified(_met(now, pivot, least, "x.component <> y.component"), sets, least)
         links = written(links.union(more))
         discard(now, more)
@@ -164,9 +169,9 @@ def _completed(links: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     sizes = now.groupBy("h", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("h").agg(F.max_by("component", "n").alias("largest"))
     marked = written(now.join(largest, "h").withColumn("minor", F.col("component") != F.col("largest")).drop("largest"))
-    rest = _met(marked.where("minor"), marked, least, "x.component <> y.component and (not y.minor or x.key < y.key)")
+    rest = _met(marked.where("minor"), marked, least, "x.component <> y.component and (not y.minor or x.k < y.k)")
     links = written(links.union(_verified(rest, sets, least)))
-    discard(heavy, now, marked)
+    discard(met, now, marked)
     return links
 
 
@@ -181,8 +186,8 @@ def similar_groups(docs: DataFrame, width: int = 5, least: str = "0.8", tau: int
     part = Fraction(least)
     rows = written(_sets(docs, width))
     keys = written(rows.groupBy("key").agg(F.min("doc_id").alias("least")))
-    sets = rows.where(F.length("hashes") > 0)
-    links = _completed(_verified(_by_fingerprint(rows, tau), sets, part), sets, part)
+    sets = rows.where(F.length("hashes") > 0).withColumn("k", F.xxhash64("key"))
+    links = _completed(_verified(_by_fingerprint(sets, tau), sets, part), sets, part)
     groups = components(links)
     named = keys.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
