@@ -25,7 +25,7 @@ from .simhash import fingerprint, near_links, shingle_hashes
 #: MOST most common at most. They come last in every prefix; which they are changes the cost, never the result.
 SAMPLE, COMMON, MOST = 8, 1, 2_000_000
 #: Sets that share a leading shingle are paired with each other up to this many; more are linked through pivots, in so many rounds, before pairs are made.
-PAIRED, ROUNDS = 64, 4
+PAIRED, ROUNDS = 64, 2
 #: Rows whose shingles a task holds at once.
 ROWS = 1_000
 
