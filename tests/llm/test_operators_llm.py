@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 import numpy as np
 import pytest
 from test_queries_llm import brute_dedup
@@ -162,10 +164,15 @@ def test_components_of_a_path_and_a_hub(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
 
 
-def test_licence_is_found_however_it_is_written(spark):
-    docs = [(1, "copyright 2020 Someone\nRELEASED under the MIT Licence!"), (2, "Released under the MIT License. And more."), (3, None)]
-    out = licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string"), licenses.known_licenses(spark))
-    assert {r.doc_id: r.license_id for r in out.collect()} == {1: "MIT", 2: None, 3: None}
+def test_licences_are_found_however_they_are_written(spark):
+    known = licenses.known_texts()
+    wrapped = lambda t: "\n".join(textwrap.fill(x, 80) for x in t.split("\n"))
+    docs = [(k, name, "Copyright 2020 Someone Else. All rights reserved.\n\n" + wrapped(t)) for k, (name, t) in enumerate(known)]
+    docs += [(k, name, t.replace("license", "LICENCE").replace(",", " ,")) for k, name, t in docs]
+    docs += [(-1, None, dict(known)["MIT"] + " And more."), (-2, None, None), (-3, None, "Copyright 2020 Someone"), (-4, "MIT", "released UNDER the MIT Licence!"), (-4, "MIT", "released UNDER the MIT Licence!")]
+    out = licenses.license_scan(spark.createDataFrame(docs, "doc_id int, digest string, text string"), licenses.known_licenses(spark))
+    assert sorted((r.doc_id, str(r.license_id)) for r in out.collect()) == sorted((k, str(name)) for k, name, _ in docs)
+    assert len({name for name, _ in known}) >= 26
 
 
 def test_mixing_meets_its_weights(spark):

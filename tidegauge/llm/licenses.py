@@ -2,40 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Notices and short licences that are looked up, by SPDX identifier.
-KNOWN = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-}
-
-# Spellings that licence matching treats as one (first to second).
-SPELLINGS = [
-    ("sub-licen", "sublicen"), ("licence", "license"), ("organisation", "organization"), ("favour", "favor"),
-    ("acknowledgement", "acknowledgment"), ("non-commercial", "noncommercial"), ("per cent", "percent"),
-    ("copyright owner", "copyright holder"), ("https://", "http://"),
-]
+from .common import table
+
+#: Licence texts, a file for each SPDX identifier.
+TEXTS = Path(__file__).with_name("license_texts")
+
+# Notices of one line, by SPDX identifier.
+NOTICES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", "Released under the MIT License."),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+]
 
-# A line that opens with a copyright mark; line ends are \n alone.
-COPYRIGHT_LINE = "(^|\n)[ \t]*(copyright|\\(c\\)|©)[^\n]*"
+# Titles that may stand above a text.
+TITLES = [
+    ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("MIT-0", "MIT No Attribution"), ("ISC", "ISC License"),
+    ("ISC", "The ISC License"), ("0BSD", "BSD Zero Clause License"), ("0BSD", "Zero-Clause BSD"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("Zlib", "zlib License"), ("Zlib", "The zlib License"), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+]
 
+# Words that licence matching treats as one (first to second), after punctuation has become spaces.
+SPELLINGS = [
+    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authoris", "authoriz"),
+    ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalis", "capitaliz"), ("catalogue", "catalog"), ("categoris", "categoriz"), ("centre", "center"),
+    ("copyright owner", "copyright holder"), ("emphasis", "emphasiz"), ("favour", "favor"), ("fulfill", "fulfil"), ("https", "http"), ("initialis", "initializ"),
+    ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("maximis", "maximiz"), ("modelled", "modeled"),
+    ("modelling", "modeling"), ("noncommercial", "non commercial"), ("noninfringement", "non infringement"), ("offence", "offense"), ("optimis", "optimiz"),
+    ("organis", "organiz"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"), ("realis", "realiz"), ("recognis", "recogniz"),
+    ("signalling", "signaling"), ("sub licens", "sublicens"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"), (" all rights reserved ", " "),
+]
 
-def canonical(text):
-    """Lower case; copyright lines out; one spelling; runs of anything but letters and digits become one space."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "$1")
+# Patterns of what may differ (both regular expression dialects read them alike), and what stands for it.
+# A copyright line opens, after comment marks, with the word and a sign, or with either and, soon after it, a year or a place for one.
+_YEAR = r"([12][09][0-9][0-9]|<year|\[year|\[yyyy|\{yyyy|year by)"
+PATTERNS = [
+    (r"(^|\n)[^\w\n(]*(copyright[ :]*(\(c\)|©)|(copyright|\(c\)|©)[^\n]?[^\n]?[^\n]?[^\n]?[^\n]?[^\n]?" + _YEAR + r")[^\n]*", r"\1"),
+    (r"(^|\s)\(?([0-9][0-9]?|[a-z])[.)](\s)", r"\1\3"),
+    (r"[^\p{L}\p{N}]+", " "),
+    (r"neither the names? of .{1,80}? nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"this software is provided by .{1,80}? as is", "this software is provided by the copyright holders and contributors as is"),
+    (r"in no event shall .{1,80}? be liable", "in no event shall the copyright holder or contributors be liable"),
+]
+
+
+def canonical(text: Column) -> Column:
+    """Lower case; copyright lines, list numbers and holders' names out; anything but letters and digits one space; one spelling."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, new in PATTERNS:
+        out = F.regexp_replace(out, pattern, new.replace("\\", "$"))
+    out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(out)
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text): every text, also under its titles and, where terms end before an appendix, without that; and the notices."""
+    out = list(NOTICES)
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(path.stem, t) for t in dict.fromkeys([text, terms, terms + end] if end else [text])]
+        out += [(path.stem, f"{title}\n\n{text}") for name, title in TITLES if name == path.stem]
+    return out
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN.items()), "license_id string, license_text string")
+    return spark.createDataFrame(known_texts(), "license_id string, license_text string")
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -47,32 +86,51 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """
     texts = known.where(F.col("license_text").isNotNull()).select(F.sha2(canonical(F.col("license_text")), 256).alias("digest"), "license_id")
     empty = F.sha2(F.lit(""), 256)
-    table = texts.where(F.col("digest") != empty).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    found = texts.where(F.col("digest") != empty).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     scanned = docs.drop("digest", "license_id").withColumn("digest", F.sha2(canonical(F.col("text")), 256))
-    return scanned.join(table, "digest", "left")
+    return scanned.join(found, "digest", "left")
 
 
 def op2(spark, sf_dir):
-    from .common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan(docs, known_licenses(spark)).select("doc_id", "digest", "license_id")
 
 
+def planted(spark, sf_dir):
+    """Every document as it is, and again in place of a known text, wrapped anew, under a copyright line and between comment marks; which one goes by doc_id."""
+    known = known_texts()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    one = F.element_at(F.array(*[F.lit(t) for _, t in known]), (F.col("doc_id") % len(known) + 1).cast("int"))
+    rewrapped = F.concat(F.lit("# Copyright (c) 2019 Somebody Else\n# "), F.regexp_replace(F.upper(one), r"[ \t]*\n[ \t]*", "\n * "))
+    both = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(False).alias("licence"), "text"), F.struct(F.lit(True).alias("licence"), rewrapped.alias("text")))).alias("d"))
+    out = license_scan(both.select("doc_id", "d.licence", "d.text"), known_licenses(spark))
+    return out.groupBy("licence", "license_id").agg(F.count("*").alias("n"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _sql(text: str) -> str:
-    out = "regexp_replace(lower(coalesce({}, '')), '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')".format(text)
+    out = f"lower(coalesce({text}, ''))"
+    for pattern, new in PATTERNS:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
+    out = f"(' ' || trim({out}) || ' ')"
     for old, new in SPELLINGS:
         out = f"replace({out}, '{old}', '{new}')"
-    return f"sha256(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
-
+    return f"sha256(trim({out}))"
 
-def _values() -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return ", ".join(f"({quote(k)}, {quote(v)})" for k, v in KNOWN.items())
 
+_KNOWN = f"texts(id, t) AS (VALUES {', '.join(f'({_quoted(k)}, {_quoted(t)})' for k, t in known_texts())}), known AS (SELECT {_sql('t')} AS digest, min(id) AS license_id FROM texts GROUP BY 1)"
 
 ORACLE = f"""
-WITH known AS (SELECT {_sql("t")} AS digest, min(id) AS license_id FROM (VALUES {_values()}) v(id, t) GROUP BY 1),
-d AS (SELECT doc_id, {_sql("text")} AS digest FROM documents)
+WITH {_KNOWN}, d AS (SELECT doc_id, {_sql("text")} AS digest FROM documents)
 SELECT doc_id, d.digest, license_id FROM d LEFT JOIN known USING (digest)
 """
+
+PLANTED_ORACLE = f"""
+WITH {_KNOWN}, named AS (SELECT row_number() OVER () - 1 AS k, t FROM texts), n AS (SELECT count(*) AS n FROM texts),
+d AS (SELECT false AS licence, {_sql("text")} AS digest FROM documents
+  UNION ALL SELECT true, {_sql("'# Copyright (c) 2019 Somebody Else' || chr(10) || '# ' || regexp_replace(upper(t), '[ \\t]*\\n[ \\t]*', chr(10) || ' * ', 'g')")} FROM documents CROSS JOIN n JOIN named ON k = doc_id % n.n)
+SELECT licence, license_id, count(*) AS n FROM d LEFT JOIN known USING (digest) GROUP BY ALL
+"""

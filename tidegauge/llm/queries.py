@@ -7,6 +7,7 @@ from . import decontaminate, langid, licenses, lm_scoring, media, mixing, qualit
 QUERIES = {
     "op1_media_avi": media.op1,
     "op2_license_scan": licenses.op2,
+    "license_scan_planted": licenses.planted,
     "op3_decontaminate": decontaminate.op3,
     "op4_url_filter": url_filter.op4,
     "op5_lm_score": lm_scoring.op5,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_quality_fm": quality.op10,
 }
 
-ORACLES = {"op2_license_scan": licenses.ORACLE, "op4_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE}
+ORACLES = {"op2_license_scan": licenses.ORACLE, "license_scan_planted": licenses.PLANTED_ORACLE, "op4_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE}
