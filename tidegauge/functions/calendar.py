@@ -70,6 +70,20 @@ def iso_seconds(ts) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ssXXX")
 
 
+def in_zone(ts, zone: str, of: str = "UTC") -> Column:
+    """A zone-free timestamp of one zone as one of another."""
+    return F.convert_timezone(F.lit(of), F.lit(zone), _c(ts))
+
+
+def iso_in_zone(ts, zone: str) -> Column:
+    """ISO 8601 to the second, with the offset, of a zone-free UTC timestamp in a zone."""
+    local = in_zone(ts, zone)
+    minutes = F.timestamp_diff("MINUTE", _c(ts), local)
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    offset = F.format_string("%s%02d:%02d", sign, F.floor(F.abs(minutes) / 60), F.abs(minutes) % 60)
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
 def cutoff(text: str) -> datetime:
     """A cutoff given as ISO 8601; one without a zone is an error."""
     at = datetime.fromisoformat(text)

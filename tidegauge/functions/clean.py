@@ -84,6 +84,13 @@ def ensure_columns(df: DataFrame, schema) -> DataFrame:
     return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
 
+def one_or_many(text, element: str) -> Column:
+    """JSON that holds one object or an array of them, as an array of struct `element`; null if it is neither."""
+    x = F.trim(_c(text))
+    many, one = F.from_json(x, f"array<{element}>"), F.from_json(x, element)
+    return F.when(x.startswith("["), many).when(x.startswith("{"), F.array(one))
+
+
 def mapped(x, values: dict, default) -> Column:
     """A value for each key, default for all others."""
     pairs = [F.lit(v) for kv in values.items() for v in kv]

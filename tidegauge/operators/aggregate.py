@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,12 +28,29 @@ def quantile(value: str, q: float) -> Column:
 
 def higher_quantile(df: DataFrame, value: str, by: list[str], level: float, name: str = "quantile") -> DataFrame:
     """The value at rank ceil(level * (n - 1)), counted from 0: the upper of the two that a linear quantile lies between."""
+    if not by:
+        return _whole_quantile(df, value, level, name)
     w = Window.partitionBy(*by)
     ranked = df.where(F.col(value).isNotNull()).select(*by, value)
     ranked = ranked.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
     return ranked.where(F.col("_r") == F.ceil(F.lit(float(level)) * (F.col("_n") - 1))).select(*by, F.col(value).alias(name))
 
 
+def _whole_quantile(df: DataFrame, value: str, level: float, name: str) -> DataFrame:
+    """As higher_quantile over all rows: approximate quantiles bracket the rank, and only the rows between them are put in order."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    near = [max(0.0, level - 0.002), min(1.0, level + 0.002)]
+    n, (low, high) = rows.agg(F.count("*"), F.coalesce(F.percentile_approx("v", near, 10_000), F.array(F.lit(None), F.lit(None)))).first()
+    rank = math.ceil(level * (n - 1)) if n else 0
+    below, inside = rows.agg(F.count_if(F.col("v") < F.lit(low)), F.count_if(F.col("v").between(low, high))).first() if n else (0, 0)
+    if not below <= rank < below + inside:  # not between them: order all
+        low, high, below = None, None, 0
+    some = rows if low is None else rows.where(F.col("v").between(low, high))
+    counts = some.groupBy("v").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    return upto.where(F.col("upto") > rank - below).agg(F.min("v").alias(name)).where(F.col(name).isNotNull())
+
+
 def first_rows(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row for each key: the first in a total order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,16 +123,25 @@ def hour_diagnostics(df: DataFrame, ts: str, y: str, now: str, policies: dict[st
 def bootstrap_mae(df: DataFrame, y: str, p: str, key: str, reps: int = 1000, seed: int = 17, levels=(0.025, 0.975)) -> DataFrame:
     """One row: a percentile interval of the mean absolute error over Poisson(1) resamples.
 
-    A row's weight in a resample inverts the Poisson distribution at a number hashed from its key,
-    so resamples are the same on every run. Each row adds to all resamples in one pass.
+    A row's weight in a resample inverts the Poisson distribution at a number mixed from its key's hash, so
+    resamples are the same on every run. Each task adds up its rows for all resamples and sends one row a resample.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("rep")), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    cdf, total, term = [], 0.0, math.exp(-1.0)
-    for k in range(12):
-        total += term
-        cdf.append(total)
-        term /= k + 1
-    weight = F.size(F.filter(F.array(*[F.lit(c) for c in cdf]), lambda c: c < u))
-    rows = df.select(key, F.abs(F.col(y) - F.col(p)).alias("e")).where("e is not null").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    maes = rows.withColumn("w", weight).groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("e")), F.sum("w")).alias("mae"))
+    cdf = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(14)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weights = np.zeros(reps), np.zeros(reps)
+        step = np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            h, e = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for at in range(0, len(h), 512):
+                x = h[at : at + 512, None] + step
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(cdf, (x >> np.uint64(11)) / float(1 << 53), "right")
+                total += e[at : at + 512] @ w
+                weights += w.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), pa.array(total), pa.array(weights)], ["rep", "e", "w"])
+
+    rows = df.select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.abs(F.col(y) - F.col(p)).cast("double").alias("e")).where("e is not null")
+    maes = rows.mapInArrow(run, "rep long, e double, w double").groupBy("rep").agg(F.try_divide(F.sum("e"), F.sum("w")).alias("mae"))
     return maes.agg(*[F.percentile("mae", F.lit(q)).alias(n) for q, n in zip(levels, ("low", "high"))])

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics
@@ -31,6 +32,28 @@ def _assembler(features: list[str], prefix: str = "_z_") -> VectorAssembler:
     return VectorAssembler(inputCols=[prefix + c for c in features], outputCol="_x", handleInvalid="keep")
 
 
+class Fitted:
+    """A fitted pipeline that adds `prediction` to a frame, on standardised features where it has a scale."""
+
+    def __init__(self, model: PipelineModel, scale: dict[str, tuple[float, float]], drop: list[str]):
+        self.model, self.scale, self.drop = model, scale, drop
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(scaled(df, self.scale) if self.scale else df).drop(*self.drop)
+
+
+def save(fitted: Fitted, path: str) -> None:
+    """The model and how its features are scaled, in place of what is at the path."""
+    fitted.model.write().overwrite().save(f"{path}/model")
+    about = [(json.dumps({"scale": fitted.scale, "drop": fitted.drop}),)]
+    SparkSession.active().createDataFrame(about, "about string").write.mode("overwrite").text(f"{path}/about")
+
+
+def load(path: str) -> Fitted:
+    about = json.loads(SparkSession.active().read.text(f"{path}/about").first()[0])
+    return Fitted(PipelineModel.load(f"{path}/model"), {k: tuple(v) for k, v in about["scale"].items()}, about["drop"])
+
+
 def ridge(train: DataFrame, features: list[str], y: str, alpha: float):
     """A function that adds `prediction`: least squares plus alpha times squared weights, on standardised features."""
     train = train.dropna(subset=[*features, y])
@@ -38,14 +61,14 @@ def ridge(train: DataFrame, features: list[str], y: str, alpha: float):
     n, spread = train.agg(F.count("*"), F.stddev_pop(y)).first()
     fit = LinearRegression(featuresCol="_x", labelCol=y, predictionCol="prediction", solver="normal", standardization=False, elasticNetParam=0.0, regParam=alpha / n * (spread or 1.0))
     model = Pipeline(stages=[_assembler(features), fit]).fit(scaled(train, scale))
-    return lambda df: model.transform(scaled(df, scale)).drop("_x", *[f"_z_{c}" for c in features])
+    return Fitted(model, scale, ["_x", *[f"_z_{c}" for c in features]])
 
 
 def boosted(train: DataFrame, features: list[str], y: str, trees: int = 160, depth: int = 3, rate: float = 0.045, share: float = 1.0, leaf: int = 1, seed: int = 42):
     """A function that adds `prediction` of gradient-boosted trees."""
     fit = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="prediction", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=share, minInstancesPerNode=leaf, seed=seed)
     model = Pipeline(stages=[_assembler(features, ""), fit]).fit(train.dropna(subset=[*features, y]))
-    return lambda df: model.transform(df).drop("_x")
+    return Fitted(model, {}, ["_x"])
 
 
 def logistic(train: DataFrame, features: list[str], y: str):
@@ -68,6 +91,14 @@ def logistic(train: DataFrame, features: list[str], y: str):
     return run
 
 
+def calibrated(fit: DataFrame, calibration: DataFrame, test: DataFrame, features: list[str], y: str, grid: list[float]) -> DataFrame:
+    """test with score, the threshold and predicted. A model of the fit rows alone scores the calibration rows, of which the best f1 chooses the threshold; one of both scores the test rows."""
+    found = logistic(fit, features, y)(calibration)
+    best = metrics.best_threshold(metrics.threshold_metrics(found, y, "score", grid)).select("threshold")
+    scored = logistic(fit.unionByName(calibration), features, y)(test).drop("predicted")
+    return scored.crossJoin(F.broadcast(best)).withColumn("predicted", F.col("score") >= F.col("threshold"))
+
+
 def persistence(df: DataFrame, now: str) -> DataFrame:
     return df.withColumns({"score": F.col(now).cast("double"), "predicted": F.col(now)})
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 def profile_chain(train: DataFrame, target: DataFrame, levels: list[list[str]], value: str, name: str = "profile") -> DataFrame:
     """target with the training median of `value` at the first of `levels` that has its keys, else over all.
 
-    All levels come from one aggregation over grouping sets; each is joined on its own keys, and Spark
-    broadcasts those that are small.
+    Each level is an aggregation of its own, joined on its keys; Spark broadcasts those that are small.
     """
     out = target
     for k, keys in enumerate(levels):

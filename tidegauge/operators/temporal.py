@@ -78,6 +78,15 @@ def distinct_times(df: DataFrame, at: str) -> list:
     return [r[0] for r in df.select(at).where(F.col(at).isNotNull()).distinct().orderBy(at).collect()]
 
 
+def chronological_cut(df: DataFrame, at: str, last: float) -> DataFrame:
+    """One row (cut): the last of the distinct times that are not among the final share `last`; no row with fewer than four times. Both sides keep at least one time."""
+    times = df.select(at).where(F.col(at).isNotNull()).distinct()
+    n = F.count("*").over(Window.partitionBy())
+    ranked = times.withColumn("_r", F.row_number().over(Window.orderBy(at))).withColumn("_n", n)
+    size = F.least(F.greatest((F.col("_n") * F.lit(1 - last)).cast("int"), F.lit(1)), F.col("_n") - 1)
+    return ranked.where((F.col("_n") >= 4) & (F.col("_r") == size)).select(F.col(at).alias("cut"))
+
+
 def temporal_cut(times: list, test_fraction: float):
     """The last training time, or None for fewer than four times; both sides keep at least one."""
     n = len(times)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import urllib.request
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,17 +35,33 @@ STATUS = (
 WEATHER = ("hourly struct<time:array<string>,temperature_2m:array<double>,relative_humidity_2m:array<double>,precipitation:array<double>,wind_speed_10m:array<double>>")
 
 
+def csv_cells(line: str) -> Column:
+    """The fields of a line of CSV; quotes around a field are dropped, doubled ones inside are one."""
+    found = F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda x: F.when(x.startswith('"'), bare(x)).otherwise(x))
+
+
 def snapshot_log(spark: SparkSession, folder: str, schema: str | T.StructType = SNAPSHOT, until: str | None = None, stamp: str = STAMP) -> DataFrame:
     """All snapshot files of a folder, with captured_at read from each file's name.
 
     Files whose name has no stamp, and those after `until` (yyyyMMdd_HHmmss, included), are not opened: the filter is
-    on file metadata. Columns that a file lacks are null; columns are matched by the header's names.
+    on file metadata. Each line is read by the header of its own file, so files may lack columns, have more, or have them in another
+    order; columns that a file lacks are null. A field holds no line break.
     """
-    files = spark.read.option("pathGlobFilter", "*_inventory_snapshot.csv").schema(schema).csv(folder, header=True, enforceSchema=False)
+    names = [f.name for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)]
     found = F.regexp_extract(F.col("_metadata.file_name"), stamp, 1)
-    out = files.withColumns({"_stamp": found, "snapshot_path": F.col("_metadata.file_path")}).where(F.col("_stamp") != "")
+    lines = spark.read.option("pathGlobFilter", "*_inventory_snapshot.csv").text(folder)
+    lines = lines.select(found.alias("_stamp"), F.col("_metadata.file_path").alias("snapshot_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value"))
+    lines = lines.where(F.col("_stamp") != "")
     if until is not None:
-        out = out.where(F.col("_stamp") <= until)
+        lines = lines.where(F.col("_stamp") <= until)
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    first = lines.where("_block = 0").withColumn("_line", F.monotonically_increasing_id()).groupBy("snapshot_path").agg(F.min_by("value", "_line").alias("_first"))
+    rows = lines.join(first, "snapshot_path").where((F.col("value") != F.col("_first")) & (F.col("value") != ""))
+    rows = rows.withColumns({"_head": csv_cells("_first"), "_cells": csv_cells("value")})
+    row = F.map_from_arrays("_head", F.transform("_head", lambda _, i: F.get("_cells", i)))
+    out = rows.withColumn("_row", row).select(*[F.nullif(F.try_element_at("_row", F.lit(n)), F.lit("")).alias(n) for n in names], "_stamp", "snapshot_path")
     return out.withColumn("captured_at", F.try_to_timestamp("_stamp", F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz")).drop("_stamp")
 
 
@@ -79,6 +96,46 @@ def page_results(payloads: DataFrame, page_size: int = 1000) -> DataFrame:
     return rows.withColumn("page_size", F.lit(page_size))
 
 
+def landed_pages(page: Callable[[int, int], dict], folder: str, size: int = 1000, most: int = 100) -> dict:
+    """Pages first to last, numbered from 1, saved as JSON files: {"pages", "complete"}. `page` gets the first and last row number; a page of fewer rows is the last.
+
+    A page whose result code isn't that of success is an error, named by its code alone.
+    """
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for k in range(most):
+        body = page(k * size + 1, (k + 1) * size)
+        found = body.get("rentBikeStatus") or {}
+        code = (found.get("RESULT") or {}).get("CODE")
+        if code != "INFO-000":
+            raise ValueError(f"page {k + 1}: {code}")
+        (Path(folder) / f"page_{k:05d}.json").write_text(json.dumps(body, ensure_ascii=False), encoding="utf-8")
+        if len(found.get("row") or []) < size:
+            return {"pages": k + 1, "complete": True}
+    return {"pages": most, "complete": False}
+
+
+def captured(spark: SparkSession, folder: str, captured_at: str, size: int = 1000) -> DataFrame:
+    """The inventory of landed pages; an error if they are not complete."""
+    from ..operators.gates import page_summary
+
+    pages = city_pages(spark, folder)
+    summary = page_summary(page_results(pages, size)).first()
+    if summary.stopped_by != "last_page":
+        raise ValueError(f"pages are not complete: {summary.stopped_by}")
+    return city_inventory(pages, captured_at)
+
+
+def acquired(spark: SparkSession, find: Callable[[], str], otherwise: Callable[[], DataFrame]) -> tuple[DataFrame, dict]:
+    """Hourly demand from the file that `find` gives, without its row number and with datetime; if that fails, the frame of `otherwise`. Says which, and why."""
+    try:
+        path = find()
+        raw = spark.read.csv(path, header=True, inferSchema=True)
+    except Exception as e:  # any failure leads to the other source, with its reason
+        return otherwise(), {"source": "synthetic", "reason": f"{type(e).__name__}: {e}"}
+    at = F.col("dteday").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hr"))
+    return raw.drop("instant").withColumn("datetime", at), {"source": "file", "reason": None}
+
+
 def station_information(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(STATIONS).json(path, multiLine=True).select(F.explode("data.stations").alias("s"))
     return rows.select(F.col("s.short_name").alias("station_short_name"), F.col("s.name").alias("station_name"), F.col("s.station_id").alias("gbfs_station_id"), F.col("s.lat").alias("station_lat"), F.col("s.lon").alias("station_lon"), F.col("s.capacity").alias("capacity"))

@@ -50,3 +50,11 @@ def markdown_table(df: DataFrame, digits: int = 4, rows: int = 100) -> str:
     widths = [max(3, *(len(r[i]) for r in cells)) for i in range(len(df.columns))]
     line = lambda r: "| " + " | ".join(c.ljust(w) for c, w in zip(r, widths)) + " |"
     return "\n".join([line(cells[0]), "|" + "|".join("-" * (w + 2) for w in widths) + "|", *map(line, cells[1:])])
+
+
+def report(path: str, title: str, values: dict, tables: dict[str, DataFrame], rows: int = 100) -> None:
+    """A text report: a title, a line for each value, and the first rows of each table."""
+    parts = [f"# {title}", "\n".join(f"- {k}: {'' if v is None else v}" for k, v in values.items())]
+    parts += [f"## {name}\n\n{markdown_table(df, rows=rows)}" for name, df in tables.items()]
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text("\n\n".join(p for p in parts if p) + "\n", encoding="utf-8")
