@@ -109,27 +109,61 @@ def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + (size & 1)
 
 
+def _video(data: bytes, at: int, end: int) -> tuple[bytes, float | None]:
+    """From a hdrl list: the two digits that begin the chunk names of the first video stream, and its seconds a frame if they are given."""
+    stream = 0
+    for name, a, b in _walk(data, at, end):
+        if name == b"LIST" and data[a : a + 4] == b"strl":
+            for inner, c, _ in _walk(data, a + 4, b):
+                if inner == b"strh" and data[c : c + 4] == b"vids":
+                    scale, rate = struct.unpack_from("<II", data, c + 20)
+                    return b"%02d" % stream, scale / rate if scale and rate else None
+            stream += 1
+    return b"00", None
+
+
+def _frames(data: bytes, at: int, end: int, video: bytes) -> Iterator[bytes]:
+    """The stream's frames in a movi list, also those inside rec lists."""
+    for name, a, b in _walk(data, at, end):
+        if name == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from _frames(data, a + 4, b, video)
+        elif name[:2] == video and name[2:] in (b"dc", b"db"):
+            yield data[a:b]
+
+
 def read_avi(data: bytes) -> tuple[float, list[bytes]]:
-    """(seconds a frame, frames of the first video stream), located by idx1, or by walking movi where there is no index."""
+    """(seconds a frame, frames of the first video stream).
+
+    Frames are located by idx1; where there is no index, or the file goes on in further RIFF chunks, which idx1 doesn't
+    cover, by walking the movi lists. Empty frames (dropped ones) repeat the frame before.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    step, frames, movi, index = 1 / FPS, [], None, None
-    for name, a, b in _walk(data, 12, len(data)):
-        if name == b"LIST" and data[a : a + 4] == b"hdrl":
-            for inner, c, _ in _walk(data, a + 4, b):
-                if inner == b"avih":
-                    step = struct.unpack_from("<I", data, c)[0] / 1e6
-        elif name == b"LIST" and data[a : a + 4] == b"movi":
-            movi = (a, b)
-        elif name == b"idx1":
-            index = (a, b)
-    if movi and index:
+    step, video, movi, index = 1 / FPS, b"00", [], None
+    for riff, start, stop in _walk(data, 0, len(data)):
+        for name, a, b in _walk(data, start + 4, stop) if riff == b"RIFF" else ():
+            if name == b"LIST" and data[a : a + 4] == b"hdrl":
+                for inner, c, _ in _walk(data, a + 4, b):
+                    if inner == b"avih":
+                        step = struct.unpack_from("<I", data, c)[0] / 1e6 or step
+                video, exact = _video(data, a + 4, b)
+                step = exact or step
+            elif name == b"LIST" and data[a : a + 4] == b"movi":
+                movi.append((a, b))
+            elif name == b"idx1":
+                index = (a, b)
+    if len(movi) == 1 and index:
         rows = list(struct.iter_unpack("<4sIII", data[index[0] : index[0] + (index[1] - index[0]) // 16 * 16]))
-        rows = [r for r in rows if r[0][2:] in (b"dc", b"db")]
-        base = movi[0] if rows and data[movi[0] + rows[0][2] : movi[0] + rows[0][2] + 4] == rows[0][0] else 0
-        frames = [data[base + o + 8 : base + o + 8 + n] for _, _, o, n in rows]
-    elif movi:
-        frames = [data[a:b] for name, a, b in _walk(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
+        rows = [r for r in rows if r[0][:2] == video and r[0][2:] in (b"dc", b"db")]
+        at = movi[0][0]
+        base = at if rows and data[at + rows[0][2] : at + rows[0][2] + 4] == rows[0][0] else 0
+        found = [data[base + o + 8 : base + o + 8 + n] for _, _, o, n in rows]
+    else:
+        found = [f for a, b in movi for f in _frames(data, a + 4, b, video)]
+    frames: list[bytes] = []
+    for f in found:
+        if f or frames:
+            frames.append(f or frames[-1])
     return step, frames
 
 
@@ -341,7 +375,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     doc_id, n_bytes, media (binary), payload (binary, as read back from media) and feature: the
     numbers of frames and shots, the shots' first frames, and each shot's mean level. A null text counts as
-    empty and is stored as one frame of padding. Equal texts give equal values.
+    empty and is stored as one frame of padding. Equal texts give equal values; rows that repeat are each stored; other columns are
+    not carried; an empty table gives no rows. A text whose file passes 4 GB, more than a RIFF chunk can hold, is an error.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
