@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import os
+import subprocess
+import sys
 import textwrap
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +16,7 @@ from test_queries_llm import brute_dedup
 from tidegauge.llm import decontaminate, langid, licenses, lm_scoring, media, mixing, quality, simhash, suffix_dedup, url_filter
 from tidegauge.llm.components import components
 
+ROOT = Path(__file__).resolve().parents[2]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, rate double, kept string, verdict string"
 WORDS = "the quick brown fox jumps over the lazy dog while seven small boats sail past a quiet harbour at dawn and nobody on the pier looks up".split()
 LONG = " ".join(WORDS[i * 7 % len(WORDS)] + str(i % 97) for i in range(60_000))
@@ -218,10 +224,76 @@ def test_clips_of_two_shots(spark):
     assert got == {(k, a, b, a / 25, b / 25) for k in (1, 4) for a, b in ((0, 10), (10, 25))}
 
 
-def test_backoff_of_higher_order_sums_to_the_same_words(spark):
-    docs = spark.createDataFrame([(1, "a b a b a b c"), (2, "a b c d")], "doc_id long, text string")
-    got = {r.doc_id: r.n_words for r in lm_scoring.stupid_backoff(docs, order=3).collect()}
-    assert got == {1: 7, 2: 4}
+def test_avi_of_several_streams_and_riff_chunks():
+    frames = media.encode_frames(np.arange(6, dtype=np.uint8)[:, None].repeat(media.UNIT, 1) * 30)
+    head = lambda kind, scale, rate: media._chunk(b"LIST", b"strl" + media._chunk(b"strh", media.struct.pack("<4s4sIHHIIIIIIII4H", kind, b"MJPG", 0, 0, 0, 0, scale, rate, 0, 6, 0, 0, 0, 0, 0, 0, 0)))
+    hdrl = media._chunk(b"LIST", b"hdrl" + media._chunk(b"avih", bytes(56)) + head(b"auds", 1, 8000) + head(b"vids", 1001, 30000) + head(b"vids", 1, 5))
+    rec = media._chunk(b"LIST", b"rec " + media._chunk(b"01dc", frames[1]) + media._chunk(b"00wb", b"abc"))
+    one = media._chunk(b"LIST", b"movi" + media._chunk(b"00wb", b"sound") + media._chunk(b"01dc", frames[0]) + media._chunk(b"02dc", frames[5]) + rec + media._chunk(b"01dc", b""))
+    two = media._chunk(b"LIST", b"movi" + media._chunk(b"01db", frames[3]))
+    step, got = media.read_avi(media._chunk(b"RIFF", b"AVI " + hdrl + one) + media._chunk(b"RIFF", b"AVIX" + two))
+    assert got == [frames[0], frames[1], frames[1], frames[3]] and step == 1001 / 30000
+
+
+def test_models_reach_workers_without_the_package(tmp_path):
+    """Driver code that has the package only on its own path, and workers that start elsewhere."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,900]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from tidegauge.llm import decontaminate, langid, quality
+docs = spark.createDataFrame([(k, "some plain words that are here for no reason " + "abcdefghij"[k] * 9, "en", 9) for k in range(10)], "doc_id long, text string, lang string, n_chars long")
+print("FOUND", langid.identify(docs).where("lang_pred = 'en'").count(), quality.classify(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), docs["doc_id"] >= 0).where("score is not null").count(),
+      decontaminate.contaminated(docs, docs.selectExpr("'a' as item_id", "text").limit(1)).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
+    assert "FOUND 10 10 10" in out.stdout, out.stderr[-3000:]
+
+
+def test_letters_are_told_by_code_point(spark):
+    rows = [(1, "\U0001f600\U0001f601", "en"), (2, "\U00020000\U00020001 \u5b57", "zh"), (3, "plain words here", "en"), (4, "\u00bd 12 \u00b2 \u2603", "en"), (5, "\U0001d538\U0001d539", "sym")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1] == got[4] == ("und", 0.0) and got[2][0] == "zh" and got[3][0] == "en" and got[5][0] == "sym"
+
+
+def test_pruned_language_models_stay_good(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    vocab = {x: ["".join(draw.choice(list(letters), draw.integers(2, 7))) for _ in range(300)] for x, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "abijklmn"))}
+    rows = [(k, " ".join(draw.choice(vocab[x], 40)), x) for k, x in enumerate(list(vocab) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MODEL_VALUES", 9 * 400)  # under half of the grams of four units stay
+    got = {r.doc_id: r for r in langid.identify(docs, langid.crc_fold(3) != 1).collect()}
+    assert np.mean([got[k].lang_pred == x for k, _, x in rows]) > 0.97
+    assert sum(r.rejected for r in got.values()) <= 2
+
+
+def test_rates_of_any_size_are_inverted(spark):
+    def plain(rate, u):
+        k = max(0, int(rate - 12 * rate**0.5))
+        total = 0.0
+        while True:
+            total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+            if total > u:
+                return k
+            k += 1
+
+    draw = np.random.default_rng(8)
+    rows = [(float(r), float(u)) for r in (1e-3, 0.5, 1, 5, 99, 105, 170, 2500, 1e5) for u in draw.random(20)]
+    out = spark.createDataFrame(rows, "rate double, u double")
+    out = out.withColumns(mixing._walk(mixing.F.col("rate"))).withColumn("k", mixing._inverted(mixing.F.col("u"))).collect()
+    assert all(r.k == plain(r.rate, r.u) for r in out)
+    loose = spark.createDataFrame([(None, f"t{k}", "a") for k in range(2000)], "doc_id long, text string, source string")
+    assert 1800 < mixing.poisson_mix(loose).count() < 2200  # rows without an id are drawn each by its text
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, " ".join(WORDS), "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, _label string")
+    items = spark.createDataFrame([("b-7", " ".join(WORDS)), (None, "x"), ("b-8", None)], "item_id string, text string")
+    assert [(r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminated(docs, items).collect()] == [(1, "b-7", 1.0)]
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    out = quality.classify(docs, labels, langid.crc_fold(3) >= 0, metadata=())
+    assert out.columns == ["doc_id", "text", "_label", "score", "predicted"] and out.count() == 3
 
 
 def test_mixing_joins_large_rates_in_parts(spark, monkeypatch):

@@ -65,15 +65,23 @@ def test_op3_matches_alignment_of_every_pair(spark, texts):
     assert len(found) >= 0.9 * len(expected)
 
 
-def test_op5_matches_plain_counting(spark, texts):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_op5_matches_plain_counting(spark, texts, order):
+    from tidegauge.llm.lm_scoring import stupid_backoff
+
     split = {d: (t or "").split() for d, t in texts.items()}
-    one, two = Counter(w for ws in split.values() for w in ws), Counter(p for ws in split.values() for p in zip(ws, ws[1:]))
-    total = sum(one.values())
-    for r in QUERIES["op5_lm_score"](spark, SMALL).collect():
+    counts = Counter(tuple(ws[k : k + n]) for ws in split.values() for n in range(1, order + 1) for k in range(len(ws) - n + 1))
+    total = sum(map(len, split.values()))
+    for r in stupid_backoff(spark.read.parquet(f"{SMALL}/documents.parquet"), order).collect():
         ws, want = split[r.doc_id], 0.0
-        for k, w in enumerate(ws):
-            pair = (ws[k - 1], w) if k else None
-            want += math.log(two[pair] / one[ws[k - 1]]) if pair and two[pair] >= 2 else math.log((0.4 if pair else 1) * one[w] / total)
+        for k in range(len(ws)):
+            back = 0.0
+            for n in range(min(order, k + 1), 0, -1):
+                gram = tuple(ws[k - n + 1 : k + 1])
+                if n == 1 or counts[gram] >= 2:
+                    want += back + math.log(counts[gram] / (counts[gram[:-1]] if n > 1 else total))
+                    break
+                back += math.log(0.4)
         assert r.n_words == len(ws) and math.isclose(r.log_score, want, rel_tol=1e-9, abs_tol=1e-9)
 
 

@@ -4,7 +4,8 @@ The count table is partitioned by n-gram hash. Documents are dealt into chunks o
 chunk's distinct n-grams, sorted, go to the count partitions as packed rows (one for each chunk
 and partition), where the counts of all chunks are summed; the sums return to the chunks in the
 same order, and each chunk joins them to its exploded n-grams and sums their log scores for each
-document. So an n-gram costs one entry for each chunk that has it, however frequent it is.
+document. So an n-gram costs one entry for each chunk that has it, however frequent it is. N-grams are
+known by 61-bit hashes alone: two that share one share their counts.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Characters of text in a chunk.
-CHUNK = 3_000_000
+#: Characters of text in a chunk, and chunks to a partition of the count table; packed rows are chunks times partitions at most, and never more than entries.
+CHUNK, CHUNKS = 3_000_000, 8
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TAG = np.uint64(7)
 
 
 class _Words(dict):
-    def __missing__(self, w: str) -> int:
-        self[w] = h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    def __missing__(self, w: bytes) -> int:
+        self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
 
 
@@ -37,7 +38,7 @@ def ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.nda
     The lowest three bits of a hash are its order; it is zero where the text has fewer words before.
     """
     get = _Words().__getitem__
-    ids = [np.fromiter(map(get, (t or "").split()), np.uint64) for t in texts]
+    ids = [np.fromiter(map(get, (t or "").encode("utf-8", "surrogatepass").split()), np.uint64) for t in texts]
     size = np.array([len(x) for x in ids], np.int64)
     word = np.concatenate(ids) if ids else np.zeros(0, np.uint64)
     place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
@@ -67,10 +68,10 @@ def _wide(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
 
 
-def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
     """(doc_id, n_words, log_score): the summed natural log of S(word | words before) over each row of docs.
 
-    Words are what white space separates. S is count(n-gram) / count(its first n - 1 words) at the longest
+    Words are what ASCII white space separates. S is count(n-gram) / count(its first n - 1 words) at the longest
     order that the text has words for, if the n-gram was counted min_count times or more; otherwise alpha
     times S one order down; single words score count / all words. Counts are over all rows, the
     scored one too; orders above one that were counted less often are left out as too rare. A null or wordless text has no
@@ -79,8 +80,9 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_coun
     if not 1 <= order <= 7:
         raise ValueError("order must be 1 to 7")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(chars / CHUNK))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    chunks = max(1, math.ceil(chars / CHUNK))
+    parts = math.ceil(chunks / CHUNKS)
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))
     dealt = docs.select("doc_id", "text", chunk.alias("chunk"))
 
     def count(t: pa.Table) -> pa.Table:
@@ -130,5 +132,17 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_coun
     return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double")
 
 
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d), g AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS before FROM p),
+one AS (SELECT w, count(*) AS n FROM g GROUP BY 1), two AS (SELECT before, w, count(*) AS n FROM g WHERE before IS NOT NULL GROUP BY ALL),
+s AS (SELECT r, CASE WHEN two.n >= 2 THEN ln(two.n / prior.n) ELSE ln(CASE WHEN g.before IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END * one.n / (SELECT count(*) FROM g)) END AS log
+  FROM g JOIN one USING (w) LEFT JOIN one AS prior ON prior.w = g.before LEFT JOIN two ON two.before = g.before AND two.w = g.w)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce((SELECT sum(log) FROM s WHERE s.r = d.r), 0), 3) AS log_score FROM d
+"""
+
+
 def op5(spark, sf_dir):
-    return stupid_backoff(table(spark, sf_dir, "documents"))
+    """Bigrams, whose counts fit the disk of the check; scores to three digits."""
+    out = stupid_backoff(table(spark, sf_dir, "documents"), order=2)
+    return out.withColumn("log_score", F.round("log_score", 3))

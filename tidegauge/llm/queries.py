@@ -18,4 +18,4 @@ QUERIES = {
     "op10_quality_fm": quality.op10,
 }
 
-ORACLES = {"op2_license_scan": licenses.ORACLE, "license_scan_planted": licenses.PLANTED_ORACLE, "op4_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE}
+ORACLES = {"op2_license_scan": licenses.ORACLE, "license_scan_planted": licenses.PLANTED_ORACLE, "op4_url_filter": url_filter.ORACLE, "op5_lm_score": lm_scoring.ORACLE, "op7_mix_sources": mixing.ORACLE}
