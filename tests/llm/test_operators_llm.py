@@ -164,6 +164,19 @@ def test_url_aliases_share_a_block_and_allow_goes_first(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), url_filter.rule_table(spark)).collect() == []
 
 
+def test_targets_are_resolved(spark):
+    base = "http://A.org/x/y.html?q=1#f"
+    cases = {"z.html": "http://A.org/x/z.html", "../z": "http://A.org/z", "../../../z?k=/../": "http://A.org/z?k=/../", "./": "http://A.org/x/", "?p=2": "http://A.org/x/y.html?p=2", "/w": "http://A.org/w",
+             "//B.org/../v/.": "http://B.org/v/", "#top": None, "mailto:x@y.z": None, "HTTPS://C.org": "HTTPS://C.org", "a:b/c": None}
+    rows = spark.createDataFrame([(base, k) for k in cases], "url string, target string")
+    assert {r.target: r.to for r in rows.select("target", url_filter.resolved(rows["url"], rows["target"]).alias("to")).collect()} == cases
+    bare = spark.createDataFrame([("http://A.org", "z")], "url string, target string")
+    assert bare.select(url_filter.page_key(url_filter.resolved(bare["url"], bare["target"]))).first()[0] == "http://a.org/z"
+    pages = spark.createDataFrame([(1, "http://a.org/p", "x" * 10_000 + '<link rel=canonical href="http://b.net/p">', "u", "v"), (1, "http://a.org/p", None, None, None)], "page_id long, url string, html string, _url string, verdict string")
+    out = url_filter.filter_urls(pages, url_filter.rule_table(spark))
+    assert [(r._url, r.verdict) for r in out.orderBy("_url").collect()] == [(None, "block"), ("u", "block")]
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(None, 3), (5, 5), (1, 0)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

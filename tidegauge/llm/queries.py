@@ -10,6 +10,7 @@ QUERIES = {
     "license_scan_planted": licenses.planted,
     "op3_decontaminate": decontaminate.op3,
     "op4_url_filter": url_filter.op4,
+    "url_filter_planted": url_filter.planted,
     "op5_lm_score": lm_scoring.op5,
     "op6_simhash": simhash.op6,
     "op7_mix_sources": mixing.op7,
@@ -18,4 +19,4 @@ QUERIES = {
     "op10_quality_fm": quality.op10,
 }
 
-ORACLES = {"op2_license_scan": licenses.ORACLE, "license_scan_planted": licenses.PLANTED_ORACLE, "op4_url_filter": url_filter.ORACLE, "op5_lm_score": lm_scoring.ORACLE, "op7_mix_sources": mixing.ORACLE}
+ORACLES = {"op2_license_scan": licenses.ORACLE, "license_scan_planted": licenses.PLANTED_ORACLE, "op4_url_filter": url_filter.ORACLE, "url_filter_planted": url_filter.PLANTED_ORACLE, "op5_lm_score": lm_scoring.ORACLE, "op7_mix_sources": mixing.ORACLE}

@@ -17,6 +17,9 @@ HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
+ORIGIN = r"^[^:/?#]+://[^/?#]*"
+
+
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     rows = [(v, r, r[: r.index("/")].lower(), r[r.index("/") :]) for v, r in rules]
     return spark.createDataFrame(rows, "rule_verdict string, rule string, rule_host string, rule_path string")
@@ -31,24 +34,46 @@ def split_url(url):
 
 
 def page_key(url):
-    """What names a page: its url without the fragment."""
-    return F.regexp_extract(url, r"^[^#]*", 0)
+    """What names a page: its url without the fragment, A-Z of scheme and host lower-cased."""
+    bare = F.regexp_extract(url, r"^[^#]*", 0)
+    origin = F.regexp_extract(bare, ORIGIN, 0)
+    return F.concat(ascii_lower(origin), F.substr(bare, F.length(origin) + 1))
+
+
+def without_dots(url):
+    """url with the . and .. segments of its path taken out."""
+    origin, query = F.regexp_extract(url, ORIGIN, 0), F.regexp_extract(url, r"[?].*$", 0)
+    path = F.substr(url, F.length(origin) + 1, F.length(url) - F.length(origin) - F.length(query))
+    parts = F.aggregate(
+        F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/"),
+        F.array().cast("array<string>"),
+        lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x))),
+    )
+    return F.when(F.contains(path, F.lit("/.")), F.concat(origin, F.array_join(parts, "/"), query)).otherwise(url)
+
+
+def resolved(url, to):
+    """A link's target against the url of its page; null if it is no page (another scheme without ://, or nothing but a fragment)."""
+    scheme, origin, page = F.regexp_extract(url, r"^([^:/?#]+:)//", 1), F.regexp_extract(url, ORIGIN, 0), F.regexp_extract(url, r"^[^?#]*", 0)
+    folder = F.when(F.length(page) > F.length(origin), F.regexp_extract(page, r"^.*/", 0)).otherwise(F.concat(origin, F.lit("/")))
+    full = (
+        F.when((to == "") | to.startswith("#"), None)
+        .when(F.contains(to, F.lit("://")) & to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(to.startswith("/"), F.concat(origin, to))
+        .when(to.startswith("?"), F.concat(page, to))
+        .otherwise(F.concat(folder, to))
+    )
+    return without_dots(full)
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) for each canonical link and each refresh redirect in a page's html; relative targets are resolved at the host."""
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select(
-        "url",
-        F.explode(
-            F.array(
-                F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
-                F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1),
-            )
-        ).alias("to"),
-    )
-    scheme, origin = F.regexp_extract("url", r"^([^:/?#]+:)//", 1), F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*", 0)
-    to = F.when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(origin, "to")).otherwise(F.col("to"))
-    return found.where(F.col("to") != "").select(page_key(F.col("url")).alias("a"), page_key(to).alias("b")).where("instr(b, '://') > 0 and a <> b").distinct()
+    """(a, b) for each canonical link and each refresh redirect in a page's html; relative targets are resolved against the page's url."""
+    every = lambda tag, target: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, target, 1))
+    found = pages.where(F.col("html").isNotNull() & F.contains("url", F.lit("://"))).select("url", F.explode(F.concat(every(CANONICAL, HREF), every(REFRESH, TARGET))).alias("to"))
+    to = resolved(F.col("url"), F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")))
+    return found.select(page_key(F.col("url")).alias("a"), page_key(to).alias("b")).where("a <> b").distinct()
 
 
 def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -90,7 +115,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
             F.coalesce("rule_verdict", F.when(~F.coalesce("allowed", F.lit(False)) & F.coalesce("blocked", F.lit(False)), "block"), F.lit("allow")).alias("verdict"),
         )
     )
-    out = pages.join(by_url, pages["url"] == by_url["_url"], "left").drop("_url")
+    out = pages.join(by_url, pages["url"] == by_url["_url"], "left").drop(by_url["_url"])
     return out.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit("")), "verdict": F.coalesce("verdict", F.lit("allow"))})
 
 
@@ -99,25 +124,52 @@ def op4(spark, sf_dir):
     return filter_urls(pages, rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def planted(spark, sf_dir):
+    """The pages with links planted in them: chains of ten pages by page_id, and one hub that every seventh page names."""
+    return filter_urls(linked(table(spark, sf_dir, "pages").select("page_id", "url")), rule_table(spark)).groupBy("rule", "verdict").agg(F.count("*").alias("n"), F.sum("page_id").alias("ids"))
+
+
+def linked(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("html", F.expr(LINKED))
+
+
+LINKED = """CASE WHEN page_id % 10 = 0 THEN concat('<link rel="canonical" href="HTTP://Chain.example.org/', page_id, '?a=1&amp;b=2">')
+  WHEN page_id % 10 = 1 THEN concat('<meta http-equiv="refresh" content="0; url=http://chain.example.org/', page_id - 1, '?a=1&b=2#x">')
+  WHEN page_id % 10 = 2 THEN concat('<link rel="canonical" href="//chain.example.org/', page_id - 2, '?a=1&b=2"><link rel="canonical" href="next', page_id, '.html">')
+  WHEN page_id % 7 = 0 THEN '<link rel="canonical" href="http://hub.example.org/all">' ELSE '<a href="/x">x</a>' END"""
+
 ORACLE = r"""
 WITH RECURSIVE rules(verdict, rule, rule_host, rule_path) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
   ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
-raw AS (SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
-  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
-edge AS (SELECT DISTINCT split_part(url, '#', 1) a, split_part(CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]+:)//', 1) || t
-  WHEN starts_with(t, '/') THEN regexp_extract(url, '^[^:/?#]+://[^/?#]*') || t ELSE t END, '#', 1) b FROM raw WHERE t <> ''),
-link AS (SELECT a, b FROM edge WHERE contains(b, '://') AND a <> b UNION SELECT b, a FROM edge WHERE contains(b, '://') AND a <> b),
-reach(a, b) AS (SELECT a, a FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
-grp AS (SELECT a node, min(b) component FROM reach GROUP BY 1),
+found AS (SELECT url, replace(unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))), '&amp;', '&') AS t
+  FROM pages WHERE html IS NOT NULL AND contains(url, '://')),
+base AS (SELECT *, regexp_extract(url, '^([^:/?#]+:)//', 1) scheme, regexp_extract(url, '^[^:/?#]+://[^/?#]*') origin, regexp_extract(url, '^[^?#]*') page FROM found),
+raw AS (SELECT url, CASE WHEN t = '' OR starts_with(t, '#') THEN NULL WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN starts_with(t, '//') THEN scheme || t WHEN starts_with(t, '/') THEN origin || t WHEN starts_with(t, '?') THEN page || t
+  WHEN length(page) > length(origin) THEN regexp_extract(page, '^.*/') || t ELSE origin || '/' || t END AS t FROM base),
+edge AS (SELECT DISTINCT {key_url} a, {key_t} b FROM raw WHERE t IS NOT NULL),
+link AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
+near(node, low) AS (SELECT a, least(a, min(b)) FROM link GROUP BY 1),
+reach(a, b) AS (SELECT node, node FROM near WHERE low = node UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+grp AS (SELECT b node, min(a) component FROM reach GROUP BY 1),
 urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT node FROM grp),
 rest AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END r FROM urls),
 part AS (SELECT url, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) path FROM rest),
-own AS (SELECT url, host, path, arg_max(rule, length(rule)) rule, arg_max(verdict, length(rule)) v FROM part LEFT JOIN rules
+own AS (SELECT url, {key_url} AS node, host, path, arg_max(rule, length(rule)) rule, arg_max(verdict, length(rule)) v FROM part LEFT JOIN rules
   ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL),
-spread AS (SELECT component, bool_or(v = 'allow') allowed, bool_or(v = 'block') blocked FROM own JOIN grp ON node = split_part(url, '#', 1) GROUP BY 1)
+spread AS (SELECT component, bool_or(v = 'allow') allowed, bool_or(v = 'block') blocked FROM own JOIN grp USING (node) GROUP BY 1)
 SELECT page_id, coalesce(host, '') host, coalesce(path, '') path, rule,
   coalesce(v, CASE WHEN NOT coalesce(allowed, false) AND coalesce(blocked, false) THEN 'block' END, 'allow') verdict
-FROM pages LEFT JOIN own USING (url) LEFT JOIN grp ON node = split_part(url, '#', 1) LEFT JOIN spread USING (component)
+FROM pages LEFT JOIN own USING (url) LEFT JOIN grp USING (node) LEFT JOIN spread USING (component)
 """
+for _name in ("url", "t"):
+    _bare = f"regexp_extract({_name}, '^[^#]*')"
+    _origin = f"regexp_extract({_bare}, '{ORIGIN}')"
+    _lower = f"translate({_origin}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ORACLE = ORACLE.replace("{key_" + _name + "}", f"({_lower} || substr({_bare}, length({_origin}) + 1))")
+
+PLANTED_ORACLE = ORACLE.replace("FROM pages", "FROM linked").replace("WITH RECURSIVE ", f"WITH RECURSIVE linked AS (SELECT page_id, url, {LINKED} AS html FROM pages), ").replace(
+    "SELECT page_id, coalesce(host", "SELECT rule, verdict, count(*) AS n, sum(page_id)::BIGINT AS ids FROM (SELECT page_id, coalesce(host"
+) + ") GROUP BY ALL"
