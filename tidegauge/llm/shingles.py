@@ -25,7 +25,7 @@ from .simhash import fingerprint, near_links, shingle_hashes
 #: MOST most common at most. They come last in every prefix; which they are changes the cost, never the result.
 SAMPLE, COMMON, MOST = 8, 1, 2_000_000
 #: Sets that share a leading shingle are paired with each other up to this many; more are linked through pivots, in so many rounds, before pairs are made.
-PAIRED, ROUNDS = 64, 2
+PAIRED, ROUNDS = 64, 4
 #: Rows whose shingles a task holds at once.
 ROWS = 1_000
 
@@ -57,7 +57,9 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     some = sets.where(F.pmod("k", F.lit(SAMPLE)) == 0).dropDuplicates(["key"]).select("hashes")
     counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
-    t = counts.orderBy(F.desc("n"), "h").limit(MOST).toArrow()
+    kept = written(counts.orderBy(F.desc("n"), "h").limit(MOST))
+    t = kept.toArrow()
+    discard(kept)
     h, n = t.column("h").to_numpy().view(np.uint64), t.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -136,23 +138,23 @@ def _by_fingerprint(sets: DataFrame, tau: int) -> DataFrame:
 
 
 def _grouped(heavy: DataFrame, links: DataFrame) -> DataFrame:
-    """heavy with each k's component over the links so far (its own without one), but for shingles all of whose sets are in one."""
+    """heavy with each k's component over the links so far (its own without one) and whether that is not the shingle's largest (minor), but for shingles all of whose sets are in one."""
     found = components(links).select(F.xxhash64("node").alias("k"), F.xxhash64("component").alias("component"))
     named = heavy.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    apart = named.groupBy("h").agg((F.min("component") < F.max("component")).alias("apart")).where("apart").select("h")
-    return written(named.join(apart, "h"))
+    sizes = named.groupBy("h", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1")
+    return written(named.join(largest, "h").withColumn("minor", F.col("component") != F.col("largest")).drop("largest", "components"))
 
 
 def _completed(links: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """links and more, so that all pairs of sets that have the similarity are connected.
 
-    Shingles that lead up to PAIRED sets give their pairs. Of those that lead more, each round compares one set, chosen
-    by hash, with all others, which links most of a group of near copies; then only sets that are still in different components are paired.
+    Shingles that lead up to PAIRED sets give their pairs. Of those that lead more, each round compares one set of the largest component,
+    chosen by hash, with those outside it, which links most of a group of near copies; then only sets that are still in different components are paired.
     """
-    postings = written(_postings(sets, least))
+    postings = _postings(sets, least)
     many = postings.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     met = written(postings.join(many, "h").distinct())
-    discard(postings)
     light, heavy = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
     links = written(links.union(_verified(_met(light, light, least, "x.k < y.k"), sets, least)))
     if heavy.isEmpty():
@@ -161,17 +163,14 @@ def _completed(links: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
         now = _grouped(heavy, links)
         if now.isEmpty():
             return links
-        pivot = now.groupBy("h").agg(F.min_by(F.struct("k", "size", "rest", "component"), F.xxhash64(F.lit(k), "k")).alias("p")).select("h", "p.*")
-        more = _verified(_met(now, pivot, least, "x.component <> y.component"), sets, least)
+        pivot = now.where("not minor").groupBy("h").agg(F.min_by(F.struct("k", "size", "rest"), F.xxhash64(F.lit(k), "k")).alias("p")).select("h", "p.*")
+        more = _verified(_met(now.where("minor"), pivot, least, "x.k <> y.k"), sets, least)
         links = written(links.union(more))
         discard(now, more)
     now = _grouped(heavy, links)
-    sizes = now.groupBy("h", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("h").agg(F.max_by("component", "n").alias("largest"))
-    marked = written(now.join(largest, "h").withColumn("minor", F.col("component") != F.col("largest")).drop("largest"))
-    rest = _met(marked.where("minor"), marked, least, "x.component <> y.component and (not y.minor or x.k < y.k)")
+    rest = _met(now.where("minor"), now, least, "x.component <> y.component and (not y.minor or x.k < y.k)")
     links = written(links.union(_verified(rest, sets, least)))
-    discard(met, now, marked)
+    discard(met, now)
     return links
 
 
