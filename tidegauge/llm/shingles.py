@@ -24,8 +24,8 @@ from .simhash import fingerprint, near_links, shingle_hashes
 #: One shingle set in SAMPLE tells which shingles are common: those that more than COMMON of these have, the
 #: MOST most common at most. They come last in every prefix; which they are changes the cost, never the result.
 SAMPLE, COMMON, MOST = 8, 1, 2_000_000
-#: Sets that share a leading shingle are paired with each other up to this many; more are linked through pivots, in so many rounds, before pairs are made.
-PAIRED, ROUNDS = 64, 4
+#: Sets that share a leading shingle are paired with each other up to this many; more are linked through pivots, in so many rounds of so many, before pairs are made.
+PAIRED, ROUNDS, PIVOTS = 64, 2, 2
 #: Rows whose shingles a task holds at once.
 ROWS = 1_000
 
@@ -137,39 +137,47 @@ def _by_fingerprint(sets: DataFrame, tau: int) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _grouped(heavy: DataFrame, links: DataFrame) -> DataFrame:
-    """heavy with each k's component over the links so far (its own without one) and whether that is not the shingle's largest (minor), but for shingles all of whose sets are in one."""
-    found = components(links).select(F.xxhash64("node").alias("k"), F.xxhash64("component").alias("component"))
+def _grouped(heavy: DataFrame, stars: DataFrame) -> DataFrame:
+    """heavy with each k's component (its own without one) and whether that is not the shingle's largest (minor), but for shingles all of whose sets are in one."""
+    found = stars.select(F.xxhash64("node").alias("k"), F.xxhash64("component").alias("component"))
     named = heavy.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
     sizes = named.groupBy("h", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1")
     return written(named.join(largest, "h").withColumn("minor", F.col("component") != F.col("largest")).drop("largest", "components"))
 
 
+def _pivots(now: DataFrame, salts: range) -> DataFrame:
+    """(h, k, size, rest): for each salt the set of least hash in the largest component of shingle h."""
+    each = [F.min_by(F.struct("k", "size", "rest"), F.xxhash64(F.lit(salt), "k")) for salt in salts]
+    chosen = now.where("not minor").groupBy("h").agg(F.array_distinct(F.array(*each)).alias("p"))
+    return chosen.select("h", F.explode("p").alias("p")).select("h", "p.*")
+
+
 def _completed(links: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """links and more, so that all pairs of sets that have the similarity are connected.
+    """Links between sets, so that all pairs of sets that have the similarity, and those of links, are connected.
 
-    Shingles that lead up to PAIRED sets give their pairs. Of those that lead more, each round compares one set of the largest component,
-    chosen by hash, with those outside it, which links most of a group of near copies; then only sets that are still in different components are paired.
+    Shingles that lead up to PAIRED sets give their pairs. Of those that lead more, each round compares PIVOTS sets of the largest
+    component, chosen by hash, with those outside it, which links most of a group of near copies; then only sets that are still in
+    different components are paired. Each round goes on from the components of the one before, not from single links.
     """
     postings = _postings(sets, least)
     many = postings.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     met = written(postings.join(many, "h").distinct())
     light, heavy = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
-    links = written(links.union(_verified(_met(light, light, least, "x.k < y.k"), sets, least)))
+    links = links.union(_verified(_met(light, light, least, "x.k < y.k"), sets, least))
     if heavy.isEmpty():
         return links
     for k in range(ROUNDS):
-        now = _grouped(heavy, links)
+        stars = components(links)
+        now = _grouped(heavy, stars)
         if now.isEmpty():
-            return links
-        pivot = now.where("not minor").groupBy("h").agg(F.min_by(F.struct("k", "size", "rest"), F.xxhash64(F.lit(k), "k")).alias("p")).select("h", "p.*")
-        more = _verified(_met(now.where("minor"), pivot, least, "x.k <> y.k"), sets, least)
-        links = written(links.union(more))
-        discard(now, more)
-    now = _grouped(heavy, links)
+            return stars
+        links = stars.union(_verified(_met(now.where("minor"), _pivots(now, range(k * PIVOTS, (k + 1) * PIVOTS)), least, "x.k <> y.k"), sets, least))
+        discard(now)
+    stars = components(links)
+    now = _grouped(heavy, stars)
     rest = _met(now.where("minor"), now, least, "x.component <> y.component and (not y.minor or x.k < y.k)")
-    links = written(links.union(_verified(rest, sets, least)))
+    links = stars.union(_verified(rest, sets, least))
     discard(met, now)
     return links
 
