@@ -73,7 +73,9 @@ def test_suite_ablation_and_audit(panel):
     assert models.rolling_audit(panel, "ts", [1, 2, 3], ["x1"], "y", "now", ["unit"]) is None
 
 
-def test_permutation_importance_ranks_features(panel):
+@pytest.mark.parametrize("shuffled", [100_000, 60])
+def test_permutation_importance_ranks_features(panel, monkeypatch, shuffled):
+    monkeypatch.setattr(models, "SHUFFLED", shuffled)
     model = models.ridge(panel, ["x1", "x2"], "v", 1.0)
     rise = {r.feature: r.importance for r in models.permutation_importance(panel.select("id", "x1", "x2", "v"), model, ["x1", "x2"], "v", "id", repeats=2).collect()}
     assert rise["x1"] > rise["x2"] > 0

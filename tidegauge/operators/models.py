@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,6 +18,9 @@ from . import metrics
 from .profile import profile_rate
 from .temporal import in_fold, rolling_origin_folds
 
+#: Rows among which a feature's values change places.
+SHUFFLED = 100_000
+
 
 def scaling(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each feature; a constant one gets deviation 1."""
@@ -138,15 +142,19 @@ def scenarios(df: DataFrame, model, overrides: dict[str, dict[str, Column]]) ->
 
 
 def permutation_importance(df: DataFrame, model, features: list[str], y: str, key: str, repeats: int = 12, seed: int = 23) -> DataFrame:
-    """Mean rise of the mean absolute error when a feature's values change places; rows are matched through two hash orders."""
+    """Mean rise of the mean absolute error when a feature's values change places; rows are matched through two hash orders.
+
+    Values change places inside groups of about SHUFFLED rows, which the key's hash makes and no task needs to put all rows in order for.
+    """
     df = df.cache()
-    base = model(df).agg(F.avg(F.abs(F.col(y) - F.col("prediction")))).first()[0]
+    base, n = model(df).agg(F.avg(F.abs(F.col(y) - F.col("prediction"))), F.count("*")).first()
+    group = F.pmod(F.xxhash64(F.col(key)), F.lit(max(1, math.ceil(n / SHUFFLED)))).alias("_g")
     rows = []
     for f in features:
         for r in range(repeats):
-            own = df.drop(f).withColumn("_i", F.row_number().over(_order(F.col(key))))
-            other = df.select(F.col(f), F.row_number().over(_order(F.xxhash64(F.lit(seed + r), F.col(key)))).alias("_i"))
-            mae = model(own.join(other, "_i").drop("_i")).agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("mae"))
+            own = df.withColumn("_g", group).withColumn("_i", F.row_number().over(_order(F.col(key)))).drop(f)
+            other = df.withColumn("_g", group).select(f, "_g", F.row_number().over(_order(F.xxhash64(F.lit(seed + r), F.col(key)))).alias("_i"))
+            mae = model(own.join(other, ["_g", "_i"]).drop("_g", "_i")).agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("mae"))
             rows.append(mae.select(F.lit(f).alias("feature"), (F.col("mae") - base).alias("rise")))
     return reduce(DataFrame.unionByName, rows).groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("spread"))
 
@@ -154,4 +162,4 @@ def permutation_importance(df: DataFrame, model, features: list[str], y: str, ke
 def _order(column):
     from pyspark.sql.window import Window
 
-    return Window.orderBy(column)
+    return Window.partitionBy("_g").orderBy(column)
