@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, lm_scoring, media, mixing, quality, simhash, suffix_dedup, url_filter
+from . import decontaminate, filter_audit, langid, licenses, lm_scoring, media, mixing, quality, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_media_avi": media.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_language_id": langid.op8,
     "op9_suffix_dedup": suffix_dedup.op9,
     "op10_quality_fm": quality.op10,
+    "op12_filter_audit": filter_audit.op12,
 }
 
-ORACLES = {"op2_license_scan": licenses.ORACLE, "license_scan_planted": licenses.PLANTED_ORACLE, "op4_url_filter": url_filter.ORACLE, "url_filter_planted": url_filter.PLANTED_ORACLE, "op5_lm_score": lm_scoring.ORACLE, "op7_mix_sources": mixing.ORACLE}
+ORACLES = {"op2_license_scan": licenses.ORACLE, "license_scan_planted": licenses.PLANTED_ORACLE, "op4_url_filter": url_filter.ORACLE, "url_filter_planted": url_filter.PLANTED_ORACLE, "op5_lm_score": lm_scoring.ORACLE, "op7_mix_sources": mixing.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
