@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, langid, licenses, lm_scoring, media, mixing, quality, simhash, suffix_dedup, url_filter
+from . import decontaminate, filter_audit, langid, licenses, lm_scoring, media, mixing, quality, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_media_avi": media.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_language_id": langid.op8,
     "op9_suffix_dedup": suffix_dedup.op9,
     "op10_quality_fm": quality.op10,
+    "op11_token_counts": token_counts.op11,
     "op12_filter_audit": filter_audit.op12,
 }
 
