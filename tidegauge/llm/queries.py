@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, langid, licenses, lm_scoring, media, mixing, quality, simhash, suffix_dedup, token_counts, url_filter
+from . import decontaminate, filter_audit, langid, licenses, lm_scoring, media, mixing, phrases, quality, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_media_avi": media.op1,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_quality_fm": quality.op10,
     "op11_token_counts": token_counts.op11,
     "op12_filter_audit": filter_audit.op12,
+    "op13_phrases": phrases.op13,
 }
 
-ORACLES = {"op2_license_scan": licenses.ORACLE, "license_scan_planted": licenses.PLANTED_ORACLE, "op4_url_filter": url_filter.ORACLE, "url_filter_planted": url_filter.PLANTED_ORACLE, "op5_lm_score": lm_scoring.ORACLE, "op7_mix_sources": mixing.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
+ORACLES = {"op2_license_scan": licenses.ORACLE, "license_scan_planted": licenses.PLANTED_ORACLE, "op4_url_filter": url_filter.ORACLE, "url_filter_planted": url_filter.PLANTED_ORACLE, "op5_lm_score": lm_scoring.ORACLE, "op7_mix_sources": mixing.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_phrases": phrases.ORACLE}
