@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.calendar import day_floor
+from .ordered import Ordered
 
 
 def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -47,7 +48,7 @@ def _whole_quantile(df: DataFrame, value: str, level: float, name: str) -> DataF
         low, high, below = None, None, 0
     some = rows if low is None else rows.where(F.col("v").between(low, high))
     counts = some.groupBy("v").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = Ordered(counts, ["v"]).running({"upto": "n"})
     return upto.where(F.col("upto") > rank - below).agg(F.min("v").alias(name)).where(F.col(name).isNotNull())
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .aggregate import higher_quantile
+from .ordered import Ordered
 
 
 def regression_metrics(y: str, p: str) -> list[Column]:
@@ -56,8 +57,7 @@ def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
     Rows are summed by score first, so the running sums see a row for each distinct score.
     """
     steps = df.groupBy(score).agg(F.sum(F.col(y).cast("int")).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.select("pos", "n", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
+    run = Ordered(steps.withColumn("_down", -F.col(score)), ["_down"]).running({"tp": "pos", "seen": "n"})
     ap = F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.nullif(F.sum("pos"), F.lit(0))
     one = (F.sum("pos") > 0) & (F.sum("pos") < F.sum("n"))
     return run.agg(F.when(one, ap).otherwise(0.0).alias("average_precision"))

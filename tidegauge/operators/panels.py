@@ -4,22 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
 from ..functions.clean import nullable_flag, safe_float
 from .metrics import brier, classification_metrics
-from .temporal import chronological_cut, dense_spine, lags, onto_spine, trailing_mean
+from .ordered import Ordered
+from .temporal import chronological_cut, dense_spine, lags, onto_spine, series_features, trailing_mean
 
 
 def feature_frame(df: DataFrame, ts: str, value: str, products: dict[str, tuple[str, str]], flags: dict[str, Column], steps: list[int], rows: list[int]) -> DataFrame:
     """Calendar columns, products of columns, flags as 0 and 1, lags and trailing means of one series; rows without all of them go."""
     out = df.withColumns({"hr": F.hour(ts), "weekday": cal.weekday(ts), "is_weekend": cal.is_weekend(ts).cast("int"), "is_night": cal.is_night(ts).cast("int")})
     out = out.withColumns({k: F.col(a) * F.col(b) for k, (a, b) in products.items()} | {k: c.cast("int") for k, c in flags.items()})
-    out = lags(out, value, steps, [ts])
-    for n in rows:
-        out = trailing_mean(out, value, n, [ts])
-    return out.na.drop("any")
+    return series_features(out, value, steps, dict.fromkeys(rows), [ts]).na.drop("any")
 
 
 def entity_hour_frame(
@@ -118,7 +115,7 @@ def rule_input(df: DataFrame, columns: dict[str, str], source: str) -> DataFrame
 def dense_code(df: DataFrame, key: str, name: str = "code") -> DataFrame:
     """A code from 0 for each key in order; keys are numbered once each, and joined back."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    codes = keys.withColumn(name, (F.dense_rank().over(Window.orderBy(key)) - 1).cast("long"))
+    codes = Ordered(keys, [key]).numbered("_row").select(key, (F.col("_row") - 1).alias(name))
     return df.join(codes, key, "left")
 
 

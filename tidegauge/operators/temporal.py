@@ -1,4 +1,7 @@
-"""Operators over time: spines, lags, fills, next-state labels, splits and folds."""
+"""Operators over time: spines, lags, fills, next-state labels, splits and folds.
+
+What is in one order over all rows (no `by`) goes through `ordered`, which puts it in ranges of that order; `order` is then column names.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.calendar import minutes_between
+from .ordered import Ordered
 
 
 def time_spine(df: DataFrame, ts: str, step: str = "interval 1 hour") -> DataFrame:
@@ -29,22 +33,46 @@ def onto_spine(spine: DataFrame, counts: DataFrame, keys: list[str], fill: dict)
     return spine.join(counts, keys, "left").fillna(fill)
 
 
+def _lag(value: str, n: int):
+    return lambda w: F.lag(value, n).over(w)
+
+
+def _trailing(value: str, rows: int, least: int | None):
+    def make(w):
+        w = w.rowsBetween(-rows, -1)
+        return F.when(F.count(value).over(w) >= (rows if least is None else least), F.avg(value).over(w))
+
+    return make
+
+
+def series_features(df: DataFrame, value: str, steps: list[int], rows: dict[int, int | None], order: list, by: list[str] | None = None) -> DataFrame:
+    """lag_<n> and trailing_<n> columns in one go: values n rows before, and means of the n rows before, this one excluded, null with fewer than `rows[n]` of them (None: all)."""
+    new = {f"lag_{n}": _lag(value, n) for n in steps} | {f"trailing_{n}": _trailing(value, n, least) for n, least in rows.items()}
+    return _over(df, new, max([*steps, *rows], default=0), order, by)
+
+
+def _over(df: DataFrame, new: dict, before: int, order: list, by: list[str] | None) -> DataFrame:
+    if not by:
+        return Ordered(df, order).windowed(new, before)
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumns({name: make(w) for name, make in new.items()})
+
+
 def lags(df: DataFrame, value: str, steps: list[int], order: list, by: list[str] | None = None, prefix: str = "lag_") -> DataFrame:
-    """Values some rows before. Without `by` the series is one sequence: aggregate it first."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
-    return df.withColumns({f"{prefix}{n}": F.lag(value, n).over(w) for n in steps})
+    """Values some rows before; without `by` the series is one sequence."""
+    return _over(df, {f"{prefix}{n}": _lag(value, n) for n in steps}, max(steps), order, by)
 
 
 def trailing_mean(df: DataFrame, value: str, rows: int, order: list, by: list[str] | None = None, least: int | None = None, name: str | None = None) -> DataFrame:
     """Mean of the `rows` rows before, this one excluded; null with fewer than `least` (by default all) of them."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(-rows, -1)
-    mean = F.when(F.count(value).over(w) >= (rows if least is None else least), F.avg(value).over(w))
-    return df.withColumn(name or f"trailing_{rows}", mean)
+    return _over(df, {name or f"trailing_{rows}": _trailing(value, rows, least)}, rows, order, by)
 
 
 def filled(df: DataFrame, columns: list[str], order: list, by: list[str] | None = None) -> DataFrame:
     """Nulls take the last value before them, or else the first after."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
+    if not by:
+        return Ordered(df, order).filled(columns)
+    w = Window.partitionBy(*by).orderBy(*order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     return df.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in columns})
 
@@ -59,32 +87,35 @@ def next_state(df: DataFrame, entity: str, ts: str, states: list[str], tolerance
     return out.withColumns({f"next_{s}": F.when(F.col("gap_minutes") <= tolerance, F.col(f"next_{s}")) for s in states})
 
 
+def _times(df: DataFrame, at: str) -> tuple[DataFrame, int]:
+    """(at, row) of the distinct times numbered in order, and how many there are."""
+    times = Ordered(df.select(at).where(F.col(at).isNotNull()).distinct(), [at])
+    return times.numbered("row"), times.total
+
+
 def chronological_split(df: DataFrame, at: str, train: float = 0.70, valid: float = 0.85) -> DataFrame:
     """split: train, valid or test by the distinct values of `at` in order.
 
     The last training value is number int(n * train) and the last validation value number
     int(n * valid), counted from 1, products in double precision. Only the two cut values reach the rows.
     """
-    times = df.select(at).where(F.col(at).isNotNull()).distinct()
-    ranked = times.withColumn("_r", F.row_number().over(Window.orderBy(at))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    cut = lambda share: F.max(F.when(F.col("_r") <= F.greatest(F.floor(F.col("_n") * F.lit(share)), F.lit(1)), F.col(at)))
-    cuts = ranked.agg(cut(train).alias("_train"), cut(valid).alias("_valid"))
+    times, n = _times(df, at)
+    cut = lambda share: F.max(F.when(F.col("row") == max(math.floor(n * share), 1), F.col(at)))
+    cuts = times.agg(cut(train).alias("_train"), cut(valid).alias("_valid"))
     name = F.when(F.col(at) <= F.col("_train"), "train").when(F.col(at) <= F.col("_valid"), "valid").otherwise("test")
     return df.crossJoin(F.broadcast(cuts)).withColumn("split", name).drop("_train", "_valid")
 
 
 def distinct_times(df: DataFrame, at: str) -> list:
-    """The distinct values of `at` in order, on the driver: snapshot times, few by nature."""
+    """The distinct values of `at` in order, on the driver: for snapshot times, few by nature. What works at any number of them takes the frame."""
     return [r[0] for r in df.select(at).where(F.col(at).isNotNull()).distinct().orderBy(at).collect()]
 
 
 def chronological_cut(df: DataFrame, at: str, last: float) -> DataFrame:
     """One row (cut): the last of the distinct times that are not among the final share `last`; no row with fewer than four times. Both sides keep at least one time."""
-    times = df.select(at).where(F.col(at).isNotNull()).distinct()
-    n = F.count("*").over(Window.partitionBy())
-    ranked = times.withColumn("_r", F.row_number().over(Window.orderBy(at))).withColumn("_n", n)
-    size = F.least(F.greatest((F.col("_n") * F.lit(1 - last)).cast("int"), F.lit(1)), F.col("_n") - 1)
-    return ranked.where((F.col("_n") >= 4) & (F.col("_r") == size)).select(F.col(at).alias("cut"))
+    times, n = _times(df, at)
+    size = min(max(int(n * (1 - last)), 1), n - 1)
+    return times.where((F.col("row") == size) & F.lit(n >= 4)).select(F.col(at).alias("cut"))
 
 
 def temporal_cut(times: list, test_fraction: float):
@@ -97,25 +128,31 @@ def temporal_cut(times: list, test_fraction: float):
 
 def temporal_split(df: DataFrame, at: str, test_fraction: float = 0.25) -> DataFrame:
     """split: train up to the cut, test after it; no rows with fewer than four distinct times."""
-    cut = temporal_cut(distinct_times(df, at), test_fraction)
-    out = df.where(F.lit(cut is not None))
-    return out.withColumn("split", F.when(F.col(at) <= F.lit(cut), "train").otherwise("test") if cut is not None else F.lit("test"))
+    out = df.crossJoin(F.broadcast(chronological_cut(df, at, test_fraction).withColumnRenamed("cut", "_cut")))
+    return out.withColumn("split", F.when(F.col(at) <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
 
 
-def rolling_origin_folds(times: list, folds: int = 3, min_train: float = 0.5) -> list[tuple[int, object, object]]:
-    """(fold, last training time, last test time): training expands, test windows follow each other, the last takes the rest."""
-    n = len(times)
+def fold_places(n: int, folds: int = 3, min_train: float = 0.5) -> list[tuple[int, int, int]]:
+    """(fold, number of the last training time, number of the last test time) among n times: training expands, test windows follow each other, the last takes the rest."""
     if n < folds + 4:
         return []
     first = max(1, math.floor(n * min_train))
     size = max(1, (n - first) // folds)
-    out = []
-    for k in range(folds):
-        a = first + k * size
-        b = n if k == folds - 1 else min(n, a + size)
-        if a < n and b > a:
-            out.append((k + 1, times[a - 1], times[b - 1]))
-    return out
+    ends = [(k + 1, first + k * size, n if k == folds - 1 else min(n, first + (k + 1) * size)) for k in range(folds)]
+    return [(k, a, b) for k, a, b in ends if a < n and b > a]
+
+
+def rolling_origin_folds(times: list, folds: int = 3, min_train: float = 0.5) -> list[tuple[int, object, object]]:
+    """(fold, last training time, last test time) of times in order."""
+    return [(k, times[a - 1], times[b - 1]) for k, a, b in fold_places(len(times), folds, min_train)]
+
+
+def fold_bounds(df: DataFrame, at: str, folds: int = 3, min_train: float = 0.5) -> DataFrame:
+    """(fold, train_end, test_end) of the frame's distinct times, a row a fold; none with too few times. The times stay where they are."""
+    times, n = _times(df, at)
+    places = df.sparkSession.createDataFrame(fold_places(n, folds, min_train), "fold int, a long, b long")
+    met = lambda place, name: F.broadcast(places.select("fold", place)).join(times, F.col(place) == F.col("row")).select("fold", F.col(at).alias(name))
+    return met("a", "train_end").join(met("b", "test_end"), "fold")
 
 
 def in_fold(df: DataFrame, at: str, fold: tuple) -> DataFrame:
@@ -134,12 +171,11 @@ def row_folds(df: DataFrame, order: list, folds: int = 5) -> DataFrame:
 
 def row_fold_of(df: DataFrame, order: list, folds: int = 5) -> DataFrame:
     """test_fold: the fold that tests a row, 0 for rows only trained on."""
-    w = Window.orderBy(*order)
-    numbered = df.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    size = F.floor(F.col("_n") / (folds + 1))
-    lead = F.col("_n") - folds * size
-    fold = F.when(F.col("_r") > lead, F.floor((F.col("_r") - lead - 1) / size) + 1).otherwise(0).cast("int")
-    return numbered.withColumn("test_fold", fold).drop("_r", "_n")
+    rows = Ordered(df, order)
+    size = rows.total // (folds + 1)
+    lead = rows.total - folds * size
+    fold = F.when(F.col("_row") > lead, F.floor((F.col("_row") - lead - 1) / max(size, 1)) + 1).otherwise(0).cast("int")
+    return rows.numbered("_row").withColumn("test_fold", fold).drop("_row")
 
 
 def latest(df: DataFrame, entity: str, ts: str, tie: Column | str | None = None) -> DataFrame:

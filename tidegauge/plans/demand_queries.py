@@ -253,8 +253,7 @@ def daily(spark, d) -> DataFrame:
 @query(f"""WITH {DAILY}, w AS (SELECT *, lag(n, 1) OVER v lag_1, lag(n, 7) OVER v lag_7, avg(n) OVER (v ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) trailing_7,
 avg(n) OVER (v ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) trailing_28, row_number() OVER v r FROM daily WINDOW v AS (ORDER BY day)) SELECT day, n, lag_1, lag_7, trailing_7, trailing_28 FROM w WHERE r > 28""")
 def q26_global_lags(spark, d):
-    f = tm.lags(daily(spark, d), "n", [1, 7], ["day"])
-    return tm.trailing_mean(tm.trailing_mean(f, "n", 7, ["day"]), "n", 28, ["day"]).na.drop("any")
+    return tm.series_features(daily(spark, d), "n", [1, 7], {7: None, 28: None}, ["day"]).na.drop("any")
 
 
 @query(f"""WITH {SPINE}, f AS (SELECT s.user_id, s.hour, coalesce(h.n, 0)::BIGINT n FROM spine s LEFT JOIN hourly h USING (user_id, hour)),
@@ -304,9 +303,7 @@ c AS (SELECT date_trunc('hour', ts) AS hour, count(*) m FROM events GROUP BY 1)
 SELECT fold, sum(m) FILTER (r <= a)::BIGINT AS train_rows, sum(m) FILTER (r > a)::BIGINT AS test_rows, max(hour) FILTER (r <= a) AS train_end, max(hour) AS test_end FROM k, times JOIN c USING (hour) WHERE r <= b GROUP BY 1""")
 def q31_rolling_folds(spark, d):
     e = t(spark, d, "events").select(cal.hour_floor("ts").alias("hour"))
-    folds = tm.rolling_origin_folds(tm.distinct_times(e, "hour"), 3, 0.5)
-    table = spark.createDataFrame(folds, "fold int, train_end timestamp_ntz, test_end timestamp_ntz")
-    counts = e.groupBy("hour").agg(F.count("*").alias("m")).join(F.broadcast(table), F.col("hour") <= F.col("test_end"))
+    counts = e.groupBy("hour").agg(F.count("*").alias("m")).join(F.broadcast(tm.fold_bounds(e, "hour", 3, 0.5)), F.col("hour") <= F.col("test_end"))
     train = F.col("hour") <= F.col("train_end")
     return counts.groupBy("fold").agg(F.sum(F.when(train, F.col("m"))).alias("train_rows"), F.sum(F.when(~train, F.col("m"))).alias("test_rows"), F.max(F.when(train, F.col("hour"))).alias("train_end"), F.max("hour").alias("test_end"))
 
