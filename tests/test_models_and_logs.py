@@ -122,6 +122,26 @@ def test_snapshot_log_of_ragged_files(spark, tmp_path):
     assert flags == {"g1": True, "g2": False}
 
 
+def test_odd_snapshot_fields_are_read_as_duckdb_reads_them(spark, tmp_path):
+    import duckdb
+
+    folder = tmp_path / "logs of [a] *day"
+    folder.mkdir()
+    texts = [
+        "station_short_name,station_name,gbfs_station_id,capacity\n,Name A,g1,10\nB,,g2,\n,,g3,\n",
+        'gbfs_station_id,station_name,capacity\ng4,"two\nlines, and ""quotes""",7\ng5,"",8\n',
+        "capacity,gbfs_station_id,station_name,station_short_name\n1,g6,x,\n,g7,, spaced \n",
+    ]
+    for k, text in enumerate(texts):
+        (folder / f"20240101_0{k}0000_inventory_snapshot.csv").write_text(text, encoding="utf-8")
+    names = ["station_short_name", "station_name", "gbfs_station_id", "capacity"]
+    got = readers.snapshot_log(spark, str(folder).replace("[", "\\[").replace("]", "\\]").replace("*", "\\*")).select(*names)
+    paths = [str(p) for p in sorted(folder.iterdir())]
+    want = [r for p in paths for r in duckdb.read_csv(p.replace("[", "[[]").replace("*", "[*]"), header=True, all_varchar=True, sep=",", quotechar='"', escapechar='"').project(",".join(n if n in open(p).readline() else f"NULL AS {n}" for n in names)).fetchall()]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert readers.snapshot_log(spark, str(tmp_path)).count() == 0
+
+
 def test_pages_are_read_to_the_last_one(spark, tmp_path):
     rows = [{"stationId": f"ST-{k}", "rackTotCnt": "5", "parkingBikeTotCnt": "2"} for k in range(5)]
     asked = []

@@ -10,6 +10,7 @@ from ..operators import aggregate as agg
 from ..operators import drift, gates, metrics, models, panels
 from ..operators import inventory as inv
 from ..operators import temporal as tm
+from ..sources import readers, sinks
 from .demand_queries import DAILY, HOURLY, PANEL, TOP, WEATHER, daily, hourly, labelled, t, weather
 
 QUERIES: dict = {}
@@ -294,3 +295,32 @@ def q74_persistence(spark, d):
 @query("WITH e AS (SELECT value AS v FROM events WHERE value IS NOT NULL), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 r, count(*) OVER () n FROM e) SELECT max(v) AS quantile FROM r WHERE r = ceil(0.9::DOUBLE * (n - 1))")
 def q75_whole_quantile(spark, d):
     return agg.higher_quantile(t(spark, d, "events"), "value", [], 0.9)
+
+
+CELLS = """cells AS (SELECT c_custkey AS k, TIMESTAMP '2024-01-01' + to_hours(c_custkey::INTEGER // 300) + to_minutes(c_custkey::INTEGER % 4) AS captured_at, c_custkey % 4 AS layout,
+  CASE WHEN c_custkey % 3 > 0 THEN 'S' || c_custkey END AS short, CASE WHEN c_custkey % 5 = 0 THEN c_name || ', "' || c_mktsegment || '"' || chr(10) || 'gate' ELSE c_name END AS name,
+  'g' || c_custkey AS gid, CASE WHEN c_custkey % 7 > 0 THEN (c_nationkey + 10)::VARCHAR END AS cap, CASE WHEN c_custkey % 11 > 0 THEN (c_nationkey % 10)::VARCHAR END AS bikes FROM customer)"""
+LAYOUTS = (
+    ("station_short_name", "station_name", "gbfs_station_id", "capacity", "num_bikes_available"),
+    ("num_bikes_available", "gbfs_station_id", "not known", "station_name"),
+    ("station_name", "capacity", "gbfs_station_id", "station_short_name"),
+    ("gbfs_station_id", "station_short_name", "capacity", "num_bikes_available", "station_name"),
+)
+
+
+@query(f"""WITH {CELLS} SELECT captured_at, gid AS gbfs_station_id, CASE WHEN layout <> 1 THEN short END AS station_short_name, name AS station_name, CASE WHEN layout <> 1 THEN cap END AS capacity, CASE WHEN layout <> 2 THEN bikes END AS num_bikes_available FROM cells""")
+def q76_ragged_snapshots(spark, d):
+    """Customers as snapshot files of four layouts, with empty first, inner and last fields, and quotes, commas and line breaks inside fields, read back."""
+    k = F.col("c_custkey")
+    at = F.expr("timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, cast(c_custkey div 300 as int), cast(c_custkey % 4 as int))")
+    noted = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\ngate'))
+    cells = {
+        "station_short_name": F.when(k % 3 > 0, F.concat(F.lit("S"), k.cast("string"))), "station_name": F.when(k % 5 == 0, noted).otherwise(F.col("c_name")), "gbfs_station_id": F.concat(F.lit("g"), k.cast("string")),
+        "capacity": F.when(k % 7 > 0, (F.col("c_nationkey") + 10).cast("string")), "num_bikes_available": F.when(k % 11 > 0, (F.col("c_nationkey") % 10).cast("string")), "not known": F.lit("x"),
+    }
+    rows = t(spark, d, "customer").select((k % 4).alias("layout"), F.date_format(at, "yyyyMMdd_HHmmss").alias("captured_stamp"), *[c.alias(n) for n, c in cells.items()])
+    folder = sinks.shared_folder(spark)
+    for i, layout in enumerate(LAYOUTS):
+        sinks.to_snapshots(rows.where(F.col("layout") == i).select("captured_stamp", *layout), folder, "captured_stamp")
+    out = readers.snapshot_log(spark, folder)
+    return out.select("captured_at", "gbfs_station_id", "station_short_name", "station_name", "capacity", "num_bikes_available")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import re
 import urllib.request
 import zipfile
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,34 +39,41 @@ STATUS = (
 WEATHER = ("hourly struct<time:array<string>,temperature_2m:array<double>,relative_humidity_2m:array<double>,precipitation:array<double>,wind_speed_10m:array<double>>")
 
 
-def csv_cells(line: str) -> Column:
-    """The fields of a line of CSV; quotes around a field are dropped, doubled ones inside are one."""
-    found = F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    bare = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(found, lambda x: F.when(x.startswith('"'), bare(x)).otherwise(x))
+def file_headers(spark: SparkSession, folder: str, glob: str, stamp: str, until: str | None = None) -> dict[tuple[str, ...], list[str]]:
+    """The files whose name has a stamp (up to `until`), by the fields of their first line: paths under each distinct header.
+
+    What reaches the driver is a path for each file. Files past `until` are not opened, as that filter is on file metadata.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).text(folder).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_extract(F.col("_metadata.file_name"), stamp, 1).alias("stamp"))
+    lines = lines.where(F.col("stamp") != "" if until is None else (F.col("stamp") != "") & (F.col("stamp") <= until))
+    first = lines.where("block = 0 and value <> ''").withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
+        fields = tuple(x.strip() for x in next(csv.reader([r["head"].removeprefix("\ufeff")])))
+        # A path comes as a URI, and goes to the reader as a pattern.
+        out.setdefault(fields, []).extend(re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(x)) for x in r["paths"])
+    return out
 
 
-def snapshot_log(spark: SparkSession, folder: str, schema: str | T.StructType = SNAPSHOT, until: str | None = None, stamp: str = STAMP) -> DataFrame:
+def snapshot_log(spark: SparkSession, folder: str, schema: str | T.StructType = SNAPSHOT, until: str | None = None, stamp: str = STAMP, glob: str = "*_inventory_snapshot.csv") -> DataFrame:
     """All snapshot files of a folder, with captured_at read from each file's name.
 
-    Files whose name has no stamp, and those after `until` (yyyyMMdd_HHmmss, included), are not opened: the filter is
-    on file metadata. Each line is read by the header of its own file, so files may lack columns, have more, or have them in another
-    order; columns that a file lacks are null. A field holds no line break.
+    Files whose name has no stamp, and those after `until` (yyyyMMdd_HHmmss, included), are not opened. Files are grouped by header and
+    each group is read by Spark's own CSV reader with that header as its schema, so files may lack columns, have more, or
+    have them in another order, and a quoted field may hold commas, doubled quotes and line breaks. Columns that a file lacks are
+    null, as are empty fields, quoted ones too; of columns of one name the first counts; a row that is too short ends in nulls.
     """
-    names = [f.name for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)]
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     found = F.regexp_extract(F.col("_metadata.file_name"), stamp, 1)
-    lines = spark.read.option("pathGlobFilter", "*_inventory_snapshot.csv").text(folder)
-    lines = lines.select(found.alias("_stamp"), F.col("_metadata.file_path").alias("snapshot_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value"))
-    lines = lines.where(F.col("_stamp") != "")
-    if until is not None:
-        lines = lines.where(F.col("_stamp") <= until)
-    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
-    first = lines.where("_block = 0").withColumn("_line", F.monotonically_increasing_id()).groupBy("snapshot_path").agg(F.min_by("value", "_line").alias("_first"))
-    rows = lines.join(first, "snapshot_path").where((F.col("value") != F.col("_first")) & (F.col("value") != ""))
-    rows = rows.withColumns({"_head": csv_cells("_first"), "_cells": csv_cells("value")})
-    row = F.map_from_arrays("_head", F.transform("_head", lambda _, i: F.get("_cells", i)))
-    out = rows.withColumn("_row", row).select(*[F.nullif(F.try_element_at("_row", F.lit(n)), F.lit("")).alias(n) for n in names], "_stamp", "snapshot_path")
-    return out.withColumn("captured_at", F.try_to_timestamp("_stamp", F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz")).drop("_stamp")
+    parts = []
+    for header, paths in sorted(file_headers(spark, folder, glob, stamp, until).items()):
+        own = [h if h and h not in header[:i] else f"_unnamed_{i}" for i, h in enumerate(header)]
+        raw = spark.read.schema(T.StructType([T.StructField(h, T.StringType()) for h in own])).csv(paths, header=True, multiLine=True, quote='"', escape='"')
+        cells = [(F.nullif(F.col(f"`{f.name}`"), F.lit("")) if f.name in own else F.lit(None).cast("string")).alias(f.name) for f in fields]
+        parts.append(raw.select(*cells, F.col("_metadata.file_path").alias("snapshot_path"), F.try_to_timestamp(found, F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz").alias("captured_at")))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*[T.StructField(f.name, T.StringType()) for f in fields], T.StructField("snapshot_path", T.StringType()), T.StructField("captured_at", T.TimestampNTZType())]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def snapshot_history(raw: DataFrame, key: str = "gbfs_station_id", fallback: str = "station_short_name") -> DataFrame:

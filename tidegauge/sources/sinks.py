@@ -3,12 +3,43 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below the one that the session names in spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="tidegauge-")
+    return f"{named.rstrip('/')}/tidegauge-{uuid.uuid4().hex}"
+
+
+def to_snapshots(df: DataFrame, folder: str, stamp: str, suffix: str = "_inventory_snapshot.csv") -> int:
+    """A CSV file with a header for each value of the column `stamp`, named by it, beside what the folder has; nulls are empty. Gives the number of files.
+
+    A snapshot is one capture and goes through one task; snapshots are written side by side.
+    """
+    spark = df.sparkSession
+    put = f"{folder.rstrip('/')}/_put-{uuid.uuid4().hex}"
+    df.repartition(stamp).write.partitionBy(stamp).csv(put, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(put).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = 0
+    for part in fs.globStatus(path(f"{put}/{stamp}=*/part-*")):
+        name = part.getPath().getParent().getName().partition("=")[2]
+        fs.rename(part.getPath(), path(f"{folder.rstrip('/')}/{name}{suffix}"))
+        made += 1
+    fs.delete(path(put), True)
+    return made
+
+
 def to_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     df.write.mode("overwrite").partitionBy(*(by or [])).parquet(path)
 
