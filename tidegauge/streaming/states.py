@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.query import StreamingQuery
 
 
 def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", per_batch: int = 100) -> DataFrame:
@@ -26,46 +24,89 @@ def trailing_counts(stream: DataFrame, entity: str, ts: str, hours: int = 24, la
     return counted.select(entity, F.col("window.end").alias("until"), "n")
 
 
-def next_state_labels(stream: DataFrame, entity: str, ts: str, state: str, tolerance_minutes: float = 90.0, late: str = "2 hours") -> DataFrame:
-    """(entity, ts, state, next_ts, gap_minutes, label): each row once its successor is certain.
+#: Where keyed state lives: on the executors' disks, with changes in the checkpoint.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+_LABEL = Row("entity", "us", "state", "next_us", "gap_minutes", "label")
+
 
-    Rows wait in state until the watermark passes them, so rows that come out of order are put in
-    order of event time; a row later than the watermark allows is dropped by Spark. A row whose
-    successor lies past the tolerance, or hasn't come when the watermark is past it, gets a null label.
+class NextState(StatefulProcessor):
+    """Labels each row of an entity by the state of the row after it.
+
+    Held of an entity: rows that the watermark has not passed, as earlier ones may still come; the last row that it has passed,
+    which waits for its successor; and one timer, at the time from which any of them can be settled. State that lives by
+    event time has no time to live of its own, so the timer is what removes it.
     """
-    out = f"{entity} string, ts timestamp, state boolean, next_ts timestamp, gap_minutes double, label boolean"
-    held = "times array<timestamp>, states array<boolean>"
-    limit = pd.Timedelta(minutes=tolerance_minutes)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        times, states = (list(x) for x in kept.get) if kept.exists else ([], [])
-        for b in batches:
-            times += list(b["ts"])
-            states += [None if pd.isna(s) else bool(s) for s in b["state"]]
-        order = sorted(range(len(times)), key=lambda i: times[i])
-        times, states = [pd.Timestamp(times[i]) for i in order], [states[i] for i in order]
-        mark = pd.Timestamp(kept.getCurrentWatermarkMs(), unit="ms")
-        rows, done = [], 0
-        for i, at in enumerate(times):
-            after = times[i + 1] if i + 1 < len(times) else None
-            if (after is not None and after <= mark) or at + limit < mark:
-                gap = (after - at).total_seconds() / 60 if after is not None else None
-                near = gap is not None and gap <= tolerance_minutes
-                rows.append((key[0], at, states[i], after, gap, states[i + 1] if near else None))
-                done = i + 1
-            else:
+
+    def __init__(self, tolerance_us: int, tie: str):
+        self.tolerance, self.tie = tolerance_us, tie
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", f"us bigint, tie {self.tie}, seq int", "state boolean")
+        self.last = handle.getValueState("last", "us bigint, state boolean")
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for r in rows:
+            seq = 0
+            while self.open.containsKey((r.us, r.tie, seq)):  # rows that tie in all are all kept
+                seq += 1
+            self.open.updateValue((r.us, r.tie, seq), (r.state,))
+        yield from self._settled(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._settled(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _settled(self, key, mark: int):
+        rows = sorted(((tuple(k), v[0]) for k, v in self.open.iterator()), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1], x[0][2]))
+        last = self.last.get()
+        for k, state in rows:
+            if k[0] > mark:
                 break
-        times, states = times[done:], states[done:]
-        if times:
-            kept.update((times, states))
-            kept.setTimeoutTimestamp(max(int((times[0] + limit).timestamp() * 1000) + 1, kept.getCurrentWatermarkMs() + 1))
-        elif kept.exists:
-            kept.remove()
-        frame = pd.DataFrame(rows, columns=[entity, "ts", "state", "next_ts", "gap_minutes", "label"])
-        yield frame.astype({"ts": "datetime64[ns]", "next_ts": "datetime64[ns]", "gap_minutes": "float64", "state": "boolean", "label": "boolean"})
-
-    rows = stream.select(F.col(entity).cast("string").alias(entity), F.col(ts).cast("timestamp").alias("ts"), F.col(state).alias("state"))
-    return rows.withWatermark("ts", late).groupBy(entity).applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+            if last is not None:
+                gap = k[0] - last[0]
+                yield _LABEL(key[0], last[0], last[1], k[0], gap / 6e7, state if gap <= self.tolerance else None)
+            last = (k[0], state)
+            self.open.removeKey(k)
+        if last is not None and last[0] + self.tolerance < mark:
+            yield _LABEL(key[0], last[0], last[1], None, None, None)
+            last = None
+        if last is None:
+            self.last.clear()
+        else:
+            self.last.update(last)
+        waits = [k[0] for k, _ in rows if k[0] > mark][:1] + ([last[0] + self.tolerance] if last is not None else [])
+        if (old := self.timer.get()) is not None:
+            self.handle.deleteTimer(old[0])
+            self.timer.clear()
+        if waits:
+            due = max(min(waits), mark) // 1000 + 1
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+
+
+def next_state_labels(stream: DataFrame, entity: str, ts: str, state: str, tolerance_minutes: float = 90.0, late: str = "2 hours", tie: str | None = None) -> DataFrame:
+    """(entity, ts, state, next_ts, gap_minutes, label): each row once its successor is certain.
+
+    Rows that come out of order are put in order of event time, then of `tie`, before they are labelled; a row later than the
+    watermark allows is dropped by Spark, and `late_rows` counts those. A row whose successor lies past the tolerance gets a null
+    label; one whose successor hasn't come when the watermark is past the tolerance gets a null next_ts and gap as well. Rows
+    without a time go. Sets the session's state store to RocksDB, which this needs.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kind = dict(stream.dtypes)[tie] if tie else "int"
+    at = F.col(ts).cast("timestamp")
+    rows = stream.where(at.isNotNull()).select(F.col(entity).cast("string").alias("entity"), at.alias("ts"), F.unix_micros(at).alias("us"), (F.col(tie) if tie else F.lit(0)).alias("tie"), F.col(state).cast("boolean").alias("state"))
+    out = "entity string, us bigint, state boolean, next_us bigint, gap_minutes double, label boolean"
+    found = rows.withWatermark("ts", late).groupBy("entity").transformWithState(NextState(round(tolerance_minutes * 6e7), kind), out, "Append", "EventTime")
+    return found.select(F.col("entity").alias(entity), F.timestamp_micros("us").alias("ts"), "state", F.timestamp_micros("next_us").alias("next_ts"), "gap_minutes", "label")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators have dropped for coming after the watermark, as far as its kept progress goes back."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def latest_state(stream: DataFrame, entity: str, ts: str, columns: list[str]) -> DataFrame:
