@@ -3,9 +3,9 @@
 Texts are cut into shards of word ids once. Each shard's suffix array is ordered by prefix doubling (ranks of one word give those
 of two, those give four, and one more word gives five), and the intervals of its longest-common-prefix array are the shard's
 different n-grams with their counts, which are summed by (lang, phrase) over all shards. A phrase that occurs `least` times is made of
-phrases that do, so words are counted first, then pairs of frequent words, then longer phrases of frequent pairs; what is
-frequent is sent to shards as a bit map of hashes, of a size that is bounded. A hash that two share costs a row and never
-changes a count, as sums decide.
+words and pairs that do, so words are counted first; then pairs of frequent words, by a 32-bit hash alone; and then all phrases
+whose pairs are frequent. What is frequent is sent to shards as a bit map of hashes, of a size that is bounded. Where hashes
+meet, a phrase is counted that need not be, and no count changes: the sums by (lang, phrase) decide.
 """
 
 from __future__ import annotations
@@ -117,85 +117,112 @@ def intervals(ids: np.ndarray, shortest: int, longest: int) -> Iterator[tuple[in
         yield k, own[first], np.diff(np.r_[first, len(own)])
 
 
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    """As Spark's xxhash64 has them."""
+    import xxhash
+
+    lead = lang.encode() + b"\n"
+    return np.fromiter((xxhash.xxh64_intdigest(lead + w, 42) for w in words), np.uint64, len(words))
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """32 bits from the hashes of two words."""
+    h = (first * np.uint64(0x9E3779B97F4A7C15) ^ (second >> np.uint64(29)) ^ second) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(32)
+
+
 class Map:
-    """A bit map of hashes of (lang, phrase)."""
+    """A bit map of hashes."""
 
     def __init__(self, bits: int, words: np.ndarray):
         self.bits, self.words = bits, words
 
-    @staticmethod
-    def hashed(lang: str, phrases: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        lead = lang.encode() + b"\n"
-        return np.fromiter((xxhash.xxh64_intdigest(lead + p, 42) for p in phrases), np.uint64, len(phrases))
-
-    def holds(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        at = self.hashed(lang, phrases) & np.uint64(self.bits - 1)
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.uint64(self.bits - 1)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bit_map(frequent: DataFrame) -> Map:
-    """The map of frequent (lang, phrase) rows. Its 64-bit words are put together by Spark; at most MOST_BITS / 64 of them reach the driver."""
-    many = frequent.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * many).bit_length()))
-    at = F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")).bitwiseAND(F.lit(bits - 1))
+def bit_map(frequent: DataFrame, h: Column) -> Map:
+    """The map of the hashes `h` of frequent's rows. Its 64-bit words are put together by Spark; at most MOST_BITS / 64 of them reach the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * frequent.count()).bit_length()))
     bit = F.expr("shiftleft(1L, cast(h & 63L as int))")
-    each = frequent.select(at.alias("h")).groupBy(F.shiftrightunsigned("h", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    each = frequent.select(h.bitwiseAND(F.lit(bits - 1).cast("long")).alias("h")).groupBy(F.shiftrightunsigned("h", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     words[each.column("word").to_numpy()] = each.column("bits").to_numpy().view(np.uint64)
     return Map(bits, words)
 
 
-def gram_counts(cut: DataFrame, shortest: int, longest: int, known: Map | None = None, of: int = 0) -> DataFrame:
-    """(lang, phrase, k, f): how often each phrase of `shortest` to `longest` words occurs over all shards.
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    for b in batches:
+        for name, words, raw in zip(*(b.column(k) for k in range(3))):
+            yield name.as_py(), words.values, np.frombuffer(raw.as_buffer(), np.int32)
 
-    With `known`, only phrases all of whose runs of `of` words (1 or 2) may be in it: pieces are cut where one isn't.
-    """
-    sent = shared(cut.sparkSession, known)
 
-    def pruned(lang: str, words: list[bytes], ids: np.ndarray, known: Map) -> np.ndarray:
-        if of == 1:
-            ok = np.r_[known.holds(lang, words), False]
-            return np.where(ok[ids], ids, -1)
-        pairs = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        key = ids[:-1].astype(np.int64) * len(words) + ids[1:]
-        some, back = np.unique(key[pairs], return_inverse=True)
-        ok = np.zeros(len(pairs), bool)
-        ok[pairs] = known.holds(lang, [words[k // len(words)] + b" " + words[k % len(words)] for k in some.tolist()])[back]
-        # A cut where the pair ahead is rare: the word stays the last of its piece, and is not the first of the next.
-        return np.insert(ids, np.flatnonzero(pairs & ~ok) + 1, -1)
+def word_counts(cut: DataFrame) -> DataFrame:
+    """(lang, phrase, k, f) of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, ids in _opened(batches):
+            for _, at, counts in intervals(ids, 1, 1):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), words.take(pa.array(ids[at])).cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "phrase", "f"])
+
+    found = cut.select("lang", "words", "ids").mapInArrow(run, "lang string, phrase string, f long")
+    return found.groupBy("lang", "phrase").agg(F.lit(1).alias("k"), F.sum("f").alias("f"))
+
+
+def _frequent_words(lang: str, words: pa.Array, ids: np.ndarray, known: Map) -> tuple[np.ndarray, np.ndarray]:
+    """ids cut at words that aren't frequent, and the words' hashes."""
+    h = word_hashes(lang, words.to_pylist())
+    ok = np.r_[known.holds(h), False]
+    return np.where(ok[ids], ids, -1).astype(np.int32), h
+
+
+def pair_counts(cut: DataFrame, known: Map) -> DataFrame:
+    """(h, f): how often the pairs of frequent words occur, by their 32-bit hash over all languages."""
+    sent = shared(cut.sparkSession, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent()
-        for b in batches:
-            for name, words, raw in zip(*(b.column(k) for k in range(3))):
-                lang, ids, words = name.as_py(), np.frombuffer(raw.as_buffer(), np.int32), words.values
-                if known is not None:
-                    ids = pruned(lang, words.to_pylist(), ids, known)
-                ids = _runs(ids, shortest)
-                for k, at, counts in intervals(ids, shortest, longest):
-                    for lo in range(0, len(at), 1 << 17):
-                        some = at[lo : lo + (1 << 17)]
-                        parts = [words.take(pa.array(ids[some + j])) for j in range(k)]
-                        phrase = (pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]).cast(pa.string())
-                        n = len(some)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * n), phrase, pa.array(np.full(n, k, np.int32)), pa.array(counts[lo : lo + n].astype(np.int64))], ["lang", "phrase", "k", "f"])
-
-    return cut.select("lang", "words", "ids").mapInArrow(run, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+        for lang, words, ids in _opened(batches):
+            ids, h = _frequent_words(lang, words, ids, known)
+            ids = _runs(ids, 2)
+            for _, at, counts in intervals(ids, 2, 2):
+                pair = pair_hashes(h[ids[at]], h[ids[at + 1]]).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(counts.astype(np.int64))], ["h", "f"])
+
+    return cut.select("lang", "words", "ids").mapInArrow(run, "h int, f long").groupBy("h").agg(F.sum("f").alias("f"))
+
+
+def phrase_counts(cut: DataFrame, longest: int, words: Map, pairs: Map) -> DataFrame:
+    """(lang, phrase, k, f) of phrases of 2 to `longest` words whose words and pairs may all be frequent."""
+    sent = shared(cut.sparkSession, (words, pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_pairs = sent()
+        for lang, words, ids in _opened(batches):
+            ids, h = _frequent_words(lang, words, ids, known)
+            met = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+            rare = met[~known_pairs.holds(pair_hashes(h[ids[met]], h[ids[met + 1]]))]
+            # A cut between the two words of a rare pair: each may go on the other way.
+            ids = _runs(np.insert(ids, rare + 1, -1), 2)
+            for k, at, counts in intervals(ids, 2, longest):
+                for lo in range(0, len(at), 1 << 17):
+                    some = at[lo : lo + (1 << 17)]
+                    phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[some + j])) for j in range(k)], b" ").cast(pa.string())
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n), phrase, pa.array(np.full(n, k, np.int32)), pa.array(counts[lo : lo + n].astype(np.int64))], ["lang", "phrase", "k", "f"])
+
+    found = cut.select("lang", "words", "ids").mapInArrow(run, "lang string, phrase string, k int, f long")
+    return found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(cut: DataFrame, longest: int = 5, least: int = 100) -> DataFrame:
     """(lang, phrase, k, f) of phrases of 1 to `longest` words that occur `least` times or more in a language; `cut` is what `shards` gives, written."""
-    words = written(gram_counts(cut, 1, 1).where(F.col("f") >= least))
-    out = [words]
-    if longest > 1:
-        out.append(pairs := written(gram_counts(cut, 2, 2, bit_map(words), 1).where(F.col("f") >= least)))
-    if longest > 2:
-        out.append(written(gram_counts(cut, 3, longest, bit_map(pairs), 2).where(F.col("f") >= least)))
-    for more in out[1:]:
-        out[0] = out[0].unionByName(more)
-    return out[0]
+    often = F.col("f") >= least
+    words = written(word_counts(cut).where(often))
+    known = bit_map(words, F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")))
+    pairs = written(pair_counts(cut, known).where(often))
+    return words.unionByName(written(phrase_counts(cut, longest, known, bit_map(pairs, F.col("h").cast("long"))).where(often)))
 
 
 def _times(*columns: str | Column) -> Column:
