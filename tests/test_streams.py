@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import Counter
+
+import pytest
 
 from tidegauge.operators import temporal as tm
+from tidegauge.sources import sinks
 from tidegauge.streaming import states
 
 SCHEMA = "id long, user string, ts timestamp, high boolean"
@@ -63,3 +67,49 @@ def test_next_state_labels_equal_the_batch_when_rows_are_out_of_order_and_the_qu
     for g, w in zip(got, want):
         # A successor past the tolerance may not have come when the row is settled.
         assert g[:3] == w[:3] and g[4] == w[4] and (g[3] == w[3] or (g[3] is None and w[3] > 90))
+
+
+def test_each_key_is_delivered_once_across_failures_and_a_lost_checkpoint(spark, tmp_path):
+    folder, told = f"{tmp_path}/outbox", []
+    put = lambda ids, hour: spark.createDataFrame([(k, "u", START + dt.timedelta(hours=hour), True) for k in ids], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run(checkpoint, then):
+        states.deliver(states.file_stream(spark, f"{tmp_path}/in", SCHEMA, per_batch=1), "id", "ts", folder, f"{tmp_path}/{checkpoint}", "2 days", then).awaitTermination()
+
+    def fails(rows, part):
+        told.append((part, sorted(r.id for r in rows.collect())))
+        if told[-1][1] == [4, 5]:
+            raise RuntimeError("killed after the batch is put, before it is recorded")
+
+    sent = lambda: Counter(r.id for r in spark.read.parquet(folder).collect())
+    put([1, 2, 3], 0)
+    run("c", fails)
+    put([3, 4, 5, 4], 1)
+    with pytest.raises(Exception, match="killed"):
+        run("c", fails)
+    assert sent() == Counter([1, 2, 3, 4, 5])
+    again = []
+    run("c", lambda rows, part: again.append((part, sorted(r.id for r in rows.collect()))))
+    assert again[0] == told[-1] and sent() == Counter([1, 2, 3, 4, 5])
+    put([5, 6], 2)
+    run("another", None)  # reads all of the input anew
+    assert sent() == Counter([1, 2, 3, 4, 5, 6])
+
+
+def test_a_failure_between_the_log_and_the_pointer_loses_nothing(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "shared")
+    frame = lambda n: spark.createDataFrame([(k, 0.5 * k) for k in range(n)], "id int, v double")
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, folder)
+    sinks.publish(frame(3), folder, "20260101_001500")
+    swap = sinks._swapped
+    monkeypatch.setattr(sinks, "_swapped", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        sinks.publish(frame(4), folder, "20260101_011500")
+    assert sinks.published(spark, folder).count() == 3
+    monkeypatch.setattr(sinks, "_swapped", swap)
+    sinks.publish(frame(4), folder, "20260101_011500")
+    assert sinks.published(spark, folder).count() == 4 and sinks.published(spark, folder).columns == ["id", "v"]
+    sinks.publish(frame(5), folder, "20251231_231500")  # late: the log has it, the latest stays
+    assert sinks.published(spark, folder).count() == 4
+    assert Counter(r.captured_stamp for r in sinks.published(spark, folder, stamps=True).collect()) == {"20260101_001500": 3, "20260101_011500": 4, "20251231_231500": 5}

@@ -63,12 +63,59 @@ def summary_json(one_row: DataFrame, path: str) -> dict:
 
 
 def latest_and_log(df: DataFrame, latest: str, log: str, stamp: str) -> None:
-    """The same snapshot in place of the latest and added to the log, by its date."""
+    """The same snapshot in place of the latest and added to the log, by its date. For readers that may come in between, or runs that may end there, see `publish`."""
     df.write.mode("overwrite").parquet(latest)
     day = f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}"
     df.withColumns({"captured_stamp": F.lit(stamp), "captured_date": F.lit(day)}).write.mode("append").partitionBy("captured_date").parquet(log)
 
 
+def _swapped(spark: SparkSession, path: str, text: str) -> None:
+    """The text in place of a file's, at once: readers see the old text or the new."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, put = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    out = put.getFileSystem(conf).create(put)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(put.toUri(), conf).rename(put, target, over)
+
+
+def _current(spark: SparkSession, folder: str) -> str | None:
+    found = spark.read.option("wholetext", True).text(f"{folder}/_latest").collect() if exists(spark, f"{folder}/_latest") else []
+    return found[0][0] if found else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def publish(df: DataFrame, folder: str, stamp: str) -> None:
+    """A snapshot into the log, by its date and stamp, and then as the latest: a pointer is swapped once the snapshot is whole.
+
+    A run that ends before the swap leaves the old latest readable, and a run again takes its own snapshot's place. A stamp
+    before the latest one joins the log alone.
+    """
+    spark, day = df.sparkSession, f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}"
+    df.write.mode("overwrite").parquet(f"{folder}/log/captured_date={day}/captured_stamp={stamp}")
+    now = _current(spark, folder)
+    if now is None or now <= stamp:
+        _swapped(spark, f"{folder}/_latest", stamp)
+
+
+def published(spark: SparkSession, folder: str, stamps: bool = False) -> DataFrame:
+    """The latest snapshot of `publish`; with `stamps` the whole log, with captured_date and captured_stamp as text."""
+    log = spark.read.option("basePath", f"{folder}/log")
+    if stamps:
+        return spark.read.parquet(f"{folder}/log").withColumns({c: F.col(c).cast("string") for c in ("captured_date", "captured_stamp")})
+    now = _current(spark, folder)
+    if now is None:
+        raise FileNotFoundError(f"nothing is published in {folder}")
+    return log.parquet(f"{folder}/log/captured_date={now[:4]}-{now[4:6]}-{now[6:8]}/captured_stamp={now}").drop("captured_date", "captured_stamp")
+
+
 def markdown_table(df: DataFrame, digits: int = 4, rows: int = 100) -> str:
     """An aligned text table of the first rows; nulls and NaN are blank."""
 

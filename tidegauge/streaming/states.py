@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from ..sources.sinks import exists
 
 
 def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", per_batch: int = 100) -> DataFrame:
@@ -117,3 +122,28 @@ def latest_state(stream: DataFrame, entity: str, ts: str, columns: list[str]) ->
 def once_only(stream: DataFrame, key: str, ts: str, within: str = "1 day") -> DataFrame:
     """Rows whose key hasn't been seen within the watermark."""
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
+
+
+def deliver(stream: DataFrame, key: str, ts: str, folder: str, checkpoint: str, within: str = "1 day", then: Callable[[DataFrame, str], None] | None = None) -> StreamingQuery:
+    """Starts a query that puts each key's first row into `folder` once, whatever happens to the query, and ends when the input is read.
+
+    Repeats inside `within` are dropped by state. Each batch is written to a part of its own, named by the checkpoint's query id
+    and the batch id, in place of what an ended run left of it: a batch that is done again after a restart stands there once. Rows
+    whose key another part has are left out, so a lost checkpoint sends nothing twice. `then` gets what a
+    batch has put and its part's name, once that is whole; it is called again with the same name and rows if the query ends before the
+    batch is recorded, so an effect outside can tell the repeat by the name. The folder holds the stream's columns, run and batch.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        part = f"{folder}/run={run}/batch={batch}"
+        if exists(spark, folder):
+            there = StructType([*rows.schema.fields, StructField("run", StringType()), StructField("batch", LongType())])
+            sent = spark.read.schema(there).parquet(folder).where((F.col("run") != run) | (F.col("batch") != batch)).select(key)
+            rows = rows.join(sent.distinct(), key, "left_anti").select(rows.columns)
+        rows.write.mode("overwrite").parquet(part)
+        if then is not None:
+            then(spark.read.schema(rows.schema).parquet(part), f"{run}/{batch}")
+
+    return once_only(stream, key, ts, within).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
