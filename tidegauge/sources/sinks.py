@@ -83,7 +83,7 @@ def _swapped(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _current(spark: SparkSession, folder: str) -> str | None:
-    found = spark.read.option("wholetext", True).text(f"{folder}/_latest").collect() if exists(spark, f"{folder}/_latest") else []
+    found = spark.read.option("wholetext", True).text(f"{folder}/latest").collect() if exists(spark, f"{folder}/latest") else []
     return found[0][0] if found else None
 
 
@@ -102,7 +102,7 @@ def publish(df: DataFrame, folder: str, stamp: str) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/log/captured_date={day}/captured_stamp={stamp}")
     now = _current(spark, folder)
     if now is None or now <= stamp:
-        _swapped(spark, f"{folder}/_latest", stamp)
+        _swapped(spark, f"{folder}/latest", stamp)
 
 
 def published(spark: SparkSession, folder: str, stamps: bool = False) -> DataFrame:
