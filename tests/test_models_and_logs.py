@@ -107,6 +107,37 @@ def test_models_are_saved_and_loaded(panel, tmp_path):
     assert fit(panel).select("id", "prediction").exceptAll(again(panel).select("id", "prediction")).count() == 0
 
 
+def test_classifiers_and_constants_are_saved_and_loaded(panel, tmp_path):
+    for name, fit in (("logistic", models.logistic(panel, ["x1", "x2"], "y")), ("constant", models.logistic(panel.where("y"), ["x1"], "y"))):
+        models.save(fit, f"{tmp_path}/{name}")
+        again = models.load(f"{tmp_path}/{name}")
+        columns = ["id", "score", "predicted"]
+        assert fit(panel).select(columns).exceptAll(again(panel).select(columns)).count() == 0
+
+
+def test_night_threshold_is_chosen_on_night_rows(panel):
+    parts = panels.calibration_splits(panel, "ts").withColumn("hr", F.hour("ts"))
+    fit, calibration, test = (parts.where(f"part = '{p}'") for p in ("fit", "calibration", "test"))
+    got = {(r.hr <= 5, r.threshold) for r in models.calibrated(fit, calibration, test, ["x1", "x2"], "y", metrics.threshold_grid(), "hr").select("hr", "threshold").distinct().collect()}
+    rows = models.logistic(fit, ["x1", "x2"], "y")(calibration).select("y", "score", "hr").collect()
+
+    def best(rows):
+        def rank(t):
+            tp, said, pos = sum(r.y and r.score >= t for r in rows), sum(r.score >= t for r in rows), sum(r.y for r in rows)
+            return -(2 * tp / (said + pos) if said + pos else 0), -(tp / said if said else 0), abs(t - 0.5), t
+
+        return min(metrics.threshold_grid(), key=rank)
+
+    assert got == {(True, best([r for r in rows if r.hr <= 5])), (False, best(rows))}
+
+
+def test_cutoffs_are_resolved():
+    at = dt.datetime(2026, 7, 13, 5, 15, 3, tzinfo=dt.timezone.utc)
+    assert cal.resolve_cutoff(at, {}).isoformat() == "2026-07-13T14:15:03+09:00"
+    assert cal.resolve_cutoff(None, {"snapshot_cutoff_at": "2026-07-13T14:15:03+09:00"}) == at
+    assert [cal.resolve_cutoff(None, x) for x in ({}, {"snapshot_cutoff_at": None}, {"snapshot_cutoff_at": "soon"}, {"snapshot_cutoff_at": "2026-07-13T14:15:03"})] == [None] * 4
+
+
 def test_snapshot_log_of_ragged_files(spark, tmp_path):
     write = lambda stamp, text: (tmp_path / f"{stamp}_inventory_snapshot.csv").write_text(text, encoding="utf-8")
     write("20240101_000000", "﻿gbfs_station_id,capacity,num_bikes_available,current_bike_shortage\ng1,10,3,True\n\ng2,x,,no\n")

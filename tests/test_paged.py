@@ -79,7 +79,7 @@ def test_a_capture_publishes_all_or_nothing(spark, server, tmp_path):
     about = take("20260101_001500")
     assert (about["rows"], about["pages"], about["ok"], about["priorities"], about["stamp"]) == (23, 5, True, 4, "20260101_001500")
     rows = sinks.published(spark, f"{tmp_path}/priority").orderBy("rank").collect()
-    assert [(r.station_id, r.issue) for r in rows][:2] == [("ST-000", "stock_shortage"), ("ST-020", "space_shortage")] or len(rows) == 4
+    assert [(r.station_id, r.issue, r.delta, r.severity) for r in rows] == [("ST-022", "space_shortage", -6, 2.0), ("ST-021", "space_shortage", -5, 2.0), ("ST-000", "stock_shortage", 4, 2.0), ("ST-020", "space_shortage", -4, 2.0)]
     for name, broken in (("schema", json.dumps({"rentBikeStatus": {"RESULT": {"CODE": "INFO-000"}, "row": [{"stationId": {"x": [1]}}] * 5}})[:-4]), ("json", "<html>"), ("contract", None)):
         server.asked.clear()
         server.broken = {6: broken} if broken else {}

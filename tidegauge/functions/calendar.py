@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,3 +91,13 @@ def cutoff(text: str) -> datetime:
     if at.tzinfo is None:
         raise ValueError("the cutoff needs a time zone")
     return at
+
+
+def resolve_cutoff(configured: datetime | None, saved: dict, zone: str = "Asia/Seoul", key: str = "snapshot_cutoff_at") -> datetime | None:
+    """The cutoff in a zone: the configured one, else the one a saved summary holds, else None. A saved one that can't be read or has no zone is none."""
+    if configured is None:
+        try:
+            configured = cutoff(str(saved.get(key) or ""))
+        except ValueError:
+            return None
+    return configured.astimezone(ZoneInfo(zone))

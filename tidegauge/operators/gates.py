@@ -65,16 +65,30 @@ def page_summary(pages: DataFrame) -> DataFrame:
     )
 
 
-def readiness(df: DataFrame, ts: str, entity: str, label: str, target_days: float = 14.0, per_day: int = 24, needed: float = 0.8) -> DataFrame:
-    """One row on a labelled history: span, snapshots against the number needed, labels, their rate, and ready."""
-    least = int(target_days * per_day * needed)
+def readiness(df: DataFrame, ts: str, entity: str, label: str, target_days: float = 14.0, per_day: int = 24, needed: float = 0.8, states: list[str] | None = None) -> DataFrame:
+    """One row on a labelled history: span, snapshots against the number needed, labels, their rate, coverage (1 at most), what is still to come, ready and why.
+
+    `states` are boolean columns whose rates are added. A history without rows is not ready, as it has no snapshots.
+    """
+    target = int(target_days * per_day)
+    least = int(target * needed)
     span = F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / F.lit(86400e6)
     out = df.agg(
         F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), span.alias("span_days"), F.count_distinct(ts).alias("snapshots"),
         F.count_distinct(entity).alias("entities"), F.count("*").alias("rows"), F.count(label).alias("labels"), F.avg(F.col(label).cast("int")).alias("label_rate"),
+        *[F.avg(F.col(s).cast("int")).alias(f"{s}_rate") for s in states or []],
     )
-    ready = (F.col("snapshots") >= least) & (F.col("span_days") >= target_days) & (F.col("labels") > 0)
-    return out.withColumns({"needed_snapshots": F.lit(least), "coverage": F.col("snapshots") / F.lit(int(target_days * per_day)), "ready": F.coalesce(ready, F.lit(False))})
+    ready = F.coalesce((F.col("snapshots") >= least) & (F.col("span_days") >= target_days) & (F.col("labels") > 0), F.lit(False))
+    return out.withColumns(
+        {
+            "needed_snapshots": F.lit(least),
+            "remaining_snapshots": F.greatest(F.lit(least) - F.col("snapshots"), F.lit(0)),
+            "coverage": F.least(F.col("snapshots") / F.lit(max(target, 1)), F.lit(1.0)),
+            "earliest_ready_at": F.col("first_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(target_days * 86400.0).cast("decimal(18,6)")),
+            "ready": ready,
+            "reason": F.when(F.col("snapshots") == 0, "no snapshots").when(ready, "ready").otherwise("waiting for more snapshots"),
+        }
+    )
 
 
 def gate_table(metrics: DataFrame, gates: list[tuple[str, Column, str, str]]) -> DataFrame:
@@ -97,6 +111,31 @@ def not_ready(spark, reason: str) -> DataFrame:
     return spark.createDataFrame([("NOT_READY", reason)], "status string, reason string")
 
 
+def status(one_row: DataFrame, needs: list[tuple[Column, str]]) -> DataFrame:
+    """The row with status (READY, or NOT_READY) and reason: of the conditions that don't hold, null ones too, the first one's."""
+    reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(why)) for ok, why in needs])
+    return one_row.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "READY").otherwise("NOT_READY"))
+
+
+def metric_rows(found: DataFrame, status_row: DataFrame) -> DataFrame:
+    """The metrics where the status is READY, else no rows of the same schema."""
+    return found.join(F.broadcast(status_row.where("status = 'READY'").select("status")), how="cross").drop("status")
+
+
+def service_health(one: DataFrame, summary: str, priorities: str, inventory: str, passed: str, failed: str) -> DataFrame:
+    """A service's row with errors and status: ok, or degraded.
+
+    `summary` and `passed` are boolean, `priorities` and `inventory` counts, `failed` a comma-separated list; null counts as false, 0 and none.
+    """
+    said, gates_ok = F.coalesce(F.col(summary), F.lit(False)), F.coalesce(F.col(passed), F.lit(False))
+    no_rows = lambda c: F.coalesce(F.col(c), F.lit(0)) <= 0
+    some_failed = F.coalesce(F.col(failed), F.lit("")) != ""
+    found = [(~said, "summary is missing"), (no_rows(priorities), "priorities have no rows"), (no_rows(inventory), "inventory has no rows"), (said & ~gates_ok, "quality gates are not passed")]
+    errors = F.array_compact(F.array(*[F.when(c, F.lit(text)) for c, text in found], F.when(some_failed, F.concat(F.lit("gates failed: "), F.col(failed)))))
+    ok = said & ~no_rows(priorities) & ~no_rows(inventory) & gates_ok & ~some_failed
+    return one.withColumns({"errors": F.array_join(errors, "; "), "status": F.when(ok, "ok").otherwise("degraded")})
+
+
 def guards(df: DataFrame, label: str, at: str) -> DataFrame:
     """One row on whether there is enough to fit: rows, times, and both classes present."""
     y = F.col(label).cast("int")

@@ -16,15 +16,15 @@ from .ordered import Ordered
 
 
 def regression_metrics(y: str, p: str) -> list[Column]:
-    """mae, rmse, mape, smape, wape (in percent, zeros of y left out of mape) and r2."""
+    """mae, rmse, mape, smape, wape (in percent, each over a denominator of 1 at least) and r2."""
     e = F.col(y) - F.col(p)
-    total = F.sum(F.abs(y))
+    least = lambda c: F.greatest(c, F.lit(1))
     return [
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        (100 * F.avg(F.when(F.col(y) != 0, F.abs(e / F.nullif(F.col(y), F.lit(0)))))).alias("mape"),
-        (100 * F.avg(F.try_divide(2 * F.abs(e), F.abs(y) + F.abs(p)))).alias("smape"),
-        (100 * F.try_divide(F.sum(F.abs(e)), total)).alias("wape"),
+        (100 * F.avg(F.abs(e) / least(F.abs(y)))).alias("mape"),
+        (100 * F.avg(2 * F.abs(e) / least(F.abs(y) + F.abs(p)))).alias("smape"),
+        (100 * F.sum(F.abs(e)) / least(F.sum(F.abs(y)))).alias("wape"),
         (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"),
     ]
 
@@ -103,6 +103,21 @@ def best_threshold(metrics: DataFrame, keys: list[str] | None = None) -> DataFra
     return metrics.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def night_thresholds(calibration: DataFrame, y: str, score: str, hour: str, grid: list[float]) -> DataFrame:
+    """One row (day, night): the best thresholds over all rows, and over those of the hours 0 to 5. One pass; no row if either has no rows."""
+    parts = F.explode(F.array_compact(F.array(F.lit("day"), F.when(F.col(hour).between(0, 5), "night")))).alias("_part")
+    best = best_threshold(threshold_metrics(calibration.select(y, score, parts), y, score, grid, ["_part"]), ["_part"])
+    of = lambda part: F.max(F.when(F.col("_part") == part, F.col("threshold"))).alias(part)
+    return best.agg(of("day"), of("night")).where("day is not null and night is not null")
+
+
+def by_hour_threshold(df: DataFrame, score: str, hour: str, chosen: DataFrame) -> DataFrame:
+    """df with threshold (night's in the hours 0 to 5, else day's, of a row that night_thresholds gives) and predicted."""
+    out = df.crossJoin(F.broadcast(chosen.toDF("_day", "_night")))
+    out = out.withColumn("threshold", F.when(F.col(hour).between(0, 5), F.col("_night")).otherwise(F.col("_day"))).drop("_day", "_night")
+    return out.withColumn("predicted", F.col(score) >= F.col("threshold"))
+
+
 def class_balance(df: DataFrame, y: str, keys: list[str]) -> DataFrame:
     pos, neg = F.count_if(F.col(y)), F.count_if(~F.col(y))
     return df.groupBy(*keys).agg(

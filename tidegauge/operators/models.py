@@ -46,16 +46,37 @@ class Fitted:
         return self.model.transform(scaled(df, self.scale) if self.scale else df).drop(*self.drop)
 
 
-def save(fitted: Fitted, path: str) -> None:
-    """The model and how its features are scaled, in place of what is at the path."""
-    fitted.model.write().overwrite().save(f"{path}/model")
-    about = [(json.dumps({"scale": fitted.scale, "drop": fitted.drop}),)]
-    SparkSession.active().createDataFrame(about, "about string").write.mode("overwrite").text(f"{path}/about")
+class Classifier(Fitted):
+    """A fitted binary classifier that adds `score` and `predicted`."""
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(scaled(df, self.scale)).withColumn("score", vector_to_array("_p")[1])
+        return out.withColumn("predicted", F.col("score") >= 0.5).drop(*self.drop)
+
+
+class Constant:
+    """What a classifier is that has seen one class alone: it adds that class as `score` and `predicted`."""
+
+    def __init__(self, score: float):
+        self.score = score
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({"score": F.lit(self.score), "predicted": F.lit(self.score >= 0.5)})
 
 
-def load(path: str) -> Fitted:
+def save(fitted: Fitted | Constant, path: str) -> None:
+    """A model with what it needs to know about its features, in place of what is at the path. Classifiers and constants too."""
+    about = {"kind": type(fitted).__name__} | ({"score": fitted.score} if isinstance(fitted, Constant) else {"scale": fitted.scale, "drop": fitted.drop})
+    if not isinstance(fitted, Constant):
+        fitted.model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load(path: str) -> Fitted | Constant:
     about = json.loads(SparkSession.active().read.text(f"{path}/about").first()[0])
-    return Fitted(PipelineModel.load(f"{path}/model"), {k: tuple(v) for k, v in about["scale"].items()}, about["drop"])
+    if about["kind"] == "Constant":
+        return Constant(about["score"])
+    return {"Fitted": Fitted, "Classifier": Classifier}[about["kind"]](PipelineModel.load(f"{path}/model"), {k: tuple(v) for k, v in about["scale"].items()}, about["drop"])
 
 
 def ridge(train: DataFrame, features: list[str], y: str, alpha: float):
@@ -80,26 +101,24 @@ def logistic(train: DataFrame, features: list[str], y: str):
     train = train.dropna(subset=[*features, y]).withColumn("_y", F.col(y).cast("double"))
     n, pos = train.agg(F.count("*"), F.sum("_y")).first()
     if not n or not 0 < pos < n:
-        only = float(bool(n and pos))
-        return lambda df: df.withColumns({"score": F.lit(only), "predicted": F.lit(only >= 0.5)})
+        return Constant(float(bool(n and pos)))
     scale = scaling(train, features)
     weighted = train.withColumn("_w", F.when(F.col("_y") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
     fit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", probabilityCol="_p", standardization=False, elasticNetParam=0.0, regParam=1.0 / n, maxIter=1000, tol=1e-9)
     model = Pipeline(stages=[_assembler(features), fit]).fit(scaled(weighted, scale))
-    drop = ["_x", "_p", "rawPrediction", "prediction", *[f"_z_{c}" for c in features]]
-
-    def run(df: DataFrame) -> DataFrame:
-        out = model.transform(scaled(df, scale)).withColumn("score", vector_to_array("_p")[1])
-        return out.withColumn("predicted", F.col("score") >= 0.5).drop(*drop)
+    return Classifier(model, scale, ["_x", "_p", "rawPrediction", "prediction", *[f"_z_{c}" for c in features]])
 
-    return run
 
+def calibrated(fit: DataFrame, calibration: DataFrame, test: DataFrame, features: list[str], y: str, grid: list[float], hour: str | None = None) -> DataFrame:
+    """test with score, the threshold and predicted. A model of the fit rows alone scores the calibration rows, of which the best f1 chooses the threshold; one of both scores the test rows.
 
-def calibrated(fit: DataFrame, calibration: DataFrame, test: DataFrame, features: list[str], y: str, grid: list[float]) -> DataFrame:
-    """test with score, the threshold and predicted. A model of the fit rows alone scores the calibration rows, of which the best f1 chooses the threshold; one of both scores the test rows."""
+    With `hour`, rows of the hours 0 to 5 have a threshold of their own, chosen on the calibration rows of those hours.
+    """
     found = logistic(fit, features, y)(calibration)
-    best = metrics.best_threshold(metrics.threshold_metrics(found, y, "score", grid)).select("threshold")
     scored = logistic(fit.unionByName(calibration), features, y)(test).drop("predicted")
+    if hour is not None:
+        return metrics.by_hour_threshold(scored, "score", hour, metrics.night_thresholds(found, y, "score", hour, grid))
+    best = metrics.best_threshold(metrics.threshold_metrics(found, y, "score", grid)).select("threshold")
     return scored.crossJoin(F.broadcast(best)).withColumn("predicted", F.col("score") >= F.col("threshold"))
 
 

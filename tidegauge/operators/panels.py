@@ -95,8 +95,9 @@ def monitoring_payload(df: DataFrame, at: str, cutoff: Column, state: str, check
         F.count_if(old).alias("reference_rows"), F.count_if(~old).alias("monitoring_rows"), F.avg(F.when(old, flag)).alias("reference_rate"), F.avg(F.when(~old, flag)).alias("monitoring_rate"),
     )
     passed = checks.agg(F.count_if(F.col("status") == "PASS").alias("checks_passed"), F.count("*").alias("check_count"))
-    status = F.when(F.col("checks_passed") == F.col("check_count"), "PASS").otherwise("REVIEW_REQUIRED")
-    return one.crossJoin(F.broadcast(passed)).withColumns({"status": status, "decision": F.lit("NO_AUTOMATIC_MODEL_CHANGE")})
+    good = F.col("checks_passed") == F.col("check_count")
+    reason = F.when(good, "within drift limits").otherwise("one or more drift checks need review")
+    return one.crossJoin(F.broadcast(passed)).withColumns({"status": F.when(good, "PASS").otherwise("REVIEW_REQUIRED"), "decision": F.lit("NO_AUTOMATIC_MODEL_CHANGE"), "reason": reason})
 
 
 def service_payload(points: DataFrame, priority: DataFrame, metrics: DataFrame, needed: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import inventory as inv
 from ..operators import temporal as tm
 from ..sources import readers, sinks
 from .demand_queries import DAILY, HOURLY, PANEL, TOP, WEATHER, daily, hourly, labelled, t, weather
+from .stock_queries import PSI, READY, gate_rows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -54,15 +55,14 @@ def q57_shortage_flags(spark, d):
 
 
 @query(f"""WITH {HOURLY}, f AS (SELECT user_id, sum(n) s, max(n) AS peak, count(*) AS hours FROM hourly WHERE hour >= TIMESTAMP '2024-01-21' GROUP BY 1),
-live AS (SELECT c_custkey AS user_id, c_nationkey::DOUBLE AS capacity, c_acctbal < 0 AS low FROM customer),
-r AS (SELECT user_id, s AS forecast_sum, peak, hours, s + 1.5 * sqrt(hours) AS upper, capacity, coalesce(low, false) low FROM f LEFT JOIN live USING (user_id))
-SELECT user_id, forecast_sum, peak, hours, round(upper / nullif(capacity, 0) + CASE WHEN low THEN 0.75 ELSE 0 END, 6) AS risk, greatest(0, ceil(upper - coalesce(capacity, 0)))::DOUBLE AS buffer FROM r
-ORDER BY upper / nullif(capacity, 0) + CASE WHEN low THEN 0.75 ELSE 0 END DESC NULLS LAST, user_id LIMIT 12""")
+live AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 9 > 0 THEN c_nationkey END::DOUBLE AS capacity, c_acctbal < 0 AS low FROM customer),
+r AS (SELECT user_id, s AS forecast_sum, peak, hours, (s + 1.5::DOUBLE * sqrt(24)) / CASE WHEN capacity IS NOT NULL THEN greatest(capacity, 1) END AS risk, capacity, CASE WHEN low THEN 0.75 ELSE 0 END AS boost FROM f LEFT JOIN live USING (user_id))
+SELECT user_id, forecast_sum, peak, hours, round(risk + boost, 6) AS risk, ceil(CASE WHEN risk > 1 THEN risk - 1 WHEN risk <= 1 THEN 0 END * capacity * 0.25) AS buffer FROM r ORDER BY risk + boost DESC NULLS LAST, user_id LIMIT 400""")
 def q58_forecast_priority(spark, d):
     day = hourly(spark, d).where("hour >= TIMESTAMP_NTZ '2024-01-21 00:00:00'")
-    live = t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("double").alias("capacity"), (F.col("c_acctbal") < 0).alias("low"))
-    out = inv.forecast_priority(day, "user_id", "n", 1.5, live, "capacity", "low", 12)
-    return out.select("user_id", "forecast_sum", "peak", "hours", F.round("risk", 6).alias("risk"), F.col("buffer").cast("double").alias("buffer"))
+    live = t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 9 > 0, F.col("c_nationkey")).cast("double").alias("capacity"), (F.col("c_acctbal") < 0).alias("low"))
+    out = inv.forecast_priority(day, "user_id", "n", 1.5, live, "capacity", "low", 400)
+    return out.select("user_id", "forecast_sum", "peak", "hours", F.round("risk", 6).alias("risk"), "buffer")
 
 
 @query("""SELECT 'user_id' AS "column", count(*) - count(user_id) AS missing, min(user_id::VARCHAR) AS example FROM events UNION ALL SELECT 'event_type', count(*) - count(event_type), min(event_type) FROM events""")
@@ -96,9 +96,35 @@ def q61_guards(spark, d):
     return gates.guards(labelled(spark, d), "next_high", "ts")
 
 
-@query("SELECT 'NOT_READY' AS status, 'too few snapshots' AS reason")
+NEEDS = """g AS (SELECT count(next_high) AS labelled, count(DISTINCT ts) AS times, coalesce(min(next_high::INTEGER) < max(next_high::INTEGER), false) AS both_classes FROM labelled WHERE ts < TIMESTAMP '{until}'),
+st AS (SELECT *, CASE WHEN NOT labelled > 0 THEN 'no labels' WHEN NOT times >= 40 THEN 'too few snapshots' WHEN NOT both_classes THEN 'one class' END AS reason FROM g), got AS (SELECT *, CASE WHEN reason IS NULL THEN 'READY' ELSE 'NOT_READY' END AS status FROM st)"""
+
+
+def status_until(spark, d, until: str):
+    return gates.status(gates.guards(labelled(spark, d).where(f"ts < TIMESTAMP_NTZ '{until}'"), "next_high", "ts"), [(F.col("labelled") > 0, "no labels"), (F.col("times") >= 40, "too few snapshots"), (F.col("both_classes"), "one class")])
+
+
+@query(f"WITH {PANEL}, {NEEDS.format(until='2024-01-01 00:30:00')} SELECT * FROM got")
 def q61_not_ready(spark, d):
-    return gates.not_ready(spark, "too few snapshots")
+    return status_until(spark, d, "2024-01-01 00:30:00")
+
+
+METRIC = "met AS (SELECT 'persistence' AS model, count(*) AS rows, avg((next_high = high)::INTEGER) AS accuracy FROM labelled WHERE next_high IS NOT NULL GROUP BY 1)"
+
+
+@query(f"WITH {PANEL}, {NEEDS.format(until='2024-01-09 00:00:00')}, {METRIC} SELECT met.* FROM met, got WHERE status = 'READY'")
+def q61_ready_metrics(spark, d):
+    rows = labelled(spark, d).where("next_high is not null")
+    found = rows.agg(F.lit("persistence").alias("model"), F.count("*").alias("rows"), F.avg((F.col("next_high") == F.col("high")).cast("int")).alias("accuracy"))
+    return gates.metric_rows(found, status_until(spark, d, "2024-01-09 00:00:00"))
+
+
+@query(f"WITH {PANEL}, {NEEDS.format(until='2023-01-01 00:00:00')}, {METRIC} SELECT met.* FROM met, got WHERE status = 'READY'")
+def q61_no_metrics(spark, d):
+    """No rows, of the metrics' schema, where there is nothing to evaluate."""
+    rows = labelled(spark, d).where("next_high is not null")
+    found = rows.agg(F.lit("persistence").alias("model"), F.count("*").alias("rows"), F.avg((F.col("next_high") == F.col("high")).cast("int")).alias("accuracy"))
+    return gates.metric_rows(found, status_until(spark, d, "2023-01-01 00:00:00"))
 
 
 @query("SELECT page_id, url FROM pages WHERE ends_with(url, '.html') OR ends_with(url, '.env') OR contains(url, '/fr/')")
@@ -224,18 +250,26 @@ def q68_deployment_decision(spark, d):
 
 
 CUT = "TIMESTAMP '2024-01-16 12:00:00'"
-CHECKS = f"""y AS (SELECT abs(avg((value > 50)::INTEGER) FILTER (ts <= {CUT}) - avg((value > 50)::INTEGER) FILTER (ts > {CUT})) AS v FROM events)"""
+TIMES_TV = f"""hh AS (SELECT hour(ts) hr, count(*) FILTER (ts <= {CUT}) a, count(*) FILTER (ts > {CUT}) b FROM (SELECT DISTINCT ts FROM events) GROUP BY 1),
+tv AS (SELECT 0.5 * sum(abs(coalesce(a, 0) / (SELECT sum(a) FROM hh) - coalesce(b, 0) / (SELECT sum(b) FROM hh))) AS v FROM generate_series(0, 23) g(h) LEFT JOIN hh ON hr = h)"""
+CHECKS = f"""y AS (SELECT abs(avg((value > 50)::INTEGER) FILTER (ts <= {CUT}) - avg((value > 50)::INTEGER) FILTER (ts > {CUT})) AS v FROM events), {PSI.replace("< TIMESTAMP '2024-01-16'", f"<= {CUT}")}, {TIMES_TV},
+mb AS (SELECT avg((user_id IN (SELECT user_id FROM events WHERE ts <= {CUT}))::INTEGER) v FROM events WHERE ts > {CUT}),
+ck AS (SELECT (SELECT v FROM y) <= 0.05 AS a, (SELECT psi FROM psi) <= 0.25 AS b, (SELECT v FROM tv) <= 0.2 AS c, (SELECT v FROM mb) >= 0.95 AS d),
+k AS (SELECT a::INTEGER + b::INTEGER + c::INTEGER + d::INTEGER AS checks_passed, 4 AS check_count FROM ck)"""
+#: Of the post-cutoff check.
+MONITORING = {"rate_difference": (0.05, "max"), "psi": (0.25, "max"), "hour_distance": (0.20, "max"), "membership_rate": (0.95, "min")}
 
 
-@query(f"""WITH {CHECKS}, k AS (SELECT count(*) FILTER (v <= 0.1) AS checks_passed, count(*) AS check_count FROM y)
+@query(f"""WITH {CHECKS}
 SELECT count(DISTINCT CASE WHEN ts <= {CUT} THEN ts END) AS reference_snapshots, count(DISTINCT CASE WHEN ts > {CUT} THEN ts END) AS monitoring_snapshots, count(*) FILTER (ts <= {CUT}) AS reference_rows, count(*) FILTER (NOT ts <= {CUT}) AS monitoring_rows,
-avg((value > 50)::INTEGER) FILTER (ts <= {CUT}) AS reference_rate, avg((value > 50)::INTEGER) FILTER (NOT ts <= {CUT}) AS monitoring_rate, any_value(checks_passed) AS checks_passed, any_value(check_count) AS check_count,
-CASE WHEN any_value(checks_passed) = any_value(check_count) THEN 'PASS' ELSE 'REVIEW_REQUIRED' END AS status, 'NO_AUTOMATIC_MODEL_CHANGE' AS decision FROM events, k""")
+avg((value > 50)::INTEGER) FILTER (ts <= {CUT}) AS reference_rate, avg((value > 50)::INTEGER) FILTER (NOT ts <= {CUT}) AS monitoring_rate, any_value(checks_passed)::BIGINT AS checks_passed, any_value(check_count)::BIGINT AS check_count,
+CASE WHEN any_value(checks_passed) = any_value(check_count) THEN 'PASS' ELSE 'REVIEW_REQUIRED' END AS status, 'NO_AUTOMATIC_MODEL_CHANGE' AS decision,
+CASE WHEN any_value(checks_passed) = any_value(check_count) THEN 'within drift limits' ELSE 'one or more drift checks need review' END AS reason FROM events, k""")
 def q69_monitoring_payload(spark, d):
     e = t(spark, d, "events").withColumn("high", F.col("value") > 50)
     cut = F.expr("TIMESTAMP_NTZ '2024-01-16 12:00:00'")
-    values = e.agg(drift.rate_difference(e, "high", F.col("ts") <= cut).alias("rate_difference"))
-    return panels.monitoring_payload(e, "ts", cut, "high", drift.checks(values, {"rate_difference": (0.1, "max")}))
+    checks = drift.drift_table(e, F.col("ts") <= cut, "ts", "user_id", "value", "high", distinct_times=True, limits=MONITORING, bad="REVIEW_REQUIRED")
+    return panels.monitoring_payload(e, "ts", cut, "high", checks)
 
 
 @query(f"WITH f AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM events) SELECT (SELECT count(*) FROM f) - (SELECT count(*) FROM f WHERE day <= {CUT}) AS after_cutoff")
@@ -252,6 +286,23 @@ def q70_service_payload(spark, d):
     return panels.service_payload(s, s.where("s_acctbal < 0"), one, ["mean_balance", "best_f1"])
 
 
+@query(f"""WITH {READY}, g AS (SELECT snapshots >= 268 a, labels >= 1000000 b, entities >= 10 c FROM ready), one AS (SELECT a AND b AND c AS passed, concat_ws(',', CASE WHEN NOT b THEN 'enough_labels' END, CASE WHEN NOT a THEN 'enough_snapshots' END, CASE WHEN NOT c THEN 'many_entities' END) AS failed FROM g),
+p AS (SELECT count(*) FILTER (s_acctbal < 0) AS low, count(*) AS every, count(*) FILTER (s_acctbal < -1e9) AS none FROM supplier)
+SELECT 'gates' AS service, true AS summary, low AS priorities, every AS inventory, passed, failed, concat_ws('; ', CASE WHEN low <= 0 THEN 'priorities have no rows' END, CASE WHEN every <= 0 THEN 'inventory has no rows' END, CASE WHEN NOT passed THEN 'quality gates are not passed' END, CASE WHEN failed <> '' THEN 'gates failed: ' || failed END) AS errors,
+  CASE WHEN low > 0 AND every > 0 AND passed AND failed = '' THEN 'ok' ELSE 'degraded' END AS status FROM one, p
+UNION ALL SELECT 'whole', true, every, every, true, '', CASE WHEN every <= 0 THEN 'priorities have no rows; inventory has no rows' ELSE '' END, CASE WHEN every > 0 THEN 'ok' ELSE 'degraded' END FROM p
+UNION ALL SELECT 'missing', false, none, every, NULL, NULL, 'summary is missing; priorities have no rows' || CASE WHEN every <= 0 THEN '; inventory has no rows' ELSE '' END, 'degraded' FROM p""")
+def q70_service_health(spark, d):
+    """Three services: one whose gates decide, one that is whole, and one without a summary, priorities or gates."""
+    s = t(spark, d, "supplier").agg(F.count_if(F.col("s_acctbal") < 0).alias("low"), F.count("*").alias("every"), F.count_if(F.col("s_acctbal") < -1e9).alias("none"))
+    decided = gates.gate_decision(gate_rows(spark, d)).select(F.col("all_passed").alias("passed"), "failed")
+    names = ("service", "summary", "priorities", "inventory", "passed", "failed")
+    row = lambda *v: F.struct(*[(F.col(x[1:]) if isinstance(x, str) and x.startswith("@") else F.lit(x)).cast(k).alias(n) for n, k, x in zip(names, ("string", "boolean", "long", "long", "boolean", "string"), v)])
+    each = F.array(row("gates", True, "@low", "@every", "@passed", "@failed"), row("whole", True, "@every", "@every", True, ""), row("missing", False, "@none", "@every", None, None))
+    rows = s.crossJoin(F.broadcast(decided)).select(F.inline(each))
+    return gates.service_health(rows, "summary", "priorities", "inventory", "passed", "failed")
+
+
 @query("SELECT s_suppkey AS station_id, s_name AS station_name, 'city_api' AS source FROM supplier")
 def q70_rule_input(spark, d):
     return panels.rule_input(t(spark, d, "supplier"), {"station_id": "s_suppkey", "station_name": "s_name"}, "city_api")
@@ -324,3 +375,17 @@ def q76_ragged_snapshots(spark, d):
         sinks.to_snapshots(rows.where(F.col("layout") == i).select("captured_stamp", *layout), folder, "captured_stamp")
     out = readers.snapshot_log(spark, folder)
     return out.select("captured_at", "gbfs_station_id", "station_short_name", "station_name", "capacity", "num_bikes_available")
+
+
+NIGHT = f"""{CUTS}, sc AS (SELECT hr, next_high AS y, CASE WHEN hr BETWEEN 0 AND 5 THEN value / 125 ELSE value / 100 END AS score, part, event_id FROM parts), gr AS (SELECT unnest({metrics.threshold_grid()!r}::DOUBLE[]) AS threshold),
+mt AS (SELECT g.name, threshold, count(*) FILTER (y AND score >= threshold) tp, count(*) FILTER (score >= threshold) said, count(*) FILTER (y) pos FROM sc, gr, (VALUES ('day'), ('night')) g(name) WHERE part = 'calibration' AND (g.name = 'day' OR hr BETWEEN 0 AND 5) GROUP BY ALL),
+best AS (SELECT name, threshold FROM mt QUALIFY row_number() OVER (PARTITION BY name ORDER BY coalesce(2 * tp / nullif(said + pos, 0), 0) DESC, coalesce(tp / nullif(said, 0), 0) DESC, abs(threshold - 0.5), threshold) = 1)"""
+
+
+@query(f"""WITH {NIGHT}, th AS (SELECT max(threshold) FILTER (name = 'day') AS day, max(threshold) FILTER (name = 'night') AS night FROM best)
+SELECT event_id, CASE WHEN hr BETWEEN 0 AND 5 THEN night ELSE day END AS threshold, score >= CASE WHEN hr BETWEEN 0 AND 5 THEN night ELSE day END AS predicted FROM sc, th WHERE part = 'test' AND day IS NOT NULL AND night IS NOT NULL""")
+def q77_night_thresholds(spark, d):
+    """Thresholds of the day and of the hours 0 to 5, chosen on calibration rows whose night scores are lower, put on test rows."""
+    rows = parts(spark, d).withColumn("score", F.when(F.col("hr").between(0, 5), F.col("value") / 125).otherwise(F.col("value") / 100))
+    chosen = metrics.night_thresholds(rows.where("part = 'calibration'"), "next_high", "score", "hr", metrics.threshold_grid())
+    return metrics.by_hour_threshold(rows.where("part = 'test'"), "score", "hr", chosen).select("event_id", "threshold", "predicted")

@@ -24,14 +24,21 @@ def query(sql: str):
 
 
 KEYS = ["l_orderkey", *LINE]
-RULED = """stock AS (SELECT *, 50 AS capacity, l_quantity AS units, 50 - l_quantity AS room FROM lineitem),
-ruled AS (SELECT *, CASE WHEN units < 5 THEN 'stock_shortage' WHEN room < 5 THEN 'space_shortage' END AS issue, CASE WHEN units < 5 THEN 'send' WHEN room < 5 THEN 'remove' END AS action,
-  CASE WHEN units < 5 THEN round_even((5 - units) / 5 + 1 - units / 50, 4) WHEN room < 5 THEN round_even((5 - room) / 5 + 1 - room / 50, 4) END AS severity,
-  CASE WHEN units < 5 THEN greatest(15 - units, 1)::BIGINT WHEN room < 5 THEN -greatest(units - 35, 1)::BIGINT END AS delta FROM stock WHERE units < 5 OR room < 5)"""
+#: Capacities from 10 up, more units than fit, and both sides short in some rows.
+RULED = """stock AS (SELECT *, 10 + l_partkey % 30 AS capacity, l_quantity::BIGINT % 14 AS units, CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey % 3 ELSE greatest(10 + l_partkey % 30 - l_quantity::BIGINT % 14, 0) END AS room FROM lineitem),
+gaps AS (SELECT *, greatest(1, ceil(capacity * 0.1::DOUBLE)) AS lim, greatest(greatest(1, ceil(capacity * 0.1::DOUBLE)) - units, 0) AS ug, greatest(greatest(1, ceil(capacity * 0.1::DOUBLE)) - room, 0) AS rg FROM stock),
+severe AS (SELECT *, ug / lim + greatest(0, 1 - units / capacity) AS us, rg / lim + greatest(0, 1 - room / capacity) AS rs FROM gaps),
+told AS (SELECT *, CASE WHEN ug > 0 AND us >= rs THEN 'stock_shortage' WHEN rg > 0 THEN 'space_shortage' ELSE 'balanced' END AS issue FROM severe),
+every AS (SELECT *, CASE issue WHEN 'stock_shortage' THEN 'send' WHEN 'space_shortage' THEN 'remove' ELSE 'monitor' END AS action,
+  round_even(CASE issue WHEN 'stock_shortage' THEN us WHEN 'space_shortage' THEN rs ELSE greatest(abs(units / capacity - 0.5), abs(room / capacity - 0.5)) * 0.1::DOUBLE END, 6) AS severity,
+  CASE issue WHEN 'stock_shortage' THEN greatest(ceil(capacity * 0.2::DOUBLE) - units, 1)::BIGINT WHEN 'space_shortage' THEN -greatest(units - floor(capacity * 0.8::DOUBLE), 1)::BIGINT ELSE 0 END AS delta FROM told),
+ruled AS (SELECT * FROM every WHERE issue <> 'balanced')"""
 
 
 def stock(spark, d):
-    return t(spark, d, "lineitem").withColumns({"capacity": F.lit(50), "units": F.col("l_quantity"), "room": 50 - F.col("l_quantity")})
+    capacity, units = 10 + F.col("l_partkey") % 30, F.col("l_quantity").cast("long") % 14
+    room = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_suppkey") % 3).otherwise(F.greatest(capacity - units, F.lit(0)))
+    return t(spark, d, "lineitem").withColumns({"capacity": capacity, "units": units, "room": room})
 
 
 def ruled(spark, d):
@@ -46,6 +53,13 @@ def q33_severity_rules(spark, d):
     return ruled(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "issue", "action", "severity", "delta")
 
 
+@query(f"WITH {RULED} SELECT issue, action, severity, delta, count(*) AS rows, min(capacity) AS least_capacity FROM every GROUP BY ALL")
+def q33_balanced_too(spark, d):
+    """Every distinct outcome of the rule, balanced rows too: those where both sides are short, and where a stock gap is outweighed."""
+    out = inv.rebalancing(stock(spark, d), "capacity", "units", "room", balanced=True)
+    return out.groupBy("issue", "action", "severity", "delta").agg(F.count("*").alias("rows"), F.min("capacity").alias("least_capacity"))
+
+
 @query(f"WITH {RULED} SELECT l_orderkey, l_linenumber, severity, delta, row_number() OVER (ORDER BY {ORDER})::INTEGER AS rank FROM ruled ORDER BY rank LIMIT 50")
 def q34_top_global(spark, d):
     return inv.top_global(ruled(spark, d), 50, *KEYS).select("l_orderkey", "l_linenumber", "severity", "delta", "rank")
@@ -62,21 +76,25 @@ def q36_top_balanced(spark, d):
     return inv.top_balanced(ruled(spark, d), "l_shipdate", 5, *KEYS).select("l_shipdate", "action", "l_orderkey", "action_rank")
 
 
-HITS = f"""nexts AS (SELECT *, lead(l_quantity <= 5) OVER v AS next_low, lead(50 - l_quantity <= 5) OVER v AS next_full FROM lineitem WINDOW v AS (PARTITION BY l_partkey ORDER BY l_shipdate, {', '.join(k for k in KEYS if k != 'l_shipdate')})),
+HITS = f"""nexts AS (SELECT *, lead(l_quantity::BIGINT % 14 <= 5) OVER v AS next_low, lead(CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey % 3 ELSE greatest(10 + l_partkey % 30 - l_quantity::BIGINT % 14, 0) END <= 5) OVER v AS next_full FROM lineitem WINDOW v AS (PARTITION BY l_partkey ORDER BY l_shipdate, {', '.join(k for k in KEYS if k != 'l_shipdate')})),
 {RULED.replace('FROM lineitem', 'FROM nexts')}, r AS (SELECT *, row_number() OVER (PARTITION BY l_shipdate ORDER BY {ORDER}) rk, row_number() OVER (PARTITION BY l_shipdate, action ORDER BY {ORDER}) ak,
   coalesce(CASE WHEN issue = 'stock_shortage' THEN next_low ELSE next_full END, false) hit FROM ruled),
-picked AS (SELECT l_shipdate, k, mode, hit FROM r, (VALUES (4), (10)) a(k), (VALUES ('global'), ('balanced')) b(mode)
+picked AS (SELECT l_shipdate, k, mode, hit, action FROM r, (VALUES (4), (10)) a(k), (VALUES ('global'), ('balanced')) b(mode)
   WHERE CASE WHEN mode = 'global' THEN rk <= k ELSE ak <= CASE action WHEN 'send' THEN k // 2 ELSE k - k // 2 END END),
-each AS (SELECT l_shipdate, k, mode, count(*) predictions, count(*) FILTER (hit) hits FROM picked GROUP BY ALL)"""
+each AS (SELECT l_shipdate, k, mode, count(*) predictions, count(*) FILTER (hit) hits, count(*) FILTER (action = 'send') send_count, count(*) FILTER (action = 'send' AND hit) send_hits,
+  count(*) FILTER (action = 'remove') remove_count, count(*) FILTER (action = 'remove' AND hit) remove_hits FROM picked GROUP BY ALL)"""
 
 
-def precision(spark, d):
+def labelled_stock(spark, d):
     s = stock(spark, d).withColumns({"low": F.col("units") <= 5, "full": F.col("room") <= 5})
-    s = tm.next_state(s, "l_partkey", "l_shipdate", ["low", "full"], None, [k for k in KEYS if k != "l_shipdate"])
-    return inv.rule_precision(inv.rebalancing(s, "capacity", "units", "room"), "l_shipdate", [4, 10], "next_low", "next_full", *KEYS)
+    return tm.next_state(s, "l_partkey", "l_shipdate", ["low", "full"], None, [k for k in KEYS if k != "l_shipdate"])
+
+
+def precision(spark, d):
+    return inv.rule_precision(inv.rebalancing(labelled_stock(spark, d), "capacity", "units", "room"), "l_shipdate", [4, 10], "next_low", "next_full", *KEYS)
 
 
-@query(f"WITH {HITS} SELECT l_shipdate, k, mode, predictions, hits, hits / predictions AS precision FROM each")
+@query(f"WITH {HITS} SELECT l_shipdate, k, mode, predictions, hits, send_count, send_hits, remove_count, remove_hits, hits / predictions AS precision FROM each")
 def q37_rule_precision(spark, d):
     return precision(spark, d)
 
@@ -86,6 +104,17 @@ def q37_micro_precision(spark, d):
     return inv.micro_precision(precision(spark, d), "l_shipdate")
 
 
+@query(f"""WITH {HITS}, base AS (SELECT count(DISTINCT l_shipdate) AS snapshots, count(DISTINCT CASE WHEN next_low IS NOT NULL OR next_full IS NOT NULL THEN l_shipdate END) AS label_snapshots, count(next_low) AS label_rows FROM nexts),
+g AS (SELECT count(DISTINCT l_shipdate) AS evaluated_snapshots, coalesce(sum(predictions) FILTER (k = 4), 0)::BIGINT AS predictions_at_4, coalesce(sum(hits) FILTER (k = 4), 0)::BIGINT AS hits_at_4, coalesce(sum(predictions) FILTER (k = 10), 0)::BIGINT AS predictions_at_10, coalesce(sum(hits) FILTER (k = 10), 0)::BIGINT AS hits_at_10,
+  coalesce(sum(send_count) FILTER (k = 10), 0)::BIGINT AS send_count, coalesce(sum(send_hits) FILTER (k = 10), 0)::BIGINT AS send_hits, coalesce(sum(remove_count) FILTER (k = 10), 0)::BIGINT AS remove_count, coalesce(sum(remove_hits) FILTER (k = 10), 0)::BIGINT AS remove_hits FROM each WHERE mode = 'global'),
+b AS (SELECT coalesce(sum(send_count), 0)::BIGINT AS balanced_send_count, coalesce(sum(send_hits), 0)::BIGINT AS balanced_send_hits, coalesce(sum(remove_count), 0)::BIGINT AS balanced_remove_count, coalesce(sum(remove_hits), 0)::BIGINT AS balanced_remove_hits, sum(hits) / nullif(sum(predictions), 0) AS balanced_precision_at_10 FROM each WHERE mode = 'balanced' AND k = 10)
+SELECT *, hits_at_4 / nullif(predictions_at_4, 0) AS precision_at_4, hits_at_10 / nullif(predictions_at_10, 0) AS precision_at_10, send_hits / nullif(send_count, 0) AS send_precision, remove_hits / nullif(remove_count, 0) AS remove_precision,
+  balanced_send_hits / nullif(balanced_send_count, 0) AS balanced_send_precision, balanced_remove_hits / nullif(balanced_remove_count, 0) AS balanced_remove_precision, evaluated_snapshots / greatest(label_snapshots, 1) AS coverage,
+  CASE WHEN snapshots >= 1000 AND evaluated_snapshots > 0 THEN 'READY' ELSE 'NOT_READY' END AS status, CASE WHEN evaluated_snapshots > 0 THEN 'EVALUATED' ELSE 'NOT_EVALUATED' END AS evaluation FROM base, g, b""")
+def q37_rule_summary(spark, d):
+    return inv.rule_summary(labelled_stock(spark, d), precision(spark, d), "l_shipdate", "next_low", "next_full", [4, 10], 1000)
+
+
 BUCKET = "CASE WHEN hr BETWEEN 7 AND 9 THEN 'morning' WHEN hr BETWEEN 17 AND 19 THEN 'evening' WHEN hr >= 22 OR hr <= 5 THEN 'night' WHEN hr < 12 THEN 'forenoon' ELSE 'afternoon' END"
 PRIORITY = "CASE bucket WHEN 'morning' THEN 4.0 WHEN 'evening' THEN 4.0 WHEN 'night' THEN 1.0 ELSE 2.0 END"
 
@@ -102,13 +131,25 @@ def q38_allocation(spark, d):
     return inv.allocate(targets, "bucket", "target", "priority").select("bucket", "target", "least", F.round("allocated", 6).alias("allocated"))
 
 
-@query(f"""WITH {CHAIN}, e AS (SELECT n::DOUBLE y, profile p, n - profile e FROM scored) SELECT round(avg(abs(e)), 6) mae, round(sqrt(avg(e * e)), 6) rmse, round(100 * avg(abs(e / nullif(y, 0))), 6) mape,
-round(100 * avg(2 * abs(e) / nullif(abs(y) + abs(p), 0)), 6) smape, round(100 * sum(abs(e)) / sum(abs(y)), 6) wape, round(1 - sum(e * e) / (var_pop(y) * count(y)), 6) r2 FROM e""")
+@query(f"""WITH {CHAIN}, e AS (SELECT n::DOUBLE y, profile p, n - profile e FROM scored) SELECT round(avg(abs(e)), 6) mae, round(sqrt(avg(e * e)), 6) rmse, round(100 * avg(abs(e) / greatest(abs(y), 1)), 6) mape,
+round(100 * avg(2 * abs(e) / greatest(abs(y) + abs(p), 1)), 6) smape, round(100 * sum(abs(e)) / greatest(sum(abs(y)), 1), 6) wape, round(1 - sum(e * e) / (var_pop(y) * count(y)), 6) r2 FROM e""")
 def q39_regression_metrics(spark, d):
     one = profiled(spark, d).agg(*metrics.regression_metrics("n", "profile"))
     return one.select(*[F.round(c, 6).alias(c) for c in one.columns])
 
 
+@query("""WITH e AS (SELECT l_suppkey AS grp, (l_quantity::BIGINT % 4)::DOUBLE / 2 AS y, l_discount * 20 AS p FROM lineitem WHERE l_orderkey % 40 > 0 OR l_suppkey > 5 UNION ALL SELECT -1, 0, l_discount FROM lineitem WHERE l_orderkey = 1),
+m AS (SELECT grp, y, p, y - p AS e FROM e) SELECT grp, round(avg(abs(e)), 6) mae, round(sqrt(avg(e * e)), 6) rmse, round(100 * avg(abs(e) / greatest(abs(y), 1)), 6) mape, round(100 * avg(2 * abs(e) / greatest(abs(y) + abs(p), 1)), 6) smape,
+round(100 * sum(abs(e)) / greatest(sum(abs(y)), 1), 6) wape, round(1 - sum(e * e) / nullif(var_pop(y) * count(y), 0), 6) r2 FROM m GROUP BY 1""")
+def q39_metrics_of_small_values(spark, d):
+    """Values of 0, a half, 1 and one and a half against predictions from 0 up, by group, and a group whose values are all 0."""
+    lines = t(spark, d, "lineitem")
+    some = lines.where("l_orderkey % 40 > 0 or l_suppkey > 5").select(F.col("l_suppkey").alias("grp"), ((F.col("l_quantity").cast("long") % 4) / 2).alias("y"), (F.col("l_discount") * 20).alias("p"))
+    none = lines.where("l_orderkey = 1").select(F.lit(-1).cast("long").alias("grp"), F.lit(0.0).alias("y"), F.col("l_discount").alias("p"))
+    out = some.union(none).groupBy("grp").agg(*metrics.regression_metrics("y", "p"))
+    return out.select("grp", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
 @query("""WITH o AS (SELECT *, isodow(o_orderdate) >= 6 AS weekend FROM orders), s AS (SELECT unnest(list_filter([CASE WHEN true THEN 'all' END, CASE WHEN weekend THEN 'weekend' END, CASE WHEN NOT weekend THEN 'workday' END,
 CASE WHEN o_totalprice > 300000 THEN 'large' END], lambda x: x IS NOT NULL)) AS segment, o_totalprice FROM o) SELECT segment, count(*) AS rows, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM s GROUP BY 1""")
 def q40_segments(spark, d):
@@ -220,13 +261,16 @@ def q49_json_contract(spark, d):
     return gates.contract_issues(e, "event_id", [gates.FieldRule("k", "int", 0, 90)])
 
 
-@query("""WITH s AS (SELECT l_partkey, max(l_quantity) % 20 AS units, min(l_quantity) AS room FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY 1)
-SELECT p_partkey, p_size::DOUBLE AS p_size, ceil(greatest(p_size * 0.1::DOUBLE, 1))::BIGINT AS threshold, coalesce(units <= ceil(greatest(p_size * 0.1::DOUBLE, 1)), false) AS stock_short, coalesce(room <= ceil(greatest(p_size * 0.1::DOUBLE, 1)), false) AS space_short,
-abs((units - room) / p_size) AS pressure, units IS NOT NULL AS has_status FROM part LEFT JOIN s ON p_partkey = l_partkey""")
+@query("""WITH s AS (SELECT l_partkey, CASE WHEN l_partkey % 11 > 0 THEN max(l_quantity) % 20 END AS units, min(l_quantity) AS room FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY 1),
+sized AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 0 ELSE p_size END::DOUBLE AS size FROM part)
+SELECT p_partkey, p_size, ceil(greatest(p_size * 0.1::DOUBLE, 1))::BIGINT AS threshold, coalesce(units <= ceil(greatest(p_size * 0.1::DOUBLE, 1)), false) AS stock_short, coalesce(room <= ceil(greatest(p_size * 0.1::DOUBLE, 1)), false) AS space_short,
+1 - units / greatest(p_size, 1) AS pressure, units IS NOT NULL AS has_status FROM (SELECT p_partkey, coalesce(size, (SELECT median(size) FROM sized)) AS p_size FROM sized) LEFT JOIN s ON p_partkey = l_partkey""")
 def q50_inventory_snapshot(spark, d):
     lines = t(spark, d, "lineitem").where("l_partkey % 7 <> 0")
     status = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg((F.max("l_quantity") % 20).alias("units"), F.min("l_quantity").alias("room"))
-    meta = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"))
+    status = status.withColumn("units", F.when(F.col("p_partkey") % 11 > 0, F.col("units")))
+    key = F.col("p_partkey")
+    meta = t(spark, d, "part").select("p_partkey", F.when(key % 17 == 0, F.when(key % 13 > 0, F.lit(0))).when(key % 13 > 0, F.col("p_size")).cast("double").alias("p_size"))
     out = inv.inventory_snapshot(meta, status, "p_partkey", "p_size", "units", "room", ["p_size"])
     return out.select("p_partkey", "p_size", "threshold", "stock_short", "space_short", "pressure", "has_status")
 
@@ -239,12 +283,15 @@ def q51_inventory_summary(spark, d):
     return out.withColumn("c_acctbal_total", F.round("c_acctbal_total", 2))
 
 
-READY = f"""{PANEL}, h AS (SELECT *, date_trunc('hour', ts) AS cap FROM labelled), s AS (SELECT min(cap) AS first_at, max(cap) AS last_at, (epoch_us(max(cap)) - epoch_us(min(cap))) / 86400e6 AS span_days, count(DISTINCT cap) AS snapshots, count(DISTINCT user_id) AS entities,
-count(*) AS rows, count(next_high) AS labels, avg(next_high::INTEGER) AS label_rate FROM h), ready AS (SELECT *, 268 AS needed_snapshots, snapshots / 336 AS coverage, snapshots >= 268 AND span_days >= 14 AND labels > 0 AS ready FROM s)"""
+READY = f"""{PANEL}, h AS (SELECT *, date_trunc('hour', ts) AS cap FROM labelled WHERE {{when}}), s AS (SELECT min(cap) AS first_at, max(cap) AS last_at, (epoch_us(max(cap)) - epoch_us(min(cap))) / 86400e6 AS span_days, count(DISTINCT cap) AS snapshots, count(DISTINCT user_id) AS entities,
+count(*) AS rows, count(next_high) AS labels, avg(next_high::INTEGER) AS label_rate, avg(high::INTEGER) AS high_rate FROM h),
+ready AS (SELECT *, 268 AS needed_snapshots, greatest(268 - snapshots, 0) AS remaining_snapshots, least(snapshots / 336, 1) AS coverage, first_at + INTERVAL 14 DAY AS earliest_ready_at, coalesce(snapshots >= 268 AND span_days >= 14 AND labels > 0, false) AS ready,
+  CASE WHEN snapshots = 0 THEN 'no snapshots' WHEN snapshots >= 268 AND span_days >= 14 AND labels > 0 THEN 'ready' ELSE 'waiting for more snapshots' END AS reason FROM s)"""
+EARLY, READY = READY.format(when="ts < TIMESTAMP '2024-01-05'"), READY.format(when="true")
 
 
-def readiness(spark, d):
-    return gates.readiness(labelled(spark, d).withColumn("at", cal.hour_floor("ts")), "at", "user_id", "next_high")
+def readiness(spark, d, when: str = "true"):
+    return gates.readiness(labelled(spark, d).where(when).withColumn("at", cal.hour_floor("ts")), "at", "user_id", "next_high", states=["high"])
 
 
 @query(f"WITH {READY} SELECT * FROM ready")
@@ -252,6 +299,16 @@ def q52_readiness(spark, d):
     return readiness(spark, d)
 
 
+@query(f"WITH {EARLY} SELECT * FROM ready")
+def q52_not_ready_yet(spark, d):
+    return readiness(spark, d, "ts < TIMESTAMP_NTZ '2024-01-05 00:00:00'")
+
+
+@query(f"WITH {EARLY.replace('2024-01-05', '2023-01-01')} SELECT * FROM ready")
+def q52_no_history(spark, d):
+    return readiness(spark, d, "ts < TIMESTAMP_NTZ '2023-01-01 00:00:00'")
+
+
 @query(f"""WITH {READY} SELECT 'enough_snapshots' AS gate, snapshots >= 268 AS passed, snapshots::VARCHAR AS evidence, '>= 268' AS threshold FROM ready UNION ALL SELECT 'enough_labels', labels >= 1000000, labels::VARCHAR, '>= 1000000' FROM ready
 UNION ALL SELECT 'many_entities', entities >= 10, entities::VARCHAR, '>= 10' FROM ready""")
 def q53_gate_table(spark, d):
