@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.clean import nullable_flag, safe_float
+from .aggregate import only_keys, top_k
 from .metrics import brier, classification_metrics
 from .ordered import Ordered
-from .temporal import chronological_cut, dense_spine, lags, onto_spine, series_features, trailing_mean
+from .temporal import chronological_cut, dense_spine, filled, lags, onto_spine, series_features, time_spine, trailing_mean
 
 
 def feature_frame(df: DataFrame, ts: str, value: str, products: dict[str, tuple[str, str]], flags: dict[str, Column], steps: list[int], rows: list[int]) -> DataFrame:
@@ -36,6 +37,42 @@ def entity_hour_frame(
     return out.dropna(subset=[f"lag_{max(steps)}"])
 
 
+WEATHER = ["temperature_2m", "relative_humidity_2m", "precipitation", "wind_speed_10m"]
+
+
+def station_hour_frame(trips: DataFrame, stations: DataFrame, weather: DataFrame, top: int, center: tuple[float, float], columns: list[str] | None = None) -> DataFrame:
+    """The stations that most trips start from at every hour of their starts, with counts, metadata, weather, calendar, lags and a trailing mean.
+
+    trips: started_at, ended_at, start_station_id, start_station_name, end_station_id, start_lat, start_lng; those without a start time,
+    id or name don't count, and ends count where a counted trip ends at a chosen station. stations (a row a station_short_name at most): station_name,
+    gbfs_station_id, station_lat, station_lon, capacity; where it has none, the name of the first trip (by time, then name), the median of the trips' places, and
+    for capacity the chosen stations' median, or 20. weather (a row an hour at most) has `columns`; its gaps are filled over the hours, from before, else from
+    after. Of stations that tie for the last place the one of smaller id is chosen; station_code numbers them by id. Rows without lag_1, lag_24 or the
+    mean (of 24 hours, 12 at least) go.
+    """
+    columns = columns or WEATHER
+    rides = trips.where("started_at is not null and start_station_id is not null and start_station_name is not null").withColumn("id", F.col("start_station_id").cast("string"))
+    chosen = top_k(rides, "id", top).select("id")
+    rides = only_keys(rides, chosen, "id")
+    starts = rides.groupBy("id", cal.hour_floor("started_at").alias("hour")).agg(F.count("*").alias("start_count"))
+    ends = rides.where("ended_at is not null").groupBy(F.col("end_station_id").cast("string").alias("id"), cal.hour_floor("ended_at").alias("hour")).agg(F.count("*").alias("end_count"))
+    seen = rides.groupBy("id").agg(F.min_by("start_station_name", F.struct("started_at", "start_station_name")).alias("_name"), F.median("start_lat").alias("_lat"), F.median("start_lng").alias("_lon"))
+    known = stations.select(F.col("station_short_name").cast("string").alias("id"), "station_name", "gbfs_station_id", "station_lat", "station_lon", "capacity")
+    meta = seen.join(known, "id", "left")
+    meta = meta.crossJoin(F.broadcast(meta.agg(F.coalesce(F.median("capacity"), F.lit(20.0)).alias("_capacity"))))
+    meta = meta.select("id", F.coalesce("station_name", "_name").alias("station_name"), "gbfs_station_id", F.coalesce("station_lat", "_lat").alias("station_lat"), F.coalesce("station_lon", "_lon").alias("station_lon"), F.coalesce("capacity", "_capacity").alias("capacity"))
+    meta = dense_code(meta.withColumn("distance_to_center_km", cal.haversine_km("station_lat", "station_lon", *center)), "id", "station_code")
+    hours = time_spine(starts, "hour").join(weather.select(cal.hour_floor("hour").alias("hour"), *columns), "hour", "left")
+    out = onto_spine(dense_spine(starts, "id", "hour"), starts, ["id", "hour"], {"start_count": 0})
+    out = onto_spine(out, ends, ["id", "hour"], {"end_count": 0}).join(meta, "id").join(filled(hours, columns, ["hour"]), "hour")
+    hr = F.hour("hour")
+    flags = {"weekday": cal.weekday("hour"), "hr": hr, "is_weekend": cal.is_weekend("hour").cast("int"), "is_commute_peak": cal.is_commute("hour", ((7, 9), (16, 19)), workdays_only=False).cast("int"), "is_night": hr.between(0, 5).cast("int")}
+    if "precipitation" in columns:
+        flags["precipitation_flag"] = F.coalesce((F.col("precipitation") > 0).cast("int"), F.lit(0))
+    out = series_features(out.withColumns(flags), "start_count", [1, 24], {24: 12}, ["hour"], ["id"])
+    return out.withColumnRenamed("trailing_24", "rolling_24_mean").dropna(subset=["lag_1", "lag_24", "rolling_24_mean"]).withColumnRenamed("id", "station_short_name")
+
+
 def model_frame(panel: DataFrame, at: str, y: str, flags: list[str], numbers: list[str]) -> DataFrame:
     """Labelled rows with flags as 0 and 1 (unknown is 0), calendar columns, and numbers whose gaps take the median (0 if there is none)."""
     out = panel.dropna(subset=[at, y]).withColumns({y: nullable_flag(y).cast("int")} | {c: F.coalesce(nullable_flag(c).cast("int"), F.lit(0)) for c in flags})

@@ -389,3 +389,55 @@ def q77_night_thresholds(spark, d):
     rows = parts(spark, d).withColumn("score", F.when(F.col("hr").between(0, 5), F.col("value") / 125).otherwise(F.col("value") / 100))
     chosen = metrics.night_thresholds(rows.where("part = 'calibration'"), "next_high", "score", "hr", metrics.threshold_grid())
     return metrics.by_hour_threshold(rows.where("part = 'test'"), "score", "hr", chosen).select("event_id", "threshold", "predicted")
+
+
+RIDES = """rides AS (SELECT CASE WHEN event_id % 29 > 0 THEN ts END AS started_at, ts + to_minutes(event_id::INTEGER % 90) AS ended_at, 'S' || user_id % 30 AS sid, CASE WHEN event_id % 31 > 0 THEN 'N' || event_id % 7 END AS sname,
+  CASE WHEN event_id % 17 > 0 THEN 'S' || (user_id + event_id) % 30 END AS eid, 37.4::DOUBLE + (user_id % 100) / 500.0::DOUBLE AS lat, 126.8::DOUBLE + (user_id % 77) / 300.0::DOUBLE AS lon FROM events WHERE user_id IS NOT NULL),
+ok AS (SELECT * FROM rides WHERE started_at IS NOT NULL AND sname IS NOT NULL), most AS (SELECT sid FROM ok GROUP BY 1 ORDER BY count(*) DESC, sid LIMIT 20), r AS (SELECT * FROM ok WHERE sid IN (SELECT sid FROM most)),
+a AS (SELECT sid AS id, date_trunc('hour', started_at) AS hour, count(*) AS n FROM r GROUP BY ALL), b AS (SELECT eid AS id, date_trunc('hour', ended_at) AS hour, count(*) AS n FROM r WHERE eid IN (SELECT sid FROM most) GROUP BY ALL),
+places AS (SELECT sid AS id, arg_min(sname, (started_at, sname)) AS sname, median(lat) AS lat, median(lon) AS lon FROM r GROUP BY 1),
+known AS (SELECT 'S' || s_suppkey AS id, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS gname, 'g' || s_suppkey AS gid, CASE WHEN s_suppkey % 3 > 0 THEN 37.5::DOUBLE + s_suppkey / 100.0::DOUBLE END AS glat, CASE WHEN s_suppkey % 3 > 0 THEN 127.0::DOUBLE + s_suppkey / 100.0::DOUBLE END AS glon,
+  CASE WHEN s_suppkey % 5 > 0 THEN 10 + s_suppkey END::DOUBLE AS cap FROM supplier WHERE s_suppkey < 25),
+j AS (SELECT id, coalesce(gname, sname) AS name, gid, coalesce(glat, lat) AS lat, coalesce(glon, lon) AS lon, cap FROM places LEFT JOIN known USING (id)),
+m AS (SELECT id, name, gid, lat, lon, coalesce(cap, (SELECT median(cap) FROM j), 20) AS cap, dense_rank() OVER (ORDER BY id) - 1 AS code FROM j),
+hs AS (SELECT unnest(generate_series((SELECT min(hour) FROM a), (SELECT max(hour) FROM a), INTERVAL 1 HOUR)) AS hour),
+wr AS (SELECT date_trunc('hour', ts) AS hour, round(avg(value), 6) AS level, greatest(round(avg(value), 6) - 55, 0) AS rain FROM events WHERE event_type = 'signup' AND hour(ts) % 3 > 0 GROUP BY 1),
+wf AS (SELECT hour, coalesce(last_value(level IGNORE NULLS) OVER p, first_value(level IGNORE NULLS) OVER q) AS level, coalesce(last_value(rain IGNORE NULLS) OVER p, first_value(rain IGNORE NULLS) OVER q) AS rain FROM hs LEFT JOIN wr USING (hour)
+  WINDOW p AS (ORDER BY hour ROWS UNBOUNDED PRECEDING), q AS (ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT m.*, hs.hour, coalesce(a.n, 0) AS starts, coalesce(b.n, 0) AS ends, level, rain FROM m CROSS JOIN hs LEFT JOIN a ON a.id = m.id AND a.hour = hs.hour LEFT JOIN b ON b.id = m.id AND b.hour = hs.hour JOIN wf ON wf.hour = hs.hour),
+w AS (SELECT *, lag(starts, 1) OVER v AS lag_1, lag(starts, 24) OVER v AS lag_24, avg(starts) OVER (v ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS tr FROM f WINDOW v AS (PARTITION BY id ORDER BY hour))"""
+
+
+@query(f"""WITH {RIDES} SELECT id AS station_short_name, hour, name AS station_name, gid AS gbfs_station_id, round(lat, 6) AS station_lat, round(lon, 6) AS station_lon, cap AS capacity, code::BIGINT AS station_code,
+round(2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - 37.5665) / 2), 2) + cos(radians(37.5665)) * cos(radians(lat)) * pow(sin(radians(lon - 126.978) / 2), 2))), 6) AS distance_to_center_km, starts AS start_count, ends AS end_count, round(level, 6) AS level, round(rain, 6) AS precipitation,
+(isodow(hour) - 1)::INTEGER AS weekday, hour(hour)::INTEGER AS hr, (isodow(hour) >= 6)::INTEGER AS is_weekend, (hour(hour) BETWEEN 7 AND 9 OR hour(hour) BETWEEN 16 AND 19)::INTEGER AS is_commute_peak, (hour(hour) BETWEEN 0 AND 5)::INTEGER AS is_night,
+coalesce((rain > 0)::INTEGER, 0) AS precipitation_flag, lag_1, lag_24, round(tr, 6) AS rolling_24_mean FROM w WHERE lag_24 IS NOT NULL""")
+def q78_station_hour_frame(spark, d):
+    """Trips, stations and weather of the given tables: unknown stations, missing places, names and capacities, and hours without weather."""
+    e, k = t(spark, d, "events").where("user_id is not null"), F.col("s_suppkey")
+    station = lambda x: F.concat(F.lit("S"), (x % 30).cast("string"))
+    trips = e.select(
+        F.when(F.col("event_id") % 29 > 0, F.col("ts")).alias("started_at"), (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 90).cast("int"))).alias("ended_at"), station(F.col("user_id")).alias("start_station_id"),
+        F.when(F.col("event_id") % 31 > 0, F.concat(F.lit("N"), (F.col("event_id") % 7).cast("string"))).alias("start_station_name"), F.when(F.col("event_id") % 17 > 0, station(F.col("user_id") + F.col("event_id"))).alias("end_station_id"),
+        (37.4 + (F.col("user_id") % 100) / 500.0).alias("start_lat"), (126.8 + (F.col("user_id") % 77) / 300.0).alias("start_lng"),
+    )
+    stations = t(spark, d, "supplier").where(k < 25).select(
+        F.concat(F.lit("S"), k.cast("string")).alias("station_short_name"), F.when(k % 4 > 0, F.col("s_name")).alias("station_name"), F.concat(F.lit("g"), k.cast("string")).alias("gbfs_station_id"),
+        F.when(k % 3 > 0, 37.5 + k / 100.0).alias("station_lat"), F.when(k % 3 > 0, 127.0 + k / 100.0).alias("station_lon"), F.when(k % 5 > 0, 10 + k).cast("double").alias("capacity"),
+    )
+    rain = F.round(F.avg("value"), 6)
+    weather = e.where("event_type = 'signup' and hour(ts) % 3 > 0").groupBy(cal.hour_floor("ts").alias("hour")).agg(rain.alias("level"), F.greatest(rain - 55, F.lit(0.0)).alias("precipitation"))
+    out = panels.station_hour_frame(trips, stations, weather, 20, (37.5665, 126.978), ["level", "precipitation"])
+    return out.withColumns({c: F.round(c, 6) for c in ("station_lat", "station_lon", "distance_to_center_km", "level", "precipitation", "rolling_24_mean")})
+
+
+@query("""WITH h AS (SELECT c_custkey // 60 AS h FROM customer) SELECT count(DISTINCT h) AS source_snapshots, count(DISTINCT CASE WHEN h % 4 <> 1 AND h <= 17 THEN h END) AS snapshots, greatest(count(DISTINCT h) - count(DISTINCT CASE WHEN h % 4 <> 1 AND h <= 17 THEN h END), 0) AS excluded_snapshots FROM h""")
+def q79_excluded_snapshots(spark, d):
+    """Customers as hourly snapshot files, every fourth without a key in any row, up to a cutoff."""
+    hour = F.floor(F.col("c_custkey") / 60).cast("int")
+    stamp = F.date_format(F.expr("timestamp_ntz '2024-01-01'") + F.make_dt_interval(hours=hour), "yyyyMMdd_HHmmss")
+    rows = t(spark, d, "customer").select(stamp.alias("captured_stamp"), F.when(hour % 4 != 1, F.concat(F.lit("g"), F.col("c_custkey").cast("string"))).alias("gbfs_station_id"), F.col("c_nationkey").alias("capacity"))
+    folder = sinks.shared_folder(spark)
+    sinks.to_snapshots(rows, folder, "captured_stamp")
+    history = readers.snapshot_history(readers.snapshot_log(spark, folder, until="20240101_170000"))
+    return readers.excluded_snapshots(spark, folder, history)

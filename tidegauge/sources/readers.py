@@ -76,6 +76,16 @@ def snapshot_log(spark: SparkSession, folder: str, schema: str | T.StructType =
     return reduce(DataFrame.unionByName, parts)
 
 
+def excluded_snapshots(spark: SparkSession, folder: str, history: DataFrame, stamp: str = STAMP, glob: str = "*_inventory_snapshot.csv") -> DataFrame:
+    """One row: stamped files of a folder, distinct capture times of the history made of them, and the files that gave none.
+
+    A file counts as excluded whether a cutoff left it out or it has no row that the history keeps. Files are listed, not read.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).where(F.regexp_extract(F.element_at(F.split("path", "/"), -1), stamp, 1) != "")
+    counts = files.agg(F.count("path").alias("source_snapshots")).crossJoin(F.broadcast(history.agg(F.count_distinct("captured_at").alias("snapshots"))))
+    return counts.withColumn("excluded_snapshots", F.greatest(F.col("source_snapshots") - F.col("snapshots"), F.lit(0)))
+
+
 def snapshot_history(raw: DataFrame, key: str = "gbfs_station_id", fallback: str = "station_short_name") -> DataFrame:
     """Numbers, flags and keys of a snapshot log; rows without a key or time go."""
     numbers = {c: safe_int(c) for c in ("capacity", "num_bikes_available", "num_docks_available")} | {"inventory_pressure": safe_float("inventory_pressure")}
