@@ -3,8 +3,8 @@
 Texts are cut into shards of word ids once. Each shard's suffix array is ordered by prefix doubling (ranks of one word give those
 of two, those give four, and one more word gives five), and the intervals of its longest-common-prefix array are the shard's
 different n-grams with their counts, which are summed by (lang, phrase) over all shards. A phrase that occurs `least` times is made of
-words and pairs that do, so words are counted first; then pairs of frequent words, by a 32-bit hash alone; and then all phrases
-whose pairs are frequent. What is frequent is sent to shards as a bit map of hashes, of a size that is bounded. Where hashes
+words, pairs and triples that do, so words are counted first; then pairs and triples of frequent words, by a 32-bit hash alone; and then all
+phrases whose pairs and triples are frequent. What is frequent is sent to shards as a bit map of hashes, of a size that is bounded. Where hashes
 meet, a phrase is counted that need not be, and no count changes: the sums by (lang, phrase) decide.
 """
 
@@ -125,10 +125,13 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(lead + w, 42) for w in words), np.uint64, len(words))
 
 
-def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """32 bits from the hashes of two words."""
-    h = (first * np.uint64(0x9E3779B97F4A7C15) ^ (second >> np.uint64(29)) ^ second) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(31))) >> np.uint64(32)
+def phrase_hashes(parts: list[np.ndarray]) -> np.ndarray:
+    """32 bits from the hashes of a phrase's words."""
+    h = parts[0]
+    for p in parts[1:]:
+        h = (h * np.uint64(0x9E3779B97F4A7C15) ^ (p >> np.uint64(29)) ^ p) * np.uint64(0xD6E8FEB86659FD93)
+        h = h ^ (h >> np.uint64(31))
+    return h >> np.uint64(32)
 
 
 class Map:
@@ -177,8 +180,8 @@ def _frequent_words(lang: str, words: pa.Array, ids: np.ndarray, known: Map) ->
     return np.where(ok[ids], ids, -1).astype(np.int32), h
 
 
-def pair_counts(cut: DataFrame, known: Map) -> DataFrame:
-    """(h, f): how often the pairs of frequent words occur, by their 32-bit hash over all languages."""
+def short_counts(cut: DataFrame, known: Map, longest: int) -> DataFrame:
+    """(h, f): how often the pairs, and triples where longer phrases count, of frequent words occur, by their 32-bit hash over all languages."""
     sent = shared(cut.sparkSession, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,26 +189,30 @@ def pair_counts(cut: DataFrame, known: Map) -> DataFrame:
         for lang, words, ids in _opened(batches):
             ids, h = _frequent_words(lang, words, ids, known)
             ids = _runs(ids, 2)
-            for _, at, counts in intervals(ids, 2, 2):
-                pair = pair_hashes(h[ids[at]], h[ids[at + 1]]).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(counts.astype(np.int64))], ["h", "f"])
+            for k, at, counts in intervals(ids, 2, min(longest, 3)):
+                own = phrase_hashes([h[ids[at + j]] for j in range(k)]).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts.astype(np.int64))], ["h", "f"])
 
     return cut.select("lang", "words", "ids").mapInArrow(run, "h int, f long").groupBy("h").agg(F.sum("f").alias("f"))
 
 
-def phrase_counts(cut: DataFrame, longest: int, words: Map, pairs: Map) -> DataFrame:
-    """(lang, phrase, k, f) of phrases of 2 to `longest` words whose words and pairs may all be frequent."""
-    sent = shared(cut.sparkSession, (words, pairs))
+def phrase_counts(cut: DataFrame, longest: int, words: Map, short: Map) -> DataFrame:
+    """(lang, phrase, k, f) of phrases of 2 to `longest` words whose words, pairs and triples may all be frequent."""
+    sent = shared(cut.sparkSession, (words, short))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_pairs = sent()
+        known, known_short = sent()
         for lang, words, ids in _opened(batches):
             ids, h = _frequent_words(lang, words, ids, known)
             met = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            rare = met[~known_pairs.holds(pair_hashes(h[ids[met]], h[ids[met + 1]]))]
+            rare = met[~known_short.holds(phrase_hashes([h[ids[met]], h[ids[met + 1]]]))]
             # A cut between the two words of a rare pair: each may go on the other way.
             ids = _runs(np.insert(ids, rare + 1, -1), 2)
             for k, at, counts in intervals(ids, 2, longest):
+                often = np.ones(len(at), bool)
+                for j in range(k - 2):
+                    often &= known_short.holds(phrase_hashes([h[ids[at + j + i]] for i in range(3)]))
+                at, counts = at[often], counts[often]
                 for lo in range(0, len(at), 1 << 17):
                     some = at[lo : lo + (1 << 17)]
                     phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[some + j])) for j in range(k)], b" ").cast(pa.string())
@@ -221,8 +228,8 @@ def frequent_phrases(cut: DataFrame, longest: int = 5, least: int = 100) -> Data
     often = F.col("f") >= least
     words = written(word_counts(cut).where(often))
     known = bit_map(words, F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")))
-    pairs = written(pair_counts(cut, known).where(often))
-    return words.unionByName(written(phrase_counts(cut, longest, known, bit_map(pairs, F.col("h").cast("long"))).where(often)))
+    short = written(short_counts(cut, known, longest).where(often))
+    return words.unionByName(written(phrase_counts(cut, longest, known, bit_map(short, F.col("h").cast("long"))).where(often)))
 
 
 def _times(*columns: str | Column) -> Column:
