@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from test_queries_llm import brute_dedup
 
-from tidegauge.llm import decontaminate, langid, licenses, lm_scoring, media, mixing, quality, simhash, suffix_dedup, url_filter
+from tidegauge.llm import decontaminate, langid, licenses, lm_scoring, media, mixing, phrases, quality, simhash, suffix_dedup, token_counts, url_filter
 from tidegauge.llm.components import components
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -248,20 +248,76 @@ def test_avi_of_several_streams_and_riff_chunks():
     assert got == [frames[0], frames[1], frames[1], frames[3]] and step == 1001 / 30000
 
 
-def test_models_reach_workers_without_the_package(tmp_path):
-    """Driver code that has the package only on its own path, and workers that start elsewhere."""
+def test_models_and_task_functions_travel_without_the_package(spark, tmp_path):
+    """What a worker unpickles is whole where this package can't be imported: models, and functions as tasks get them."""
+    from pyspark import cloudpickle
+
+    docs = spark.createDataFrame([(k, "some plain words that are here for no reason " + "abcdefghij"[k] * 9, "en") for k in range(10)], "doc_id long, text string, lang string")
+    model = langid.fit(docs.select("text", "lang", "doc_id"))
+    machine = quality.FactorisationMachine(size=12, factors=3, seed=1)
+    seen = {}
+
+    def caught(self, run, schema):
+        seen["run"] = run
+        raise StopIteration
+
+    kept, type(docs).mapInArrow = type(docs).mapInArrow, caught
+    try:
+        with pytest.raises(StopIteration):
+            phrases.shards(docs)
+    finally:
+        type(docs).mapInArrow = kept
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps((model, langid.entropies, machine, decontaminate.aligned, decontaminate.Hashes, seen["run"], token_counts.Pieces)))
     code = f"""
-import sys; sys.path.insert(0, {str(ROOT)!r})
-from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,1,900]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
-from tidegauge.llm import decontaminate, langid, quality
-docs = spark.createDataFrame([(k, "some plain words that are here for no reason " + "abcdefghij"[k] * 9, "en", 9) for k in range(10)], "doc_id long, text string, lang string, n_chars long")
-print("FOUND", langid.identify(docs).where("lang_pred = 'en'").count(), quality.classify(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), docs["doc_id"] >= 0).where("score is not null").count(),
-      decontaminate.contaminated(docs, docs.selectExpr("'a' as item_id", "text").limit(1)).count())
+import pickle, sys
+import numpy as np, pyarrow as pa
+model, entropies, machine, aligned, hashes, run, pieces = pickle.load(open({str(tmp_path / "sent")!r}, "rb"))
+assert not any("tidegauge" in m and "worker" not in m for m in sys.modules), "imported"
+best, _ = entropies(model, ["some plain words", None])
+h = hashes().of("a b c d e")
+batch = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array([b"a b. a b", b"a b"])], ["lang", "text"])
+print("FOUND", len(best), len(machine.score([([1], [1.0])])), aligned(h, h), next(run(iter([batch]))).column(1)[0])
+import public_tokenizers
+p = pieces(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+print("TOKENS", sum(p.lengths(p.split("two words"))))
 """
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
-    assert "FOUND 10 10 10" in out.stdout, out.stderr[-3000:]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "FOUND 2 1 1.0 6" in out.stdout and "TOKENS 2" in out.stdout, out.stderr[-3000:]
+
+
+def test_scratch_keeps_to_its_own_thread_and_cleans_up_after_failures(spark):
+    import threading
+
+    from tidegauge.llm.common import scratch, written
+
+    inside, done, got = threading.Event(), threading.Event(), {}
+
+    def other():
+        got["frame"] = written(spark.range(3))
+        inside.set()
+        done.wait(60)
+        got["rows"] = got["frame"].count()
+
+    worker = threading.Thread(target=other)
+    with scratch() as keep:
+        worker.start()
+        inside.wait(60)
+        kept = written(spark.range(2))
+        keep.append(kept)
+        lost = written(spark.range(5))
+    done.set()
+    worker.join()
+    assert got["rows"] == 3 and kept.count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        lost.count()
+    with pytest.raises(ValueError), scratch() as outer:
+        with scratch() as keep:
+            keep.append(written(spark.range(7)))
+        outer.append(keep[0])
+        raise ValueError
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        keep[0].count()
 
 
 def test_letters_are_told_by_code_point(spark):

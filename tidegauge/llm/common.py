@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import TypeVar
 
 from pyspark import cloudpickle
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 T = TypeVar("T")
 _OWN: list[str] = []
-_MADE: list[DataFrame] = []
+#: What `written` returned inside each open scratch of this thread, the innermost last.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 #: Removes a query's shuffle files as soon as it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -49,14 +51,16 @@ def written(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
-    _MADE.append(out)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(out)
     return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames that `written` returned, once all that was made from them is written."""
     for df in frames:
-        _MADE[:] = [x for x in _MADE if x is not df]
+        for made in _OPEN.get():
+            made[:] = [x for x in made if x is not df]
         spark = df.sparkSession
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
@@ -64,10 +68,25 @@ def discard(*frames: DataFrame) -> None:
 
 @contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
-    """Deletes, at its end, the files of what `written` returned inside it, but for the frames that are put into the list it gives."""
-    before, keep = list(_MADE), []
-    yield keep
-    discard(*[x for x in _MADE if not any(x is y for y in (*before, *keep))])
+    """Deletes, at its end or when it fails, the files of what `written` returned inside it, but for the frames that are put into the list it gives.
+
+    Those belong to the scratch around it, if there is one. What other threads write is their own. A query's result reads such files:
+    put the query and what uses its rows inside.
+    """
+    made: list[DataFrame] = []
+    keep: list[DataFrame] = []
+    token = _OPEN.set((*_OPEN.get(), made))
+    try:
+        yield keep
+    except BaseException:
+        keep.clear()
+        raise
+    finally:
+        _OPEN.reset(token)
+        held = [x for x in made if any(x is y for y in keep)]
+        if _OPEN.get():
+            _OPEN.get()[-1].extend(held)
+        discard(*[x for x in made if not any(x is y for y in held)])
 
 
 def shared(spark: SparkSession, value: T) -> Callable[[], T]:

@@ -72,9 +72,11 @@ def joint_failures(flags: DataFrame, part: str, filters: list[str], weights: dic
     return sums.select(part, *[F.array(*[F.col(f"{name}_{m}") for m in masks]).alias(name) for name in weights])
 
 
-def _inverted(joint: Column, filters: int, inside: Column, fixed: Column = F.lit(0), share: int | None = None) -> Column:
+def _inverted(joint: Column, filters: int, inside: Column, fixed: Column | None = None, share: int | None = None) -> Column:
     """The sum of (-1)^|T| J(T + fixed) over the subsets T of `inside`, which is apart from `fixed`; with `share`, of share / |T + fixed| times that."""
 
+    fixed = F.lit(0) if fixed is None else fixed
+
     def add(total: Column, t: Column) -> Column:
         sign = F.when(F.bit_count(t) % 2 == 0, 1).otherwise(-1).cast("long")
         times = 1 if share is None else F.floor(F.lit(share) / F.bit_count(t.bitwiseOR(fixed))).cast("long")
