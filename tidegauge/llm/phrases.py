@@ -24,7 +24,7 @@ from .common import shared, table, written
 #: Bytes of text that a task gathers, over all languages, before it closes their shards.
 SHARD = 1 << 23
 #: A bit map has this many bits for each frequent phrase, and at least and at most so many (the most: 64 MB).
-BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
+BITS, LEAST_BITS, MOST_BITS = 256, 1 << 16, 1 << 29
 #: Parts of a language in which its phrases are ranked before all of it is.
 PARTS = 64
 #: A-Z become a-z, a tab a space, and what ends a piece a line feed.
