@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.calendar import day_floor
+from ..sources.sinks import kept_rows
 from .ordered import Ordered
 
 
@@ -27,6 +28,56 @@ def quantile(value: str, q: float) -> Column:
     return F.percentile(value, F.lit(q))
 
 
+#: Different values of a group up to which they are put in order in one row, and ranges that more are cut into at a time.
+IN_ORDER, RANGES = 10_000, 64
+
+
+def exact_quantiles(df: DataFrame, value: str, by: list[str], levels: dict[str, float], weight: str | None = None) -> DataFrame:
+    """(by, a column a level): exact quantiles of each group as doubles, linear between ranks, nulls left out; groups without values have no row.
+
+    A group's different values are counted first, evenly by group and value. Groups of up to IN_ORDER of them are put in order; larger ones
+    are cut into ranges, their counts tell which range a rank is in, and only those ranges are looked into further, all groups side
+    by side. No buffer grows with a group. With `weight` a row counts that many times.
+    """
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    rows = df.where(F.col(value).isNotNull()).select(key.alias("_key"), F.col(value).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    cells = rows.groupBy("_key", "v").agg(F.sum("w").alias("w"))
+    sizes = cells.groupBy("_key").agg(F.sum("w").alias("n"))
+    at = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    ranks = F.explode(F.array_distinct(F.array(*[f(at(q)) for q in levels.values() for f in (F.floor, F.ceil)])))
+    targets = sizes.select("_key", ranks.alias("r")).select("_key", "r", F.col("_key").alias("_of"), F.col("r").alias("_rank"))
+    found = _selected(cells, targets).groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "v"))).alias("_values"))
+    out = sizes.join(found, F.col("_key") == F.col("_of"))
+    low, high = (lambda q, f=f: F.element_at("_values", f(at(q))) for f in (F.floor, F.ceil))
+    between = lambda q: low(q) + (high(q) - low(q)) * (at(q) - F.floor(at(q)))
+    return out.select(*[F.col(f"_key.`{c}`").alias(c) for c in by], *[F.when(low(q) == high(q), low(q)).otherwise(between(q)).alias(n) for n, q in levels.items()])
+
+
+def _selected(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """(_of, _rank, v): of each target (_key, r, _of, _rank) the value at rank r, from 0, of its key's cells (_key, v, w) in order."""
+    sizes = cells.groupBy("_key").agg(F.count("*").alias("k"))
+    large = sizes.where(F.col("k") > IN_ORDER).select("_key")
+    some = large.limit(1).count() > 0
+    small = cells.join(large, "_key", "left_anti") if some else cells
+    lists = small.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("cells"))
+    start = F.struct(F.col("r").alias("left"), F.lit(None).cast("double").alias("v"))
+    walk = F.aggregate("cells", start, lambda s, x: F.when(s["left"] < 0, s).otherwise(F.struct((s["left"] - x["w"]).alias("left"), x["v"].alias("v"))), lambda s: s["v"])
+    out = targets.join(lists, "_key").select("_of", "_rank", walk.alias("v"))
+    if not some:
+        return out
+    grid = [k / RANGES for k in range(RANGES + 1)]
+    edges = cells.join(large, "_key", "left_semi").groupBy("_key").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", grid))).alias("edges"))
+    placed = kept_rows(cells.join(edges, "_key").select("_key", "v", "w", F.size(F.filter("edges", lambda e: e <= F.col("v"))).alias("_part")))
+    counts = placed.groupBy("_key", "_part").agg(F.sum("w").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("upto", upto)
+    hit = targets.join(counts, "_key").where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n")))
+    inner = F.struct("_key", "_part").alias("_key")
+    deeper = hit.select(inner, (F.col("r") - F.col("upto") + F.col("n")).alias("r"), "_of", "_rank")
+    within = placed.join(hit.select("_key", "_part").distinct(), ["_key", "_part"], "left_semi").select(inner, "v", "w")
+    return out.unionByName(_selected(within, deeper))
+
+
 def higher_quantile(df: DataFrame, value: str, by: list[str], level: float, name: str = "quantile") -> DataFrame:
     """The value at rank ceil(level * (n - 1)), counted from 0: the upper of the two that a linear quantile lies between."""
     if not by:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregate import hour_shares
+from .aggregate import exact_quantiles, hour_shares
 
 
 def psi(df: DataFrame, value: str, reference: Column, bins: int = 10, floor: float = 1e-6) -> DataFrame:
@@ -15,8 +15,9 @@ def psi(df: DataFrame, value: str, reference: Column, bins: int = 10, floor: flo
     least. Fewer than three edges give 0; an empty side gives null.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), reference.alias("ref"))
-    qs = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = rows.where("ref").agg(F.array_sort(F.array_distinct(F.percentile("v", qs))).alias("edges"))
+    qs = {f"q{k}": k / bins for k in range(bins + 1)}
+    found = exact_quantiles(rows.where("ref"), "v", [], qs).agg(*[F.max(q).alias(q) for q in qs])
+    edges = found.select(F.array_sort(F.array_distinct(F.array_compact(F.array(*qs)))).alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     cut = rows.crossJoin(F.broadcast(edges)).select("ref", F.size("edges").alias("k"), F.size(F.filter(inner, lambda e: e <= F.col("v"))).alias("bin"))
     counts = cut.groupBy("bin").agg(F.count_if("ref").alias("a"), F.count_if(~F.col("ref")).alias("b"), F.max("k").alias("k"))

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .aggregate import exact_quantiles
+
 
 def profile_chain(train: DataFrame, target: DataFrame, levels: list[list[str]], value: str, name: str = "profile") -> DataFrame:
     """target with the training median of `value` at the first of `levels` that has its keys, else over all.
 
-    Each level is an aggregation of its own, joined on its keys; Spark broadcasts those that are small.
+    Values are counted once by all keys; each level's medians, exact ones, come of those counts and are joined on its keys.
     """
+    every = list(dict.fromkeys(k for keys in levels for k in keys))
+    counts = train.groupBy(*every, value).agg(F.count("*").alias("_n"))
     out = target
     for k, keys in enumerate(levels):
-        table = train.groupBy(*keys).agg(F.median(value).alias(f"_p{k}"))
-        out = out.join(table, keys, "left")
-    everywhere = train.agg(F.median(value).alias("_all"))
+        out = out.join(exact_quantiles(counts, value, keys, {f"_p{k}": 0.5}, "_n"), keys, "left")
+    everywhere = exact_quantiles(counts, value, [], {"_all": 0.5}, "_n").agg(F.max("_all").alias("_all"))
     out = out.crossJoin(F.broadcast(everywhere))
     found = [f"_p{k}" for k in range(len(levels))]
     return out.withColumn(name, F.coalesce(*found, "_all")).drop(*found, "_all")

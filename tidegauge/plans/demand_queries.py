@@ -73,7 +73,7 @@ def q05_semi_top_k(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 6) p90 FROM events GROUP BY 1")
 def q06_p90(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(F.round(agg.quantile("value", 0.9), 6).alias("p90"))
+    return agg.exact_quantiles(t(spark, d, "events"), "value", ["event_type"], {"p90": 0.9}).withColumn("p90", F.round("p90", 6))
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 r, count(*) OVER (PARTITION BY event_type) n FROM events WHERE value IS NOT NULL)

@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/tidegauge-{uuid.uuid4().hex}"
 
 
+def kept_rows(df: DataFrame) -> DataFrame:
+    """df written to a shared folder and read again, so that what comes after doesn't make it anew."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def to_snapshots(df: DataFrame, folder: str, stamp: str, suffix: str = "_inventory_snapshot.csv") -> int:
     """A CSV file with a header for each value of the column `stamp`, named by it, beside what the folder has; nulls are empty. Gives the number of files.
 
