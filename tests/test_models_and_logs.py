@@ -100,6 +100,23 @@ def test_bootstrap_interval_holds_the_mean(panel):
     assert one.low < mae < one.high and one.high - one.low < 0.3 * mae and np.allclose(one, two)
 
 
+@pytest.mark.parametrize("leaf", [1 << 16, 37])
+def test_resamples_are_exact_and_like_those_of_numpy(panel, monkeypatch, leaf):
+    monkeypatch.setattr(metrics, "LEAF", leaf)
+    df = panel.withColumn("p", F.col("v") + F.floor(F.col("x2") * 4)).unionByName(panel.where("id < 40").withColumn("p", F.col("v") + 9))
+    draws = metrics.resampled_errors(df, "v", "p", "id", 300)
+    assert {r.n for r in draws.groupBy("rep").agg(F.sum("w").alias("n")).collect()} == {440}
+    assert draws.select("rep").distinct().count() == 300 and (draws.groupBy("rep").count().first()["count"] > 1) == (leaf < 400)
+    errors = np.array([abs(r.v - r.p) for r in df.collect()])
+    rng = np.random.default_rng(1)
+    want = np.percentile([rng.choice(errors, len(errors)).mean() for _ in range(4000)], [2.5, 97.5])
+    got = metrics.bootstrap_mae(df, "v", "p", "id", 3000).first()
+    width = want[1] - want[0]
+    assert abs(got.low - want[0]) < 0.08 * width and abs(got.high - want[1]) < 0.08 * width
+    none = metrics.bootstrap_mae(df.where("id < 0"), "v", "p", "id", 10).first()
+    assert none.low is None and none.high is None
+
+
 def test_models_are_saved_and_loaded(panel, tmp_path):
     fit = models.ridge(panel, ["x1"], "v", 1.0)
     models.save(fit, f"{tmp_path}/m")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,28 +134,46 @@ def hour_diagnostics(df: DataFrame, ts: str, y: str, now: str, policies: dict[st
     return df.groupBy(F.hour(ts).alias("hour")).agg(*out)
 
 
-def bootstrap_mae(df: DataFrame, y: str, p: str, key: str, reps: int = 1000, seed: int = 17, levels=(0.025, 0.975)) -> DataFrame:
-    """One row: a percentile interval of the mean absolute error over Poisson(1) resamples.
+#: Rows that are drawn from at a time.
+LEAF = 1 << 16
+
+
+def resampled_errors(df: DataFrame, y: str, p: str, key: str, reps: int = 1000, seed: int = 17) -> DataFrame:
+    """(rep, e, w) a leaf and resample: the sum of the absolute errors drawn and how many, of exact resamples with replacement: in each, w adds up to the number of rows.
 
-    A row's weight in a resample inverts the Poisson distribution at a number mixed from its key's hash, so
-    resamples are the same on every run. Each task adds up its rows for all resamples and sends one row a resample.
+    Rows are dealt into leaves by a hash of key and error; equal ones are counted first. How many of a resample's draws fall into a leaf is
+    found by halving: at each step down to the leaf a binomial draw, seeded by the step, splits them between the halves, so all leaves
+    agree without a word between them. Inside a leaf positions are drawn. The same for any partitioning of df.
     """
-    cdf = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(14)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weights = np.zeros(reps), np.zeros(reps)
-        step = np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for b in batches:
-            h, e = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            for at in range(0, len(h), 512):
-                x = h[at : at + 512, None] + step
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                w = np.searchsorted(cdf, (x >> np.uint64(11)) / float(1 << 53), "right")
-                total += e[at : at + 512] @ w
-                weights += w.sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), pa.array(total), pa.array(weights)], ["rep", "e", "w"])
-
-    rows = df.select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.abs(F.col(y) - F.col(p)).cast("double").alias("e")).where("e is not null")
-    maes = rows.mapInArrow(run, "rep long, e double, w double").groupBy("rep").agg(F.try_divide(F.sum("e"), F.sum("w")).alias("mae"))
+    rows = df.select(F.abs(F.col(y) - F.col(p)).cast("double").alias("e"), F.xxhash64(F.lit(seed), F.col(key), F.abs(F.col(y) - F.col(p)).cast("double")).alias("h")).where("e is not null")
+    cells = rows.groupBy("h", "e").agg(F.count("*").alias("n"))
+    total, kinds = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    leaves = max(1, math.ceil(kinds / LEAF))
+    dealt = cells.withColumn("leaf", F.pmod("h", F.lit(leaves)).cast("int"))
+    sizes = np.zeros(leaves, np.int64)
+    for r in dealt.groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
+    upto = np.r_[0, np.cumsum(sizes)]
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        leaf, low, high = key[0].as_py(), 0, leaves
+        draws = np.full(reps, total, np.int64)
+        while high - low > 1:
+            mid = (low + high) // 2
+            share = (upto[mid] - upto[low]) / max(1, upto[high] - upto[low])
+            left = np.random.default_rng([seed, low, high]).binomial(draws, share)
+            draws, low, high = (left, low, mid) if leaf < mid else (draws - left, mid, high)
+        order = np.lexsort((t.column("e").to_numpy(), t.column("h").to_numpy()))
+        e, ends = t.column("e").to_numpy()[order], np.cumsum(t.column("n").to_numpy()[order])
+        draw, sums = np.random.default_rng([seed, leaf, leaves, 1]), np.empty(reps)
+        for k, m in enumerate(draws.tolist()):
+            sums[k] = sum(e[np.searchsorted(ends, draw.integers(0, ends[-1], min(m - at, 1 << 20)), "right")].sum() for at in range(0, m, 1 << 20))
+        return pa.table({"rep": np.arange(reps), "e": sums, "w": draws})
+
+    return dealt.groupBy("leaf").applyInArrow(run, "rep long, e double, w long")
+
+
+def bootstrap_mae(df: DataFrame, y: str, p: str, key: str, reps: int = 1000, seed: int = 17, levels=(0.025, 0.975)) -> DataFrame:
+    """One row (low, high): a percentile interval of the mean absolute error over resamples with replacement; nulls where there are no errors."""
+    maes = resampled_errors(df, y, p, key, reps, seed).groupBy("rep").agg((F.sum("e") / F.sum("w")).alias("mae"))
     return maes.agg(*[F.percentile("mae", F.lit(q)).alias(n) for q, n in zip(levels, ("low", "high"))])

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import kept_rows
 from .aggregate import exact_quantiles
 
 
 def profile_chain(train: DataFrame, target: DataFrame, levels: list[list[str]], value: str, name: str = "profile") -> DataFrame:
     """target with the training median of `value` at the first of `levels` that has its keys, else over all.
 
-    Values are counted once by all keys; each level's medians, exact ones, come of those counts and are joined on its keys.
+    Values are counted once by all keys, in one scan of train whose counts are kept in the shared folder; each level's medians, exact
+    ones, come of those counts and are joined on its keys.
     """
     every = list(dict.fromkeys(k for keys in levels for k in keys))
-    counts = train.groupBy(*every, value).agg(F.count("*").alias("_n"))
+    counts = kept_rows(train.groupBy(*every, value).agg(F.count("*").alias("_n")))
     out = target
     for k, keys in enumerate(levels):
         out = out.join(exact_quantiles(counts, value, keys, {f"_p{k}": 0.5}, "_n"), keys, "left")
