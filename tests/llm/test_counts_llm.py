@@ -143,6 +143,7 @@ def test_collocations_match_plain_counting(spark, monkeypatch, small, longest, l
     docs += [(None, "en"), ("", None), ("only here", "xx"), ("New york city. " * 300, "en")]
     if small:  # many shards, and bit maps that hold nearly every hash
         monkeypatch.setattr(phrases, "SHARD", 300)
+        monkeypatch.setattr(phrases, "CHUNK", 70)
         monkeypatch.setattr(phrases, "LEAST_BITS", 64)
         monkeypatch.setattr(phrases, "MOST_BITS", 64)
         monkeypatch.setattr(phrases, "PARTS", 2)

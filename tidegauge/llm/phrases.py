@@ -3,8 +3,8 @@
 Texts are cut into shards of word ids once. Each shard's suffix array is ordered by prefix doubling (ranks of one word give those
 of two, those give four, and one more word gives five), and the intervals of its longest-common-prefix array are the shard's
 different n-grams with their counts, which are summed by (lang, phrase) over all shards. A phrase that occurs `least` times is made of
-words, pairs and triples that do, so words are counted first; then pairs and triples of frequent words, by a 32-bit hash alone; and then all
-phrases whose pairs and triples are frequent. What is frequent is sent to shards as a bit map of hashes, of a size that is bounded. Where hashes
+words and pairs that do, so words are counted first; then pairs of frequent words, by a 32-bit hash alone; and then all phrases
+whose pairs are frequent. What is frequent is sent to shards as a bit map of hashes, of a size that is bounded. Where hashes
 meet, a phrase is counted that need not be, and no count changes: the sums by (lang, phrase) decide.
 """
 
@@ -21,10 +21,10 @@ from pyspark.sql.window import Window
 
 from .common import shared, table, written
 
-#: Bytes of text that a task gathers, over all languages, before it closes their shards.
-SHARD = 1 << 23
+#: Bytes of text that a task gathers, over all languages, before it closes their shards; bytes of whole texts that are split at a time.
+SHARD, CHUNK = 1 << 25, 1 << 20
 #: A bit map has this many bits for each frequent phrase, and at least and at most so many (the most: 64 MB).
-BITS, LEAST_BITS, MOST_BITS = 256, 1 << 16, 1 << 29
+BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 #: Parts of a language in which its phrases are ranked before all of it is.
 PARTS = 64
 #: A-Z become a-z, a tab a space, and what ends a piece a line feed.
@@ -36,29 +36,46 @@ def shards(docs: DataFrame, lang: str = "lang") -> DataFrame:
     places in them, -1 between pieces; n is its number of words.
     """
 
-    def closed(kept: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        for name, texts in kept.items():
-            at: dict[bytes, int] = {}
-            data = b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
-            ids = np.fromiter((at.setdefault(w, len(at)) for w in data), np.int32, len(data))
-            words = list(at)
-            gone = np.array([w in (b"", b"\n") for w in words])
-            place = np.where(gone, -2, np.cumsum(~gone) - 1).astype(np.int32)
-            if b"\n" in at:
-                place[at[b"\n"]] = -1
-            ids = place[ids]
+    class Shard:
+        """One language's texts as places in a dictionary that grows with them."""
+
+        def __init__(self):
+            self.at: dict[bytes, int] = {b"": -2, b"\n": -1}
+            self.ids: list[np.ndarray] = []
+            self.texts: list[bytes] = []
+            self.size = 0
+
+        def add(self, text: bytes) -> None:
+            self.texts.append(text)
+            self.size += len(text)
+            if self.size >= CHUNK:
+                self.split()
+
+        def split(self) -> None:
+            data = (b"\n".join(self.texts) + b"\n").translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
+            at = self.at
+            ids = np.fromiter((at.setdefault(w, len(at) - 2) for w in data), np.int32, len(data))
             ids = ids[ids > -2]
-            ids = ids[np.r_[True, (ids[1:] >= 0) | (ids[:-1] >= 0)][: len(ids)]]
-            columns = [pa.array([name]), pa.array([int((ids >= 0).sum())], pa.int64()), pa.array([[w for w, x in zip(words, gone) if not x]], pa.list_(pa.binary())), pa.array([ids.tobytes()], pa.binary())]
+            self.ids.append(ids[np.r_[True, (ids[1:] >= 0) | (ids[:-1] >= 0)][: len(ids)]])
+            self.texts, self.size = [], 0
+
+    def closed(kept: dict[str, Shard]) -> Iterator[pa.RecordBatch]:
+        for name, shard in kept.items():
+            shard.split()
+            ids = np.concatenate(shard.ids)
+            words = list(shard.at)[2:]
+            columns = [pa.array([name]), pa.array([int((ids >= 0).sum())], pa.int64()), pa.array([words], pa.list_(pa.binary())), pa.array([ids.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "n", "words", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[bytes]] = {}
+        kept: dict[str, Shard] = {}
         size = 0
         for b in batches:
             for name, text in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                kept.setdefault(name, []).append(raw)
+                if name not in kept:
+                    kept[name] = Shard()
+                kept[name].add(raw)
                 size += len(raw)
                 if size >= SHARD:
                     yield from closed(kept)
@@ -83,12 +100,12 @@ def suffix_ranks(ids: np.ndarray, depth: int) -> list[np.ndarray]:
     """
 
     def paired(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
-        ahead = np.r_[b[by:], np.full(min(by, len(b)), 0, np.int64)][: len(a)]
-        key = a * (int(ahead.max(initial=0)) + 1) + ahead
+        ahead = np.r_[b[by:], np.zeros(min(by, len(b)), np.int32)][: len(a)]
+        key = a.astype(np.int64) * (int(ahead.max(initial=0)) + 1) + ahead
         key[a == 0] = 0
-        return np.unique(key, return_inverse=True)[1].reshape(-1) + (1 if len(key) and key.min() > 0 else 0)
+        return np.unique(key, return_inverse=True)[1].reshape(-1).astype(np.int32) + np.int32(len(key) > 0 and key.min() > 0)
 
-    ranks = {1: ids.astype(np.int64) + 1}
+    ranks = {1: ids + np.int32(1)}
     for k in range(2, depth + 1):
         half = 1 << (k - 1).bit_length() - 1
         # Words 1 to half, then as many more as k asks for; both ranks are there already.
@@ -125,13 +142,10 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(lead + w, 42) for w in words), np.uint64, len(words))
 
 
-def phrase_hashes(parts: list[np.ndarray]) -> np.ndarray:
-    """32 bits from the hashes of a phrase's words."""
-    h = parts[0]
-    for p in parts[1:]:
-        h = (h * np.uint64(0x9E3779B97F4A7C15) ^ (p >> np.uint64(29)) ^ p) * np.uint64(0xD6E8FEB86659FD93)
-        h = h ^ (h >> np.uint64(31))
-    return h >> np.uint64(32)
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """32 bits from the hashes of two words."""
+    h = (first * np.uint64(0x9E3779B97F4A7C15) ^ (second >> np.uint64(29)) ^ second) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(32)
 
 
 class Map:
@@ -180,8 +194,8 @@ def _frequent_words(lang: str, words: pa.Array, ids: np.ndarray, known: Map) ->
     return np.where(ok[ids], ids, -1).astype(np.int32), h
 
 
-def short_counts(cut: DataFrame, known: Map, longest: int) -> DataFrame:
-    """(h, f): how often the pairs, and triples where longer phrases count, of frequent words occur, by their 32-bit hash over all languages."""
+def pair_counts(cut: DataFrame, known: Map) -> DataFrame:
+    """(h, f): how often the pairs of frequent words occur, by their 32-bit hash over all languages."""
     sent = shared(cut.sparkSession, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,30 +203,26 @@ def short_counts(cut: DataFrame, known: Map, longest: int) -> DataFrame:
         for lang, words, ids in _opened(batches):
             ids, h = _frequent_words(lang, words, ids, known)
             ids = _runs(ids, 2)
-            for k, at, counts in intervals(ids, 2, min(longest, 3)):
-                own = phrase_hashes([h[ids[at + j]] for j in range(k)]).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts.astype(np.int64))], ["h", "f"])
+            for _, at, counts in intervals(ids, 2, 2):
+                pair = pair_hashes(h[ids[at]], h[ids[at + 1]]).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(counts.astype(np.int64))], ["h", "f"])
 
     return cut.select("lang", "words", "ids").mapInArrow(run, "h int, f long").groupBy("h").agg(F.sum("f").alias("f"))
 
 
-def phrase_counts(cut: DataFrame, longest: int, words: Map, short: Map) -> DataFrame:
-    """(lang, phrase, k, f) of phrases of 2 to `longest` words whose words, pairs and triples may all be frequent."""
-    sent = shared(cut.sparkSession, (words, short))
+def phrase_counts(cut: DataFrame, longest: int, words: Map, pairs: Map) -> DataFrame:
+    """(lang, phrase, k, f) of phrases of 2 to `longest` words whose words and pairs may all be frequent."""
+    sent = shared(cut.sparkSession, (words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_short = sent()
+        known, known_pairs = sent()
         for lang, words, ids in _opened(batches):
             ids, h = _frequent_words(lang, words, ids, known)
             met = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            rare = met[~known_short.holds(phrase_hashes([h[ids[met]], h[ids[met + 1]]]))]
+            rare = met[~known_pairs.holds(pair_hashes(h[ids[met]], h[ids[met + 1]]))]
             # A cut between the two words of a rare pair: each may go on the other way.
             ids = _runs(np.insert(ids, rare + 1, -1), 2)
             for k, at, counts in intervals(ids, 2, longest):
-                often = np.ones(len(at), bool)
-                for j in range(k - 2):
-                    often &= known_short.holds(phrase_hashes([h[ids[at + j + i]] for i in range(3)]))
-                at, counts = at[often], counts[often]
                 for lo in range(0, len(at), 1 << 17):
                     some = at[lo : lo + (1 << 17)]
                     phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[some + j])) for j in range(k)], b" ").cast(pa.string())
@@ -228,8 +238,8 @@ def frequent_phrases(cut: DataFrame, longest: int = 5, least: int = 100) -> Data
     often = F.col("f") >= least
     words = written(word_counts(cut).where(often))
     known = bit_map(words, F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")))
-    short = written(short_counts(cut, known, longest).where(often))
-    return words.unionByName(written(phrase_counts(cut, longest, known, bit_map(short, F.col("h").cast("long"))).where(often)))
+    pairs = written(pair_counts(cut, known).where(often))
+    return words.unionByName(written(phrase_counts(cut, longest, known, bit_map(pairs, F.col("h").cast("long"))).where(often)))
 
 
 def _times(*columns: str | Column) -> Column:
