@@ -81,6 +81,23 @@ def test_permutation_importance_ranks_features(panel, monkeypatch, shuffled):
     assert rise["x1"] > rise["x2"] > 0
 
 
+def test_permutation_importance_is_what_swapping_by_hand_gives(spark, panel):
+    """The donors found again by their hashes; names that the operator uses inside are the caller's."""
+    df = panel.where("id < 60").select("id", "x1", "x2", "v", *[F.lit(7).alias(c) for c in ("_row", "_group", "_at", "_given", "_case", "feature")])
+    model = models.ridge(panel, ["x1", "x2"], "v", 1.0)
+    got = {r.feature: (r.importance, r.spread) for r in models.permutation_importance(df, model, ["x1", "x2"], "v", "id", repeats=3, seed=9).collect()}
+    mae = lambda frame: frame.agg(F.avg(F.abs(F.col("v") - F.col("prediction")))).first()[0]
+    rows, base = sorted(df.select("id", "x1", "x2", "v").collect()), mae(model(df))
+    for f in ("x1", "x2"):
+        rises = []
+        for r in range(3):
+            hashes = {h.id: h.h for h in df.select("id", F.xxhash64(F.lit(9 + r), "id").alias("h")).collect()}
+            other = sorted(rows, key=lambda x: hashes[x.id])
+            swapped = [(x.id, o.x1 if f == "x1" else x.x1, o.x2 if f == "x2" else x.x2, x.v) for x, o in zip(rows, other)]
+            rises.append(mae(model(spark.createDataFrame(swapped, "id long, x1 double, x2 double, v double"))) - base)
+        assert np.allclose(got[f], (np.mean(rises), np.std(rises)))
+
+
 def test_calibration_uses_no_test_rows(panel):
     parts = panels.calibration_splits(panel, "ts")
     ends = {r.part: (r.a, r.b) for r in parts.groupBy("part").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect()}

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import metrics
 from .profile import profile_rate
@@ -161,24 +162,34 @@ def scenarios(df: DataFrame, model, overrides: dict[str, dict[str, Column]]) ->
 
 
 def permutation_importance(df: DataFrame, model, features: list[str], y: str, key: str, repeats: int = 12, seed: int = 23) -> DataFrame:
-    """Mean rise of the mean absolute error when a feature's values change places; rows are matched through two hash orders.
+    """(feature, importance, spread): mean and deviation, over repeats, of the rise of the mean absolute error when a feature's values change places.
 
-    Values change places inside groups of about SHUFFLED rows, which the key's hash makes and no task needs to put all rows in order for.
+    Values change places inside groups of about SHUFFLED rows, which the key's hash makes and no task needs to put all rows in order for. One
+    window a repeat puts a group's rows in an order of its own; what each row is given are the features of the row at its place in that
+    order, all at once. Then each row is scored once as it is and once for each feature and repeat, in one plan over one scan. Columns are kept
+    apart, whatever their names. `model` adds `prediction`.
     """
-    df = df.cache()
-    base, n = model(df).agg(F.avg(F.abs(F.col(y) - F.col("prediction"))), F.count("*")).first()
-    group = F.pmod(F.xxhash64(F.col(key)), F.lit(max(1, math.ceil(n / SHUFFLED)))).alias("_g")
-    rows = []
+    n = df.count()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"))
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(max(1, math.ceil(n / SHUFFLED)))))
+    place = rows.withColumn("_at", F.row_number().over(_order(F.col("_key"))))
+    values = F.struct(*[F.col(f"_row.`{f}`").alias(f) for f in features])
+    given = rows.select("_group", values.alias("values"), *[F.row_number().over(_order(F.xxhash64(F.lit(seed + r), F.col("_key")))).alias(f"_at_{r}") for r in range(repeats)])
+    donors = F.explode(F.array(*[F.struct(F.col(f"_at_{r}").alias("at"), F.lit(r).alias("r")) for r in range(repeats)]))
+    given = given.select("_group", "values", donors.alias("d")).select("_group", "values", F.col("d.at").alias("_at"), "d.r")
+    given = given.groupBy("_group", "_at").agg(F.map_from_entries(F.collect_list(F.struct("r", "values"))).alias("_given"))
+    both = place.join(given, ["_group", "_at"])
+    cases = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(-1).alias("repeat"), F.col("_row").alias("row"))]
     for f in features:
         for r in range(repeats):
-            own = df.withColumn("_g", group).withColumn("_i", F.row_number().over(_order(F.col(key)))).drop(f)
-            other = df.withColumn("_g", group).select(f, "_g", F.row_number().over(_order(F.xxhash64(F.lit(seed + r), F.col(key)))).alias("_i"))
-            mae = model(own.join(other, ["_g", "_i"]).drop("_g", "_i")).agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("mae"))
-            rows.append(mae.select(F.lit(f).alias("feature"), (F.col("mae") - base).alias("rise")))
-    return reduce(DataFrame.unionByName, rows).groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("spread"))
+            other = F.struct(*[(F.element_at("_given", F.lit(r)).getField(f) if c == f else F.col(f"_row.`{c}`")).alias(c) for c in df.columns])
+            cases.append(F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), other.alias("row")))
+    each = both.select(F.explode(F.array(*cases)).alias("_case")).select(F.col("_case.feature").alias("_feature"), F.col("_case.repeat").alias("_repeat"), "_case.row.*")
+    maes = model(each).groupBy("_feature", "_repeat").agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("mae"))
+    base = maes.where("_repeat < 0").select(F.col("mae").alias("base"))
+    rises = maes.where("_repeat >= 0").crossJoin(F.broadcast(base)).select(F.col("_feature").alias("feature"), (F.col("mae") - F.col("base")).alias("rise"))
+    return rises.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("spread"))
 
 
 def _order(column):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("_g").orderBy(column)
+    return Window.partitionBy("_group").orderBy(column, "_key")
