@@ -236,6 +236,10 @@ def test_acquired_falls_back_with_its_reason(spark, tmp_path):
     df, about = readers.acquired(spark, lambda: f"{tmp_path}/hour.csv", lambda: None)
     assert about["source"] == "file" and [(str(r.datetime), int(r.cnt)) for r in df.orderBy("datetime").collect()] == [("2011-01-01 00:00:00", 3), ("2011-01-01 01:00:00", 5)]
     assert "instant" not in df.columns
+    df, about = readers.acquired(spark, lambda: f"{tmp_path}/none.csv", lambda: readers.synthetic_trips(spark, 2, 3), readers.trips)
+    assert about["source"] == "synthetic" and "PATH_NOT_FOUND" in about["reason"] and df.count() > 0
+    copies = [readers.stamped_copy(f"{tmp_path}/hour.csv", f"{tmp_path}/raw", s) for s in ("20240101_000000", "20240101_010000")]
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir()) == ["20240101_000000_hour.csv", "20240101_010000_hour.csv", "hour.csv"] and copies[1].endswith("010000_hour.csv")
 
 
 def test_small_readers_and_sinks(spark, tmp_path):

@@ -222,6 +222,33 @@ def q67_fold_best(spark, d):
     return one.select("folds", F.round("best_mean", 6).alias("best_mean"), F.round("best_worst", 6).alias("best_worst"))
 
 
+AUDIT = f"""{PANEL}, {TIMES}, rt AS (SELECT cap, row_number() OVER (ORDER BY cap) r, count(*) OVER () n FROM (SELECT DISTINCT cap FROM x)), sz AS (SELECT DISTINCT n, floor(n * 0.5)::BIGINT f, (n - floor(n * 0.5)::BIGINT) // 3 AS s FROM rt WHERE n >= 7),
+fd AS (SELECT k::INTEGER AS fold, f + (k - 1) * s AS a, CASE WHEN k = 3 THEN n ELSE f + k * s END AS b FROM sz, generate_series(1, 3) g(k)), te AS (SELECT fold, x.* FROM x JOIN rt USING (cap) JOIN fd ON r > a AND r <= b),
+pm AS (SELECT fold, 'persistence' AS policy, next_high AS y, high AS p FROM te UNION ALL SELECT fold, 'threshold', next_high, value >= 45 FROM te),
+am AS (SELECT fold, policy, count(*) AS rows, coalesce(2 * count(*) FILTER (y AND p) / nullif(count(*) FILTER (y) + count(*) FILTER (p), 0), 0) AS f1 FROM pm GROUP BY ALL)"""
+
+
+def audit(spark, d):
+    """(fold, policy, metrics) of two policies on the test window of each rolling-origin fold, which a row falls into by its hour."""
+    rows = labelled(spark, d).where("next_high is not null").withColumns({"at": cal.hour_floor("ts"), "over": F.col("value") >= 45})
+    folds = F.broadcast(tm.fold_bounds(rows, "at", 3))
+    tested = rows.join(folds, (F.col("at") > F.col("train_end")) & (F.col("at") <= F.col("test_end")))
+    each = F.explode(F.array(F.struct(F.lit("persistence").alias("policy"), F.col("high").alias("p")), F.struct(F.lit("threshold").alias("policy"), F.col("over").alias("p"))))
+    said = tested.select("fold", F.col("next_high").alias("y"), each.alias("e")).select("fold", "y", "e.*")
+    return said.groupBy("fold", "policy").agg(*metrics.classification_metrics("y", "p"))
+
+
+@query(f"WITH {AUDIT} SELECT fold, policy, rows, round(f1, 6) AS f1 FROM am")
+def q67_rolling_audit(spark, d):
+    return audit(spark, d).select("fold", "policy", "rows", F.round("f1", 6).alias("f1"))
+
+
+@query(f"WITH {AUDIT}, bs AS (SELECT fold, max(f1) AS best FROM am GROUP BY 1) SELECT count(*) AS folds, round(avg(best), 6) AS best_mean, round(min(best), 6) AS best_worst FROM bs")
+def q67_rolling_best(spark, d):
+    one = panels.fold_best(audit(spark, d))
+    return one.select("folds", F.round("best_mean", 6).alias("best_mean"), F.round("best_worst", 6).alias("best_worst"))
+
+
 POLICY = f"""{CUTS}, pol AS (SELECT part, hr, next_high AS y, high AS p, high::INTEGER::DOUBLE AS s, 'persistence' AS policy FROM parts WHERE part <> 'fit' UNION ALL
 SELECT part, hr, next_high, value / 100 >= CASE WHEN hr BETWEEN 0 AND 5 THEN 0.6 ELSE 0.45 END, value / 100, 'candidate' FROM parts WHERE part <> 'fit'),
 seg AS (SELECT *, 'all' AS segment FROM pol UNION ALL SELECT *, CASE WHEN hr BETWEEN 0 AND 5 THEN 'night' ELSE 'day' END FROM pol),

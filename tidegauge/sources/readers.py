@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import re
+import shutil
 import urllib.request
 import zipfile
 from collections.abc import Callable
@@ -146,15 +147,28 @@ def captured(spark: SparkSession, folder: str, captured_at: str, size: int = 100
     return city_inventory(pages, captured_at)
 
 
-def acquired(spark: SparkSession, find: Callable[[], str], otherwise: Callable[[], DataFrame]) -> tuple[DataFrame, dict]:
-    """Hourly demand from the file that `find` gives, without its row number and with datetime; if that fails, the frame of `otherwise`. Says which, and why."""
+def demand(spark: SparkSession, path: str) -> DataFrame:
+    """Hourly demand from a CSV file, without its row number and with datetime."""
+    at = F.col("dteday").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hr"))
+    return spark.read.csv(path, header=True, inferSchema=True).drop("instant").withColumn("datetime", at)
+
+
+def acquired(spark: SparkSession, find: Callable[[], str], otherwise: Callable[[], DataFrame], read: Callable[[SparkSession, str], DataFrame] = demand) -> tuple[DataFrame, dict]:
+    """What `read` makes of the file that `find` gives; if that fails, the frame of `otherwise`. Says which, and why."""
     try:
-        path = find()
-        raw = spark.read.csv(path, header=True, inferSchema=True)
+        return read(spark, find()), {"source": "file", "reason": None}
     except Exception as e:  # any failure leads to the other source, with its reason
         return otherwise(), {"source": "synthetic", "reason": f"{type(e).__name__}: {e}"}
-    at = F.col("dteday").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hr"))
-    return raw.drop("instant").withColumn("datetime", at), {"source": "file", "reason": None}
+
+
+def stamped_copy(path: str, folder: str, stamp: str) -> str:
+    """A raw file kept twice: under its own name, in place of the last one, and under its stamp and name, which is given back."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    kept = Path(folder) / f"{stamp}_{Path(path).name}"
+    shutil.copyfile(path, kept)
+    shutil.copyfile(path, put := Path(folder) / f".{stamp}_{Path(path).name}")
+    put.replace(Path(folder) / Path(path).name)
+    return str(kept)
 
 
 def station_information(spark: SparkSession, path: str) -> DataFrame:
@@ -206,11 +220,13 @@ def read_json_object(path: str) -> dict:
 
 
 def fetched(url: str, target: str, timeout: float = 45.0) -> str:
-    """The path of a download, made once."""
+    """The path of a download, made once, piece by piece; one that breaks off leaves nothing under that path."""
     if not Path(target).exists():
         Path(target).parent.mkdir(parents=True, exist_ok=True)
-        with urllib.request.urlopen(url, timeout=timeout) as r:
-            Path(target).write_bytes(r.read())
+        put = Path(f"{target}.part")
+        with urllib.request.urlopen(url, timeout=timeout) as r, put.open("wb") as f:
+            shutil.copyfileobj(r, f)
+        put.replace(target)
     return target
 
 
