@@ -122,9 +122,10 @@ def intervals(ids: np.ndarray, shortest: int, longest: int) -> Iterator[tuple[in
     if not len(ids):
         return
     ranks = suffix_ranks(ids, longest)
-    order = np.argsort(ranks[-1], kind="stable")
-    ends, at = np.flatnonzero(np.r_[ids < 0, True]), np.arange(len(ids))
-    left = ends[np.searchsorted(ends, at)] - at  # words from a place to the end of its piece
+    order = np.argsort(ranks[-1], kind="stable").astype(np.int32)
+    ends = np.flatnonzero(np.r_[ids < 0, True]).astype(np.int32)
+    # Words from a place to the end of its piece.
+    left = np.repeat(ends, np.diff(np.r_[-1, ends]))[: len(ids)] - np.arange(len(ids), dtype=np.int32)
     for k in range(shortest, longest + 1):
         own = order[left[order] >= k]
         if not len(own):
@@ -142,8 +143,15 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(lead + w, 42) for w in words), np.uint64, len(words))
 
 
-def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """32 bits from the hashes of two words."""
+def pair_hashes(words: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """32 bits from the hashes of two words, of which the places are given."""
+    out = np.empty(len(first), np.uint32)
+    for lo in range(0, len(out), 1 << 18):  # a few MB at a time
+        out[lo : lo + (1 << 18)] = _paired(words[first[lo : lo + (1 << 18)]], words[second[lo : lo + (1 << 18)]])
+    return out
+
+
+def _paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     h = (first * np.uint64(0x9E3779B97F4A7C15) ^ (second >> np.uint64(29)) ^ second) * np.uint64(0xD6E8FEB86659FD93)
     return (h ^ (h >> np.uint64(31))) >> np.uint64(32)
 
@@ -155,8 +163,11 @@ class Map:
         self.bits, self.words = bits, words
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & np.uint64(self.bits - 1)
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        out = np.empty(len(hashes), bool)
+        for lo in range(0, len(out), 1 << 18):
+            at = hashes[lo : lo + (1 << 18)] & np.uint64(self.bits - 1)
+            out[lo : lo + (1 << 18)] = self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+        return out
 
 
 def bit_map(frequent: DataFrame, h: Column) -> Map:
@@ -204,7 +215,7 @@ def pair_counts(cut: DataFrame, known: Map) -> DataFrame:
             ids, h = _frequent_words(lang, words, ids, known)
             ids = _runs(ids, 2)
             for _, at, counts in intervals(ids, 2, 2):
-                pair = pair_hashes(h[ids[at]], h[ids[at + 1]]).astype(np.uint32).view(np.int32)
+                pair = pair_hashes(h, ids[at], ids[at + 1]).view(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(counts.astype(np.int64))], ["h", "f"])
 
     return cut.select("lang", "words", "ids").mapInArrow(run, "h int, f long").groupBy("h").agg(F.sum("f").alias("f"))
@@ -219,7 +230,7 @@ def phrase_counts(cut: DataFrame, longest: int, words: Map, pairs: Map) -> DataF
         for lang, words, ids in _opened(batches):
             ids, h = _frequent_words(lang, words, ids, known)
             met = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            rare = met[~known_pairs.holds(pair_hashes(h[ids[met]], h[ids[met + 1]]))]
+            rare = met[~known_pairs.holds(pair_hashes(h, ids[met], ids[met + 1]))]
             # A cut between the two words of a rare pair: each may go on the other way.
             ids = _runs(np.insert(ids, rare + 1, -1), 2)
             for k, at, counts in intervals(ids, 2, longest):
