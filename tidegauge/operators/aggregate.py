@@ -32,12 +32,13 @@ def quantile(value: str, q: float) -> Column:
 IN_ORDER, RANGES = 10_000, 64
 
 
-def exact_quantiles(df: DataFrame, value: str, by: list[str], levels: dict[str, float], weight: str | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, by: list[str], levels: dict[str, float], weight: str | None = None, kinds: int | None = None) -> DataFrame:
     """(by, a column a level): exact quantiles of each group as doubles, linear between ranks, nulls left out; groups without values have no row.
 
     A group's different values are counted first, evenly by group and value. Groups of up to IN_ORDER of them are put in order; larger ones
     are cut into ranges, their counts tell which range a rank is in, and only those ranges are looked into further, all groups side
-    by side. No buffer grows with a group. With `weight` a row counts that many times.
+    by side. No buffer grows with a group. With `weight` a row counts that many times. `kinds` is a bound on a group's different values, if the
+    caller has one.
     """
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     rows = df.where(F.col(value).isNotNull()).select(key.alias("_key"), F.col(value).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
@@ -46,18 +47,18 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], levels: dict[str,
     at = lambda q: (F.col("n") - 1) * F.lit(float(q))
     ranks = F.explode(F.array_distinct(F.array(*[f(at(q)) for q in levels.values() for f in (F.floor, F.ceil)])))
     targets = sizes.select("_key", ranks.alias("r")).select("_key", "r", F.col("_key").alias("_of"), F.col("r").alias("_rank"))
-    found = _selected(cells, targets).groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "v"))).alias("_values"))
+    found = _selected(cells, targets, kinds).groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "v"))).alias("_values"))
     out = sizes.join(found, F.col("_key") == F.col("_of"))
     low, high = (lambda q, f=f: F.element_at("_values", f(at(q))) for f in (F.floor, F.ceil))
     between = lambda q: low(q) + (high(q) - low(q)) * (at(q) - F.floor(at(q)))
     return out.select(*[F.col(f"_key.`{c}`").alias(c) for c in by], *[F.when(low(q) == high(q), low(q)).otherwise(between(q)).alias(n) for n, q in levels.items()])
 
 
-def _selected(cells: DataFrame, targets: DataFrame) -> DataFrame:
+def _selected(cells: DataFrame, targets: DataFrame, kinds: int | None = None) -> DataFrame:
     """(_of, _rank, v): of each target (_key, r, _of, _rank) the value at rank r, from 0, of its key's cells (_key, v, w) in order."""
     sizes = cells.groupBy("_key").agg(F.count("*").alias("k"))
     large = sizes.where(F.col("k") > IN_ORDER).select("_key")
-    some = large.limit(1).count() > 0
+    some = (kinds is None or kinds > IN_ORDER) and large.limit(1).count() > 0
     small = cells.join(large, "_key", "left_anti") if some else cells
     lists = small.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("cells"))
     start = F.struct(F.col("r").alias("left"), F.lit(None).cast("double").alias("v"))

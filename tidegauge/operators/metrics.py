@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.sinks import kept_rows
 from .aggregate import higher_quantile
 from .ordered import Ordered
 
@@ -68,7 +69,7 @@ def conformal_level(n: int, alpha: float) -> float:
 
 def conformal_intervals(df: DataFrame, y: str, p: str, calibration: Column, alpha: float = 0.1) -> DataFrame:
     """The other rows with lower (0 at least), upper and covered; the radius is the calibration residuals' upper quantile."""
-    residuals = df.where(calibration).select(F.abs(F.col(y) - F.col(p)).alias("r")).where("r is not null")
+    residuals = kept_rows(df.where(calibration).select(F.abs(F.col(y) - F.col(p)).alias("r")).where("r is not null"))
     n = residuals.count()
     if not n:
         raise ValueError("no calibration rows")

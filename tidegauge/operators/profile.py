@@ -17,10 +17,10 @@ def profile_chain(train: DataFrame, target: DataFrame, levels: list[list[str]],
     """
     every = list(dict.fromkeys(k for keys in levels for k in keys))
     counts = kept_rows(train.groupBy(*every, value).agg(F.count("*").alias("_n")))
-    out = target
+    kinds, out = counts.select(value).distinct().count(), target
     for k, keys in enumerate(levels):
-        out = out.join(exact_quantiles(counts, value, keys, {f"_p{k}": 0.5}, "_n"), keys, "left")
-    everywhere = exact_quantiles(counts, value, [], {"_all": 0.5}, "_n").agg(F.max("_all").alias("_all"))
+        out = out.join(exact_quantiles(counts, value, keys, {f"_p{k}": 0.5}, "_n", kinds), keys, "left")
+    everywhere = exact_quantiles(counts, value, [], {"_all": 0.5}, "_n", kinds).agg(F.max("_all").alias("_all"))
     out = out.crossJoin(F.broadcast(everywhere))
     found = [f"_p{k}" for k in range(len(levels))]
     return out.withColumn(name, F.coalesce(*found, "_all")).drop(*found, "_all")

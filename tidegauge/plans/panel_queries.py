@@ -428,7 +428,7 @@ known AS (SELECT 'S' || s_suppkey AS id, CASE WHEN s_suppkey % 4 > 0 THEN s_name
 j AS (SELECT id, coalesce(gname, sname) AS name, gid, coalesce(glat, lat) AS lat, coalesce(glon, lon) AS lon, cap FROM places LEFT JOIN known USING (id)),
 m AS (SELECT id, name, gid, lat, lon, coalesce(cap, (SELECT median(cap) FROM j), 20) AS cap, dense_rank() OVER (ORDER BY id) - 1 AS code FROM j),
 hs AS (SELECT unnest(generate_series((SELECT min(hour) FROM a), (SELECT max(hour) FROM a), INTERVAL 1 HOUR)) AS hour),
-wr AS (SELECT date_trunc('hour', ts) AS hour, round(avg(value), 6) AS level, greatest(round(avg(value), 6) - 55, 0) AS rain FROM events WHERE event_type = 'signup' AND hour(ts) % 3 > 0 GROUP BY 1),
+wr AS (SELECT date_trunc('hour', ts) AS hour, max(value) AS level, greatest(max(value) - 75, 0) AS rain FROM events WHERE event_type = 'signup' AND hour(ts) % 3 > 0 GROUP BY 1),
 wf AS (SELECT hour, coalesce(last_value(level IGNORE NULLS) OVER p, first_value(level IGNORE NULLS) OVER q) AS level, coalesce(last_value(rain IGNORE NULLS) OVER p, first_value(rain IGNORE NULLS) OVER q) AS rain FROM hs LEFT JOIN wr USING (hour)
   WINDOW p AS (ORDER BY hour ROWS UNBOUNDED PRECEDING), q AS (ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 f AS (SELECT m.*, hs.hour, coalesce(a.n, 0) AS starts, coalesce(b.n, 0) AS ends, level, rain FROM m CROSS JOIN hs LEFT JOIN a ON a.id = m.id AND a.hour = hs.hour LEFT JOIN b ON b.id = m.id AND b.hour = hs.hour JOIN wf ON wf.hour = hs.hour),
@@ -452,8 +452,8 @@ def q78_station_hour_frame(spark, d):
         F.concat(F.lit("S"), k.cast("string")).alias("station_short_name"), F.when(k % 4 > 0, F.col("s_name")).alias("station_name"), F.concat(F.lit("g"), k.cast("string")).alias("gbfs_station_id"),
         F.when(k % 3 > 0, 37.5 + k / 100.0).alias("station_lat"), F.when(k % 3 > 0, 127.0 + k / 100.0).alias("station_lon"), F.when(k % 5 > 0, 10 + k).cast("double").alias("capacity"),
     )
-    rain = F.round(F.avg("value"), 6)
-    weather = e.where("event_type = 'signup' and hour(ts) % 3 > 0").groupBy(cal.hour_floor("ts").alias("hour")).agg(rain.alias("level"), F.greatest(rain - 55, F.lit(0.0)).alias("precipitation"))
+    top = F.max("value")
+    weather = e.where("event_type = 'signup' and hour(ts) % 3 > 0").groupBy(cal.hour_floor("ts").alias("hour")).agg(top.alias("level"), F.greatest(top - 75, F.lit(0.0)).alias("precipitation"))
     out = panels.station_hour_frame(trips, stations, weather, 20, (37.5665, 126.978), ["level", "precipitation"])
     return out.withColumns({c: F.round(c, 6) for c in ("station_lat", "station_lon", "distance_to_center_km", "level", "precipitation", "rolling_24_mean")})
 
