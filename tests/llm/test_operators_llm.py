@@ -221,6 +221,25 @@ def test_rare_languages_have_rejection_limits(spark):
     assert got[9_000].rejected and not any(got[5_000 + k].rejected for k in range(30))
 
 
+def test_rejection_limits_are_of_all_learning_rows(spark):
+    draw = np.random.default_rng(3)
+    rows = [(k, " ".join("".join(draw.choice(list("abcdefgh"), draw.integers(1, 7))) for _ in range(draw.integers(3, 12))), "en" if k % 7 else "de") for k in range(5_000)]
+    rows += [(6_000, "abc fed", "few"), (6_001, None, "en"), (6_002, "12", "en")]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("text", "lang", "doc_id")
+    model = langid.fit(learn)
+    h, n = langid.entropies(model, [t for _, t, _ in rows])
+    own = {x: np.array([n[k] > 0 and lang == x for k, (_, _, lang) in enumerate(rows)]) for x in model.langs}
+    h = h[np.arange(len(rows)), [model.langs.index(x) for _, _, x in rows]]
+
+    def plain(some):
+        mean = np.average(h[some], weights=n[some])
+        return mean, np.sqrt(np.mean((h[some] - mean) ** 2 * n[some]))
+
+    mean, spread = plain(n > 0)
+    want = [plain(own["de"]), plain(own["en"]), (max(mean, plain(own["few"])[0]), spread)]
+    assert np.allclose(langid.limits(model, learn), want, rtol=1e-9)
+
+
 def test_machine_scores_pairs_as_written_out():
     m = quality.FactorisationMachine(size=12, factors=3, seed=1)
     m.w, m.b = np.arange(12) / 10, 0.2

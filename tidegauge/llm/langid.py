@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,8 @@ ORDER = 4
 MODEL_VALUES = 32_000_000
 #: Counts below this have a bucket each; above, sixteen buckets share a doubling.
 EXACT = 1 << 10
-#: Learning rows of which cross-entropies are measured for the rejection limits: an equal part for each language, and LEAST_ROWS at least.
-CALIBRATION_ROWS, LEAST_ROWS = 4_000, 200
-#: Characters that are taken together; longer texts are read in parts of this length.
-PART = 1 << 20
+#: Texts longer than PART characters are read in parts of that length; texts are taken together until they have TOGETHER.
+PART, TOGETHER = 1 << 20, 1 << 17
 UNKNOWN = "und"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _END = "\uffff"
@@ -40,7 +39,7 @@ def letters(units: np.ndarray) -> np.ndarray:
 
 
 def parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Texts, by row number, in lists of about PART characters."""
+    """Texts, by row number, in lists of about TOGETHER characters, or of one part."""
     rows, held, many = [], [], 0
     for i, t in enumerate(texts):
         t = (t or "").replace(_END, " ")
@@ -48,7 +47,7 @@ def parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
             rows.append(i)
             held.append(t[at : at + PART])
             many += len(held[-1])
-            if many >= PART:
+            if many >= TOGETHER:
                 yield np.array(rows), held
                 rows, held, many = [], [], 0
     if rows:
@@ -177,6 +176,12 @@ class KneserNey:
             out[:, miss] = self._backed_off(gram[miss], k)
         return out
 
+    def alone(self, row: int) -> KneserNey:
+        """The model of one language, of the same values."""
+        one = copy(self)
+        one.langs, one.levels = self.langs[row : row + 1], [(keys, value[row : row + 1], ctx, weight[row : row + 1]) for keys, value, ctx, weight in self.levels]
+        return one
+
 
 def _bucket(n: Column) -> Column:
     """A number that grows with a count: the count itself below EXACT, then sixteen steps a doubling."""
@@ -276,43 +281,53 @@ def least_hashes(df: DataFrame, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).limit(2 * rows)
 
 
-def limits(model: KneserNey, docs: DataFrame, rows: int = CALIBRATION_ROWS) -> np.ndarray:
-    """For each language, the mean of its own texts' cross-entropy and the spread of one unit.
+def limits(model: KneserNey, docs: DataFrame, rows: int | None = None) -> np.ndarray:
+    """For each language, the mean of its own texts' cross-entropy and the spread of one unit, over all of its rows in docs.
 
-    Each language's come from an equal part of about `rows` of its learning rows (least hashes), however rare it is. A
-    language of fewer than five such texts takes the spread over all languages' texts, and the mean over these or its own, whichever is greater.
+    Sums for each language are made in the tasks. A caller may ask for about `rows` rows instead, an equal part of each
+    language's; `identify` does not. A language of fewer than five texts takes the spread over all languages' texts, and
+    the mean over these or its own, whichever is greater.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    many = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    each = max(LEAST_ROWS, -(-rows // max(len(many), 1)))
-    shares = [(x, int(min(1.0, each / n) * (1 << 40))) for x, n in many.items()]
-    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long"))
-    least = F.pmod(F.xxhash64(*known.columns), F.lit(1 << 40)).alias("least")
-    sample = known.where(F.col("lang").isin(model.langs)).select("text", "lang", least).join(shares, "lang").where("least < share").select("text", "lang")
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isin(model.langs))
+    if rows is not None:
+        many = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+        shares = [(x, int(min(1.0, rows / max(len(many), 1) / n) * (1 << 40))) for x, n in many.items()]
+        least = F.pmod(F.xxhash64(*known.columns), F.lit(1 << 40))
+        known = known.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long")), "lang").where(least < F.col("share"))
     sent = shared(docs.sparkSession, model)
 
     def run(batches):
         model = sent()
+        alone = [model.alone(k) for k in range(len(model.langs))]
+        sums = np.zeros((4, len(alone)))
         for b in batches:
-            h, size = entropies(model, b.column(0).to_pylist())
-            j = np.array([model.langs.index(x) for x in b.column(1).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(h[np.arange(len(j)), j]), pa.array(size)], ["j", "h", "n"])
-
-    t = sample.mapInArrow(run, "j long, h double, n long").toArrow()
-    j, h, n = (t.column(k).to_numpy() for k in ("j", "h", "n"))
-
-    def measured(own: np.ndarray) -> tuple[float, float]:
-        mean = np.average(h[own], weights=n[own])
-        return mean, np.sqrt(np.mean((h[own] - mean) ** 2 * n[own]))
-
-    out = np.full((len(model.langs), 2), np.inf)  # stays where no text with a letter was sampled at all
-    for k in range(len(out)):
-        own = (j == k) & (n > 0)
-        if own.sum() >= 5:
-            out[k] = measured(own)
-        elif (n > 0).any():
-            mean, spread = measured(n > 0)
-            out[k] = max(mean, measured(own)[0]) if own.any() else mean, spread
+            texts, langs = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), object)
+            for lang in set(langs):
+                j = model.langs.index(lang)
+                h, n = entropies(alone[j], [texts[i] for i in np.flatnonzero(langs == lang)])
+                h = h[n > 0, 0]
+                n = n[n > 0]
+                sums[:, j] += len(n), n.sum(), (n * h).sum(), (n * h * h).sum()
+        own = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, sums[:, own])], ["j", "texts", "n", "nh", "nhh"])
+
+    each = known.select("text", "lang").mapInArrow(run, "j long, texts double, n double, nh double, nhh double")
+    exact = [F.sum(F.col(c).cast("decimal(38,12)")).cast("double").alias(c) for c in ("texts", "n", "nh", "nhh")]  # the order of tasks doesn't show
+    sums = np.zeros((len(model.langs), 4))
+    for r in each.groupBy("j").agg(*exact).collect():
+        sums[r.j] = r.texts, r.n, r.nh, r.nhh
+
+    def measured(texts: float, n: float, nh: float, nhh: float) -> tuple[float, float]:
+        mean = nh / n
+        return mean, np.sqrt(max(nhh - mean * nh, 0.0) / texts)
+
+    out = np.full((len(model.langs), 2), np.inf)  # stays where there is no text with a letter at all
+    for k, own in enumerate(sums):
+        if own[0] >= 5:
+            out[k] = measured(*own)
+        elif sums[:, 0].any():
+            mean, spread = measured(*sums.sum(axis=0))
+            out[k] = max(mean, measured(*own)[0]) if own[0] else mean, spread
     return out
 
 
@@ -322,7 +337,7 @@ def identify(docs: DataFrame, learn: Column | None = None, width: float = 8.0, s
     Models are learnt from text and non-null lang of rows where `learn` holds (all by default).
     lang_pred has the least cross-entropy for each letter or gap over the whole text, ties to the first name; score is its
     posterior at no more than 50 units. rejected: no letter, or a cross-entropy above that of the
-    language's own texts by `slack` nats and `width` standard errors, from a calibration sample.
+    language's own texts by `slack` nats and `width` standard errors, over all learning rows.
     A null or letterless text is `und` with score 0 and null cross_entropy. With nothing to learn
     from, all texts are `und` and only letterless ones are rejected. An empty table stays empty.
     """
