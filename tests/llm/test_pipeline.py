@@ -151,3 +151,20 @@ def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
     for df in out.values():
         assert df.columns == docs.columns and [f.dataType for f in df.schema] == [f.dataType for f in docs.schema]
     assert all(stage(spark, docs.where("false"), str(tmp_path)).isEmpty() for stage in stages.values())
+
+
+def test_sets_of_pairs_are_chosen_without_moving_the_others(spark, monkeypatch):
+    plans, plain = [], shingles_module.written
+    monkeypatch.setattr(shingles_module, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    sets = spark.createDataFrame([(k, bytes([k % 50]), bytes([k % 50] * 8)) for k in range(60)], "k long, key binary, hashes binary")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 55)], "a long, b long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = shingles_module._of_pairs(sets, pairs).collect()
+        monkeypatch.setattr(shingles_module, "SENT", 1)
+        joined = shingles_module._of_pairs(sets, pairs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1] and "SortMergeJoin" in plans[3]
+    assert sorted(r.key[0] for r in sent) == sorted(r.key[0] for r in joined) == [1, 2, 3, 5]

@@ -26,6 +26,8 @@ from .simhash import fingerprint, near_links, shingle_hashes
 SAMPLE, COMMON, MOST = 8, 1, 2_000_000
 #: Sets that share a leading shingle are paired with each other up to this many; more are linked through pivots, in so many rounds of so many, before pairs are made.
 PAIRED, ROUNDS, PIVOTS = 64, 2, 2
+#: Names of sets, sent to every task to choose them from all sets; more are joined, which moves all sets' shingles.
+SENT = 2_000_000
 #: Rows whose shingles a task holds at once.
 ROWS = 1_000
 
@@ -104,11 +106,19 @@ def _met(x: DataFrame, y: DataFrame, least: Fraction, and_also: str) -> DataFram
     return pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).where("a < b").distinct()
 
 
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k, key, hashes) of the sets that are in pairs (a, b) of k, each once; only their shingles are moved while there are no more than SENT of them."""
+    ks = written(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
+    own = sets.join(F.broadcast(ks) if ks.count() <= SENT else ks, "k", "left_semi")
+    out = written(own.select("k", "key", "hashes").dropDuplicates(["key"]))
+    discard(ks)
+    return out
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """(a, b): keys of the sets of pairs (a, b) of k that have the similarity, written. Sets that share a k are each compared."""
     pairs = written(pairs)
-    ks = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    own = written(sets.join(ks, "k", "left_semi").select("k", "key", "hashes").dropDuplicates(["key"]))
+    own = _of_pairs(sets, pairs)
     first = own.select(F.col("k").alias("a"), F.col("key").alias("key_a"), F.col("hashes").alias("x"))
     second = own.select(F.col("k").alias("b"), F.col("key").alias("key_b"), F.col("hashes").alias("y"))
 
