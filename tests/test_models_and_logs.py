@@ -172,6 +172,19 @@ def test_cutoffs_are_resolved():
     assert [cal.resolve_cutoff(None, x) for x in ({}, {"snapshot_cutoff_at": None}, {"snapshot_cutoff_at": "soon"}, {"snapshot_cutoff_at": "2026-07-13T14:15:03"})] == [None] * 4
 
 
+def test_snapshot_log_is_one_scan_of_files_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    names = ["station_name", "gbfs_station_id", "capacity", "num_bikes_available"]
+    want, tasks, plain = set(), [], type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda df, n, *by: tasks.append(n) or plain(df, n, *by))
+    for i, own in enumerate([names, names[::-1], names[1:3], [names[3], "other", names[0]]]):
+        rows = [(f"2024010{i + 1}_0000{k % 40:02d}", *[f"{c},{k}" for c in own]) for k in range(80)]
+        assert sinks.to_snapshots(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ["stamp", *own])), str(tmp_path), "stamp") == 40
+        want |= {(r[0], *[dict(zip(own, r[1:])).get(c) for c in names]) for r in rows}
+    got = readers.snapshot_log(spark, str(tmp_path))
+    assert {tuple(r) for r in got.select(F.date_format("captured_at", "yyyyMMdd_HHmmss"), *names).collect()} == want and got.count() == 320
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1 and min(tasks) >= spark.sparkContext.defaultParallelism
+
+
 def test_snapshot_log_of_ragged_files(spark, tmp_path):
     write = lambda stamp, text: (tmp_path / f"{stamp}_inventory_snapshot.csv").write_text(text, encoding="utf-8")
     write("20240101_000000", "﻿gbfs_station_id,capacity,num_bikes_available,current_bike_shortage\ng1,10,3,True\n\ng2,x,,no\n")

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import csv
 import json
-import re
 import shutil
 import urllib.request
 import zipfile
 from collections.abc import Callable
-from functools import reduce
 from pathlib import Path
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,41 +37,40 @@ STATUS = (
 WEATHER = ("hourly struct<time:array<string>,temperature_2m:array<double>,relative_humidity_2m:array<double>,precipitation:array<double>,wind_speed_10m:array<double>>")
 
 
-def file_headers(spark: SparkSession, folder: str, glob: str, stamp: str, until: str | None = None) -> dict[tuple[str, ...], list[str]]:
-    """The files whose name has a stamp (up to `until`), by the fields of their first line: paths under each distinct header.
+def _taken(stamp: str, until: str | None) -> Column:
+    """Whether a file's name has a stamp, up to `until`; as this is on file metadata, other files are not opened."""
+    found = F.regexp_extract(F.col("_metadata.file_name"), stamp, 1)
+    return found != "" if until is None else (found != "") & (found <= until)
 
-    What reaches the driver is a path for each file. Files past `until` are not opened, as that filter is on file metadata.
-    """
-    lines = spark.read.option("pathGlobFilter", glob).text(folder).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_extract(F.col("_metadata.file_name"), stamp, 1).alias("stamp"))
-    lines = lines.where(F.col("stamp") != "" if until is None else (F.col("stamp") != "") & (F.col("stamp") <= until))
-    first = lines.where("block = 0 and value <> ''").withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("head"))
-    out: dict[tuple[str, ...], list[str]] = {}
-    for r in first.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
-        fields = tuple(x.strip() for x in next(csv.reader([r["head"].removeprefix("\ufeff")])))
-        # A path comes as a URI, and goes to the reader as a pattern.
-        out.setdefault(fields, []).extend(re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(x)) for x in r["paths"])
-    return out
+
+def file_headers(spark: SparkSession, folder: str, glob: str, stamp: str, until: str | None = None) -> DataFrame:
+    """(path, head): the first line of each file whose name has a stamp (up to `until`)."""
+    lines = spark.read.option("pathGlobFilter", glob).text(folder).where(_taken(stamp, until)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.where("block = 0 and value <> ''").withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("head"))
 
 
 def snapshot_log(spark: SparkSession, folder: str, schema: str | T.StructType = SNAPSHOT, until: str | None = None, stamp: str = STAMP, glob: str = "*_inventory_snapshot.csv") -> DataFrame:
     """All snapshot files of a folder, with captured_at read from each file's name.
 
-    Files whose name has no stamp, and those after `until` (yyyyMMdd_HHmmss, included), are not opened. Files are grouped by header and
-    each group is read by Spark's own CSV reader with that header as its schema, so files may lack columns, have more, or
-    have them in another order, and a quoted field may hold commas, doubled quotes and line breaks. Columns that a file lacks are
+    Files whose name has no stamp, and those after `until` (yyyyMMdd_HHmmss, included), are not opened. All files are read in one scan by
+    Spark's own CSV reader, by place, and each file's header, joined to its rows, says which place is which column; so files may lack columns,
+    have more, or have them in another order, and a quoted field may hold commas, doubled quotes and line breaks. Columns that a file lacks are
     null, as are empty fields, quoted ones too; of columns of one name the first counts; a row that is too short ends in nulls.
+    What reaches the driver, and goes from it to the tasks, is each file's path and the number of its header; headers are read once.
     """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    found = F.regexp_extract(F.col("_metadata.file_name"), stamp, 1)
-    parts = []
-    for header, paths in sorted(file_headers(spark, folder, glob, stamp, until).items()):
-        own = [h if h and h not in header[:i] else f"_unnamed_{i}" for i, h in enumerate(header)]
-        raw = spark.read.schema(T.StructType([T.StructField(h, T.StringType()) for h in own])).csv(paths, header=True, multiLine=True, quote='"', escape='"')
-        cells = [(F.nullif(F.col(f"`{f.name}`"), F.lit("")) if f.name in own else F.lit(None).cast("string")).alias(f.name) for f in fields]
-        parts.append(raw.select(*cells, F.col("_metadata.file_path").alias("snapshot_path"), F.try_to_timestamp(found, F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz").alias("captured_at")))
-    if not parts:
+    heads = [(r["path"], r["head"]) for r in file_headers(spark, folder, glob, stamp, until).collect()]
+    if not heads:
         return spark.createDataFrame([], T.StructType([*[T.StructField(f.name, T.StringType()) for f in fields], T.StructField("snapshot_path", T.StringType()), T.StructField("captured_at", T.TimestampNTZType())]))
-    return reduce(DataFrame.unionByName, parts)
+    named = {head: (k, [x.strip() for x in next(csv.reader([head.removeprefix("\ufeff")]))]) for k, head in enumerate(sorted({h for _, h in heads}))}
+    places = spark.createDataFrame([(k, [names.index(f.name) if f.name in names else None for f in fields]) for k, names in named.values()], "kind int, place array<int>")
+    of_file = spark.createDataFrame([(path, named[head][0]) for path, head in heads], "snapshot_path string, kind int").join(F.broadcast(places), "kind")
+    own = [f"_{i}" for i in range(max(len(names) for _, names in named.values()))]
+    raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in own])).option("pathGlobFilter", glob).csv(folder, header=True, multiLine=True, quote='"', escape='"')
+    at = F.try_to_timestamp(F.regexp_extract(F.col("_metadata.file_name"), stamp, 1), F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz")
+    rows = raw.where(_taken(stamp, until)).select(F.array(*own).alias("cells"), F.col("_metadata.file_path").alias("snapshot_path"), at.alias("captured_at"))
+    cells = [F.nullif(F.get("cells", F.get("place", F.lit(i))), F.lit("")).alias(f.name) for i, f in enumerate(fields)]
+    return rows.join(F.broadcast(of_file), "snapshot_path").select(*cells, "snapshot_path", "captured_at")
 
 
 def excluded_snapshots(spark: SparkSession, folder: str, history: DataFrame, stamp: str = STAMP, glob: str = "*_inventory_snapshot.csv") -> DataFrame:

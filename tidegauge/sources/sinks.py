@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Threads that move snapshots to their names.
+MOVERS = 8
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below the one that the session names in spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
@@ -31,18 +35,26 @@ def kept_rows(df: DataFrame) -> DataFrame:
 def to_snapshots(df: DataFrame, folder: str, stamp: str, suffix: str = "_inventory_snapshot.csv") -> int:
     """A CSV file with a header for each value of the column `stamp`, named by it, beside what the folder has; nulls are empty. Gives the number of files.
 
-    A snapshot is one capture and goes through one task; snapshots are written side by side.
+    A snapshot is one capture and goes through one task; snapshots are written side by side, in as many tasks as the session shuffles
+    to or has cores, however few their bytes, and moved to their names by several threads.
     """
     spark = df.sparkSession
     put = f"{folder.rstrip('/')}/_put-{uuid.uuid4().hex}"
-    df.repartition(stamp).write.partitionBy(stamp).csv(put, header=True, quote='"', escape='"', emptyValue="", nullValue="")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # The second commit algorithm moves files in the tasks; nobody reads below `put`, so it needn't appear at once.
+    out = df.repartition(tasks, stamp).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    out.partitionBy(stamp).csv(put, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path
     fs = path(put).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    made = 0
-    for part in fs.globStatus(path(f"{put}/{stamp}=*/part-*")):
-        name = part.getPath().getParent().getName().partition("=")[2]
-        fs.rename(part.getPath(), path(f"{folder.rstrip('/')}/{name}{suffix}"))
-        made += 1
+    parts = hadoop.FileUtil.stat2Paths(fs.globStatus(path(f"{put}/{stamp}=*/part-*")))
+
+    def moved(k: int) -> None:
+        name = parts[k].toString().rsplit("/", 2)[1].partition("=")[2]
+        fs.rename(parts[k], path(f"{folder.rstrip('/')}/{name}{suffix}"))
+
+    with ThreadPoolExecutor(MOVERS) as pool:
+        made = sum(1 for _ in pool.map(moved, range(len(parts))))
     fs.delete(path(put), True)
     return made
 
