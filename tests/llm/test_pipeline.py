@@ -168,3 +168,50 @@ def test_sets_of_pairs_are_chosen_without_moving_the_others(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1] and "SortMergeJoin" in plans[3]
     assert sorted(r.key[0] for r in sent) == sorted(r.key[0] for r in joined) == [1, 2, 3, 5]
+
+
+def test_only_sets_of_likely_pairs_are_stored(spark, monkeypatch):
+    draw, stored, plain = np.random.default_rng(23), [], shingles_module.written
+
+    def written(df):
+        out = plain(df)
+        stored.extend(r.hashes for r in out.select("hashes").collect()) if "hashes" in out.columns else None
+        return out
+
+    monkeypatch.setattr(shingles_module, "written", written)
+    texts = {k: " ".join(prose(draw, 90)) for k in range(40)}
+    texts |= {40: texts[7] + " more", 41: texts[9]}
+    kept = corpus_pipeline.near_duplicate(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(40))
+    assert {len(bytes(h)) for h in stored} == {86 * 8, 87 * 8} and len(set(map(bytes, stored))) == 2
+
+
+def test_sets_of_one_frequent_shingle_are_held_against_each_other_by_sketches(spark, monkeypatch):
+    draw, counts, plain = np.random.default_rng(29), [], shingles_module._verified
+    monkeypatch.setattr(shingles_module, "_verified", lambda pairs, *rest: counts.append(pairs.count()) or plain(pairs, *rest))
+    for name, value in (("SAMPLE", 1), ("PAIRED", 4)):
+        monkeypatch.setattr(shingles_module, name, value)
+    base = prose(draw, 60)
+    texts = {at: " ".join([*base[:at], f"edited{at}", *base[at + 1 :]]) for at in range(4, 56, 2)}  # two of them have a similarity of 0.78 at most
+    texts[99] = texts[30] + " more"
+    kept = corpus_pipeline.near_duplicate(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(texts)[:-1]
+    assert counts[-1] <= 40  # of 325 pairs
+
+
+def test_sketches_rule_out_no_pair_of_the_similarity():
+    draw = np.random.default_rng(31)
+    ruled = 0
+    for _ in range(600):
+        n, least = int(draw.integers(1, 1500)), shingles_module.Fraction("0.8")
+        x = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
+        gone = int(draw.integers(0, n // 4 + 1))
+        y = np.unique(np.concatenate([x[gone:], draw.integers(0, 2**64, int(draw.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+        a, b = shingles_module.sketch(x), shingles_module.sketch(y)
+        both, words = len(np.intersect1d(x, y)), min(len(a), len(b))
+        differ = int(np.bitwise_count(shingles_module.folded(a, words) ^ shingles_module.folded(b, words)).sum())
+        assert differ <= len(x) + len(y) - 2 * both
+        fits = shingles_module.possible(a, b, len(x) + len(y), least)
+        assert fits or both * 10 < 8 * (len(x) + len(y) - both)
+        ruled += not fits
+    assert ruled > 50
