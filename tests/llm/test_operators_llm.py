@@ -15,6 +15,7 @@ import pytest
 from test_queries_llm import brute_dedup
 
 from tidegauge.llm import decontaminate, langid, licenses, lm_scoring, media, mixing, phrases, quality, simhash, suffix_dedup, token_counts, url_filter
+from tidegauge.llm import components as components_module
 from tidegauge.llm.components import components
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -184,6 +185,15 @@ def test_components_of_a_path_and_a_hub(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
 
 
+def test_components_end_with_the_round_that_settles_them(spark, monkeypatch):
+    plans, plain = [], components_module.written
+    monkeypatch.setattr(components_module, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    edges = [(k, 0) for k in range(1, 30)] + [(40, 50), (51, 40)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(30)} | {k: 40 for k in (40, 50, 51)}
+    assert len(plans) == 2 and plans[1].count("Exchange hashpartitioning") <= 5
+
+
 def test_licences_are_found_however_they_are_written(spark):
     known = licenses.known_texts()
     wrapped = lambda t: "\n".join(textwrap.fill(x, 80) for x in t.split("\n"))

@@ -199,6 +199,19 @@ def test_sets_of_one_frequent_shingle_are_held_against_each_other_by_sketches(sp
     assert counts[-1] <= 40  # of 325 pairs
 
 
+def test_components_are_made_again_only_for_new_links(spark, monkeypatch):
+    draw, calls, plain = np.random.default_rng(29), [], shingles_module.components
+    monkeypatch.setattr(shingles_module, "components", lambda edges: calls.append(1) or plain(edges))
+    for name, value in (("SAMPLE", 1), ("PAIRED", 4)):
+        monkeypatch.setattr(shingles_module, name, value)
+    base = prose(draw, 60)
+    texts = {at: " ".join([*base[:at], f"edited{at}", *base[at + 1 :]]) for at in range(4, 56, 2)}  # two of them have a similarity of 0.78 at most
+    texts[99] = texts[30]
+    kept = corpus_pipeline.near_duplicate(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(texts)[:-1]
+    assert len(calls) == 1
+
+
 def test_sketches_rule_out_no_pair_of_the_similarity():
     draw = np.random.default_rng(31)
     ruled = 0

@@ -188,6 +188,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction, whole: Callabl
     met = written(pairs)
     pairs = _likely(met, sets, least)
     discard(met)
+    if pairs.isEmpty():
+        discard(pairs)
+        return pairs.sparkSession.range(1).where("false").select(F.lit(b"").alias("a"), F.lit(b"").alias("b"))
     own = _of_pairs(sets, pairs, whole)
     first = own.select(F.col("k").alias("a"), F.col("key").alias("key_a"), F.col("hashes").alias("x"))
     second = own.select(F.col("k").alias("b"), F.col("key").alias("key_b"), F.col("hashes").alias("y"))
@@ -247,33 +250,36 @@ def _sketched(now: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _completed(links: DataFrame, rows: DataFrame, sets: DataFrame, least: Fraction, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links between sets, so that all pairs of sets that have the similarity, and those of links, are connected.
+    """(node, component) of sets, so that all pairs of sets that have the similarity, and those of links, are connected.
 
     Shingles that lead up to PAIRED sets give their pairs. Of those that lead more, each round compares PIVOTS sets of the largest
     component, chosen by hash, with those outside it, which links most of a group of near copies; then only sets that are still in
-    different components are paired, if their sketches allow it. Each round goes on from the components of the one before, not from single links.
+    different components are paired, if their sketches allow it. Each round goes on from the components of the one before, not from single links,
+    and makes them anew only if it has found links: each making is many small stages, whose plans and tasks the driver holds.
     """
     postings = _postings(rows)
     many = postings.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     met = written(postings.join(many, "h").distinct())
     light, heavy = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
-    links = links.union(_verified(_met(light, light, least, "x.k < y.k"), sets, least, whole))
+    stars = components(links.union(_verified(_met(light, light, least, "x.k < y.k"), sets, least, whole)))
     if heavy.isEmpty():
-        return links
+        return stars
+    now = _grouped(heavy, stars)
     for k in range(ROUNDS):
-        stars = components(links)
-        now = _grouped(heavy, stars)
         if now.isEmpty():
             return stars
-        links = stars.union(_verified(_met(now.where("minor"), _pivots(now, range(k * PIVOTS, (k + 1) * PIVOTS)), least, "x.k <> y.k"), sets, least, whole))
-        discard(now)
-    stars = components(links)
-    now = _grouped(heavy, stars)
+        more = _verified(_met(now.where("minor"), _pivots(now, range(k * PIVOTS, (k + 1) * PIVOTS)), least, "x.k <> y.k"), sets, least, whole)
+        if not more.isEmpty():
+            stars = components(stars.union(more))
+            discard(now)
+            now = _grouped(heavy, stars)
+    if now.isEmpty():
+        return stars
     known = written(_sketched(now, sets))
     rest = _met(known.where("minor"), known, least, "x.component <> y.component and (not y.minor or x.k < y.k)")
-    links = stars.union(_verified(rest, sets, least, whole))
+    more = _verified(rest, sets, least, whole)
     discard(met, now, known)
-    return links
+    return stars if more.isEmpty() else components(stars.union(more))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, least: str = "0.8", tau: int = 4) -> DataFrame:
@@ -289,8 +295,7 @@ def similar_groups(docs: DataFrame, width: int = 5, least: str = "0.8", tau: int
     same = [F.any_value(c).alias(c) for c in ("fp", "size", "sketch")]
     keys = written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), *same))
     sets = keys.where("size > 0").withColumn("k", F.xxhash64("key"))
-    links = _completed(_verified(_by_fingerprint(sets, tau), sets, part, whole), rows, sets, part, whole)
-    groups = components(links)
+    groups = _completed(_verified(_by_fingerprint(sets, tau), sets, part, whole), rows, sets, part, whole)
     named = keys.select("key", "least").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = named.select("key", "component").join(ids, "component").select("key", "component_id")
