@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import corpus_pipeline
 import numpy as np
 from test_queries_llm import brute_dedup
 
+from tidegauge.llm import decontaminate, suffix_dedup
 from tidegauge.llm import shingles as shingles_module
+from tidegauge.llm import simhash as simhash_module
 from tidegauge.llm.simhash import simhash
 
 VOWELS, HARD = "aeiou", "bcdfglmnprst"
@@ -212,6 +215,22 @@ def test_components_are_made_again_only_for_new_links(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_rows_made_of_fewer_are_never_broadcast(spark, monkeypatch):
+    draw, plans = np.random.default_rng(31), []
+    for module in (decontaminate, shingles_module, simhash_module, suffix_dedup):
+        monkeypatch.setattr(module, "written", lambda df, plain=module.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    base = [prose(draw, 60) for _ in range(20)]
+    texts = [" ".join(p[:k] + ["edited"] + p[k:]) for p in base for k in (0, 60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:3]])), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(base[0][:30]))], "item_id long, text string")
+    made = [simhash_module.near_duplicates(docs), corpus_pipeline.near_duplicate(spark, docs, ""), suffix_dedup.dedup_substrings(docs), decontaminate.contaminated(docs, items)]
+    assert [df.count() for df in made] == [43, 20, 43, 4]
+    sent = re.findall(r"BroadcastHashJoin \[(\w+)#.*?\], \[(\w+)#.*?\], Inner", "".join(plans))
+    joined = re.findall(r"SortMergeJoin \[(\w+)#.*?\], \[(\w+)#.*?\], Inner", "".join(plans))
+    made_of_fewer = {("part", "part"), ("h", "h"), ("digest", "digest"), ("c1", "c1")}
+    assert not made_of_fewer & set(sent) and made_of_fewer <= set(joined)
+
+
 def test_sketches_rule_out_no_pair_of_the_similarity():
     draw = np.random.default_rng(31)
     ruled = 0

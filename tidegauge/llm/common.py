@@ -56,6 +56,12 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """left.join(right, on, how) as a sort-merge join, neither side broadcast: for rows that an explode or a Python function makes
+    of fewer, or that files hold far smaller than memory. Spark takes their size from what they are made of, and would send them through the driver."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames that `written` returned, once all that was made from them is written."""
     for df in frames:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, shared, table, written
+from .common import discard, shared, sorted_join, table, written
 
 #: Distinct words of all test items up to which they are sent to every task, to drop other words at once (32 MB); beyond that, a join drops them.
 VOCABULARY = 4_000_000
@@ -130,7 +130,7 @@ def _document_words(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([keys.take(pa.array(row[at])), pa.array(h[at].view(np.int64)), pa.array(n, pa.int32())], ["rk", "h", "n"])
 
     found = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("rk"), "text").mapInArrow(run, "rk long, h long, n int")
-    return found if few else found.join(vocabulary, "h", "left_semi").select("rk", "h", "n")
+    return found if few else sorted_join(found, vocabulary, "h", "left_semi").select("rk", "h", "n")
 
 
 def _seeds(items: DataFrame, held: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
     items = written(_items(benchmark, least))
     vocabulary = items.select(F.explode("words").alias("h")).distinct()
     held = written(_document_words(docs, vocabulary))
-    met = held.join(_seeds(items, held), "h").groupBy("rk", "item", "req").agg(F.sum(F.least("n", "many")).alias("got"))
+    met = sorted_join(held, _seeds(items, held), "h").groupBy("rk", "item", "req").agg(F.sum(F.least("n", "many")).alias("got"))
     pairs = written(met.where("got >= req").select("rk", "item"))
     discard(held)
     tests = F.collect_list(F.struct("item_id", "times", "need", "words")).alias("tests")

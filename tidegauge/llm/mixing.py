@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sorted_join, table, written
 
 #: Sources up to which their rates are broadcast; beyond that each source is joined in this many parts.
 SOURCES, SALTS = 100_000, 64
@@ -54,7 +54,7 @@ def _with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
         return docs.join(F.broadcast(rates), "_source")
     salted = docs.withColumn("_salt", F.pmod(F.xxhash64("_own"), F.lit(SALTS)).cast("int"))
     parts = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(parts, ["_source", "_salt"]).drop("_salt")
+    return sorted_join(salted, parts, ["_source", "_salt"]).drop("_salt")
 
 
 def _walk(rate: Column) -> dict[str, Column]:

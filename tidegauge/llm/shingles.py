@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shared, written
+from .common import discard, shared, sorted_join, written
 from .components import components
 from .simhash import fingerprint, near_links, shingle_hashes
 
@@ -131,7 +131,7 @@ def _met(x: DataFrame, y: DataFrame, least: Fraction, and_also: str) -> DataFram
     can = _allowed(least) & F.expr(and_also)
     if "sketch" in x.columns and "sketch" in y.columns:
         can = can & _alike(least)
-    pairs = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & can)
+    pairs = sorted_join(x.alias("x"), y.alias("y"), (F.col("x.h") == F.col("y.h")) & can)
     return pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).where("a < b").distinct()
 
 
@@ -259,7 +259,7 @@ def _completed(links: DataFrame, rows: DataFrame, sets: DataFrame, least: Fracti
     """
     postings = _postings(rows)
     many = postings.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(postings.join(many, "h").distinct())
+    met = written(sorted_join(postings, many, "h").distinct())
     light, heavy = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
     stars = components(links.union(_verified(_met(light, light, least, "x.k < y.k"), sets, least, whole)))
     if heavy.isEmpty():

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sorted_join, table, written
 from .components import components
 
 BITS = 64
@@ -194,7 +194,7 @@ def _neighbour_links(fps: DataFrame, tau: int) -> DataFrame:
     around = F.array(*[F.lit(f) for f in _ball(range(BITS), tau // 2)])
     values = fps.select("fp", F.explode(around).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
     first = values.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("value", "b")
-    return values.join(first, "value").where("fp <> b").select("fp", "b")
+    return sorted_join(values, first, "value").where("fp <> b").select("fp", "b")
 
 
 def near_links(fps: DataFrame, tau: int, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
@@ -223,7 +223,7 @@ def near_links(fps: DataFrame, tau: int, bucket: int = BUCKET, group: int = GROU
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= tau
     a, b = probe.alias("p"), small.alias("s")
     apart = F.col("fp") < F.col("other") if probe is index else F.col("fp") != F.col("other")
-    links = a.join(b, (F.col("p.part") == F.col("s.part")) & (F.col("p.key") == F.col("s.key")) & apart & near).select(
+    links = sorted_join(a, b, (F.col("p.part") == F.col("s.part")) & (F.col("p.key") == F.col("s.key")) & apart & near).select(
         F.col("fp").alias("a"), F.col("other").alias("b")
     )
     met = written(probe.join(full, ["part", "key"], "left_semi"))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import discard, sorted_join, table, written
 
 GRAM = 16
 #: Window starts of a slice; their number must fit in the low 20 bits of a key.
@@ -243,7 +243,7 @@ def _by_window(hot: DataFrame, length: int) -> DataFrame:
     rows = rows.select("c1", "c2", "first", "n", "o", F.md5(F.substr("ctx", F.col("hi") - F.col("o") + 1, F.lit(length))).alias("w"))
     least = rows.groupBy("o", "w").agg(F.min("first").alias("least"))
     bit = F.when(F.col("least") < F.col("first"), F.expr("shiftleft(1L, o)")).otherwise(F.lit(0).cast("long"))
-    masks = rows.join(least, ["o", "w"]).groupBy("c1", "c2", "first").agg(F.bit_or(bit).alias("mask"), F.max("n").alias("n"))
+    masks = sorted_join(rows, least, ["o", "w"]).groupBy("c1", "c2", "first").agg(F.bit_or(bit).alias("mask"), F.max("n").alias("n"))
     return masks.where("mask <> 0 or n > 1").drop("n")
 
 
@@ -253,7 +253,7 @@ def copies(keyed: DataFrame, length: int) -> DataFrame:
     texts = keyed.where(F.octet_length("text") >= length).select("doc_id", "rk", F.md5("text").alias("digest"), salt.alias("salt"))
     first = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     parts = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return texts.join(parts, ["digest", "salt"]).where("doc_id > first").select("doc_id", "rk").distinct()
+    return sorted_join(texts, parts, ["digest", "salt"]).where("doc_id > first").select("doc_id", "rk").distinct()
 
 
 def _placed(kept: DataFrame, whole: DataFrame, length: int) -> tuple[DataFrame, int]:
@@ -286,7 +286,7 @@ def _hits(met: DataFrame, shared: DataFrame) -> DataFrame:
     every, own = F.expr("shiftleft(1L, hi - lo + 1) - 1L"), F.expr("shiftright(mask, lo)")
     offsets = F.when(F.col("doc_id") > F.col("first"), every).otherwise(own)
     last = (F.col("hi") - F.col("lo")).cast("long").alias("last")
-    hits = hits.join(shared, ["c1", "c2"]).select("doc_id", "rk", F.struct("start", last, offsets.alias("offsets")).alias("hit"))
+    hits = sorted_join(hits, shared, ["c1", "c2"]).select("doc_id", "rk", F.struct("start", last, offsets.alias("offsets")).alias("hit"))
     return hits.where("hit.offsets <> 0").groupBy("doc_id", "rk").agg(F.collect_list("hit").alias("hits"))
 
 
