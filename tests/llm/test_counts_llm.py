@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -113,6 +116,54 @@ def test_intervals_match_plain_counting():
             assert {k: Counter({tuple(map(str, kept[a : a + k])): int(n) for a, n in zip(at, counts)}) for k, at, counts in phrases.intervals(kept, short, long)} == got
 
 
+def test_suffixes_are_ordered_in_ranges(monkeypatch):
+    draw = np.random.default_rng(8)
+    monkeypatch.setattr(phrases, "RANGE", 16)
+    for ids in (draw.integers(-1, 9, 700).astype(np.int32), np.zeros(90, np.int32)):
+        pieces = [p.split() for p in " ".join("|" if i < 0 else str(i) for i in ids).split("|")]
+        for short, long in ((1, 1), (2, 2), (2, 5)):
+            got = [(tuple(map(str, ids[a : a + k])), int(n)) for k, at, counts in phrases.intervals(ids, short, long) for a, n in zip(at, counts)]
+            assert len(got) == len(dict(got)) and dict(got) == Counter(tuple(p[i : i + k]) for p in pieces for k in range(short, long + 1) for i in range(len(p) - k + 1))
+
+
+def test_a_shard_is_counted_in_the_memory_of_a_range(monkeypatch):
+    monkeypatch.setattr(phrases, "RANGE", 1 << 15, raising=False)
+    ids = np.random.default_rng(9).integers(-1, 40_000, 1 << 20).astype(np.int32)
+    tracemalloc.start()
+    try:
+        rows = sum(len(at) for _, at, _ in phrases.intervals(ids, 2, 5))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 1 << 20 and most < 16 << 20  # the whole suffix array took over 60 MB
+
+
+def test_tasks_hold_few_shards_at_a_time(spark, monkeypatch):
+    groups, plain_written, key = [], phrases.written, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def written(df, **options):
+        out = plain_written(df, **options)
+        if "ids" in out.columns:
+            files = [pq.ParquetFile(f).metadata for f in Path(out._folder.removeprefix("file:")).glob("*.parquet")]
+            groups.append([m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)])
+        else:
+            batches = phrases_cut(df.sparkSession).mapInArrow(lambda bs: (pa.record_batch({"n": [b.num_rows]}) for b in bs), "n long").collect()
+            groups.append([r.n for r in batches])
+        return out
+
+    def phrases_cut(session):
+        return session.createDataFrame([(bytes(1 << 13),)] * 12, "ids binary").coalesce(1)
+
+    for name, value in (("SHARD", 1 << 13), ("HELD", 1 << 12), ("GROUPS", {k: v if v == 1 else 1 << 12 for k, v in phrases.GROUPS.items()})):
+        monkeypatch.setattr(phrases, name, value)
+    monkeypatch.setattr(phrases, "written", written)
+    before = spark.conf.get(key)
+    text = " ".join(f"w{i % 800}" for i in range(2000))
+    found = phrases.collocations(spark.createDataFrame([(text, "en")] * 12, "text string, lang string").coalesce(1), least=20)
+    assert found.count() > 0 and spark.conf.get(key) == before
+    assert len(groups) == 4 and all(sum(g) == 12 and max(g) <= 2 for g in groups)
+
+
 def plain(docs, longest, least, scale, inside, top):
     """Collocations by counting in dictionaries."""
     counts, out = {}, []

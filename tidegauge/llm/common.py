@@ -39,16 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: its lineage ends at files every executor can read, and its shuffles are dropped."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidegauge-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def written(df: DataFrame, **options) -> DataFrame:
+    """df written to the shared folder as Parquet and read again: its lineage ends at files every executor can read, and its shuffles are dropped. Options are the writer's."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidegauge-{uuid.uuid4().hex}"
+    with setting(spark, _CLEANUP, "true"):
+        df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     if _OPEN.get():

@@ -1,7 +1,7 @@
 """Phrase collocations: n-gram counts from word-id suffix arrays of shards, merged by key, then scored by their worst cut.
 
-Texts are cut into shards of word ids once. Each shard's suffix array is ordered by prefix doubling (ranks of one word give those
-of two, those give four, and one more word gives five), and the intervals of its longest-common-prefix array are the shard's
+Texts are cut into shards of word ids once. Each shard's suffix array is ordered in ranges of suffixes that start alike, one at a time, by
+two words in one number, and the intervals of its longest-common-prefix array are the shard's
 different n-grams with their counts, which are summed by (lang, phrase) over all shards. A phrase that occurs `least` times is made of
 words and pairs that do, so words are counted first; then pairs of frequent words, by a 32-bit hash alone; and then all phrases
 whose pairs are frequent. What is frequent is sent to shards as a bit map of hashes, of a size that is bounded. Where hashes
@@ -19,10 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared, table, written
+from .common import setting, shared, table, written
 
 #: Bytes of text that a task gathers, over all languages, before it closes their shards; bytes of whole texts that are split at a time.
 SHARD, CHUNK = 1 << 25, 1 << 20
+#: Places of a range of a shard's suffix array, about; only a range is held in memory besides the shard.
+RANGE = 1 << 18
+#: Shards of so many bytes together make a row group or an Arrow batch, so that a task holds few at a time, however many its partition makes.
+HELD = 1 << 23
+GROUPS = {"parquet.block.size": HELD, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: A bit map has this many bits for each frequent phrase, and at least and at most so many (the most: 64 MB).
 BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 #: Parts of a language in which its phrases are ranked before all of it is.
@@ -93,46 +98,59 @@ def _runs(ids: np.ndarray, least: int) -> np.ndarray:
     return ids[np.repeat(sizes > least, sizes)[: len(ids)]]
 
 
-def suffix_ranks(ids: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Ranks of the suffixes at each place by their first 1, 2, ... `depth` words, by prefix doubling; a suffix that ends sooner ranks before those that go on.
-
-    `ids` are places of words from 0 up, -1 where a piece ends.
-    """
+def _ranges(ids: np.ndarray, shared: int) -> Iterator[np.ndarray]:
+    """Places of words, about RANGE at a time; suffixes that share their first word, or the first two if `shared` is 2 or more, are in one range."""
+    n = min(-(-len(ids) // RANGE), (1 << 16) - 1)
+    if n < 2:
+        yield np.flatnonzero(ids >= 0)
+        return
+    of = np.empty(len(ids), np.uint16)
+    for lo in range(0, len(ids), RANGE):
+        own = ids[lo : lo + RANGE]
+        h = own.astype(np.uint32) * np.uint32(0x9E3779B1)
+        if shared > 1:
+            ahead = ids[lo + 1 : lo + 1 + RANGE]
+            h[: len(ahead)] += ahead.astype(np.uint32) * np.uint32(0x85EBCA77)
+        of[lo : lo + RANGE] = np.where(own >= 0, (h ^ (h >> np.uint32(15))) % np.uint32(n), n)
+    for k in range(n):
+        yield np.flatnonzero(of == k)
+
+
+def suffix_words(ids: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
+    """The first, second, ... word from each of the places on, -1 from the end of its piece on."""
+    out = [ids[at]]
+    for j in range(1, depth):
+        w = ids[np.minimum(at + j, len(ids) - 1)]
+        w[(at + j >= len(ids)) | (out[-1] < 0)] = -1
+        out.append(w)
+    return out
 
-    def paired(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
-        ahead = np.r_[b[by:], np.zeros(min(by, len(b)), np.int32)][: len(a)]
-        key = a.astype(np.int64) * (int(ahead.max(initial=0)) + 1) + ahead
-        key[a == 0] = 0
-        return np.unique(key, return_inverse=True)[1].reshape(-1).astype(np.int32) + np.int32(len(key) > 0 and key.min() > 0)
 
-    ranks = {1: ids + np.int32(1)}
-    for k in range(2, depth + 1):
-        half = 1 << (k - 1).bit_length() - 1
-        # Words 1 to half, then as many more as k asks for; both ranks are there already.
-        ranks[k] = paired(ranks[half], ranks[k - half], half)
-    return [ranks[k] for k in range(1, depth + 1)]
+def suffix_order(words: list[np.ndarray]) -> np.ndarray:
+    """The order of suffixes by these words; one that ends sooner comes before those that go on."""
+    keys = [words[j].astype(np.int64) << 32 | (words[j + 1] + np.int32(1)) if j + 1 < len(words) else words[j] for j in range(0, len(words), 2)]
+    return np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
 
 
 def intervals(ids: np.ndarray, shortest: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, places, counts) for each k: of each different k-gram its first place in suffix order and how often it occurs, within pieces.
+    """(k, places, counts) for each k, again for each range: of each different k-gram, once, its first place in suffix order and how often it occurs, within pieces.
 
-    The suffix array orders places by their first `longest` words. Two neighbours in it share k words at least where their ranks
-    by k words are equal, so runs of such neighbours are the intervals of that longest common prefix.
+    `ids` are places of words from 0 up, -1 where a piece ends. Only one range of the suffix array is held at a time. Two neighbours in it share k words at least
+    where none of their first k words differ, so runs of such neighbours are the intervals of that longest common prefix.
     """
-    if not len(ids):
-        return
-    ranks = suffix_ranks(ids, longest)
-    order = np.argsort(ranks[-1], kind="stable").astype(np.int32)
-    ends = np.flatnonzero(np.r_[ids < 0, True]).astype(np.int32)
-    # Words from a place to the end of its piece.
-    left = np.repeat(ends, np.diff(np.r_[-1, ends]))[: len(ids)] - np.arange(len(ids), dtype=np.int32)
-    for k in range(shortest, longest + 1):
-        own = order[left[order] >= k]
-        if not len(own):
-            continue
-        r = ranks[k - 1][own]
-        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        yield k, own[first], np.diff(np.r_[first, len(own)])
+    for at in _ranges(ids, shortest):
+        words = suffix_words(ids, at, longest)
+        order = suffix_order(words)
+        new = np.zeros(len(at), bool)
+        new[:1] = True
+        for k, word in enumerate(words, 1):
+            word = word[order]
+            new[1:] |= word[1:] != word[:-1]
+            own = np.flatnonzero(word >= 0)
+            if k < shortest or not len(own):
+                continue
+            first = np.flatnonzero(new[own])
+            yield k, at[order[own[first]]], np.diff(np.r_[first, len(own)])
 
 
 def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -205,6 +223,21 @@ def _frequent_words(lang: str, words: pa.Array, ids: np.ndarray, known: Map) ->
     return np.where(ok[ids], ids, -1).astype(np.int32), h
 
 
+def _cut_at_rare(ids: np.ndarray, h: np.ndarray, pairs: Map) -> np.ndarray:
+    """ids with a cut between the two words of each pair that isn't frequent: each may go on the other way."""
+    rare = np.zeros(len(ids), bool)
+    for lo in range(0, len(ids), RANGE):
+        own = ids[lo : lo + RANGE + 1]
+        met = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
+        rare[lo + met] = ~pairs.holds(pair_hashes(h, own[met], own[met + 1]))
+    cuts = np.flatnonzero(rare)
+    kept = np.ones(len(ids) + len(cuts), bool)
+    kept[cuts + np.arange(1, len(cuts) + 1)] = False
+    out = np.full(len(kept), -1, np.int32)
+    out[kept] = ids
+    return out
+
+
 def pair_counts(cut: DataFrame, known: Map) -> DataFrame:
     """(h, f): how often the pairs of frequent words occur, by their 32-bit hash over all languages."""
     sent = shared(cut.sparkSession, known)
@@ -229,10 +262,7 @@ def phrase_counts(cut: DataFrame, longest: int, words: Map, pairs: Map) -> DataF
         known, known_pairs = sent()
         for lang, words, ids in _opened(batches):
             ids, h = _frequent_words(lang, words, ids, known)
-            met = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            rare = met[~known_pairs.holds(pair_hashes(h, ids[met], ids[met + 1]))]
-            # A cut between the two words of a rare pair: each may go on the other way.
-            ids = _runs(np.insert(ids, rare + 1, -1), 2)
+            ids = _runs(_cut_at_rare(ids, h, known_pairs), 2)
             for k, at, counts in intervals(ids, 2, longest):
                 for lo in range(0, len(at), 1 << 17):
                     some = at[lo : lo + (1 << 17)]
@@ -247,10 +277,11 @@ def phrase_counts(cut: DataFrame, longest: int, words: Map, pairs: Map) -> DataF
 def frequent_phrases(cut: DataFrame, longest: int = 5, least: int = 100) -> DataFrame:
     """(lang, phrase, k, f) of phrases of 1 to `longest` words that occur `least` times or more in a language; `cut` is what `shards` gives, written."""
     often = F.col("f") >= least
-    words = written(word_counts(cut).where(often))
-    known = bit_map(words, F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")))
-    pairs = written(pair_counts(cut, known).where(often))
-    return words.unionByName(written(phrase_counts(cut, longest, known, bit_map(pairs, F.col("h").cast("long"))).where(often)))
+    with setting(cut.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(HELD)):
+        words = written(word_counts(cut).where(often))
+        known = bit_map(words, F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")))
+        pairs = written(pair_counts(cut, known).where(often))
+        return words.unionByName(written(phrase_counts(cut, longest, known, bit_map(pairs, F.col("h").cast("long"))).where(often)))
 
 
 def _times(*columns: str | Column) -> Column:
@@ -269,7 +300,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, scale: int
     longer one that occurs at least `inside` percent as often go. Ties in rank go by a, then by phrase in byte order. A null lang is
     `und`, a null text has no words; rows that repeat count each; other columns are not read. No rows for an empty table.
     """
-    cut = written(shards(docs))
+    cut = written(shards(docs), **GROUPS)
     sizes = cut.groupBy("lang").agg(F.sum("n").alias("n"))
     known = frequent_phrases(cut, longest, least)
     words = F.split("phrase", " ")
